@@ -42,3 +42,13 @@ def bounded(table: DataFrame) -> tuple[DataFrame, bool]:
     if len(rows) <= MAX_BROADCAST_ROWS:
         return table.sparkSession.createDataFrame(rows, table.schema), True
     return materialise(table), False
+
+
+def few_tasks(stored: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """Merge the partitions of a stored table when it is too small to keep them all busy.
+
+    Meant for iterative fits, which run many short jobs over the same rows.
+    """
+    partitions = stored.rdd.getNumPartitions()
+    wanted = max(1, -(-stored.count() // rows_per_task))
+    return stored.coalesce(wanted) if wanted < partitions else stored
