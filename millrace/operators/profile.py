@@ -126,7 +126,7 @@ def _correlate(df: DataFrame, values: dict[str, Column], pairs: list[tuple[str,
         x, y = F.when(both, values[a]), F.when(both, values[b])
         scale = F.stddev_pop(x) * F.stddev_pop(y)
         r = F.covar_pop(x, y) / F.nullif(scale, F.lit(0.0))
-        aggregates.append(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias(f"r{i}"))
+        aggregates.append(F.when(F.abs(r) <= 1, r).otherwise(F.signum(r)).alias(f"r{i}"))
         rows.append({"x": F.lit(a), "y": F.lit(b), "r": F.col(f"r{i}")})
         if a != b:
             rows.append({"x": F.lit(b), "y": F.lit(a), "r": F.col(f"r{i}")})
