@@ -22,6 +22,8 @@ from millrace.functions.columns import number
 SKETCH_ACCURACY = 10000
 BRACKET = 2e-4
 MAX_BETWEEN = 200_000
+FEW_ROWS = 20_000
+MAX_ROUNDS = 50
 
 
 @dataclass
@@ -43,8 +45,8 @@ class _Target:
 
     @property
     def ranks(self) -> tuple[int, int]:
-        first = math.floor((self.n - 1) * self.p)
-        return first, min(first + 1, self.n - 1)
+        place = (self.n - 1) * self.p
+        return math.floor(place), math.ceil(place)
 
     @property
     def fits(self) -> bool:
@@ -54,6 +56,12 @@ class _Target:
         """Twice the sketch's error bound: no more rows than this lie between the ends."""
         self.most_between = min(rows, 4 * rows * (self.bracket + 1 / SKETCH_ACCURACY))
 
+    def widen(self) -> None:
+        """Start from all rows, with more room around the rank."""
+        self.low, self.high = self.outer
+        self.most_between = self.n
+        self.bracket = min(0.1, self.bracket * 10)
+
     def interpolate(self, first: float, second: float) -> None:
         weight = (self.n - 1) * self.p - self.ranks[0]
         self.result = first + (second - first) * weight if weight else first
@@ -90,12 +98,20 @@ def exact_quantiles(
             low = at[max(0.0, p - BRACKET)] if p > BRACKET else outer[0]
             high = at[min(1.0, p + BRACKET)] if p < 1 - BRACKET else outer[1]
             target = _Target(c, p, n, outer, low, high)
-            target.expect(n)
+            if n > FEW_ROWS:
+                target.expect(n)
+            else:
+                target.widen()
             targets.append(target)
 
-    while pending := [t for t in targets if t.result is None]:
+    for _ in range(MAX_ROUNDS):
+        pending = [t for t in targets if t.result is None]
+        if not pending:
+            break
         _count(data, names, pending)
-        _narrow(data, names, [t for t in pending if t.result is None and not t.fits])
+        _narrow(data, names, [t for t in pending if t.result is None and t.between > MAX_BETWEEN])
+    else:
+        raise RuntimeError("the quantile search did not settle")
 
     found = {(t.column, t.p): t.result for t in targets}
     return {c: {p: found.get((c, p)) for p in probabilities} for c in columns}
@@ -126,10 +142,8 @@ def _settle(t: _Target, row: Row, i: int) -> None:
     first, second = t.ranks
     inner_start, inner_end = t.below + t.on_low, t.below + t.on_low + t.between
     if first < t.below or second >= inner_end + on_high:
-        t.low, t.high = t.outer
-        t.bracket *= 10
-        t.between = t.most_between = t.n
-        t.below = t.on_low = 0
+        t.widen()
+        t.between = 0
         return
     picked = []
     for j, rank in enumerate((first, second)):
