@@ -255,15 +255,16 @@ def contour(
 def violin(df: DataFrame, y: str, x: str | None = None, points: int = KDE_POINTS) -> DataFrame:
     """Gaussian kernel density of ``y`` on a fixed grid, per value of ``x``; ``box`` gives the box inside.
 
-    Rows are first counted in fine bins. Bandwidth: 1.059 * min(std, iqr / 1.349) * n^(-1/5).
+    Rows are first reduced to the count and mean of fine bins. Bandwidth: 1.059 * min(std, iqr / 1.349) * n^(-1/5).
     """
     stats = box(df, y, x)
     if x is None:
         stats = stats.withColumn("group", F.lit("all"))
     frame = _bins(df, {y: KDE_BINS})[y]
     group = missing_as_null(df, x) if x else F.lit("all")
-    rows = df.select(group.alias("group"), frame.index(number(df, y)).alias("bin"))
-    fine = rows.where("group is not null and bin is not null").groupBy("group", "bin").agg(F.count("*").alias("cnt"))
+    rows = df.select(group.alias("group"), frame.index(number(df, y)).alias("bin"), number(df, y).alias("v"))
+    fine = rows.where("group is not null and bin is not null").groupBy("group", "bin")
+    fine = fine.agg(F.count("*").alias("cnt"), F.avg("v").alias("centre"))
     scale = F.least(F.col("std"), F.nullif((F.col("q3") - F.col("q1")) / 1.349, F.lit(0.0)))
     width = F.greatest(
         F.coalesce(1.059 * F.coalesce(scale, F.col("std")) * F.pow(F.col("n"), F.lit(-0.2)), F.lit(0.0)),
@@ -273,8 +274,7 @@ def violin(df: DataFrame, y: str, x: str | None = None, points: int = KDE_POINTS
     top = frame.low + frame.width * frame.count
     step = (top - frame.low) / (points - 1)
     grid = F.lit(frame.low) + F.col("point") * F.lit(step)
-    centre = F.lit(frame.low) + (F.col("bin") + 0.5) * F.lit(frame.width)
-    kernel = F.exp(-0.5 * F.pow((grid - centre) / F.col("h"), F.lit(2.0)))
+    kernel = F.exp(-0.5 * F.pow((grid - F.col("centre")) / F.col("h"), F.lit(2.0)))
     weight = F.col("cnt") * kernel / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))
     return (
         fine.join(bands, "group")

@@ -74,7 +74,8 @@ def gaps(df: DataFrame, date_column: str) -> DataFrame:
 
 
 def _gap_numbers(df: DataFrame, date_column: str) -> Row:
-    table = gaps(df, date_column)
+    # several numbers are read off the gap counts: compute them once
+    table = materialise(gaps(df, date_column))
     places = ranked(table, F.col("gap"), weight=F.col("times"))
     end = F.col("before") + F.col("ties")
     at = lambda rank: F.max(F.when((rank >= F.col("before")) & (rank < end), F.col("value")))

@@ -74,10 +74,10 @@ def violin(spark: SparkSession, folder: str) -> DataFrame:
 VIOLIN_SQL = f"""WITH f AS (SELECT min(value) AS lo, (max(value) - min(value)) / 1024 AS w FROM events),
   s AS (SELECT event_type AS g, count(*) AS n, greatest(1.059 * least(stddev_samp(value),
     (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349) * pow(count(*), -0.2), (SELECT w FROM f)) AS h FROM events GROUP BY 1),
-  b AS (SELECT event_type AS g, {_bin_sql('value', 'lo', 'w', 1024)} AS b, count(*) AS c FROM events, f GROUP BY 1, 2),
+  b AS (SELECT event_type AS g, {_bin_sql('value', 'lo', 'w', 1024)} AS b, count(*) AS c, avg(value) AS mid FROM events, f GROUP BY 1, 2),
   p AS (SELECT i, lo + i * ((lo + w * 1024 - lo) / 99) AS x FROM f, range(100) t(i))
-SELECT g AS "group", round(x, 6) + 0.0 AS value, round(sum(c * exp(-0.5 * pow((x - (lo + (b + 0.5) * w)) / h, 2)) / (n * h * sqrt(2 * pi()))), 7) AS density
-FROM b JOIN s USING (g), p, f GROUP BY g, i, x"""
+SELECT g AS "group", round(x, 6) + 0.0 AS value, round(sum(c * exp(-0.5 * pow((x - mid) / h, 2)) / (n * h * sqrt(2 * pi()))), 7) AS density
+FROM b JOIN s USING (g), p GROUP BY g, i, x"""
 
 
 def histogram_kde(spark: SparkSession, folder: str) -> DataFrame:

@@ -150,10 +150,10 @@ def test_auc_by_hand(spark):
 def test_features(flowers):
     steps = models.fit_features(flowers, ["a", "c", "d"])
     made = steps.transform(flowers.select("a", "c", "d", "kind"))
-    # one number, four indicators (three colours and 'missing'), one code
+    # one number, one code, four indicators (three colours and 'missing')
     assert len(made.first()["features"]) == 6
     unseen = flowers.limit(1).withColumns({"c": F.lit("pink"), "d": F.lit("nobody")})
-    assert list(steps.transform(unseen.select("a", "c", "d")).first()["features"])[1:] == [0.0] * 4 + [-1.0]
+    assert list(steps.transform(unseen.select("a", "c", "d")).first()["features"])[1:] == [-1.0] + [0.0] * 4
 
 
 def test_clusters(flowers):
@@ -161,5 +161,5 @@ def test_clusters(flowers):
     row = result.summary.first()
     assert row["inertia"] > 0 and -1 <= row["silhouette"] <= 1 and sum(row["explained_variance"]) == pytest.approx(1)
     assert result.labelled.count() == 300 and {"pc1", "pc2", "cluster"} <= set(result.labelled.columns)
-    inertia = [r["inertia"] for r in models.elbow(flowers, [1, 2, 4], ["a", "b"]).orderBy("k").collect()]
+    inertia = [r["inertia"] for r in models.elbow(flowers, [2, 3, 5], ["a", "b"]).orderBy("k").collect()]
     assert inertia == sorted(inertia, reverse=True)

@@ -155,7 +155,7 @@ def test_kde_against_brute_force(spark, events):
     h = 1.059 * min(values.std(ddof=1), (q3 - q1) / 1.349) * len(values) ** -0.2
     for point, density in table[["value", "density"]].sample(10, random_state=1).to_numpy():
         exact = np.exp(-0.5 * ((point - values) / h) ** 2).sum() / (len(values) * h * math.sqrt(2 * math.pi))
-        assert density == pytest.approx(exact, rel=2e-3, abs=1e-7)
+        assert density == pytest.approx(exact, rel=1e-3, abs=1e-8)
 
 
 def test_chart_arguments(spark, events):
