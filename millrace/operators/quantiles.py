@@ -14,7 +14,7 @@ import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import number
@@ -72,20 +72,19 @@ def exact_quantiles(
 ) -> dict[str, dict[float, float | None]]:
     """Exact quantiles of every column; an empty column gives None."""
     probabilities = list(probabilities)
-    values = {c: number(df, c) for c in columns}
-    data = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values.values())])
-    names = {c: F.col(f"v{i}") for i, c in enumerate(columns)}
+    names = {c: f"v{i}" for i, c in enumerate(columns)}
+    data = df.select(*[number(df, c).alias(v) for c, v in names.items()])
 
     ends = sorted({min(1.0, max(0.0, p + s)) for p in probabilities for s in (-BRACKET, BRACKET)})
     aggregates = []
     for i, v in enumerate(names.values()):
         aggregates += [
-            F.count(v).alias(f"n{i}"),
-            F.min(v).alias(f"min{i}"),
-            F.max(v).alias(f"max{i}"),
-            F.percentile_approx(v, ends, SKETCH_ACCURACY).alias(f"q{i}"),
+            f"count({v}) AS n{i}",
+            f"min({v}) AS min{i}",
+            f"max({v}) AS max{i}",
+            f"percentile_approx({v}, {_array(ends)}, {SKETCH_ACCURACY}) AS q{i}",
         ]
-    sketch = data.agg(*aggregates).first()
+    sketch = _row(data, aggregates)
 
     targets: list[_Target] = []
     for i, c in enumerate(columns):
@@ -117,21 +116,32 @@ def exact_quantiles(
     return {c: {p: found.get((c, p)) for p in probabilities} for c in columns}
 
 
-def _count(data: DataFrame, names: dict[str, Column], targets: list[_Target]) -> None:
+def _row(data: DataFrame, aggregates: list[str]) -> Row:
+    return data.agg(*[F.expr(a) for a in aggregates]).first()
+
+
+def _number(value: float) -> str:
+    return f"double('{value!r}')"
+
+
+def _array(values: Sequence[float]) -> str:
+    return f"array({', '.join(map(_number, values))})"
+
+
+def _count(data: DataFrame, names: dict[str, str], targets: list[_Target]) -> None:
     aggregates = []
     for i, t in enumerate(targets):
-        v = names[t.column]
-        inner = (v > t.low) & (v < t.high)
-        below, on_low = F.count_if(v < t.low), F.count_if(v == t.low)
-        aggregates += [below.alias(f"below{i}"), on_low.alias(f"low{i}")]
+        v, low, high = names[t.column], _number(t.low), _number(t.high)
+        below, on_low, inner = f"count_if({v} < {low})", f"count_if({v} = {low})", f"{v} > {low} AND {v} < {high}"
+        aggregates += [f"{below} AS below{i}", f"{on_low} AS low{i}"]
         if t.high > t.low:
-            aggregates += [F.count_if(inner).alias(f"between{i}"), F.count_if(v == t.high).alias(f"high{i}")]
+            aggregates += [f"count_if({inner}) AS between{i}", f"count_if({v} = {high}) AS high{i}"]
             if t.fits:
-                held = F.array_sort(F.collect_list(F.when(inner, v)))
-                for j, rank in enumerate(t.ranks):
-                    place = (F.lit(rank) - below - on_low).cast("int")
-                    aggregates.append(F.get(held, place).alias(f"pick{i}_{j}"))
-    row = data.agg(*aggregates).first()
+                held = f"array_sort(collect_list(CASE WHEN {inner} THEN {v} END))"
+                aggregates += [
+                    f"get({held}, int({rank} - {below} - {on_low})) AS pick{i}_{j}" for j, rank in enumerate(t.ranks)
+                ]
+    row = _row(data, aggregates)
     for i, t in enumerate(targets):
         _settle(t, row, i)
 
@@ -159,19 +169,19 @@ def _settle(t: _Target, row: Row, i: int) -> None:
         t.interpolate(*picked)
 
 
-def _narrow(data: DataFrame, names: dict[str, Column], targets: list[_Target]) -> None:
+def _narrow(data: DataFrame, names: dict[str, str], targets: list[_Target]) -> None:
     """Bring the bracket ends closer, by a sketch of only the rows inside."""
     if not targets:
         return
     aggregates = []
     for i, t in enumerate(targets):
-        v = names[t.column]
+        v, low, high = names[t.column], _number(t.low), _number(t.high)
         start = t.below + t.on_low
         wanted = [(rank - start) / max(1, t.between - 1) for rank in t.ranks]
         ends = [min(1.0, max(0.0, wanted[0] - t.bracket)), min(1.0, max(0.0, wanted[1] + t.bracket))]
-        inner = F.when((v > t.low) & (v < t.high), v)
-        aggregates.append(F.percentile_approx(inner, ends, SKETCH_ACCURACY).alias(f"q{i}"))
-    row = data.agg(*aggregates).first()
+        inner = f"CASE WHEN {v} > {low} AND {v} < {high} THEN {v} END"
+        aggregates.append(f"percentile_approx({inner}, {_array(ends)}, {SKETCH_ACCURACY}) AS q{i}")
+    row = _row(data, aggregates)
     for i, t in enumerate(targets):
         first, second = t.ranks
         start, rows, ends = t.below + t.on_low, t.between, row[f"q{i}"]
