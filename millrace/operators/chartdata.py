@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import missing_as_null, number, numeric_columns, quoted, require_columns, require_numeric
@@ -173,12 +173,12 @@ def histogram_all(df: DataFrame, columns: Sequence[str] | None = None, bins: int
         [(c, i, b.low, b.width) for c, b in found.items() for i in range(bins)],
         "column string, bin int, low double, width double",
     )
-    total = counts.groupBy("column").agg(F.sum("cnt").alias("n"))
+    total = F.sum("cnt").over(Window.partitionBy("column"))
     left = F.col("low") + F.col("bin") * F.col("width")
     count = F.coalesce("cnt", F.lit(0))
     return (
         frame.join(counts, ["column", "bin"], "left")
-        .join(F.broadcast(total), "column")
+        .withColumn("n", total)
         .select(
             "column",
             "bin",

@@ -117,10 +117,14 @@ def _with_neighbours(
     place = order_number(df, order_by[0])
     known = missing_as_null(df, column)
     entry = F.when(known.isNotNull(), F.struct(known.alias("v"), place.alias("o")))
-    keys = F.struct(*[missing_as_null(df, c).alias(f"k{i}") for i, c in enumerate(order_by)])
-    data = df.withColumns({"_bucket": order_bucket(df, order_by), "_known": entry, "_place": place})
-    line = F.when(entry.isNotNull(), keys)
-    edges = data.groupBy("_bucket").agg(F.max_by("_known", line).alias("_last"), F.min_by("_known", line).alias("_first"))
+    keys = [missing_as_null(df, c) for c in order_by]
+    # a single key keeps the aggregate below a hash aggregate; a struct would make it sort all rows
+    line = F.when(known.isNotNull(), keys[0] if len(keys) == 1 else F.struct(*keys))
+    bucket = order_bucket(df, order_by)
+    data = df.withColumns({"_bucket": bucket, "_known": entry, "_place": place})
+    ends = df.select(bucket.alias("_bucket"), known.alias("v"), place.alias("o"), line.alias("line"))
+    outermost = lambda by: F.when(F.max("line").isNotNull(), F.struct(by("v", "line").alias("v"), by("o", "line").alias("o")))
+    edges = ends.groupBy("_bucket").agg(outermost(F.max_by).alias("_last"), outermost(F.min_by).alias("_first"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(

@@ -198,10 +198,12 @@ def last_per_date(df: DataFrame, date_column: str, target: str, order_by: Sequen
     """One row (ds, y) per date: the last one along ``order_by``, else the one with the largest value."""
     require_columns(df, date_column)
     require_numeric(df, target)
+    keys = [missing_as_null(df, c) for c in order_by or [target]]
     rows = df.select(
         converted(df, date_column, "DATETIME").alias("ds"),
         number(df, target).alias("y"),
-        F.struct(*[missing_as_null(df, c).alias(f"o{i}") for i, c in enumerate(order_by or [target])]).alias("o"),
+        # a single key keeps this a hash aggregate; a struct would make it sort all rows
+        (keys[0] if len(keys) == 1 else F.struct(*keys)).alias("o"),
     )
     return rows.where("ds is not null").groupBy("ds").agg(F.max_by("y", "o").alias("y"))
 
