@@ -80,8 +80,11 @@ def _to_datetime(value: Column, kind: T.DataType, formats: Sequence[str]) -> Col
     if isinstance(kind, T.NumericType):
         # nanoseconds since 1970-01-01
         whole = value.try_cast("bigint")
-        micro = F.call_function("div", whole - F.pmod(whole, F.lit(1000)), F.lit(1000))
-        return F.timestamp_micros(micro).cast("timestamp_ntz")
+        day = F.pmod(whole, F.lit(86_400_000_000_000))
+        days = F.call_function("div", whole - day, F.lit(86_400_000_000_000)).cast("int")
+        seconds = (F.floor(day / 1000) / 1e6).cast("decimal(18,6)")
+        nothing = F.lit(0)
+        return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(days, nothing, nothing, seconds)
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return value.cast("timestamp_ntz")
     text = F.trim(value.cast("string"))

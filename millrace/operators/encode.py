@@ -39,21 +39,22 @@ class Codes:
 
     def transform(self, df: DataFrame) -> DataFrame:
         keyed = df.withColumn("_category", _category(df, self.column))
+        table = self.table.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
         if self.small:
-            coded = keyed.join(F.broadcast(self.table), keyed["_category"].eqNullSafe(self.table["value"]), "left")
+            coded = keyed.join(F.broadcast(table), keyed["_category"].eqNullSafe(table["_value"]), "left")
         else:
-            # frequent values are looked up in a broadcast; what is left has no hot key
-            hot = self.hot.withColumnRenamed("code", "hot_code").withColumnRenamed("value", "hot_value")
-            near = keyed.join(F.broadcast(hot), keyed["_category"].eqNullSafe(hot["hot_value"]), "left")
-            rest = F.when(F.col("hot_code").isNull(), F.col("_category"))
-            coded = near.withColumn("_rest", rest).join(self.table, F.col("_rest") == self.table["value"], "left")
-            coded = coded.withColumn("code", F.coalesce("hot_code", "code"))
-        code = F.col("code")
+            # rows with a frequent value are coded by a broadcast and never shuffled; the rest has no hot key
+            own = [quoted(c) for c in keyed.columns]
+            hot = self.hot.select(F.col("value").alias("_hot_value"), F.col("code").alias("_hot_code"))
+            near = keyed.join(F.broadcast(hot), keyed["_category"].eqNullSafe(hot["_hot_value"]), "left")
+            frequent = near.where("_hot_code is not null").select(*own, F.col("_hot_code").alias("_code"))
+            rest = near.where("_hot_code is null").select(*own)
+            rest = rest.join(table, F.col("_category") == F.col("_value"), "left").select(*own, "_code")
+            coded = frequent.unionByName(rest)
+        code = F.col("_code")
         if self.kind == "ordinal":
             code = F.when(F.col("_category").isNotNull(), code).cast("double")
-        return coded.withColumn("_code", code).select(
-            *[F.col("_code").alias(c) if c == self.column else keyed[c] for c in df.columns]
-        )
+        return coded.select(*[code.alias(c) if c == self.column else quoted(c) for c in df.columns])
 
 
 @dataclass(frozen=True)

@@ -120,6 +120,14 @@ def test_large_dictionaries_give_the_same_codes(spark, monkeypatch, method, kind
     assert column(encode.encode(df, ["x"], method), "x") == expected
 
 
+@pytest.mark.parametrize("limit", [20_000, 1])
+def test_columns_named_like_the_code_table(spark, monkeypatch, limit):
+    monkeypatch.setattr("millrace.operators.shape.MAX_BROADCAST_ROWS", limit)
+    df = spark.createDataFrame([("b", 1, 2), ("a", 3, 4)], "value string, code int, `x.y` int")
+    rows = encode.encode(df, ["value"], "label").orderBy("value").collect()
+    assert [tuple(r) for r in rows] == [(0, 3, 4), (1, 1, 2)]
+
+
 def test_onehot(spark):
     df = spark.createDataFrame([(0, "x", 1), (1, None, 2), (2, "y", 3)], "i int, k string, n int")
     made = encode.encode(df, ["k"], "onehot").orderBy("i")
