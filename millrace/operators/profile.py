@@ -66,18 +66,24 @@ def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) ->
 
     Among equally frequent values the smallest is named.
     """
+    counts = _category_counts(df, columns)
+    stats = counts.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("cnt"))), F.lit(0)).alias("count"),
+        F.count("value").alias("unique"),
+        F.max(F.when(F.col("value").isNotNull(), F.col("cnt"))).alias("freq"),
+    )
+    best = counts.join(F.broadcast(stats.select("column", "freq")), "column").where("value is not null and cnt = freq")
+    top = best.groupBy("column").agg(F.min("value").alias("top"))
+    return stats.join(F.broadcast(top), "column", "left").select("column", "count", "unique", "top", "freq")
+
+
+def _category_counts(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    """Rows per (column, value as text) of many columns from one scan."""
     if columns is None:
         columns = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.NumericType)]
     require_columns(df, *columns)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in columns])
-    counts = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("cnt"))
-    known = F.col("value").isNotNull()
-    return counts.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(known, F.col("cnt"))), F.lit(0)).alias("count"),
-        F.count("value").alias("unique"),
-        F.min(F.when(known, F.struct((-F.col("cnt")).alias("minus"), "value"))).getField("value").alias("top"),
-        F.max(F.when(known, F.col("cnt"))).alias("freq"),
-    )
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), missing_as_null(df, c).cast("string").alias("value")) for c in columns])
+    return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("cnt"))
 
 
 def missing_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -167,10 +173,9 @@ def cardinality(df: DataFrame, columns: Sequence[str] | None = None, limit: int
 
     One pass: rows are reduced to distinct (column, value) pairs before the shuffle.
     """
-    if columns is None:
-        columns = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.NumericType)]
-    counts = describe_categorical(df, columns)
-    return counts.select("column", "unique", (F.col("unique") <= limit).alias("low"))
+    unique = F.count("value").alias("unique")
+    counts = _category_counts(df, columns).groupBy("column").agg(unique)
+    return counts.withColumn("low", F.col("unique") <= limit)
 
 
 def most_frequent(df: DataFrame, column: str) -> DataFrame:
