@@ -229,22 +229,25 @@ def scale_power(name: str, key: str, column: str, method: str):
     return run
 
 
+GAPPY_ORDERS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders)"
+
 SCALE_QUANTILE_SQL = f"""WITH q AS (
-    SELECT unnest(quantile_cont(value, [{', '.join(f'{j}/999.0' for j in range(1000))}])) AS q, unnest(range(1000)) / 999.0 AS r
-    FROM {GAPPY_EVENTS}),
+    SELECT unnest(quantile_cont(o_totalprice, [{', '.join(f'{j}/999.0' for j in range(1000))}])) AS q, unnest(range(1000)) / 999.0 AS r
+    FROM {GAPPY_ORDERS}),
   steps AS (SELECT q AS qa, r AS ra, lead(q) OVER (ORDER BY r) AS qb, lead(r) OVER (ORDER BY r) AS rb FROM q),
   spots AS (SELECT q, min(r) AS first_r, max(r) AS last_r FROM q GROUP BY q),
-  v AS (SELECT DISTINCT value AS x FROM {GAPPY_EVENTS} WHERE value IS NOT NULL),
+  v AS (SELECT DISTINCT o_totalprice AS x FROM {GAPPY_ORDERS} WHERE o_totalprice IS NOT NULL),
   placed AS (SELECT v.x, CASE WHEN v.x <= (SELECT min(q) FROM q) THEN 0.0 WHEN v.x >= (SELECT max(q) FROM q) THEN 1.0
       WHEN s.q IS NOT NULL THEN (s.first_r + s.last_r) / 2
       ELSE t.ra + (t.rb - t.ra) * (v.x - t.qa) / (t.qb - t.qa) END AS y
     FROM v LEFT JOIN spots s ON s.q = v.x LEFT JOIN steps t ON v.x > t.qa AND v.x < t.qb)
-SELECT e.event_id, round(p.y, 5) + 0.0 AS value FROM {GAPPY_EVENTS} e LEFT JOIN placed p ON p.x = e.value"""
+SELECT e.o_orderkey, round(p.y, 5) + 0.0 AS o_totalprice FROM {GAPPY_ORDERS} e LEFT JOIN placed p ON p.x = e.o_totalprice"""
 
 
 def scale_quantile(spark: SparkSession, folder: str) -> DataFrame:
-    events = gappy_events(spark, folder).select("event_id", "value")
-    return rounded(scale.scale(events, ["value"], "quantile"), 5, "value")
+    price = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("o_totalprice")
+    orders = table(spark, folder, "orders").select("o_orderkey", price)
+    return rounded(scale.scale(orders, ["o_totalprice"], "quantile"), 5, "o_totalprice")
 
 
 def sample_rows(spark: SparkSession, folder: str) -> DataFrame:
