@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup
+from millrace.llm import exact_dedup, simhash
 from millrace.llm.common import table
 
 
@@ -14,8 +14,13 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"), keep="largest")
 
 
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_dedup(table(spark, folder, "documents"), shingle=3, radius=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op10_simhash": op10_simhash,
 }
 
 SQL: dict[str, str] = {
