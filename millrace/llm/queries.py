@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, simhash
+from millrace.llm import exact_dedup, mixing, quality, simhash
 from millrace.llm.common import table
 
 
@@ -14,15 +14,26 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"), keep="largest")
 
 
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), repeat=mixing.REPEAT)
+
+
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, folder, "documents"), shingle=3, radius=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
 }
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "op7_mixing": mixing.SQL,
 }
