@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, mixing, quality, simhash
+from millrace.llm import exact_dedup, mixing, pieces, quality, simhash
 from millrace.llm.common import table
 
+#: A SentencePiece model with byte pieces; only the driver reads it.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"), keep="largest")
@@ -22,6 +26,13 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Two segmentations of every document: the number and hash of their ids, the digest of what they decode to, scores."""
+    found = pieces.encode(table(spark, folder, "documents"), MODEL, samples=2)
+    found = found.select("doc_id", "sample", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "ids", "log_p", "log_inclusion")
+    return pieces.decode(found, MODEL).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, folder, "documents"), shingle=3, radius=2)
 
@@ -30,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
 }
 
