@@ -7,17 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, mixing, pieces, quality, simhash
+from millrace.llm import chat, exact_dedup, mixing, pieces, pii, quality, simhash
 from millrace.llm.common import table
 
 #: A SentencePiece model with byte pieces; only the driver reads it.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, folder, "documents")))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"), keep="largest")
 
 
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in chat.EXTRA)
+    extra = spark.sql(f"SELECT * FROM VALUES {rows} AS t(conv_id, turn, role, text)")
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.render(chat.fold(chat.log_of(given))))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), repeat=mixing.REPEAT)
 
@@ -38,7 +49,9 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_chat": op4_chat,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_sentencepiece": op9_sentencepiece,
@@ -47,5 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "op4_chat": chat.SQL,
     "op7_mixing": mixing.SQL,
 }
