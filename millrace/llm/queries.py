@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, mixing, pieces, pii, quality, simhash
+from millrace.llm import ann, chat, exact_dedup, langid, mixing, pieces, pii, quality, simhash, toxicity
 from millrace.llm.common import table
 
 #: A SentencePiece model with byte pieces; only the driver reads it.
@@ -18,6 +18,10 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, folder, "documents")))
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"), keep="largest")
 
@@ -29,6 +33,14 @@ def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.render(chat.fold(chat.log_of(given))))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op6_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), k=20, every=20)
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), repeat=mixing.REPEAT)
 
@@ -50,8 +62,11 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_language": op2_language,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat": op4_chat,
+    "op5_toxicity": op5_toxicity,
+    "op6_ann": op6_ann,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_sentencepiece": op9_sentencepiece,
