@@ -24,6 +24,22 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return delimited.load_csv(spark, path)
 
 
+def csv_single_letter_header(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns named by one letter keep their names and all their rows."""
+    path = _new_folder(spark, "csv")
+    delimited.save_csv(table(spark, folder, "customer").select(F.col("c_custkey").alias("x"), F.col("c_mktsegment").alias("y")), path)
+    return delimited.load_csv(spark, path)
+
+
+def csv_blank_first_line(spark: SparkSession, folder: str) -> DataFrame:
+    """A file that begins with blank lines, and whose headers differ only in case."""
+    path = _new_folder(spark, "csv")
+    lines = table(spark, folder, "nation").select(F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("value"))
+    head = spark.sql("SELECT explode(array('', '', 'key,KEY')) AS value")
+    head.unionByName(lines).coalesce(1).write.text(path)
+    return delimited.load_csv(spark, path)
+
+
 def parquet_tightened(spark: SparkSession, folder: str) -> DataFrame:
     """Parts stored with all columns as text; columns that hold only numbers become numbers."""
     part = table(spark, folder, "part")
@@ -63,6 +79,10 @@ QUERIES = {
         csv_round_trip,
         f"SELECT c_custkey, c_name, CAST(c_nationkey AS DOUBLE) AS c_nationkey, c_acctbal, c_mktsegment FROM {GAPPY_CUSTOMER}",
     ),
+    "csv_single_letter_header": Query(csv_single_letter_header, "SELECT c_custkey AS x, c_mktsegment AS y FROM customer"),
+    "csv_blank_first_line": Query(
+        csv_blank_first_line, """SELECT n_nationkey::BIGINT AS key, n_name AS "KEY.1" FROM nation"""
+    ),
     "parquet_tightened": Query(
         parquet_tightened,
         "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part",

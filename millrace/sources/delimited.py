@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,24 +20,28 @@ FALSE_TOKENS = ["False", "FALSE", "false"]
 
 
 def load_csv(
-    spark: SparkSession, path: str, multiline: bool = False, repair_header: bool = True, infer: bool = True
+    spark: SparkSession, path: str, multiline: bool = False, repair_header: bool = False, infer: bool = True
 ) -> DataFrame:
     """Read CSV with a header line; types are inferred from all rows.
 
-    A header of only blank cells is data: columns become column_0, column_1, …
-    and the blank line stays as a row of missing values. A header of only single
-    letters gives way to the first data row when ``repair_header`` is set.
+    Blank lines are passed over, also before the header. A header of only blank
+    cells is data: columns become column_0, column_1, … and the line stays as a
+    row of missing values. With ``repair_header`` a header of only single letters gives
+    way to the first data row. Cells with line breaks, also in the header, need ``multiline``.
     """
     reader = spark.read.option("multiLine", multiline).option("escape", '"')
-    lines = [r["value"] for r in spark.read.text(path).limit(2).collect()]
-    cells = next(csv.reader(lines[:1]), [])
+    first = [[c or "" for c in r] for r in reader.option("header", False).csv(path).limit(2).collect()]
+    reader = spark.read.option("multiLine", multiline).option("escape", '"')
+    if not first:
+        raise ValueError(f"no header in '{path}'")
+    cells = first[0]
     if not any(c.strip() for c in cells):
         table = reader.schema(_text_schema([f"column_{i}" for i in range(len(cells))])).csv(path)
     else:
         names = header_names(cells)
         table = reader.option("header", True).schema(_text_schema(names)).csv(path)
         if repair_header and all(len(c) == 1 and c.isalpha() for c in cells):
-            table = _promote_first_row(table, next(csv.reader(lines[1:2]), []))
+            table = _promote_first_row(table, first[1] if len(first) > 1 else [])
     return infer_types(table) if infer else table
 
 
@@ -55,14 +58,17 @@ def _promote_first_row(table: DataFrame, first: Sequence[str]) -> DataFrame:
 
 
 def header_names(cells: Sequence[str]) -> list[str]:
-    """Names for header cells: blank ones by position, repeated ones numbered."""
+    """Names for header cells: blank ones by position, taken ones numbered until the name is free, whatever its case."""
     names: list[str] = []
-    seen: dict[str, int] = {}
+    taken: set[str] = set()
     for i, cell in enumerate(cells):
-        name = cell if cell.strip() else f"Unnamed: {i}"
-        times = seen.get(name, 0)
-        seen[name] = times + 1
-        names.append(f"{name}.{times}" if times else name)
+        name = start = cell if cell.strip() else f"Unnamed: {i}"
+        number = 0
+        while name.lower() in taken:
+            number += 1
+            name = f"{start}.{number}"
+        taken.add(name.lower())
+        names.append(name)
     return names
 
 

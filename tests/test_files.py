@@ -36,10 +36,22 @@ def test_blank_header(spark, tmp_path):
 
 def test_single_letter_header(spark, tmp_path):
     path = write(tmp_path / "c.csv", "A,B\nname,size\nfoo,1\nname,size\nbar,2\n")
-    df = delimited.load_csv(spark, path)
+    df = delimited.load_csv(spark, path, repair_header=True)
     assert df.columns == ["name", "size"]
     assert sorted(r["name"] for r in df.collect()) == ["bar", "foo", "name"]
-    assert delimited.load_csv(spark, path, repair_header=False).columns == ["A", "B"]
+    assert delimited.load_csv(spark, path).columns == ["A", "B"]
+
+
+def test_odd_headers(spark, tmp_path):
+    one = delimited.load_csv(spark, write(tmp_path / "d.csv", "x\n5\n7\n"))
+    assert one.columns == ["x"] and [r[0] for r in one.collect()] == [5, 7]
+    blank = delimited.load_csv(spark, write(tmp_path / "e.csv", "\n\na,b\n1,2\n"))
+    assert blank.columns == ["a", "b"] and [tuple(r) for r in blank.collect()] == [(1, 2)]
+    broken = delimited.load_csv(spark, write(tmp_path / "f.csv", '"a","b\nc",d\n1,2,3\n'), multiline=True)
+    assert broken.columns == ["a", "b\nc", "d"] and [tuple(r) for r in broken.collect()] == [(1, 2, 3)]
+    assert delimited.header_names(["A", "a", "a.1", "", "A"]) == ["A", "a.1", "a.1.1", "Unnamed: 3", "A.2"]
+    twice = delimited.load_csv(spark, write(tmp_path / "g.csv", "A,a\n1,2\n"))
+    assert [tuple(r) for r in twice.collect()] == [(1, 2)]
 
 
 def test_json_rows(spark):
