@@ -1,7 +1,7 @@
 """The numbers behind charts, as DataFrames.
 
-Kinds that draw every row give at most ``MAX_POINTS`` random rows; kinds that
-count or sum always use all rows.
+Every kind uses all rows. Kinds that draw one point per row take ``max_points``
+for a random sample of that size, and then name the number of rows it stands for.
 """
 
 from __future__ import annotations
@@ -14,13 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import missing_as_null, number, numeric_columns, quoted, require_columns, require_numeric
-from millrace.operators.profile import correlation, skew_kurtosis, sum_by, value_counts, value_range
+from millrace.operators.profile import sum_by, value_counts, value_range
 from millrace.operators.quantiles import exact_quantiles
 from millrace.operators.rank import grouped_quantiles
 from millrace.operators.sample import SEED, sample_rows
 from millrace.operators.shape import records, with_group_numbers
 
-MAX_POINTS = 5000
 DEFAULT_BINS = 30
 DEFAULT_GRID_BINS = 20
 WHISKER = 1.5
@@ -28,7 +27,8 @@ KDE_POINTS = 100
 KDE_BINS = 1024
 
 # The ways a location can be written.
-LOCATION_MODES = ["USA-states", "country names", "ISO-3"]
+COUNTIES = "geojson-id"
+LOCATION_MODES = ["USA-states", "country names", "ISO-3", COUNTIES]
 
 
 # ---------------------------------------------------------------- boxes
@@ -74,6 +74,16 @@ def box(df: DataFrame, y: str, x: str | None = None, k: float = WHISKER) -> Data
     )
 
 
+def box_outliers(df: DataFrame, y: str, x: str | None = None, k: float = WHISKER) -> DataFrame:
+    """The values that lie outside the fences of their box, one row per row: group and value."""
+    boxes = box(df, y, x, k).select("group" if x else F.lit("all").alias("group"), "lower_fence", "upper_fence")
+    group = missing_as_null(df, x) if x else F.lit("all")
+    rows = df.select(group.alias("group"), number(df, y).alias("value")).where("group is not null and value is not null")
+    near = with_group_numbers(rows, boxes, ["group"]).where("value < lower_fence or value > upper_fence")
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("cnt").cast("bigint")))
+    return near.withColumn("_copy", each).select("group", "value")
+
+
 def box_all(df: DataFrame, columns: Sequence[str] | None = None, k: float = WHISKER) -> DataFrame:
     """Box numbers of many columns from shared scans; one row per column."""
     columns = list(columns or numeric_columns(df))
@@ -111,13 +121,19 @@ def box_all(df: DataFrame, columns: Sequence[str] | None = None, k: float = WHIS
             }
         )
     if not rows:
-        raise ValueError("no numeric data to draw")
+        raise ValueError("no column holds a number to draw")
     return records(df.agg(*aggregates), rows)
 
 
 # ---------------------------------------------------------------- bins
 
 
+def finite(df: DataFrame, name: str) -> Column:
+    """The column as double; infinite numbers have no bin and count as missing."""
+    value = number(df, name)
+    return F.when(F.abs(value) < math.inf, value)
+
+
 @dataclass(frozen=True)
 class Bins:
     low: float
@@ -136,14 +152,14 @@ class Bins:
 def _bins(df: DataFrame, columns: dict[str, int]) -> dict[str, Bins]:
     aggregates = []
     for i, c in enumerate(columns):
-        v = number(df, c)
+        v = finite(df, c)
         aggregates += [F.min(v).alias(f"low{i}"), F.max(v).alias(f"high{i}")]
     row = df.agg(*aggregates).first()
     result = {}
     for i, (c, count) in enumerate(columns.items()):
         low, high = row[f"low{i}"], row[f"high{i}"]
         if low is None:
-            raise ValueError(f"column '{c}' has no numeric data to draw")
+            raise ValueError(f"'{c}' holds no finite number to draw")
         if low == high:
             low, high = low - 0.5, high + 0.5
         result[c] = Bins(low, (high - low) / count, count)
@@ -165,7 +181,7 @@ def histogram_all(df: DataFrame, columns: Sequence[str] | None = None, bins: int
     _check_bins(bins, 5, 100)
     columns = list(columns or numeric_columns(df))
     found = _bins(df, dict.fromkeys(columns, bins))
-    entries = [F.struct(F.lit(c).alias("column"), b.index(number(df, c)).alias("bin")) for c, b in found.items()]
+    entries = [F.struct(F.lit(c).alias("column"), b.index(finite(df, c)).alias("bin")) for c, b in found.items()]
     counts = (
         df.select(F.inline(F.array(*entries))).where("bin is not null").groupBy("column", "bin").agg(F.count("*").alias("cnt"))
     )
@@ -231,7 +247,7 @@ def _cells(df: DataFrame, x: str, y: str, bins_x: int, bins_y: int, color: str |
     found = _bins(df, {x: bins_x, y: bins_y})
     extra = [missing_as_null(df, color).alias("color")] if color else []
     cells = df.select(
-        *extra, found[x].index(number(df, x)).alias("bin_x"), found[y].index(number(df, y)).alias("bin_y")
+        *extra, found[x].index(finite(df, x)).alias("bin_x"), found[y].index(finite(df, y)).alias("bin_y")
     )
     return cells.where("bin_x is not null and bin_y is not null"), found
 
@@ -243,7 +259,7 @@ def contour(
     require_numeric(df, x, y, z)
     found = _bins(df, {x: bins_x, y: bins_y})
     cells = df.select(
-        found[x].index(number(df, x)).alias("bin_x"), found[y].index(number(df, y)).alias("bin_y"), number(df, z).alias("z")
+        found[x].index(finite(df, x)).alias("bin_x"), found[y].index(finite(df, y)).alias("bin_y"), number(df, z).alias("z")
     )
     cells = cells.where("bin_x is not null and bin_y is not null and z is not null")
     return cells.groupBy("bin_x", "bin_y").agg(F.avg("z").alias("z"), F.count("*").alias("count"))
@@ -262,7 +278,7 @@ def violin(df: DataFrame, y: str, x: str | None = None, points: int = KDE_POINTS
         stats = stats.withColumn("group", F.lit("all"))
     frame = _bins(df, {y: KDE_BINS})[y]
     group = missing_as_null(df, x) if x else F.lit("all")
-    rows = df.select(group.alias("group"), frame.index(number(df, y)).alias("bin"), number(df, y).alias("v"))
+    rows = df.select(group.alias("group"), frame.index(finite(df, y)).alias("bin"), finite(df, y).alias("v"))
     fine = rows.where("group is not null and bin is not null").groupBy("group", "bin")
     fine = fine.agg(F.count("*").alias("cnt"), F.avg("v").alias("centre"))
     scale = F.least(F.col("std"), F.nullif((F.col("q3") - F.col("q1")) / 1.349, F.lit(0.0)))
@@ -313,65 +329,116 @@ def pie(df: DataFrame, names: str, values: str | None = None) -> DataFrame:
     )
 
 
-def polar_bar(df: DataFrame, theta: str, r: str) -> DataFrame:
-    return sum_by(df, theta, r).select(F.col("value").alias("theta"), F.col("total").alias("r"))
+def polar_bar(df: DataFrame, theta: str, r: str, color: str | None = None) -> DataFrame:
+    """Sum of ``r`` per direction, and per colour group."""
+    names = {"category": "theta", "height": "r"}
+    return bar(df, theta, r, color).withColumnsRenamed(names)
 
 
 def choropleth(
-    df: DataFrame, locations: str, values: str, locationmode: str = "USA-states", agg: str = "sum"
+    df: DataFrame,
+    locations: str,
+    values: str,
+    locationmode: str = "USA-states",
+    agg: str = "sum",
+    color_range: Sequence[float] | None = None,
+    hover: str | None = None,
 ) -> DataFrame:
-    """One value per location, with the range of the colour scale."""
+    """One value per location, with the given range of the colour scale or that of the values, and a hover text.
+
+    County codes are texts of five digits; numbers get their leading zeros back.
+    """
     if locationmode not in LOCATION_MODES:
         raise ValueError(f"unknown location type: {locationmode}")
     if agg not in ("sum", "avg", "min", "max", "count"):
         raise ValueError(f"unknown aggregate: {agg}")
     require_columns(df, locations)
-    rows = df.select(missing_as_null(df, locations).alias("location"), number(df, values).alias("v"))
-    places = rows.where("location is not null").groupBy("location").agg(getattr(F, agg)("v").cast("double").alias("value"))
-    colors = value_range(places, "value").withColumnsRenamed({"min": "color_min", "max": "color_max"})
-    return places.crossJoin(F.broadcast(colors)).withColumn("locationmode", F.lit(locationmode))
+    place = missing_as_null(df, locations)
+    if locationmode == COUNTIES:
+        place = F.lpad(place.cast("string"), 5, "0")
+    text = [missing_as_null(df, hover).alias("hover")] if hover else []
+    rows = df.select(place.alias("location"), number(df, values).alias("v"), *text).where("location is not null")
+    # a hover text belongs to a location; where rows differ, the smallest is shown
+    texts = [F.min("hover").alias("hover")] if hover else []
+    places = rows.groupBy("location").agg(getattr(F, agg)("v").cast("double").alias("value"), *texts)
+    if color_range is not None:
+        low, high = color_range
+        places = places.withColumns({"color_min": F.lit(float(low)), "color_max": F.lit(float(high))})
+    else:
+        colors = value_range(places, "value").withColumnsRenamed({"min": "color_min", "max": "color_max"})
+        places = places.crossJoin(F.broadcast(colors))
+    return places.withColumn("locationmode", F.lit(locationmode))
 
 
 # ---------------------------------------------------------------- points
 
 
 def points(
-    df: DataFrame, columns: dict[str, str | None], key: Sequence[str] | None = None, seed: int = SEED, keep: Sequence[str] = ()
+    df: DataFrame,
+    columns: dict[str, str | None],
+    key: Sequence[str] | None = None,
+    seed: int = SEED,
+    keep: Sequence[str] = (),
+    max_points: int | None = None,
 ) -> DataFrame:
-    """The named columns of at most ``MAX_POINTS`` random rows."""
+    """The named columns of all rows, or of ``max_points`` random ones with a column ``of_rows``."""
     used = {name: c for name, c in columns.items() if c}
     require_columns(df, *used.values())
-    chosen = sample_rows(df.select(*dict.fromkeys([*used.values(), *(key or []), *keep])), MAX_POINTS, seed, key)
-    return chosen.select(*[missing_as_null(df, c).alias(name) for name, c in used.items()], *keep)
+    chosen = df.select(*dict.fromkeys([*used.values(), *(key or []), *keep]))
+    names = [missing_as_null(df, c).alias(name) for name, c in used.items()]
+    if max_points is None:
+        return chosen.select(*names, *keep)
+    total = F.lit(df.count()).alias("of_rows")
+    return sample_rows(chosen, max_points, seed, key).select(*names, *keep, total)
 
 
-def scatter(df: DataFrame, x: str, y: str, color: str | None = None, key: Sequence[str] | None = None) -> DataFrame:
-    return points(df, {"x": x, "y": y, "color": color}, key)
+def scatter(
+    df: DataFrame, x: str, y: str, color: str | None = None, key: Sequence[str] | None = None, max_points: int | None = None
+) -> DataFrame:
+    return points(df, {"x": x, "y": y, "color": color}, key, max_points=max_points)
 
 
-def line(df: DataFrame, x: str, y: str, color: str | None = None, key: Sequence[str] | None = None) -> DataFrame:
-    return points(df, {"x": x, "y": y, "color": color}, key).orderBy("x")
+def line(
+    df: DataFrame, x: str, y: str, color: str | None = None, key: Sequence[str] | None = None, max_points: int | None = None
+) -> DataFrame:
+    return scatter(df, x, y, color, key, max_points).orderBy("x")
 
 
 def scatter3d(
-    df: DataFrame, x: str, y: str, z: str, color: str | None = None, key: Sequence[str] | None = None
+    df: DataFrame, x: str, y: str, z: str, color: str | None = None, key: Sequence[str] | None = None, max_points: int | None = None
 ) -> DataFrame:
-    return points(df, {"x": x, "y": y, "z": z, "color": color}, key)
+    return points(df, {"x": x, "y": y, "z": z, "color": color}, key, max_points=max_points)
 
 
-def line3d(df: DataFrame, x: str, y: str, z: str, order_by: Sequence[str], key: Sequence[str] | None = None) -> DataFrame:
-    """Points in row order, as given by ``order_by``."""
+def line3d(
+    df: DataFrame,
+    x: str,
+    y: str,
+    z: str,
+    order_by: Sequence[str],
+    color: str | None = None,
+    key: Sequence[str] | None = None,
+    max_points: int | None = None,
+) -> DataFrame:
+    """Points in row order, as given by ``order_by``; ``color`` makes a line of its own for each value."""
     if not order_by:
         raise ValueError("a line in space follows the row order: give order_by")
     ordered = [f"_o{i}" for i in range(len(order_by))]
     rows = df.withColumns({o: quoted(c) for o, c in zip(ordered, order_by, strict=True)})
-    return points(rows, {"x": x, "y": y, "z": z}, key, keep=ordered).orderBy(*ordered).drop(*ordered)
+    found = points(rows, {"x": x, "y": y, "z": z, "color": color}, key, keep=ordered, max_points=max_points)
+    return found.orderBy(*(["color"] if color else []), *ordered).drop(*ordered)
 
 
 def polar_scatter(
-    df: DataFrame, theta: str, r: str, color: str | None = None, symbol: str | None = None, key: Sequence[str] | None = None
+    df: DataFrame,
+    theta: str,
+    r: str,
+    color: str | None = None,
+    symbol: str | None = None,
+    key: Sequence[str] | None = None,
+    max_points: int | None = None,
 ) -> DataFrame:
-    return points(df, {"theta": theta, "r": r, "color": color, "symbol": symbol}, key)
+    return points(df, {"theta": theta, "r": r, "color": color, "symbol": symbol}, key, max_points=max_points)
 
 
 def coordinate_check(df: DataFrame, lat: str, lon: str) -> DataFrame:
@@ -395,13 +462,11 @@ def scatter_map(
     size: str | None = None,
     hover: Sequence[str] = (),
     key: Sequence[str] | None = None,
+    max_points: int | None = None,
 ) -> DataFrame:
     rows = df.withColumns({c: number(df, c) for c in (lat, lon)})
-    return points(rows, {"lat": lat, "lon": lon, "color": color, "size": size, **{h: h for h in hover}}, key)
-
-
-def bubble_map(df: DataFrame, lat: str, lon: str, size: str | None = None, key: Sequence[str] | None = None) -> DataFrame:
-    return scatter_map(df, lat, lon, size=size, key=key)
+    columns = {"lat": lat, "lon": lon, "color": color, "size": size, **{h: h for h in hover}}
+    return points(rows, columns, key, max_points=max_points)
 
 
 def point_map(df: DataFrame, lat: str, lon: str) -> DataFrame:
@@ -416,29 +481,32 @@ def point_map(df: DataFrame, lat: str, lon: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class ChartSpec:
-    category: str
     fields: tuple[str, ...]
     data: Callable[..., DataFrame]
     optional: tuple[str, ...] = ()
 
 
+SAMPLED = ("key", "max_points")
+# One entry per kind: the fields it needs, what makes its rows, the fields it may have.
 SPECS = {
-    "box": ChartSpec("basic", ("y",), box, ("x",)),
-    "histogram": ChartSpec("basic", ("x",), histogram, ("bins",)),
-    "scatter": ChartSpec("basic", ("x", "y"), scatter, ("color", "key")),
-    "bar": ChartSpec("basic", ("x",), bar, ("y", "color")),
-    "pie": ChartSpec("basic", ("names",), pie, ("values",)),
-    "line": ChartSpec("basic", ("x", "y"), line, ("color", "key")),
-    "violin": ChartSpec("advanced", ("y",), violin, ("x",)),
-    "contour": ChartSpec("advanced", ("x", "y"), density2d, ("bins_x", "bins_y")),
-    "histcontour": ChartSpec("advanced", ("x", "y"), histogram2d, ("bins_x", "bins_y", "color")),
-    "scatter3d": ChartSpec("advanced", ("x", "y", "z"), scatter3d, ("color", "key")),
-    "line3d": ChartSpec("advanced", ("x", "y", "z", "order_by"), line3d, ("key",)),
-    "polarscatter": ChartSpec("specialised", ("theta", "r"), polar_scatter, ("color", "symbol", "key")),
-    "polarbar": ChartSpec("specialised", ("theta", "r"), polar_bar),
-    "scattergeo": ChartSpec("maps", ("lat", "lon"), scatter_map, ("color", "size", "hover", "key")),
-    "choropleth": ChartSpec("maps", ("locations", "values"), choropleth, ("locationmode", "agg")),
-    "bubblemap": ChartSpec("maps", ("lat", "lon"), bubble_map, ("size", "key")),
+    # a row per point
+    "scatter": ChartSpec(("x", "y"), scatter, ("color", *SAMPLED)),
+    "line": ChartSpec(("x", "y"), line, ("color", *SAMPLED)),
+    "scatter3d": ChartSpec(("x", "y", "z"), scatter3d, ("color", *SAMPLED)),
+    "line3d": ChartSpec(("x", "y", "z", "order_by"), line3d, ("color", *SAMPLED)),
+    "polarscatter": ChartSpec(("theta", "r"), polar_scatter, ("color", "symbol", *SAMPLED)),
+    "scattergeo": ChartSpec(("lat", "lon"), scatter_map, ("color", "size", "hover", *SAMPLED)),
+    "bubblemap": ChartSpec(("lat", "lon"), scatter_map, ("color", "size", "hover", *SAMPLED)),
+    # a row per group, bin or cell
+    "box": ChartSpec(("y",), box, ("x",)),
+    "violin": ChartSpec(("y",), violin, ("x",)),
+    "histogram": ChartSpec(("x",), histogram, ("bins",)),
+    "contour": ChartSpec(("x", "y"), density2d, ("bins_x", "bins_y")),
+    "histcontour": ChartSpec(("x", "y"), histogram2d, ("bins_x", "bins_y", "color")),
+    "bar": ChartSpec(("x",), bar, ("y", "color")),
+    "pie": ChartSpec(("names",), pie, ("values",)),
+    "polarbar": ChartSpec(("theta", "r"), polar_bar, ("color",)),
+    "choropleth": ChartSpec(("locations", "values"), choropleth, ("locationmode", "agg", "color_range", "hover")),
 }
 
 
@@ -455,11 +523,3 @@ def build(kind: str, df: DataFrame, **fields) -> DataFrame:
     if unknown:
         raise ValueError(f"{kind} has no field {', '.join(unknown)}")
     return spec.data(df, **given)
-
-
-def correlation_heatmap(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return correlation(df, columns)
-
-
-def shape_bars(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return skew_kurtosis(df, columns).select("column", "skewness", "kurtosis")

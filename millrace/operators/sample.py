@@ -12,10 +12,11 @@ SEED = 42
 
 
 def uniform(key: Sequence[str] | None, seed: int) -> Column:
-    """A number in [0, 1) per row, from a hash of ``key`` or, without one, from ``rand``."""
+    """A number in [0, 1) per row, from an md5 of ``key`` (which any SQL has) or, without one, from ``rand``."""
     if not key:
         return F.rand(seed)
-    return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(2**52)) / float(2**52)
+    said = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in key], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(said), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
 def share_for(n: int, total: int) -> float:
@@ -38,11 +39,3 @@ def sample_rows(df: DataFrame, n: int, seed: int = SEED, key: Sequence[str] | No
     if key and few.limit(n).count() < n:
         few = drawn  # equal keys draw equal numbers, which can leave too few rows
     return few.orderBy("_u").limit(n).drop("_u")
-
-
-def cap_rows(df: DataFrame, purpose: str = "load", key: Sequence[str] | None = None) -> DataFrame:
-    """The row caps some callers want before handing a table on; nothing here needs them."""
-    limits = {"load": 1_000_000, "models": 200_000}
-    if purpose not in limits:
-        raise ValueError(f"unknown purpose: {purpose}")
-    return sample_rows(df, limits[purpose], key=key)

@@ -81,9 +81,15 @@ FROM b JOIN s USING (g), p GROUP BY g, i, x"""
 
 
 def histogram_kde(spark: SparkSession, folder: str) -> DataFrame:
-    parts = chartdata.histogram_kde(table(spark, folder, "orders"), "o_totalprice")
-    bars = parts["histogram"].select(F.lit("histogram").alias("part"), F.col("left").alias("at"), "density")
-    return bars.unionByName(parts["kde"].select(F.lit("kde").alias("part"), F.col("value").alias("at"), "density"))
+    parts = chartdata.histogram_kde(table(spark, folder, "events"), "value")
+    bars = rounded(parts["histogram"].select(F.lit("histogram").alias("part"), F.col("left").alias("at"), "density"), 5, "at")
+    curve = rounded(parts["kde"].select(F.lit("kde").alias("part"), F.col("value").alias("at"), "density"), 6, "at")
+    return rounded(bars.unionByName(curve), 7, "density")
+
+
+ONE_GROUP = VIOLIN_SQL.replace("event_type AS g", "'all' AS g")
+HISTOGRAM_KDE_SQL = f"""SELECT 'histogram' AS part, "left" AS at, round(density, 7) AS density FROM ({_histogram_sql("events", "value", 30)})
+    UNION ALL SELECT 'kde', value, density FROM ({ONE_GROUP})"""
 
 
 def with_coordinates(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +119,39 @@ def map_points(kind: str, **fields):
 
 
 def scatter_sampled(spark: SparkSession, folder: str) -> DataFrame:
-    return chartdata.build("scatter", table(spark, folder, "lineitem"), x="l_quantity", y="l_extendedprice", color="l_returnflag")
+    """The sample that a chart may ask for: 5,000 rows drawn by a hash of the key."""
+    return chartdata.build(
+        "scatter", table(spark, folder, "lineitem"), x="l_quantity", y="l_extendedprice", color="l_returnflag",
+        key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], max_points=5000,
+    )
+
+
+SAMPLED_SQL = """SELECT l_quantity AS x, l_extendedprice AS y, l_returnflag AS color, (SELECT count(*) FROM lineitem) AS of_rows
+    FROM lineitem ORDER BY ('0x' || substr(md5(l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':42'), 1, 13))::BIGINT LIMIT 5000"""
+
+
+def county_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Balances by a five-digit code with a given colour range and hover text."""
+    customer = table(spark, folder, "customer").withColumn("code", F.col("c_nationkey") * 37 + 8)
+    result = chartdata.build(
+        "choropleth", customer, locations="code", values="c_acctbal", locationmode="geojson-id", agg="avg",
+        color_range=(0, 5000), hover="c_mktsegment",
+    )
+    return rounded(result, 6, "value")
+
+
+COUNTY_SQL = """SELECT lpad((c_nationkey * 37 + 8)::VARCHAR, 5, '0') AS location, round(avg(c_acctbal), 6) + 0.0 AS value,
+    min(c_mktsegment) AS hover, 0.0::DOUBLE AS color_min, 5000.0::DOUBLE AS color_max, 'geojson-id' AS locationmode FROM customer GROUP BY 1"""
+
+
+def infinite_values(spark: SparkSession, folder: str) -> DataFrame:
+    """A histogram of values of which some are infinite; these have no bin."""
+    events = table(spark, folder, "events")
+    value = F.when(F.col("event_id") % 5 == 0, float("inf")).when(F.col("event_id") % 5 == 1, float("-inf")).otherwise(F.col("value"))
+    return _histogram(chartdata.build("histogram", events.withColumn("value", value), x="value"))
+
+
+FINITE_EVENTS = "(SELECT value FROM events WHERE event_id % 5 > 1)"
 
 
 def choropleth(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,12 +190,19 @@ QUERIES = {
         + " UNION ALL "
         + _histogram_sql(SCALED_ORDERS, "o_totalprice", 10, "'after' AS stage,"),
     ),
-    "chart_histogram_kde": Query(histogram_kde),
+    "chart_histogram_kde": Query(histogram_kde, HISTOGRAM_KDE_SQL),
     "chart_scatter": Query(
         points("scatter", x="p_size", y="p_retailprice", color="p_brand"),
         "SELECT p_size AS x, p_retailprice AS y, p_brand AS color FROM part",
     ),
-    "chart_scatter_sampled": Query(scatter_sampled),
+    "chart_scatter_sampled": Query(scatter_sampled, SAMPLED_SQL),
+    "chart_histogram_infinite": Query(infinite_values, _histogram_sql(FINITE_EVENTS, "value", 30)),
+    "chart_box_outliers": Query(
+        lambda s, d: chartdata.box_outliers(table(s, d, "events"), "value", "event_type"),
+        """SELECT event_type AS "group", value FROM events JOIN (SELECT event_type, quantile_cont(value, 0.25) AS q1,
+        quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1) USING (event_type)
+        WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""",
+    ),
     "chart_bar": Query(
         lambda s, d: rounded(chartdata.build("bar", table(s, d, "orders"), x="o_orderpriority", y="o_totalprice"), 2, "height"),
         "SELECT o_orderpriority AS category, round(sum(o_totalprice), 2) AS height FROM orders GROUP BY 1",
@@ -216,6 +261,10 @@ QUERIES = {
         points("line3d", x="p_size", y="p_retailprice", z="p_partkey", order_by=["p_partkey"]),
         "SELECT p_size AS x, p_retailprice AS y, p_partkey AS z FROM part",
     ),
+    "chart_line3d_color": Query(
+        points("line3d", x="p_size", y="p_retailprice", z="p_partkey", order_by=["p_partkey"], color="p_type"),
+        "SELECT p_size AS x, p_retailprice AS y, p_partkey AS z, p_type AS color FROM part",
+    ),
     "chart_polarscatter": Query(
         points("polarscatter", theta="p_size", r="p_retailprice", color="p_brand", symbol="p_type"),
         "SELECT p_size AS theta, p_retailprice AS r, p_brand AS color, p_type AS symbol FROM part",
@@ -224,6 +273,10 @@ QUERIES = {
         lambda s, d: rounded(chartdata.build("polarbar", table(s, d, "part"), theta="p_type", r="p_retailprice"), 2, "r"),
         "SELECT p_type AS theta, round(sum(p_retailprice), 2) AS r FROM part GROUP BY 1",
     ),
+    "chart_polarbar_color": Query(
+        lambda s, d: rounded(chartdata.build("polarbar", table(s, d, "part"), theta="p_type", r="p_retailprice", color="p_brand"), 2, "r"),
+        "SELECT p_type AS theta, p_brand AS color, round(sum(p_retailprice), 2) AS r FROM part GROUP BY 1, 2",
+    ),
     "chart_scattergeo": Query(
         map_points("scattergeo", lat="lat", lon="lon", color="c_mktsegment", size="c_acctbal", hover=["c_name"]),
         f"""SELECT round(lat, 6) + 0.0 AS lat, round(lon, 6) + 0.0 AS lon, c_mktsegment AS color, c_acctbal AS size, c_name
@@ -233,6 +286,12 @@ QUERIES = {
         map_points("bubblemap", lat="lat", lon="lon", size="c_acctbal"),
         f"SELECT round(lat, 6) + 0.0 AS lat, round(lon, 6) + 0.0 AS lon, c_acctbal AS size FROM {COORDINATES}",
     ),
+    "chart_bubblemap_color": Query(
+        map_points("bubblemap", lat="lat", lon="lon", size="c_acctbal", color="c_mktsegment", hover=["c_name"]),
+        f"""SELECT round(lat, 6) + 0.0 AS lat, round(lon, 6) + 0.0 AS lon, c_mktsegment AS color, c_acctbal AS size, c_name
+        FROM {COORDINATES}""",
+    ),
+    "chart_choropleth_counties": Query(county_sums, COUNTY_SQL),
     "chart_choropleth": Query(
         choropleth,
         """WITH p AS (SELECT n_name AS location, sum(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
