@@ -19,8 +19,8 @@ from millrace.operators.rank import ranked
 from millrace.operators.sample import SEED, share_for, uniform
 from millrace.operators.shape import records
 
+#: The approximation of Royston holds up to this many values.
 MAX_SHAPIRO = 5000
-MAX_POINTS = 5000
 FIRST_OUTLIERS = 50
 RUN = 4096
 
@@ -38,18 +38,18 @@ SHAPIRO_SMALL_MEAN = [0.544, -0.39978, 0.025054, -6.714e-4]
 SHAPIRO_SMALL_SPREAD = [1.3822, -0.77857, 0.062767, -0.0020322]
 
 
+def _no_values(column: str) -> ValueError:
+    return ValueError(f"'{column}' holds no number, so there is no distribution to describe")
+
+
 def moments(df: DataFrame, column: str) -> Row:
     x = number(df, column)
     row = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).first()
     if not row["n"]:
-        raise ValueError(f"column '{column}' has no numeric data to analyse")
+        raise _no_values(column)
     return row
 
 
-def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return skew_kurtosis(df, columns)
-
-
 def theoretical(position: Column, n: Column) -> Column:
     """Normal quantile of the Filliben median rank of the position-th of n values."""
     last = F.pow(F.lit(0.5), 1.0 / n)
@@ -57,10 +57,10 @@ def theoretical(position: Column, n: Column) -> Column:
     return normal_ppf(F.when(position == n, last).when(position == 1, 1 - last).otherwise(middle))
 
 
-def qq_points(df: DataFrame, column: str, max_points: int = MAX_POINTS) -> DataFrame:
-    """Sorted values against normal quantiles, thinned to evenly spaced positions."""
+def qq_points(df: DataFrame, column: str, max_points: int | None = None) -> DataFrame:
+    """Sorted values against normal quantiles; ``max_points`` thins them to evenly spaced positions."""
     n = moments(df, column)["n"]
-    points = min(n, max_points)
+    points = min(n, max_points or n)
     table = ranked(df, number(df, column))
     if points == n:
         each = table.withColumn("position", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("cnt"))))
@@ -148,20 +148,26 @@ def anderson_darling(df: DataFrame, column: str) -> DataFrame:
 
 
 def shapiro(
-    df: DataFrame, columns: Sequence[str] | None = None, seed: int = SEED, key: Sequence[str] | None = None
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    seed: int = SEED,
+    key: Sequence[str] | None = None,
+    sample_size: int = MAX_SHAPIRO,
 ) -> DataFrame:
-    """Shapiro-Wilk per column, on all values or on a random 5,000 of them."""
+    """Shapiro-Wilk per column, on all values or on ``sample_size`` random ones; n of n_total values were used."""
+    if not 3 <= sample_size <= MAX_SHAPIRO:
+        raise ValueError(f"sample_size must lie between 3 and {MAX_SHAPIRO}")
     columns = list(columns or numeric_columns(df))
     sizes = df.agg(*[F.count(number(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    share = {c: share_for(MAX_SHAPIRO, sizes[f"n{i}"]) for i, c in enumerate(columns)}
+    share = {c: share_for(sample_size, sizes[f"n{i}"]) for i, c in enumerate(columns)}
     entries = [F.struct(F.lit(c).alias("column"), number(df, c).alias("value"), F.lit(share[c]).alias("share")) for c in columns]
     drawn = df.select(F.array(*entries).alias("entries"), uniform(key, seed).alias("u"))
     each = drawn.select("u", F.inline("entries")).where("value is not null and u < share")
     place = F.row_number().over(Window.partitionBy("column").orderBy("u"))
-    few = each.withColumn("place", place).where(F.col("place") <= MAX_SHAPIRO).select("column", "value")
-    return few.groupBy("column").applyInPandas(
-        _shapiro_group, "column string, n bigint, statistic double, p_value double"
-    )
+    few = each.withColumn("place", place).where(F.col("place") <= sample_size).select("column", "value")
+    found = few.groupBy("column").applyInPandas(_shapiro_group, "column string, n bigint, statistic double, p_value double")
+    totals = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (c, sizes[f"n{i}"])])
+    return found.select("column", "n", F.element_at(totals, F.col("column")).alias("n_total"), "statistic", "p_value")
 
 
 def _shapiro_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -218,7 +224,7 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataF
     for i, c in enumerate(columns):
         q1, q3 = found[c][0.25], found[c][0.75]
         if q1 is None:
-            raise ValueError(f"column '{c}' has no numeric data to analyse")
+            raise _no_values(c)
         x = number(df, c)
         low, high = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
         aggregates += [F.count(x).alias(f"n{i}"), F.count_if((x < low) | (x > high)).alias(f"out{i}")]
@@ -243,7 +249,7 @@ def outlier_rows(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """All rows whose value lies outside the fences."""
     q = exact_quantiles(df, [column], [0.25, 0.75])[column]
     if q[0.25] is None:
-        raise ValueError(f"column '{column}' has no numeric data to analyse")
+        raise _no_values(column)
     gap = k * (q[0.75] - q[0.25])
     x = number(df, column)
     return df.where((x < q[0.25] - gap) | (x > q[0.75] + gap))

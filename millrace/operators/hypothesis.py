@@ -21,9 +21,11 @@ from millrace.operators.rank import grouped_quantiles, ranked
 from millrace.operators.shape import with_group_numbers
 
 ALPHA = 0.05
+#: Where the method is left open: the group size up to which the exact law is used, the size of its table, and pairs.
 EXACT_SMALL_GROUP = 8
 EXACT_MAX_PRODUCT = 1_000_000
 EXACT_MAX_PAIRS = 50
+METHODS = ("auto", "exact", "normal")
 
 
 @dataclass(frozen=True)
@@ -35,12 +37,12 @@ class Spec:
 
 
 SPECS = {
-    "ttest": Spec("Two-sample t test", "group", 2, 2),
-    "anova": Spec("One-way ANOVA", "group", 3),
-    "mannwhitney": Spec("Mann-Whitney U test", "group", 2, 2),
-    "kruskal": Spec("Kruskal-Wallis test", "group", 3),
-    "chisquare": Spec("Chi-square test of independence", "two_columns"),
-    "wilcoxon": Spec("Wilcoxon signed-rank test", "two_columns"),
+    "ttest": Spec("the t test", "group", 2, 2),
+    "anova": Spec("the analysis of variance", "group", 3),
+    "mannwhitney": Spec("the rank-sum test", "group", 2, 2),
+    "kruskal": Spec("the Kruskal-Wallis test", "group", 3),
+    "chisquare": Spec("the chi-square test", "two_columns"),
+    "wilcoxon": Spec("the signed-rank test", "two_columns"),
 }
 
 
@@ -83,9 +85,10 @@ def group_summary(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def _check_groups(test: str, group: str, found: int) -> None:
     spec = SPECS[test]
-    if found < spec.min_groups or (spec.max_groups and found > spec.max_groups):
-        wanted = f"exactly {spec.min_groups}" if spec.max_groups else f"at least {spec.min_groups}"
-        raise ValueError(f"{spec.label} requires {wanted} groups in '{group}', found {found}")
+    most = spec.max_groups or found
+    if not spec.min_groups <= found <= most:
+        need = str(spec.min_groups) if spec.max_groups else f"{spec.min_groups} or more"
+        raise ValueError(f"column '{group}' splits the rows into {found} groups; {spec.label} works on {need}")
 
 
 def _one_way(stats: DataFrame) -> tuple[float | None, int, int, int]:
@@ -131,14 +134,13 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
     """Equality of variances: one-way analysis of the distances to the group medians."""
     rows = _known(df, group, value)
     medians = grouped_quantiles(rows, ["g"], "v", [0.5]).select("g", F.col("q0").alias("median"))
-    near = with_group_numbers(rows, medians, ["g"]).withColumn("d", F.abs(F.col("v") - F.col("median")))
-    sums = near.groupBy("g").agg(
-        F.sum("cnt").alias("n"),
-        F.sum(F.col("cnt") * F.col("d")).alias("s1"),
-        F.sum(F.col("cnt") * F.col("d") * F.col("d")).alias("s2"),
-    )
-    stats = sums.select(
-        "n", (F.col("s1") / F.col("n")).alias("mean"), (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")).alias("ss")
+    distance = F.abs(F.col("v") - F.col("median"))
+    near = with_group_numbers(rows, medians, ["g"]).groupBy("g", "median")
+    means = near.agg((F.sum(F.col("cnt") * distance) / F.sum("cnt")).alias("mean"))
+    # the squares are summed around the mean found first: nothing cancels, however far the groups lie from 0
+    around = with_group_numbers(rows, means, ["g"])
+    stats = around.groupBy("g", "mean").agg(
+        F.sum("cnt").alias("n"), F.sum(F.col("cnt") * F.pow(distance - F.col("mean"), F.lit(2.0))).alias("ss")
     )
     return _one_way_result(df, *_one_way(stats))
 
@@ -182,7 +184,15 @@ def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
+def mann_whitney(
+    df: DataFrame, group: str, value: str, method: str = "auto", small_group: int = EXACT_SMALL_GROUP, max_product: int = EXACT_MAX_PRODUCT
+) -> DataFrame:
+    """Mann-Whitney U; the column ``exact`` says which law gave the p-value.
+
+    ``auto`` takes the exact law without ties where the smaller group has at most ``small_group``
+    rows and the table of the law, n1 * n2 numbers, at most ``max_product``.
+    """
+    _check_method(method)
     sums = rank_sums(df, group, value)
     found = sums.limit(3).collect()
     _check_groups("mannwhitney", group, len(found) if len(found) < 3 else sums.count())
@@ -191,7 +201,8 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     n, ties = n1 + n2, a["tie_term"] + b["tie_term"]
     u = a["rank_sum"] - n1 * (n1 + 1) / 2
     variance = n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))
-    exact = min(n1, n2) <= EXACT_SMALL_GROUP and ties == 0 and n1 * n2 <= EXACT_MAX_PRODUCT
+    fits = min(n1, n2) <= small_group and ties == 0 and n1 * n2 <= max_product
+    exact = method == "exact" or method == "auto" and fits
     if exact:
         p = rank_sum_exact(u, n1, n2)
     elif variance <= 0:
@@ -204,6 +215,11 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
+def _check_method(method: str) -> None:
+    if method not in METHODS:
+        raise ValueError(f"unknown method: {method}")
+
+
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     sums = rank_sums(df, group, value)
     total = sums.agg(F.sum("n").cast("double").alias("all"))
@@ -284,7 +300,9 @@ def _yates(full: DataFrame, rows: DataFrame, columns: DataFrame, n: int) -> floa
     return total
 
 
-def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
+def wilcoxon(df: DataFrame, a: str, b: str, method: str = "auto", max_pairs: int = EXACT_MAX_PAIRS) -> DataFrame:
+    """Wilcoxon signed ranks; ``auto`` takes the exact law up to ``max_pairs`` pairs without ties and zeros."""
+    _check_method(method)
     pairs = df.select((number(df, a) - number(df, b)).alias("d")).where("d is not null")
     moved = pairs.where("d <> 0")
     ties = F.col("ties").cast("double")
@@ -304,7 +322,7 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     z = None
     if not n:
         p = 1.0
-    elif n <= EXACT_MAX_PAIRS and not row["ties"] and n == n_pairs:
+    elif method == "exact" or method == "auto" and n <= max_pairs and not row["ties"] and n == n_pairs:
         p = signed_rank_exact(w, n)
     else:
         variance = (n * (n + 1) * (2 * n + 1) - row["ties"] / 2) / 24

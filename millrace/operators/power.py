@@ -1,6 +1,6 @@
 """Power transformations and the search for their parameter by maximum likelihood.
 
-Every round scores a grid of parameters in one grouped aggregate over the whole column
+Every round scores a grid of parameters by plain aggregates in one pass over the column
 and shrinks the bracket to the neighbours of the best one.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import constant_array, number
+from millrace.functions.columns import number
 
 GRID = 33
 START = (-2.0, 2.0)
@@ -70,20 +70,16 @@ def yeojohnson_lambda(df: DataFrame, column: str) -> float:
 
 
 def _search(
-    values: DataFrame, curve: Callable[[Column], Column], likelihood: Callable[[float, float], float]
+    values: DataFrame, curve: Callable[[float], Column], likelihood: Callable[[float, float], float]
 ) -> float:
     values = values.where("x is not null")
     low, high = START
-    best_power = 1.0
     for _ in range(MAX_ROUNDS):
         step = (high - low) / (GRID - 1)
         powers = [low + i * step for i in range(GRID)]
-        tried = values.select("x", F.posexplode(constant_array(powers)).alias("i", "power"))
-        found = tried.groupBy("i").agg(F.var_pop(curve(F.col("power"))).alias("spread")).collect()
-        scores = [-math.inf] * GRID
-        for r in found:
-            if r["spread"] and math.isfinite(r["spread"]):
-                scores[r["i"]] = likelihood(powers[r["i"]], r["spread"])
+        found = values.agg(*[F.var_pop(curve(power)).alias(f"s{i}") for i, power in enumerate(powers)]).first()
+        spreads = [found[f"s{i}"] for i in range(GRID)]
+        scores = [likelihood(p, s) if s and math.isfinite(s) else -math.inf for p, s in zip(powers, spreads, strict=True)]
         best = max(range(GRID), key=scores.__getitem__)
         best_power = powers[best]
         if best in (0, GRID - 1):
@@ -94,7 +90,7 @@ def _search(
         if step <= PARABOLA_STEP:
             return _vertex(best_power, step, *scores[best - 1 : best + 2])
         low, high = powers[best - 1], powers[best + 1]
-    return best_power
+    raise RuntimeError(f"the search for the power did not settle in {MAX_ROUNDS} rounds")
 
 
 def _vertex(centre: float, step: float, left: float, middle: float, right: float) -> float:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +57,7 @@ PLACES = f"""SELECT x, n, rank() OVER (ORDER BY x) - 1 AS b, count(*) OVER (PART
 
 
 def qq_points(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(diagnostics.qq_points(gappy_events(spark, folder), "value"), 6, "theoretical", "sample")
+    return rounded(diagnostics.qq_points(gappy_events(spark, folder), "value", max_points=5000), 6, "theoretical", "sample")
 
 
 def qq_fit(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,9 +89,9 @@ def shapiro(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- tests
 
 
-def _one_way_sql(rows: str) -> str:
+def _one_way_sql(rows: str, digits: int = 5) -> str:
     """F statistic from rows (g, v)."""
-    return f"""SELECT round((b / (k - 1)) / (w / (n - k)), 5) AS statistic, CAST(k - 1 AS BIGINT) AS df_between,
+    return f"""SELECT round((b / (k - 1)) / (w / (n - k)), {digits}) AS statistic, CAST(k - 1 AS BIGINT) AS df_between,
       CAST(n - k AS BIGINT) AS df_within, k AS n_groups FROM (
       SELECT count(*) AS k, sum(c) AS n, sum(c * pow(m - gm, 2)) AS b, sum(s) AS w FROM (
         SELECT count(*) AS c, avg(v) AS m, var_pop(v) * count(*) AS s FROM ({rows}) GROUP BY g),
@@ -106,11 +108,11 @@ PRIORITY_PRICE = "SELECT o_orderpriority AS g, o_totalprice AS v FROM orders"
 FLAG_QUANTITY = "SELECT l_returnflag AS g, l_quantity AS v FROM lineitem"
 
 
-def _ttest_sql(rows: str) -> str:
+def _ttest_sql(rows: str, digits: int = 5) -> str:
     # 3.8415 is the 95 % point of F with 1 and very many degrees of freedom
     return f"""SELECT round((m1 - m2) / CASE WHEN f > 3.8415 THEN sqrt(a + b) ELSE
-        sqrt(((n1 - 1) * s1 + (n2 - 1) * s2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) END, 5) AS statistic,
-      round(CASE WHEN f > 3.8415 THEN pow(a + b, 2) / (a * a / (n1 - 1) + b * b / (n2 - 1)) ELSE n1 + n2 - 2 END, 3) AS dof,
+        sqrt(((n1 - 1) * s1 + (n2 - 1) * s2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) END, {digits}) AS statistic,
+      round(CASE WHEN f > 3.8415 THEN pow(a + b, 2) / (a * a / (n1 - 1) + b * b / (n2 - 1)) ELSE n1 + n2 - 2 END, {digits - 2}) AS dof,
       f > 3.8415 AS used_welch FROM (
       SELECT n1, n2, m1, m2, s1, s2, s1 / n1 AS a, s2 / n2 AS b FROM
         (SELECT count(*) AS n1, avg(v) AS m1, var_samp(v) AS s1 FROM ({rows}) WHERE g = (SELECT min(g) FROM ({rows}))),
@@ -129,24 +131,26 @@ MANN_WHITNEY_SQL = f"""SELECT u AS statistic, round(least(1.0, 2 * {sqltext.norm
       count(*) FILTER (g = 'F') AS n1, count(*) FILTER (g = 'O') AS n2, any_value(n) AS n, sum(t * t - 1) AS ties
     FROM ({_ranked_sql(STATUS_PRICE)})))"""
 
-KRUSKAL_SQL = f"""SELECT round(12 / (n * (n + 1)) * s / (1 - ties / (n * n * n - n)), 5) AS statistic, k - 1 AS dof, CAST(n AS BIGINT) AS n FROM (
+def _kruskal_sql(digits: int = 5) -> str:
+    return f"""SELECT round(12 / (n * (n + 1)) * s / (1 - ties / (n * n * n - n)), {digits}) AS statistic, k - 1 AS dof, CAST(n AS BIGINT) AS n FROM (
     SELECT count(*) AS k, any_value(n) AS n, sum(c * pow(mr - (n + 1) / 2, 2)) AS s, sum(ties) AS ties FROM (
     SELECT any_value(n) AS n, count(*) AS c, avg(r) AS mr, sum(t * t - 1) AS ties FROM ({_ranked_sql(PRIORITY_PRICE)}) GROUP BY g))"""
 
-WILCOXON_SQL = f"""SELECT least(plus, minus) AS statistic, n_pairs, CAST(n AS BIGINT) AS n_moved, plus, minus,
-    round((least(plus, minus) - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24), 5) AS z FROM (
+def _wilcoxon_sql(digits: int = 5) -> str:
+    return f"""SELECT least(plus, minus) AS statistic, n_pairs, CAST(n AS BIGINT) AS n_moved, plus, minus,
+    round((least(plus, minus) - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24), {digits}) AS z FROM (
     SELECT sum(r) FILTER (g > 0) AS plus, sum(r) FILTER (g < 0) AS minus, any_value(n) AS n, sum(t * t - 1) AS ties FROM (
       {_ranked_sql('SELECT sign(l_discount - l_tax) AS g, abs(l_discount - l_tax) AS v FROM lineitem WHERE l_discount - l_tax <> 0')})),
     (SELECT count(*) AS n_pairs FROM lineitem)"""
 
 
-def _chi_sql(source: str, a: str, b: str) -> str:
+def _chi_sql(source: str, a: str, b: str, digits: int = 5) -> str:
     return f"""WITH cells AS (SELECT {a} AS a, {b} AS b, count(*) AS o FROM {source} GROUP BY 1, 2),
       r AS (SELECT a, sum(o) AS rt FROM cells GROUP BY 1), c AS (SELECT b, sum(o) AS ct FROM cells GROUP BY 1),
       n AS (SELECT sum(o)::DOUBLE AS n FROM cells),
       f AS (SELECT coalesce(o, 0) AS o, rt * ct / n AS e FROM r CROSS JOIN c CROSS JOIN n LEFT JOIN cells ON cells.a = r.a AND cells.b = c.b),
       d AS (SELECT (SELECT count(*) - 1 FROM r) * (SELECT count(*) - 1 FROM c) AS dof)
-      SELECT round(sum(pow(CASE WHEN dof = 1 THEN abs(o - e) - least(0.5, abs(o - e)) ELSE o - e END, 2) / e), 5) AS statistic,
+      SELECT round(sum(pow(CASE WHEN dof = 1 THEN abs(o - e) - least(0.5, abs(o - e)) ELSE o - e END, 2) / e), {digits}) AS statistic,
         CAST(any_value(dof) AS BIGINT) AS dof, CAST(any_value(n) AS BIGINT) AS n FROM f, d, n"""
 
 
@@ -179,7 +183,80 @@ def test_tables(spark: SparkSession, folder: str) -> DataFrame:
     return result
 
 
+def _chi_tail_sql(x: str, dof: str, terms: int) -> str:
+    """The upper tail of chi-square with an even number of degrees of freedom, at most 2 * ``terms``, as its finite sum."""
+    term = lambda k: f"CASE WHEN {k} < {dof} / 2 THEN pow({x} / 2, {k}) / {math.factorial(k)} ELSE 0 END"
+    return f"exp(-{x} / 2) * ({' + '.join(term(k) for k in range(terms))})"
+
+
+def _t_tail_sql(t: str, dof: str) -> str:
+    """Both tails of Student's t by Simpson's rule over 2,000 steps of the density from 0 to \|t\|."""
+    density = f"pow(1 + pow(i * abs({t}) / 2000, 2) / {dof}, -({dof} + 1) / 2)"
+    weight = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    scale = f"exp(lgamma(({dof} + 1) / 2) - lgamma({dof} / 2)) / sqrt({dof} * pi())"
+    return f"1 - 2 * {scale} * abs({t}) / 6000 * (SELECT sum({weight} * {density}) FROM range(2001) r(i))"
+
+
+def _p_values_sql() -> str:
+    """All six p-values by other means than the tests use: closed forms and numeric integration."""
+    f_tail = "pow(x, w / 2) * (1 + w / 2 * (1 - x))"  # I_x(w / 2, 2): four degrees of freedom between groups
+    parts = {
+        "ttest": f"SELECT statistic, {_t_tail_sql('statistic', 'dof')} AS p FROM ({_ttest_sql(STATUS_PRICE, 12)})",
+        "anova": f"""SELECT statistic, {f_tail} AS p FROM (SELECT statistic, df_within AS w, df_within / (df_within + 4 * statistic) AS x
+            FROM ({_one_way_sql(PRIORITY_PRICE, 12)}))""",
+        "mannwhitney": f"SELECT statistic, p_value AS p FROM ({MANN_WHITNEY_SQL})",
+        "kruskal": f"SELECT statistic, {_chi_tail_sql('statistic', 'dof', 8)} AS p FROM ({_kruskal_sql(12)})",
+        "chisquare": f"""SELECT statistic, {_chi_tail_sql('statistic', 'dof', 8)} AS p
+            FROM ({_chi_sql('orders', 'o_orderpriority', 'o_orderstatus', 12)})""",
+        "wilcoxon": f"SELECT statistic, least(1.0, 2 * {sqltext.normal_cdf('(-abs(z))')}) AS p FROM ({_wilcoxon_sql(12)})",
+    }
+    rows = [f"SELECT '{t}' AS test, round(statistic, 5) AS statistic, round(p, 5) + 0.0 AS p_value, p < 0.05 AS significant FROM ({q})" for t, q in parts.items()]
+    return " UNION ALL ".join(rows)
+
+
+def column_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Everything about one column as one table: part, measure, value."""
+    report = diagnostics.column_report(gappy_events(spark, folder), "value", key=["event_id"])
+    wanted = {
+        "moments": ["n", "mean", "std", "skewness", "kurtosis"],
+        "qq_fit": ["slope", "intercept", "r"],
+        "kolmogorov_smirnov": ["statistic"],
+        "outliers": ["q1", "q3", "lower_bound", "upper_bound", "outlier_count", "total_count"],
+    }
+    result = None
+    for part, measures in wanted.items():
+        pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m).cast("double"), 5).alias("value")) for m in measures])
+        rows = report[part].select(F.lit(part).alias("part"), F.inline(pairs))
+        result = rows if result is None else result.unionByName(rows)
+    return result
+
+
+def _long_sql(part: str, measures: list[str], source: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{part}' AS part, '{m}' AS measure, round({m}::DOUBLE, 5) AS value FROM ({source})" for m in measures)
+
+
+QQ_FIT_SQL = f"""SELECT count(*) AS n, regr_slope(x, q) AS slope, regr_intercept(x, q) AS intercept, corr(x, q) AS r FROM ({QQ_ROWS})"""
+KS_SQL = f"""SELECT any_value(n) AS n, avg(x) AS mean, stddev_samp(x) AS std,
+    max(greatest((b + t) / n - {sqltext.normal_cdf('z')}, {sqltext.normal_cdf('z')} - b / n)) AS statistic FROM ({PLACES})"""
+MOMENTS_SQL = f"""SELECT n, mean, std, m3 / pow(m2, 1.5) AS skewness, m4 / (m2 * m2) - 3 AS kurtosis FROM (
+    SELECT count(*) AS n, any_value(m) AS mean, stddev_samp(x) AS std, avg(pow(x - m, 2)) AS m2, avg(pow(x - m, 3)) AS m3, avg(pow(x - m, 4)) AS m4
+    FROM (SELECT value AS x, avg(value) OVER () AS m FROM {GAPPY_EVENTS} WHERE value IS NOT NULL))"""
+FENCES_SQL = f"""SELECT q1, q3, q1 - 1.5 * (q3 - q1) AS lower_bound, q3 + 1.5 * (q3 - q1) AS upper_bound,
+    count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outlier_count, count(x) AS total_count
+    FROM (SELECT value AS x FROM {GAPPY_EVENTS}), (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM {GAPPY_EVENTS})
+    GROUP BY q1, q3"""
+REPORT_SQL = " UNION ALL ".join(
+    [
+        _long_sql("moments", ["n", "mean", "std", "skewness", "kurtosis"], MOMENTS_SQL),
+        _long_sql("qq_fit", ["slope", "intercept", "r"], QQ_FIT_SQL),
+        _long_sql("kolmogorov_smirnov", ["statistic"], KS_SQL),
+        _long_sql("outliers", ["q1", "q3", "lower_bound", "upper_bound", "outlier_count", "total_count"], FENCES_SQL),
+    ]
+)
+
+
 QUERIES = {
+    "diagnostics_column": Query(column_report, REPORT_SQL),
     "iqr_outliers": Query(iqr_outliers, _outlier_sql(["value", "user_id"])),
     "outlier_rows": Query(
         lambda s, d: diagnostics.outlier_rows(table(s, d, "events"), "value").select("event_id", "value"), OUTLIER_ROWS
@@ -193,6 +270,10 @@ QUERIES = {
         f"""SELECT i AS position, round(q, 6) + 0.0 AS theoretical, round(x, 6) + 0.0 AS sample FROM ({QQ_ROWS})
         WHERE i IN (SELECT 1 + (k * (m - 1)) // 4999 FROM range(5000) t(k), (SELECT count(value) AS m FROM {GAPPY_EVENTS}))""",
     ),
+    "qq_points_all": Query(
+        lambda s, d: rounded(diagnostics.qq_points(gappy_events(s, d), "value"), 6, "theoretical", "sample"),
+        f"SELECT i AS position, round(q, 6) + 0.0 AS theoretical, round(x, 6) + 0.0 AS sample FROM ({QQ_ROWS})",
+    ),
     "qq_fit": Query(
         qq_fit,
         f"""SELECT count(*) AS n, round(regr_slope(x, q), 6) AS slope, round(regr_intercept(x, q), 6) AS intercept,
@@ -227,10 +308,10 @@ QUERIES = {
     ),
     "kruskal": Query(
         lambda s, d: rounded(hypothesis.kruskal(_orders(s, d), "o_orderpriority", "o_totalprice").drop("p_value"), 5, "statistic"),
-        KRUSKAL_SQL,
+        _kruskal_sql(),
     ),
     "wilcoxon": Query(
-        lambda s, d: rounded(hypothesis.wilcoxon(_lines(s, d), "l_discount", "l_tax").drop("p_value"), 5, "z"), WILCOXON_SQL
+        lambda s, d: rounded(hypothesis.wilcoxon(_lines(s, d), "l_discount", "l_tax").drop("p_value"), 5, "z"), _wilcoxon_sql()
     ),
     "chi_square": Query(_chi("orders", "o_orderpriority", "o_orderstatus"), _chi_sql("orders", "o_orderpriority", "o_orderstatus")),
     "chi_square_sparse": Query(_chi("part", "p_brand", "p_size"), _chi_sql("part", "p_brand", "p_size")),
@@ -245,5 +326,5 @@ QUERIES = {
         f"""SELECT event_type AS "group", count(*) AS n, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS std
         FROM {GAPPY_EVENTS} WHERE value IS NOT NULL GROUP BY 1""",
     ),
-    "test_p_values": Query(test_tables),
+    "test_p_values": Query(lambda s, d: rounded(test_tables(s, d), 5, "statistic", "p_value"), _p_values_sql()),
 }

@@ -58,15 +58,33 @@ def groups(spark, table):
 
 def test_group_counts(spark):
     three = groups(spark, {"a": [1.0, 2.0], "b": [3.0, 4.0], "c": [5.0]})
-    with pytest.raises(ValueError, match="requires exactly 2 groups in 'g', found 3"):
+    with pytest.raises(ValueError, match="'g' splits the rows into 3 groups; the t test works on 2"):
         hypothesis.run(three, "ttest", "g", "v")
     two = groups(spark, {"a": [1.0, 2.0], "b": [3.0, 4.0]})
-    with pytest.raises(ValueError, match="requires at least 3 groups in 'g', found 2"):
+    with pytest.raises(ValueError, match="'g' splits the rows into 2 groups; the analysis of variance works on 3 or more"):
         hypothesis.run(two, "anova", "g", "v")
     with pytest.raises(ValueError, match="unknown test"):
         hypothesis.run(two, "sign", "g", "v")
 
 
+def test_levene_far_from_zero(spark):
+    near = [0.001, -0.0004, 0.0007, -0.0011, 0.0002, 0.0013]
+    wide = [2 * x + 0.0003 for x in near]
+
+    def levene(shift):
+        return hypothesis.levene(groups(spark, {"a": [shift + x for x in near], "b": [x - shift for x in wide]}), "g", "v").first()
+
+    assert levene(1e6)["statistic"] == pytest.approx(levene(0.0)["statistic"], rel=1e-5)
+
+
+def test_method_of_the_rank_tests(spark):
+    two = groups(spark, {"a": [1.0, 2.0, 3.5], "b": [3.0, 4.0, 5.0]})
+    law = {m: hypothesis.mann_whitney(two, "g", "v", method=m).first() for m in hypothesis.METHODS}
+    assert law["auto"] == law["exact"] and law["auto"]["exact"] and not law["normal"]["exact"]
+    with pytest.raises(ValueError, match="unknown method"):
+        hypothesis.mann_whitney(two, "g", "v", method="guess")
+
+
 def test_group_without_values_is_dropped(spark):
     df = groups(spark, {"a": [1.0, 2.0], "b": [3.0, 4.5], "c": [None]})
     tables = hypothesis.run(df, "ttest", "g", "v")
