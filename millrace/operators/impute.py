@@ -18,6 +18,7 @@ from millrace.operators.clean import drop_missing
 from millrace.operators.profile import most_frequent
 from millrace.operators.quantiles import exact_quantiles
 from millrace.operators.rank import order_bucket, ordering
+from millrace.operators.sample import uniform
 
 METHODS = {
     "drop": "leave out the rows without a value",
@@ -179,8 +180,8 @@ def standard_normal(key: Sequence[str] | None, seed: int) -> Column:
     """A normal draw per row: from a hash of ``key`` (Box and Muller) or, without one, ``randn``."""
     if not key:
         return F.randn(seed)
-    uniform = lambda salt: (F.pmod(F.xxhash64(*key, F.lit(seed), F.lit(salt)), F.lit(2**52)) + 0.5) / float(2**52)
-    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
+    half = 0.5 / float(2**52)
+    return F.sqrt(-2 * F.log(uniform(key, 2 * seed) + half)) * F.cos(2 * math.pi * (uniform(key, 2 * seed + 1) + half))
 
 
 def impute_target(df: DataFrame, target: str, task: str) -> tuple[DataFrame, str]:

@@ -21,14 +21,13 @@ from millrace.functions.columns import is_numeric, missing_as_null, number, quot
 from millrace.operators import encode, impute, scale
 from millrace.operators.hypothesis import rank_sums
 from millrace.operators.profile import cardinality
-from millrace.operators.sample import SEED
+from millrace.operators.sample import SEED, uniform
 from millrace.operators.shape import few_tasks
 from millrace.session import materialise
 
 LOW_CARDINALITY = 11
 TRAIN_SHARE = 0.8
 MAX_CLASSES = 1000
-MANY_ROWS, VERY_MANY_ROWS = 100_000, 300_000
 WORKERS = 4
 UNKNOWN_CODE = -1.0
 
@@ -90,16 +89,20 @@ def fit_features(df: DataFrame, columns: Sequence[str]) -> Features:
 # ---------------------------------------------------------------- model pool
 
 
-def model_pool(task: str, classes: int, rows: int, width: int) -> dict[str, Estimator]:
-    """Models suited to the task; trees are kept small on many rows, the SVM is left out on very many."""
-    depth, trees = (8, 100) if rows > MANY_ROWS else (5, 20)
+def model_pool(
+    task: str, classes: int, width: int, depth: int = 5, trees: int = 20, rounds: int = 20
+) -> dict[str, Estimator]:
+    """Models suited to the task, the same for any number of rows.
+
+    ``depth``, ``trees`` and ``rounds`` of boosting are those that ``pyspark.ml`` has by default.
+    """
     if task == "regression":
         return {
             "LinearRegression": R.LinearRegression(),
             "GeneralizedLinearRegression": R.GeneralizedLinearRegression(),
             "DecisionTreeRegressor": R.DecisionTreeRegressor(maxDepth=depth, seed=SEED),
             "RandomForestRegressor": R.RandomForestRegressor(maxDepth=depth, numTrees=trees, seed=SEED),
-            "GBTRegressor": R.GBTRegressor(maxDepth=depth, maxIter=20, seed=SEED),
+            "GBTRegressor": R.GBTRegressor(maxDepth=depth, maxIter=rounds, seed=SEED),
             "FMRegressor": R.FMRegressor(seed=SEED, stepSize=0.01),
         }
     if task != "classification":
@@ -114,10 +117,9 @@ def model_pool(task: str, classes: int, rows: int, width: int) -> dict[str, Esti
         ),
     }
     if classes == 2:
-        pool["GBTClassifier"] = C.GBTClassifier(maxDepth=depth, maxIter=20, seed=SEED)
+        pool["GBTClassifier"] = C.GBTClassifier(maxDepth=depth, maxIter=rounds, seed=SEED)
         pool["FMClassifier"] = C.FMClassifier(seed=SEED, stepSize=0.01)
-        if rows <= VERY_MANY_ROWS:
-            pool["LinearSVC"] = C.LinearSVC()
+        pool["LinearSVC"] = C.LinearSVC()
     return pool
 
 
@@ -129,9 +131,10 @@ class Comparison:
     skipped: dict[str, str]
 
 
-def split(df: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    train, test = df.randomSplit([TRAIN_SHARE, 1 - TRAIN_SHARE], seed)
-    return train, test
+def split(df: DataFrame, seed: int = SEED, key: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows by a hash of ``key``, or of all columns: equal rows stay together, none falls into both or neither."""
+    drawn = uniform(list(key or df.columns), seed) < TRAIN_SHARE
+    return df.where(drawn), df.where(~drawn)
 
 
 def compare(
@@ -145,8 +148,8 @@ def compare(
 ) -> Comparison:
     """Fit every model of the pool on ``train`` and rank them by their results on ``test``.
 
-    Best first by balanced accuracy or adjusted R². A model that fails is left
-    out and named in ``skipped``.
+    Best first by balanced accuracy or adjusted R². A model that fails stands
+    last, without numbers, and ``skipped`` has its error.
     """
     columns = list(columns or [c for c in train.columns if c != target])
     steps = fit_features(train, columns)
@@ -165,9 +168,8 @@ def compare(
     for part in (train, test):
         made = steps.transform(part.select(quoted(target), *[quoted(c) for c in columns]))
         ready.append(few_tasks(materialise(made.select(label, "features").where("label is not null"))))
-    rows = ready[0].count()
     width = len(ready[0].first()["features"])
-    pool = estimators or model_pool(task, len(labels), rows, width)
+    pool = estimators or model_pool(task, len(labels), width)
     models: dict[str, Model] = {}
     scores: list[tuple] = []
     skipped: dict[str, str] = {}
@@ -180,6 +182,7 @@ def compare(
             score = _regression_scores(made, width) if task == "regression" else _class_scores(made, len(labels))
         except Exception as error:  # noqa: BLE001 - one failing model must not end the comparison
             skipped[name] = str(error).splitlines()[0]
+            scores.append((name, *[None] * (3 if task == "regression" else 4), time.time() - start))
             return
         models[name] = model
         scores.append((name, *score, time.time() - start))

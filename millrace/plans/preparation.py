@@ -250,11 +250,56 @@ def scale_quantile(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(scale.scale(orders, ["o_totalprice"], "quantile"), 5, "o_totalprice")
 
 
+def _normal_sql(key: str, seed: int) -> str:
+    u = lambda salt: f"(('0x' || substr(md5({key} || ':{salt}'), 1, 13))::BIGINT + 0.5) / pow(2, 52)"
+    return f"sqrt(-2 * ln({u(2 * seed)})) * cos(2 * pi() * {u(2 * seed + 1)})"
+
+
+DRAWN_SQL = f"""SELECT event_id, round(coalesce(value, greatest(0.0, m + s * {_normal_sql('event_id', 42)})), 4) + 0.0 AS value
+    FROM {GAPPY_EVENTS}, (SELECT avg(value) AS m, stddev_samp(value) AS s FROM {GAPPY_EVENTS})"""
+
+
 def sample_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return sample.sample_rows(table(spark, folder, "lineitem"), 5000)
+    return sample.sample_rows(table(spark, folder, "lineitem"), 5000, key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+
+
+def preview(spark: SparkSession, folder: str) -> DataFrame:
+    """What is shown right after loading, as one table: part, column, measure, value."""
+    parts = profile.preview(gappy_events(spark, folder).select("event_id", "event_type", "value"), order_by=["event_id"])
+    label = lambda part, column, measure, value: F.struct(
+        F.lit(part).alias("part"), column.alias("column"), F.lit(measure).alias("measure"), F.round(value.cast("double"), 4).alias("value")
+    )
+    wanted = [
+        ("shape", F.lit(""), ["rows", "columns"]),
+        ("missing", F.col("column"), ["missing", "percent"]),
+        ("numeric", F.col("column"), ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]),
+        ("categorical", F.col("column"), ["count", "unique", "freq"]),
+    ]
+    result = None
+    for part, column, measures in wanted:
+        rows = parts[part].select(F.inline(F.array(*[label(part, column, m, F.col(m)) for m in measures])))
+        result = rows if result is None else result.unionByName(rows)
+    return result
+
+
+def _preview_sql() -> str:
+    row = lambda part, column, measure, value: (
+        f"SELECT '{part}' AS part, '{column}' AS \"column\", '{measure}' AS measure, round(({value})::DOUBLE, 4) AS value FROM {GAPPY_EVENTS}"
+    )
+    rows = [row("shape", "", "rows", "count(*)"), row("shape", "", "columns", "any_value(3)")]
+    for c in ("event_id", "event_type", "value"):
+        rows += [row("missing", c, "missing", f"count(*) - count({c})"), row("missing", c, "percent", f"round(100.0 * (count(*) - count({c})) / count(*), 1)")]
+    for c in ("event_id", "value"):
+        numbers = {"count": f"count({c})", "mean": f"avg({c})", "std": f"stddev_samp({c})", "min": f"min({c})", "max": f"max({c})"}
+        numbers |= {f"q{q}": f"quantile_cont({c}::DOUBLE, 0.{q})" for q in (25, 50, 75)}
+        rows += [row("numeric", c, m, v) for m, v in numbers.items()]
+    frequent = f"(SELECT max(c) FROM (SELECT count(*) AS c FROM {GAPPY_EVENTS} GROUP BY event_type))"
+    counted = {"count": "count(event_type)", "unique": "count(DISTINCT event_type)", "freq": f"any_value({frequent})"}
+    return " UNION ALL ".join(rows + [row("categorical", "event_type", m, v) for m, v in counted.items()])
 
 
 QUERIES = {
+    "preview": Query(preview, _preview_sql()),
     "describe_numeric": Query(describe_numeric, _describe_sql("lineitem", MEASURES)),
     "describe_numeric_gaps": Query(describe_numeric_gaps, _describe_sql(GAPPY_EVENTS, ["value", "user_id"])),
     "describe_categorical": Query(describe_categorical, _describe_categorical_sql()),
@@ -362,7 +407,7 @@ QUERIES = {
         _impute("interpolate", order_by=["event_id"]),
         _neighbour_sql("coalesce(value, pv + (nv - pv) * (event_id - po) / (no - po))"),
     ),
-    "impute_distribution": Query(_impute("distribution", key=["event_id"])),
+    "impute_distribution": Query(_impute("distribution", key=["event_id"]), DRAWN_SQL),
     "impute_target_mean": Query(
         impute_target("regression"),
         f"""SELECT c_custkey, round(coalesce(c_nationkey, (SELECT avg(c_nationkey) FROM {GAPPY_CUSTOMER})), 6) AS c_nationkey
@@ -412,5 +457,8 @@ QUERIES = {
         scale_power("customer", "c_custkey", "c_acctbal", "yeojohnson"),
         sqltext.power_fit("customer", "c_custkey", "c_acctbal", "yeojohnson", 4),
     ),
-    "sample_rows": Query(sample_rows),
+    "sample_rows": Query(
+        sample_rows,
+        """SELECT * FROM lineitem ORDER BY ('0x' || substr(md5(l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':42'), 1, 13))::BIGINT LIMIT 5000""",
+    ),
 }

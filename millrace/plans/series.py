@@ -44,13 +44,13 @@ def _series_sql(source: str, freq: str | None, agg: str) -> str:
 def _orders_series(freq: str | None, agg: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         orders = table(spark, folder, "orders")
-        return rounded(timeseries.prepare(orders, "o_orderdate", "o_totalprice", freq, agg, ["o_orderkey"]), 4, "y")
+        return rounded(timeseries.prepare(orders, "o_orderdate", "o_totalprice", freq, agg, ["o_orderkey"]), 9, "y")
 
     return run
 
 
 def _rounded_series_sql(source: str, freq: str | None, agg: str) -> str:
-    return f"SELECT ds, round(y, 4) + 0.0 AS y, position, is_train FROM ({_series_sql(source, freq, agg)})"
+    return f"SELECT ds, round(y, 9) + 0.0 AS y, position, is_train FROM ({_series_sql(source, freq, agg)})"
 
 
 def orders_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,25 +128,42 @@ def ts_forecast_metrics(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- models
 
 
-def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    facts = documents.select(
+def document_facts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select(
         "doc_id", "lang", "source", "n_chars",
         F.size(F.split("text", r"\s+")).alias("words"),
         F.size(F.split("text", "\n")).alias("lines"),
         F.length(F.regexp_replace("text", "[^0-9]", "")).alias("digits"),
     )
-    return table(spark, folder, "labels").join(facts, "doc_id").drop("doc_id", "toxic")
 
 
 def automl_classify(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = models.split(labelled_documents(spark, folder))
-    return models.compare(train, test, "quality", "classification").leaderboard
+    """Models of the quality label, on the documents that have one."""
+    facts = table(spark, folder, "labels").join(document_facts(spark, folder), "doc_id").drop("toxic")
+    train, test = models.split(facts, key=["doc_id"])
+    return models.compare(train.drop("doc_id"), test.drop("doc_id"), "quality", "classification").leaderboard.drop("seconds")
 
 
 def automl_regress(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = models.split(labelled_documents(spark, folder))
-    return models.compare(train, test, "n_chars", "regression", ["lang", "source", "words", "lines"]).leaderboard
+    """Models of the length of every document."""
+    train, test = models.split(document_facts(spark, folder), key=["doc_id"])
+    return models.compare(train, test, "n_chars", "regression", ["lang", "source", "words", "lines"]).leaderboard.drop("seconds")
+
+
+def linear_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """The linear model's scores with one feature, which SQL can fit as well."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    train, test = models.split(lines, key=["l_orderkey", "l_linenumber"])
+    pool = {"LinearRegression": models.model_pool("regression", 0, 1)["LinearRegression"]}
+    board = models.compare(train, test, "l_extendedprice", "regression", ["l_quantity"], pool).leaderboard
+    return rounded(board.drop("seconds"), 6, "r2", "adj_r2", "rmse")
+
+
+LINEAR_SQL = """WITH d AS (SELECT l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y,
+    ('0x' || substr(md5(l_orderkey || ':' || l_linenumber || ':42'), 1, 13))::BIGINT / pow(2, 52) < 0.8 AS train FROM lineitem),
+  f AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM d WHERE train),
+  s AS (SELECT count(*) AS n, sum(pow(y - a * x - b, 2)) AS e, var_pop(y) * count(*) AS t FROM d, f WHERE NOT train)
+SELECT 'LinearRegression' AS model, round(1 - e / t, 6) AS r2, round(1 - (e / t) * (n - 1) / (n - 2), 6) AS adj_r2, round(sqrt(e / n), 6) AS rmse FROM s"""
 
 
 def automl_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,11 +217,11 @@ QUERIES = {
         for freq, agg in (("D", "mean"), ("W", "sum"), ("M", "first"), ("M", "last"), ("Q", "max"), ("Y", "min"))
     },
     "ts_resample_events": Query(
-        lambda s, d: rounded(timeseries.prepare(table(s, d, "events"), "ts", "value", "D", "mean", ["event_id"]), 4, "y"),
+        lambda s, d: rounded(timeseries.prepare(table(s, d, "events"), "ts", "value", "D", "mean", ["event_id"]), 9, "y"),
         _rounded_series_sql(LAST_EVENT, "D", "mean"),
     ),
     "ts_resample_gaps": Query(
-        lambda s, d: rounded(timeseries.prepare(orders_with_gaps(s, d), "o_orderdate", "o_totalprice", "D", "max", ["o_orderkey"]), 4, "y"),
+        lambda s, d: rounded(timeseries.prepare(orders_with_gaps(s, d), "o_orderdate", "o_totalprice", "D", "max", ["o_orderkey"]), 9, "y"),
         _rounded_series_sql(LAST_GAPPY, "D", "max"),
     ),
     "ts_lags": Query(ts_lags, LAGS_SQL),
@@ -214,6 +231,7 @@ QUERIES = {
     "automl_features": Query(automl_features, FEATURES_SQL),
     "automl_classify": Query(automl_classify),
     "automl_regress": Query(automl_regress),
+    "automl_linear": Query(linear_fit, LINEAR_SQL),
     "cluster_embeddings": Query(cluster_embeddings),
     "cluster_summary": Query(cluster_summary),
     "cluster_elbow": Query(cluster_elbow),
