@@ -17,7 +17,7 @@ from millrace.functions.columns import is_numeric, missing_as_null, number, orde
 from millrace.operators.clean import drop_missing
 from millrace.operators.profile import most_frequent
 from millrace.operators.quantiles import exact_quantiles
-from millrace.operators.rank import order_bucket, ordering
+from millrace.operators.rank import ordering, with_order_bucket
 from millrace.operators.sample import uniform
 
 METHODS = {
@@ -119,11 +119,11 @@ def _with_neighbours(
     known = missing_as_null(df, column)
     entry = F.when(known.isNotNull(), F.struct(known.alias("v"), place.alias("o")))
     keys = [missing_as_null(df, c) for c in order_by]
-    # a single key keeps the aggregate below a hash aggregate; a struct would make it sort all rows
-    line = F.when(known.isNotNull(), keys[0] if len(keys) == 1 else F.struct(*keys))
-    bucket = order_bucket(df, order_by)
-    data = df.withColumns({"_bucket": bucket, "_known": entry, "_place": place})
-    ends = df.select(bucket.alias("_bucket"), known.alias("v"), place.alias("o"), line.alias("line"))
+    # a single key keeps the aggregate below a hash aggregate; a struct would make it sort all rows. Rows without a key come first
+    line = F.when(known.isNotNull(), F.coalesce(place, F.lit(-math.inf)) if len(keys) == 1 else F.struct(*keys, "_tie"))
+    bucketed = with_order_bucket(df, order_by)
+    data = bucketed.withColumns({"_known": entry, "_place": place})
+    ends = bucketed.select("_bucket", known.alias("v"), place.alias("o"), line.alias("line"))
     outermost = lambda by: F.when(F.max("line").isNotNull(), F.struct(by("v", "line").alias("v"), by("o", "line").alias("o")))
     edges = ends.groupBy("_bucket").agg(outermost(F.max_by).alias("_last"), outermost(F.min_by).alias("_first"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -139,7 +139,7 @@ def _with_neighbours(
         up = inside.orderBy(*ordering(df, order_by)).rowsBetween(*running)
         data = data.withColumn("_before", F.last("_known", ignorenulls=True).over(up))
     if forward:
-        down = inside.orderBy(*[missing_as_null(df, c).desc_nulls_last() for c in order_by]).rowsBetween(*running)
+        down = inside.orderBy(*[missing_as_null(df, c).desc_nulls_last() for c in order_by], F.desc("_tie")).rowsBetween(*running)
         data = data.withColumn("_after", F.last("_known", ignorenulls=True).over(down))
     data = data.join(F.broadcast(carried), "_bucket")
     if backward:

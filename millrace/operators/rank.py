@@ -2,26 +2,27 @@
 
 All of these cut the order key into buckets at sketch quantiles. The sketch
 weighs rows, so no bucket holds more than about rows / buckets of them, apart
-from copies of one value; those are counted before any shuffle, or, when a
-second order column exists, split along it. Windows then run inside buckets and
+from copies of one value; those are counted before any shuffle, or split along
+the next order column and a hash of the row. Windows then run inside buckets and
 a table of bucket totals, at most one row per bucket, links them.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.columns import bucket_of, constant_array, missing_as_null, number, order_number
+from millrace.functions.columns import bucket_of, constant_array, missing_as_null, number, order_number, quoted
 from millrace.session import materialise
 
 MAX_BUCKETS = 4096
 ROWS_PER_BUCKET = 1_000_000
 THRESHOLD_ACCURACY = 20000
-MAX_SPLIT_VALUES = 64
+#: Parts that the rows of one value can be cut into.
+SPLITS = 1024
 
 
 def thresholds(df: DataFrame, values: dict[str, Column]) -> dict[str, list[float]]:
@@ -44,40 +45,58 @@ def thresholds(df: DataFrame, values: dict[str, Column]) -> dict[str, list[float
     return result
 
 
-def order_bucket(df: DataFrame, order_by: Sequence[str]) -> Column:
-    """Bucket number that never decreases along ``order_by``; rows without a key come first.
+def with_order_bucket(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Add ``_bucket``, a number that never decreases along ``order_by`` (nulls first), and ``_tie``, a hash of the row.
 
-    Where one value of the first column fills whole buckets by itself, its rows
-    are split along the second column.
+    Rows that share a value, or have none, and fill buckets by themselves are split
+    along the next order column, and after the last one along the hash: ties may
+    stand in any order. So no value of any column makes a large bucket, however many such
+    values there are, unless whole rows repeat.
     """
-    first = order_number(df, order_by[0])
-    limits = thresholds(df, {"key": first})["key"]
-    coarse = F.when(first.isNull(), F.lit(-1)).otherwise(bucket_of(first, sorted(set(limits)))).cast("bigint")
-    heavy = [v for v, times in Counter(limits).most_common(MAX_SPLIT_VALUES) if times > 1]
-    if len(order_by) == 1 or not heavy:
-        return coarse
-    second = order_number(df, order_by[1])
-    parts = thresholds(df, {str(i): F.when(first == v, second) for i, v in enumerate(heavy)})
-    fine = F.lit(0)
-    for i, v in enumerate(heavy):
-        fine = F.when(first == v, 1 + bucket_of(second, sorted(set(parts[str(i)])))).otherwise(fine)
-    return coarse * (MAX_BUCKETS + 1) + fine
+    hashed = F.xxhash64(*[quoted(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
+    levels = [order_number(df, c) for c in order_by] + [F.col("_tie").cast("double")]
+    rows, known = df.agg(F.count("*"), F.count(levels[0])).first()
+    limits = thresholds(df, {"key": levels[0]})["key"]
+    distinct = sorted(set(limits))
+    share = max(1, rows // (len(limits) + 1))
+    coarse = F.when(levels[0].isNull(), F.lit(0)).otherwise(1 + bucket_of(levels[0], distinct)).cast("bigint")
+    data = df.withColumns({"_tie": hashed, "_bucket": coarse})
+    if len(distinct) == len(limits) and rows - known <= 2 * share:
+        return data
+    edge = F.get(constant_array(distinct), F.col("_bucket").cast("int") - 1) if distinct else F.lit(None).cast("double")
+    data = data.withColumn("_top", F.when(F.col("_bucket") == 0, True).otherwise(F.coalesce(levels[0] == edge, F.lit(False))))
+    for level in levels[1:]:
+        sizes = data.where("_top").groupBy("_bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * share)
+        if sizes.isEmpty():
+            break
+        grid = constant_array([k / SPLITS for k in range(1, SPLITS)])
+        cut = data.where("_top").groupBy("_bucket").agg(F.count("*").alias("_n"), F.percentile_approx(level, grid, THRESHOLD_ACCURACY).alias("_cut"))
+        step = F.greatest(F.lit(1), F.floor(F.lit(SPLITS * share) / F.col("_n"))).cast("int")
+        some = F.filter("_cut", lambda x, k: k % step == step - 1)
+        cut = cut.where(F.col("_n") > 2 * share).select("_bucket", F.array_sort(F.array_distinct(some)).alias("_cut"))
+        data = data.join(F.broadcast(cut), "_bucket", "left")
+        split = F.col("_top") & F.col("_cut").isNotNull()
+        below = F.size(F.filter("_cut", lambda x: x < level))
+        place = F.when(split, F.when(level.isNull(), 1).otherwise(2 + below)).otherwise(0)
+        top = split & F.coalesce(level.isNull() | (level == F.get("_cut", below)), F.lit(False))
+        data = data.withColumns({"_bucket": F.col("_bucket") * (SPLITS + 2) + place, "_top": top}).drop("_cut")
+    return data.drop("_top")
 
 
 def ordering(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
-    return [missing_as_null(df, c).asc_nulls_first() for c in order_by]
+    return [*[missing_as_null(df, c).asc_nulls_first() for c in order_by], F.col("_tie").asc()]
 
 
 def with_position(df: DataFrame, order_by: Sequence[str], name: str = "position") -> DataFrame:
     """Number the rows 0, 1, 2, … along ``order_by``."""
-    bucketed = df.withColumn("_bucket", order_bucket(df, order_by))
+    bucketed = with_order_bucket(df, order_by)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     starts = totals.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_bucket").orderBy(*ordering(df, order_by))
     numbered = bucketed.withColumn("_row", F.row_number().over(inside))
     joined = numbered.join(F.broadcast(starts), "_bucket")
-    return joined.select(*df.columns, (F.col("_start") + F.col("_row") - 1).alias(name))
+    return joined.select(*[quoted(c) for c in df.columns], (F.col("_start") + F.col("_row") - 1).alias(name))
 
 
 def ranked(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import is_numeric, micros, missing_as_null, number, require_columns, require_numeric
 from millrace.operators.clean import converted
-from millrace.operators.rank import order_bucket, ranked, with_position
+from millrace.operators.rank import ranked, with_order_bucket, with_position
 from millrace.operators.shape import few_tasks
 from millrace.session import materialise
 
@@ -56,8 +56,8 @@ def _dates(df: DataFrame, date_column: str) -> DataFrame:
 
 def gaps(df: DataFrame, date_column: str) -> DataFrame:
     """Seconds between consecutive rows in date order, with how often each gap occurs."""
-    dates = _dates(df, date_column)
-    bucketed = dates.withColumns({"_bucket": order_bucket(dates, ["ds"]), "at": micros(F.col("ds"))})
+    dates = materialise(_dates(df, date_column))
+    bucketed = with_order_bucket(dates, ["ds"]).withColumn("at", micros(F.col("ds")))
     last = bucketed.groupBy("_bucket").agg(F.max("at").alias("_last"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select("_bucket", F.max("_last").over(earlier).alias("_carry"))
@@ -268,10 +268,11 @@ def prepare(
     series = last_per_date(df, date_column, target, order_by)
     if freq is not None:
         series = resample(series, freq, agg)
-    numbered = with_position(series, ["ds"])
+    numbered = with_position(materialise(series), ["ds"])
     spread, along = with_earlier_rows(numbered, FILL_LIMIT)
     filled = F.last("y", ignorenulls=True).over(along.rowsBetween(-FILL_LIMIT, 0))
     kept = spread.withColumn("y", filled).where("not _copy and y is not null").select("ds", "y")
+    kept = materialise(kept)
     final = with_position(kept, ["ds"])
     size = kept.agg(F.floor(F.count("*") * TRAIN_SHARE).alias("_train"))
     return final.crossJoin(F.broadcast(size)).select("ds", "y", "position", (F.col("position") < F.col("_train")).alias("is_train"))

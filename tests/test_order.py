@@ -81,10 +81,41 @@ def test_position_along_two_columns(skewed):
 
 def test_heavy_first_column_is_split(skewed):
     df, pdf = skewed
-    sizes = df.withColumn("b", rank.order_bucket(df, ["v", "i"])).groupBy("b").count().agg(F.max("count")).first()[0]
+    sizes = rank.with_order_bucket(df, ["v", "i"]).groupBy("_bucket").count().agg(F.max("count")).first()[0]
     assert sizes < 1500
 
 
+@pytest.mark.parametrize("case", ["one value", "no keys", "many values", "two columns"])
+def test_ties_and_missing_keys_are_split(spark, case):
+    key = {
+        "one value": "if(id % 10 = 0, id, 7)",
+        "no keys": "if(id % 10 = 0, id, null)",
+        "many values": "id % 100",
+        "two columns": "if(id % 10 = 0, id, 7)",
+    }[case]
+    df = spark.range(40_000).selectExpr("id", f"cast({key} as double) AS k", "cast(id % 2 as int) AS second")
+    order = ["k", "second"] if case == "two columns" else ["k"]
+    data = rank.with_order_bucket(df, order).cache()
+    sizes = [r["count"] for r in data.groupBy("_bucket").count().collect()]
+    assert max(sizes) <= 3 * 40_000 / 8
+    if case != "many values":
+        assert max(sizes) <= 2.5 * 40_000 / 8
+    rows = data.toPandas().sort_values(["k", *order[1:], "_tie"], na_position="first")
+    assert rows._bucket.is_monotonic_increasing
+    found = rank.with_position(df, order).toPandas()
+    assert sorted(found.position) == list(range(40_000))
+
+
+@pytest.mark.parametrize("order", [["k"], ["k", "i"]])
+def test_fill_from_a_row_without_key(spark, order):
+    rows = [(None, 0, 5.0), (1, 1, None), (2, 2, None), (3, 3, 8.0), (4, 4, None)]
+    df = spark.createDataFrame(rows, "k int, i int, x double")
+    found = impute.impute(df, "x", "ffill", order_by=order).orderBy("i").collect()
+    assert [r["x"] for r in found] == [5.0, 5.0, 5.0, 8.0, 8.0]
+    back = impute.impute(df, "x", "bfill", order_by=order).orderBy("i").collect()
+    assert [r["x"] for r in back] == [5.0, 8.0, 8.0, 8.0, None]
+
+
 def test_distinct_positions(skewed):
     df, pdf = skewed
     found = rank.distinct_positions(df.select("i").distinct(), "i").toPandas().sort_values("i")
