@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.columns import missing_as_null, quoted, require_columns
 from millrace.operators.rank import distinct_positions
-from millrace.operators.shape import MAX_BROADCAST_ROWS, bounded
+from millrace.operators.shape import bounded
 
 METHODS = ["label", "onehot", "ordinal"]
 MISSING_TEXT = "nan"
 MAX_ONEHOT = 1000
-HOT_VALUES = 1000
+HOT_VALUES, HOT_BYTES = 1000, 4096
 
 
 def _category(df: DataFrame, column: str) -> Column:
@@ -101,12 +101,12 @@ def _fit_codes(df: DataFrame, column: str, method: str) -> Codes:
     counts = df.select(_category(df, column).alias("value")).groupBy("value").agg(F.count("*").alias("cnt"))
     table, small = bounded(counts)
     if small:
-        nulls_last = lambda r: (r["value"] is None, r["value"])
-        rows = [(r["value"], i) for i, r in enumerate(sorted(table.collect(), key=nulls_last))]
-        schema = T.StructType([table.schema["value"], T.StructField("code", T.LongType())])
-        return Codes(column, df.sparkSession.createDataFrame(rows, schema), True, None, method)
+        line = Window.orderBy(F.col("value").asc_nulls_last())
+        return Codes(column, table.select("value", (F.row_number().over(line) - 1).cast("bigint").alias("code")), True, None, method)
     codes = distinct_positions(table.select("value", "cnt"), "value")
-    hot = codes.orderBy(F.desc("cnt")).limit(HOT_VALUES).select("value", "code")
+    # of the frequent values only short ones are broadcast; long texts are few per byte and meet their code by shuffle
+    short = codes.where(F.col("value").isNotNull() & (F.octet_length(F.col("value").cast("string")) <= HOT_BYTES))
+    hot = short.orderBy(F.desc("cnt")).limit(HOT_VALUES).select("value", "code")
     # a missing number never meets an equality join, so its code travels with the frequent values
     missing = codes.where("value is null").select("value", "code")
     return Codes(column, codes.select("value", "code"), False, hot.union(missing).distinct(), method)
@@ -114,10 +114,9 @@ def _fit_codes(df: DataFrame, column: str, method: str) -> Codes:
 
 def _fit_onehot(df: DataFrame, column: str, max_categories: int) -> OneHot:
     v = missing_as_null(df, column).alias("value")
-    limit = min(max_categories, MAX_BROADCAST_ROWS)
-    rows = df.select(v).where("value is not null").distinct().limit(limit + 1)
+    rows = df.select(v).where("value is not null").distinct().limit(max_categories + 1)
     found = rows.select("value", F.col("value").cast("string").alias("text")).collect()
-    if len(found) > limit:
-        raise ValueError(f"'{column}' has more than {limit} categories")
+    if len(found) > max_categories:
+        raise ValueError(f"'{column}' has more than {max_categories} categories")
     found.sort(key=lambda r: r["value"])
     return OneHot(column, [r["value"] for r in found], [f"{column}_{r['text']}" for r in found])

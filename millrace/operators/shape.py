@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millrace.functions.columns import quoted
 from millrace.session import materialise
 
-MAX_BROADCAST_ROWS = 20_000
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 20_000, 8 << 20
 SALTS = 64
 
 
@@ -22,8 +24,7 @@ def records(aggregated: DataFrame, rows: Sequence[dict[str, Column]]) -> DataFra
 def with_group_numbers(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join per-group numbers onto rows, adding ``cnt``, how many equal rows each row stands for.
 
-    A table of at most ``MAX_BROADCAST_ROWS`` rows is broadcast. For a larger
-    one equal rows are first counted, the table is copied once per salt, and the
+    A table that ``bounded`` finds small is broadcast. For a larger one equal rows are first counted, the table is copied once per salt, and the
     join runs on key and salt, so the rows of one large group meet their numbers
     in many tasks.
     """
@@ -37,11 +38,12 @@ def with_group_numbers(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -
 
 
 def bounded(table: DataFrame) -> tuple[DataFrame, bool]:
-    """The table computed once, and whether it is small enough to broadcast."""
-    rows = table.limit(MAX_BROADCAST_ROWS + 1).collect()
-    if len(rows) <= MAX_BROADCAST_ROWS:
-        return table.sparkSession.createDataFrame(rows, table.schema), True
-    return materialise(table), False
+    """The table stored, and whether it is small enough to broadcast, in rows and in bytes."""
+    kept = materialise(table)
+    texts = [quoted(f.name) for f in table.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(16 * len(table.columns)))
+    rows, size = kept.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return kept, rows <= MAX_BROADCAST_ROWS and size <= MAX_BROADCAST_BYTES
 
 
 def few_tasks(stored: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
