@@ -12,6 +12,7 @@ import os
 import re
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -25,8 +26,8 @@ HEADLINE = [
     "encode_label", "encode_onehot", "encode_label_orderkey", "scale_standard_lineitem", "scale_robust_lineitem",
     "scale_quantile", "scale_boxcox", "iqr_outliers", "qq_fit", "ks_statistic", "anderson_statistic", "shapiro",
     "ttest", "anova", "mannwhitney", "kruskal", "wilcoxon", "chi_square", "chart_box", "chart_histogram_all",
-    "chart_violin", "chart_histcontour", "chart_scatter_sampled", "ts_pattern", "ts_resample_d_mean", "ts_lags",
-    "prepared_customers",
+    "chart_violin", "chart_histcontour", "chart_scatter_sampled", "chart_box_user", "ts_pattern", "ts_resample_d_mean",
+    "ts_lags", "ts_forecast", "automl_classify", "automl_regress", "cluster_embeddings", "prepared_customers",
 ]
 
 
@@ -34,7 +35,8 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = list(QUERIES) if os.environ.get("BENCH_ALL") else HEADLINE
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
+    shared = {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-shared-")}
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench", **shared)
     spark.sparkContext.setLogLevel("ERROR")
     seconds: dict[str, float] = {}
     for name in names:

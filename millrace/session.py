@@ -27,7 +27,7 @@ def local_session(cores: int | str = 8, name: str = "millrace", **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of its own.
+    Where it is unset, as in a test, a local master falls back to a temporary folder; a cluster never does.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:

@@ -9,8 +9,9 @@ from millrace.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cores=8, name="tests")
+def spark(tmp_path_factory):
+    shared = {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))}
+    session = local_session(cores=8, name="tests", **shared)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
