@@ -148,6 +148,18 @@ def _impute(method: str, **more):
     return run
 
 
+def impute_hot_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Fills along a key that a third of the rows do not have and another third share."""
+    key = F.when(F.col("event_id") % 3 == 1, 500).when(F.col("event_id") % 3 == 2, F.col("event_id"))
+    events = gappy_events(spark, folder).withColumn("k", key)
+    filled = impute.impute(events, "value", "ffill", order_by=["k", "event_id"])
+    return rounded(filled.select("event_id", "value"), 4, "value")
+
+
+HOT_KEYS_SQL = f"""SELECT event_id, round(last_value(value IGNORE NULLS) OVER (ORDER BY k NULLS FIRST, event_id ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS value
+    FROM (SELECT event_id, value, CASE event_id % 3 WHEN 1 THEN 500 WHEN 2 THEN event_id END AS k FROM {GAPPY_EVENTS})"""
+
+
 def _neighbour_sql(expression: str) -> str:
     return f"""SELECT event_id, round({expression}, 4) + 0.0 AS value FROM (SELECT event_id, value,
         last_value(value IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS pv,
@@ -338,6 +350,14 @@ QUERIES = {
     "correlation_matrix": Query(
         lambda s, d: rounded(profile.correlation(table(s, d, "lineitem"), MEASURES), 6, "r"), _correlation_sql(MEASURES)
     ),
+    "correlation_gaps": Query(
+        lambda s, d: rounded(profile.correlation(gappy_events(s, d), ["value", "user_id", "event_id"]), 6, "r"),
+        " UNION ALL ".join(
+            f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) + 0.0 AS r FROM {GAPPY_EVENTS} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+            for a in ["value", "user_id", "event_id"]
+            for b in ["value", "user_id", "event_id"]
+        ),
+    ),
     "skew_kurtosis": Query(
         lambda s, d: rounded(
             profile.skew_kurtosis(table(s, d, "lineitem"), ["l_extendedprice", "l_discount"]), 5, "skewness", "kurtosis"
@@ -389,6 +409,7 @@ QUERIES = {
     "downcast": Query(
         downcast, "SELECT CAST(doc_id AS INTEGER) AS doc_id, quality <> 0 AS quality, toxic <> 0 AS toxic FROM labels"
     ),
+    "impute_ffill_hot_keys": Query(impute_hot_keys, HOT_KEYS_SQL),
     "impute_drop": Query(_impute("drop"), f"SELECT event_id, round(value, 4) + 0.0 AS value FROM {GAPPY_EVENTS} WHERE value IS NOT NULL"),
     "impute_value": Query(_impute("specific_value", value=12.5), _constant_fill_sql("12.5")),
     "impute_mean": Query(_impute("mean"), _constant_fill_sql(f"SELECT avg(value) FROM {GAPPY_EVENTS}")),
@@ -427,6 +448,10 @@ QUERIES = {
         f"""SELECT c_custkey, dense_rank() OVER (ORDER BY coalesce(c_mktsegment, 'nan')) - 1 AS c_mktsegment,
         dense_rank() OVER (ORDER BY c_nationkey NULLS LAST) - 1 AS c_nationkey FROM {GAPPY_CUSTOMER}""",
     ),
+    "encode_label_text": Query(
+        lambda s, d: encode.encode(table(s, d, "documents").select("doc_id", "text"), ["text"], "label"),
+        "SELECT doc_id, dense_rank() OVER (ORDER BY coalesce(text, 'nan')) - 1 AS text FROM documents",
+    ),
     "encode_ordinal": Query(
         encode_columns(["c_mktsegment", "c_nationkey"], "ordinal", ["c_custkey", "c_mktsegment", "c_nationkey"]),
         f"""SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY coalesce(c_mktsegment, 'nan')) - 1 AS DOUBLE) AS c_mktsegment,
