@@ -16,9 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.columns import bucket_of, constant_array, missing_as_null, number, order_number, quoted
+from millrace.operators.quantiles import BRACKET, MAX_BETWEEN, SKETCH_ACCURACY
+from millrace.operators.shape import bounded
 from millrace.session import materialise
 
 MAX_BUCKETS = 4096
+#: Groups of at most so many rows are held whole.
+FEW_ROWS = 2000
+#: Values of small groups that one aggregate may hold in all.
+MAX_HELD = 1_000_000
 ROWS_PER_BUCKET = 1_000_000
 THRESHOLD_ACCURACY = 20000
 #: Parts that the rows of one value can be cut into.
@@ -142,12 +148,65 @@ def grouped_quantiles(
 ) -> DataFrame:
     """Exact quantiles of ``value`` per group: keys, n and q0, q1, … in the order given.
 
-    Rows are counted per distinct value first; only the buckets that hold a
-    wanted rank are then sorted, so a group that owns most rows is spread over
-    all buckets.
+    Where the table of groups is small enough to broadcast, a sketch per group brackets every
+    wanted rank and a second scan picks it among the few rows inside, as for
+    whole columns: both scans combine before the shuffle. With more groups, or groups too large
+    for that, rows are counted per distinct value.
     """
     probabilities = list(probabilities)
     keyed = df.select(*keys, number(df, value).alias("_v")).where("_v is not null")
+    found = _bracketed_quantiles(keyed, keys, probabilities)
+    return found if found is not None else _counted_quantiles(keyed, keys, probabilities)
+
+
+def _bracketed_quantiles(keyed: DataFrame, keys: Sequence[str], probabilities: list[float]) -> DataFrame | None:
+    """Quantiles by a bracket per group, in two scans; None where groups are too many or too large, or a bracket misses."""
+    ends = sorted({min(1.0, max(0.0, p + s)) for p in probabilities for s in (-BRACKET, BRACKET)})
+    groups = keyed.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", constant_array(ends), SKETCH_ACCURACY).alias("_ends"),
+    )
+    groups, small = bounded(groups)
+    most = groups.agg(F.max("n"), F.sum(F.least("n", F.lit(FEW_ROWS)))).first()
+    if not small or most[0] is not None and (4 * most[0] * (BRACKET + 1 / SKETCH_ACCURACY) > MAX_BETWEEN or most[1] > MAX_HELD):
+        return None
+    low, high = {}, {}
+    for i, p in enumerate(probabilities):
+        few = F.col("n") <= FEW_ROWS
+        low[f"_low{i}"] = F.when(few | F.lit(p <= BRACKET), F.col("_min")).otherwise(F.get("_ends", F.lit(ends.index(max(0.0, p - BRACKET)))))
+        high[f"_high{i}"] = F.when(few | F.lit(p >= 1 - BRACKET), F.col("_max")).otherwise(F.get("_ends", F.lit(ends.index(min(1.0, p + BRACKET)))))
+    v, aggregates = F.col("_v"), []
+    for i in range(len(probabilities)):
+        a, b = F.col(f"_low{i}"), F.col(f"_high{i}")
+        aggregates += [
+            F.count_if(v < a).alias(f"_below{i}"), F.count_if(v == a).alias(f"_on{i}"), F.max(a).alias(f"_a{i}"), F.max(b).alias(f"_b{i}"),
+            F.array_sort(F.collect_list(F.when((v > a) & (v < b), v))).alias(f"_in{i}"), F.count_if((v == b) & (b > a)).alias(f"_top{i}"),
+        ]
+    near = keyed.join(F.broadcast(groups.withColumns({**low, **high}).drop("_ends", "_min", "_max")), list(keys))
+    counted = near.groupBy(*keys).agg(F.max("n").alias("n"), *aggregates)
+    picked = {}
+    for i, p in enumerate(probabilities):
+        place = (F.col("n") - 1) * F.lit(float(p))
+        below, on, inner, top = (F.col(f"_{name}{i}") for name in ("below", "on", "in", "top"))
+
+        def at(rank: Column, i=i, below=below, on=on, inner=inner, top=top) -> Column:
+            start = below + on
+            return (
+                F.when((rank >= below) & (rank < start), F.col(f"_a{i}"))
+                .when((rank >= start) & (rank < start + F.size(inner)), F.get(inner, (rank - start).cast("int")))
+                .when((rank >= start + F.size(inner)) & (rank < start + F.size(inner) + top), F.col(f"_b{i}"))
+            )
+
+        first, second, weight = at(F.floor(place)), at(F.ceil(place)), place - F.floor(place)
+        picked[f"q{i}"] = F.when(weight == 0, first).otherwise(first + (second - first) * weight)
+    result, _ = bounded(counted.select(*keys, "n", *[c.alias(name) for name, c in picked.items()]))
+    missed = result.where(" or ".join(f"q{i} is null" for i in range(len(probabilities))))
+    return result if missed.isEmpty() else None
+
+
+def _counted_quantiles(keyed: DataFrame, keys: Sequence[str], probabilities: list[float]) -> DataFrame:
+    """Rows are counted per distinct value first; only the buckets that hold a wanted rank are
+    then sorted, so a group that owns most rows is spread over all buckets."""
     limits = sorted(set(thresholds(keyed, {"v": F.col("_v")})["v"]))
     counts = (
         keyed.groupBy(*keys, "_v")

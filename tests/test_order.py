@@ -48,7 +48,11 @@ def test_quantile_property(spark, values, p):
     assert quantiles.exact_quantiles(df, ["v"], [p])["v"][p] == pytest.approx(expected, rel=1e-9, abs=1e-9)
 
 
-def test_grouped_quantiles(skewed):
+@pytest.mark.parametrize("few", [rank.FEW_ROWS, 10])
+@pytest.mark.parametrize("most", [rank.MAX_HELD, 0])
+def test_grouped_quantiles(skewed, monkeypatch, few, most):
+    monkeypatch.setattr(rank, "FEW_ROWS", few)
+    monkeypatch.setattr(rank, "MAX_HELD", most)
     df, pdf = skewed
     expected = pdf.groupby("g").v.quantile([0.1, 0.5, 0.9]).unstack()
     for r in rank.grouped_quantiles(df, ["g"], "v", [0.1, 0.5, 0.9]).collect():
