@@ -111,9 +111,8 @@ def _validate_sql(source: str, ds: str) -> str:
 
 
 def _forecast(spark: SparkSession, folder: str) -> timeseries.Forecast:
-    # 20 trees keep the query short; the operator's own default is 200
     orders = table(spark, folder, "orders")
-    return timeseries.forecast(orders, "o_orderdate", "o_totalprice", 30, "D", "mean", ["o_orderkey"], maxIter=20)
+    return timeseries.forecast(orders, "o_orderdate", "o_totalprice", 30, "D", "mean", ["o_orderkey"])
 
 
 def ts_forecast(spark: SparkSession, folder: str) -> DataFrame:
