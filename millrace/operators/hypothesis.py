@@ -19,6 +19,7 @@ from millrace.functions.tails import (
 )
 from millrace.operators.rank import grouped_quantiles, ranked
 from millrace.operators.shape import with_group_numbers
+from millrace.session import materialise
 
 ALPHA = 0.05
 #: Where the method is left open: the group size up to which the exact law is used, the size of its table, and pairs.
@@ -259,7 +260,7 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    cells = contingency_cells(df, a, b)
+    cells = materialise(contingency_cells(df, a, b))
     rows = cells.groupBy("a").agg(F.sum("observed").alias("row_total"))
     columns = cells.groupBy("b").agg(F.sum("observed").alias("column_total"))
     total = cells.agg(F.sum("observed").alias("n"))

@@ -21,7 +21,9 @@ from millrace.functions.columns import number
 
 SKETCH_ACCURACY = 10000
 BRACKET = 2e-4
-MAX_BETWEEN = 200_000
+MAX_BETWEEN, LEAST_BETWEEN = 200_000, 1000
+#: Targets that may use all of MAX_BETWEEN each; more of them share as much room.
+SHARED = 12
 FEW_ROWS = 20_000
 MAX_ROUNDS = 50
 
@@ -38,6 +40,7 @@ class _Target:
     high: float
     bracket: float = BRACKET
     most_between: float = 0
+    limit: int = 0
     below: int = 0
     on_low: int = 0
     between: int = 0
@@ -50,7 +53,7 @@ class _Target:
 
     @property
     def fits(self) -> bool:
-        return self.most_between <= MAX_BETWEEN
+        return self.most_between <= self.limit
 
     def expect(self, rows: int) -> None:
         """Twice the sketch's error bound: no more rows than this lie between the ends."""
@@ -103,12 +106,15 @@ def exact_quantiles(
                 target.widen()
             targets.append(target)
 
+    # the values between the ends of all brackets meet in one aggregate buffer: the targets share its room
+    for t in targets:
+        t.limit = max(min(MAX_BETWEEN, LEAST_BETWEEN), MAX_BETWEEN * SHARED // max(SHARED, len(targets)))
     for _ in range(MAX_ROUNDS):
         pending = [t for t in targets if t.result is None]
         if not pending:
             break
         _count(data, names, pending)
-        _narrow(data, names, [t for t in pending if t.result is None and t.between > MAX_BETWEEN])
+        _narrow(data, names, [t for t in pending if t.result is None and t.between > t.limit])
     else:
         raise RuntimeError("the quantile search did not settle")
 

@@ -144,6 +144,9 @@ def _wilcoxon_sql(digits: int = 5) -> str:
     (SELECT count(*) AS n_pairs FROM lineitem)"""
 
 
+GAPPY_LINES = "(SELECT l_discount, CASE WHEN l_orderkey % 7 <> 0 THEN l_tax END AS l_tax FROM lineitem) gaps"
+
+
 def _chi_sql(source: str, a: str, b: str, digits: int = 5) -> str:
     return f"""WITH cells AS (SELECT {a} AS a, {b} AS b, count(*) AS o FROM {source} GROUP BY 1, 2),
       r AS (SELECT a, sum(o) AS rt FROM cells GROUP BY 1), c AS (SELECT b, sum(o) AS ct FROM cells GROUP BY 1),
@@ -313,6 +316,13 @@ QUERIES = {
     "wilcoxon": Query(
         lambda s, d: rounded(hypothesis.wilcoxon(_lines(s, d), "l_discount", "l_tax").drop("p_value"), 5, "z"), _wilcoxon_sql()
     ),
+    "wilcoxon_gaps": Query(
+        lambda s, d: rounded(
+            hypothesis.wilcoxon(_lines(s, d).withColumn("l_tax", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_tax"))), "l_discount", "l_tax").drop("p_value"),
+            5, "z",
+        ),
+        _wilcoxon_sql().replace("count(*) AS n_pairs", "count(l_tax) AS n_pairs").replace("FROM lineitem", f"FROM {GAPPY_LINES}"),
+    ),
     "chi_square": Query(_chi("orders", "o_orderpriority", "o_orderstatus"), _chi_sql("orders", "o_orderpriority", "o_orderstatus")),
     "chi_square_sparse": Query(_chi("part", "p_brand", "p_size"), _chi_sql("part", "p_brand", "p_size")),
     "chi_square_2x2": Query(_chi("labels", "quality", "toxic"), _chi_sql("labels", "quality", "toxic")),

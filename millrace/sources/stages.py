@@ -1,13 +1,17 @@
-"""Named stages of one preparation run, kept as temporary views."""
+"""Named stages of one preparation run, stored and kept as temporary views."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.session import materialise
+
 ORDER = ["df", "df_cleaned", "df_processed", "df_encoded", "df_scaled"]
 
 
-def put(name: str, df: DataFrame) -> DataFrame:
+def put(name: str, df: DataFrame, keep: bool = True) -> DataFrame:
+    """Name a stage. It is stored in the shared folder, so later stages do not compute it again, unless ``keep`` is off."""
+    df = materialise(df) if keep else df
     df.createOrReplaceTempView(name)
     return df
 
