@@ -82,13 +82,13 @@ FROM b JOIN s USING (g), p GROUP BY g, i, x"""
 
 def histogram_kde(spark: SparkSession, folder: str) -> DataFrame:
     parts = chartdata.histogram_kde(table(spark, folder, "events"), "value")
-    bars = rounded(parts["histogram"].select(F.lit("histogram").alias("part"), F.col("left").alias("at"), "density"), 5, "at")
-    curve = rounded(parts["kde"].select(F.lit("kde").alias("part"), F.col("value").alias("at"), "density"), 6, "at")
-    return rounded(bars.unionByName(curve), 7, "density")
+    bars = parts["histogram"].select(F.lit("histogram").alias("part"), F.col("left").alias("at"), "density")
+    curve = parts["kde"].select(F.lit("kde").alias("part"), F.col("value").alias("at"), "density")
+    return rounded(rounded(bars, 5, "at"), 8, "density").unionByName(rounded(rounded(curve, 6, "at"), 7, "density"))
 
 
 ONE_GROUP = VIOLIN_SQL.replace("event_type AS g", "'all' AS g")
-HISTOGRAM_KDE_SQL = f"""SELECT 'histogram' AS part, "left" AS at, round(density, 7) AS density FROM ({_histogram_sql("events", "value", 30)})
+HISTOGRAM_KDE_SQL = f"""SELECT 'histogram' AS part, "left" AS at, density FROM ({_histogram_sql("events", "value", 30)})
     UNION ALL SELECT 'kde', value, density FROM ({ONE_GROUP})"""
 
 
