@@ -48,8 +48,8 @@ SPACE, MARK = " ", "▁"
 #: Stands for a mark that the text itself has, which must not be read as a space.
 OWN_MARK = 0x110000
 UNIT = 63
-#: Bytes of text that are segmented at a time.
-BATCH = 2 << 20
+#: Bytes of text that are segmented, and ids that are decoded, at a time.
+BATCH, IDS = 3 << 19, 1 << 20
 #: The largest Gumbel that a uniform number of 53 bits gives, and the log probability below which siblings are not
 #: drawn at first: they could only matter if the last bound needed were below their difference, -4.
 LARGEST_GUMBEL = 37.0
@@ -479,14 +479,21 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64))])
-            # The pieces laid end to end are the texts laid end to end.
-            pieces = spelled.take(lists.flatten())
-            place = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1)
-            cut = pa.py_buffer(place[bounds].tobytes())
-            text = pa.LargeStringArray.from_buffers(len(lists), cut, pieces.buffers()[2]).cast(pa.string())
-            text = pc.if_else(pc.is_valid(lists), text, None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), text], names=schema.names)
+            size = np.asarray(pc.fill_null(pc.list_value_length(batch.column(batch.schema.get_field_index(ids))), 0), np.int64)
+            run_of = np.cumsum(size) // IDS
+            cuts = np.concatenate([[0], np.nonzero(np.diff(run_of))[0] + 1, [len(size)]])
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield spell(batch.slice(start, end - start), size[start:end])
+
+    def spell(batch: pa.RecordBatch, size: np.ndarray) -> pa.RecordBatch:
+        lists = batch.column(batch.schema.get_field_index(ids))
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        # The pieces laid end to end are the texts laid end to end.
+        pieces = spelled.take(lists.flatten())
+        place = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1)
+        cut = pa.py_buffer(place[bounds].tobytes())
+        text = pa.LargeStringArray.from_buffers(len(lists), cut, pieces.buffers()[2]).cast(pa.string())
+        text = pc.if_else(pc.is_valid(lists), text, None)
+        return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), text], names=schema.names)
 
     return encoded.mapInArrow(run, schema)
