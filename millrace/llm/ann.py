@@ -10,7 +10,8 @@ columns. After each block a candidate is dropped if its partial distance,
 scaled up to all columns, is beyond the best distances found so far by more
 than chance explains: the hypothesis that it is still among the best is rejected
 at ``DEVIATIONS`` standard deviations. Survivors are scored exactly, in double precision on
-the original vectors.
+the original vectors. What a query must beat from the start is a product that more
+than enough entries of the sample in its lists reach, which are candidates themselves.
 
 Equal vectors are one entry with its smallest identifiers: any query can only
 want so many of them. So a vector that a third of all rows share costs as much as
@@ -42,6 +43,8 @@ BLOCK = 16
 DEVIATIONS = 2.1
 #: Vectors per chunk of a list, queries per block, candidates that are measured in full first.
 CHUNK, QUERIES, FIRST = 4096, 512, 64
+#: Entries of the sample that give each query its first bound.
+BOUND = 8192
 #: Components that a task holds while it merges equal vectors.
 HELD = 4 << 20
 
@@ -135,8 +138,22 @@ def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmin(norm - 2 * x[i : i + 4096] @ centroids.T, axis=1) for i in range(0, len(x), 4096)])
 
 
-def scan(query: np.ndarray, turned: np.ndarray, vectors: np.ndarray, blocks: list[np.ndarray], nodes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a chunk for one query: their places and inner products, best first, ties by node.
+def bounds(queries: np.ndarray, sample: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """A product that at least k entries reach which the query will meet; -inf if it meets fewer of the sample.
+
+    ``near`` tells for each query and entry of the sample whether the entry's list is looked through.
+    """
+    if len(sample) < k:
+        return np.full(len(queries), -np.inf)
+    slack = 1e-12 * np.sqrt((queries**2).sum(axis=1)) * np.sqrt((sample**2).sum(axis=1).max())
+    products = np.where(near, queries @ sample.T, -np.inf)
+    return np.partition(products, len(sample) - k, axis=1)[:, len(sample) - k] - slack
+
+
+def scan(
+    query: np.ndarray, turned: np.ndarray, bound: float, largest: float, vectors: np.ndarray, blocks: list[np.ndarray], nodes: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of a chunk for one query that reach ``bound``: places and inner products, best first, ties by node.
 
     ``blocks`` are the rotated vectors in blocks of columns.
     """
@@ -144,14 +161,18 @@ def scan(query: np.ndarray, turned: np.ndarray, vectors: np.ndarray, blocks: lis
     left = np.arange(n)
     if n > max(FIRST, k):
         cuts = np.cumsum([0] + [b.shape[1] for b in blocks])
-        full = sum(((b[:FIRST] - turned[s:e]) ** 2).sum(axis=1) for b, s, e in zip(blocks, cuts, cuts[1:], strict=False))
-        limit = np.partition(full, k - 1)[k - 1]
+        limit = (query**2).sum() + largest - 2 * bound
+        if limit == np.inf:
+            full = sum(((b[:FIRST] - turned[s:e]) ** 2).sum(axis=1) for b, s, e in zip(blocks, cuts, cuts[1:], strict=False))
+            limit = np.partition(full, k - 1)[k - 1]
         part = np.zeros(n)
         for b, s, e in zip(blocks[:-1], cuts, cuts[1:], strict=False):
             part = part + ((b[left] - turned[s:e]) ** 2).sum(axis=1)
             stay = part * (dim / e) <= limit * (1 + DEVIATIONS / math.sqrt(e)) ** 2
             left, part = left[stay], part[stay]
     product = (vectors[left] * query).sum(axis=1)
+    inside = product >= bound
+    left, product = left[inside], product[inside]
     if len(left) > k:
         worst = np.partition(-product, k - 1)[k - 1]
         inside = -product <= worst
@@ -184,7 +205,9 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k
     sample = nodes.where(chosen).select("node", "vector").orderBy("node").toPandas()
     if not len(sample):
         sample = nodes.select("node", "vector").orderBy("node").limit(1).toPandas()
-    index = fit(np.stack(sample["vector"].to_numpy()), total, largest, k)
+    sample = np.stack(sample["vector"].to_numpy())
+    index, first = fit(sample, total, largest, k), sample[:BOUND]
+    first_list = _nearest(index.turned(first), index.centroids)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -200,42 +223,47 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                order = np.argsort(index.far(index.turned(np.stack(frame["vector"].to_numpy()), True)), axis=1, kind="stable")
+                x = np.stack(frame["vector"].to_numpy())
+                order = np.argsort(index.far(index.turned(x, True)), axis=1, kind="stable")
                 held = np.cumsum(sizes[order], axis=1)
                 # As many lists as measured, and more where those hold too few vectors.
                 count = np.maximum(index.probes, (held < 4 * (k + 1)).sum(axis=1) + 1).clip(max=order.shape[1])
                 row = np.repeat(np.arange(len(frame)), count)
                 at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                yield frame.iloc[row].assign(list=order[row, at].astype(np.int32))
+                rank = np.argsort(order, axis=1)
+                parts = range(0, len(x), 256)
+                bound = [bounds(x[i : i + 256], first, rank[i : i + 256][:, first_list] < count[i : i + 256, None], 2 * (k + 1)) for i in parts]
+                yield frame.assign(bound=np.concatenate(bound)).iloc[row].assign(list=order[row, at].astype(np.int32))
 
-    probes = stored(nodes.where("asks").select("vector", "node").mapInPandas(probe, "vector array<double>, node long, list int"), "probes")
+    asking = nodes.where("asks").select("vector", "node")
+    probes = stored(asking.mapInPandas(probe, "vector array<double>, node long, bound double, list int"), "probes")
     cut = lambda df, n: df.groupBy("list").agg(F.ceil(F.count("*") / n).cast("int").alias("cuts"))
     chunks = cut(listed, CHUNK).withColumnRenamed("cuts", "chunks").join(cut(probes, QUERIES).withColumnRenamed("cuts", "blocks"), "list")
     chunks = stored(chunks, "chunks")
     every_block = F.sequence(F.lit(0), F.col("blocks") - 1)
     every_chunk = F.sequence(F.lit(0), F.col("chunks") - 1)
     held = listed.join(chunks, "list").select("vector", "ids", "node", "list", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.explode(every_block).alias("block"))
-    want = probes.join(chunks, "list").select("vector", "node", "list", F.explode(every_chunk).alias("chunk"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    want = probes.join(chunks, "list").select("vector", "node", "bound", "list", F.explode(every_chunk).alias("chunk"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
 
     def look(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(held):
-            return pd.DataFrame({"node": pd.Series(dtype="int64"), "found": pd.Series(dtype=object)})
+            return pd.DataFrame({"node": [], "far": [], "id": []})
         held = held.sort_values("node")
         x, q = np.stack(held["vector"].to_numpy()), np.stack(queries["vector"].to_numpy())
-        turned, q_turned = index.turned(x), index.turned(q, True)
+        turned, q_turned, bound = index.turned(x), index.turned(q, True), queries["bound"].to_numpy()
         blocks = [np.ascontiguousarray(turned[:, i : i + BLOCK]) for i in range(0, turned.shape[1], BLOCK)]
         ids, nodes = held["ids"].to_numpy(), held["node"].to_numpy()
-        found = []
-        for i in range(len(q)):
-            at, product = scan(q[i], q_turned[i], x, blocks, nodes, min(k + 1, len(x)))
-            found.append([{"far": -float(p), "ids": ids[j].tolist()} for j, p in zip(at.tolist(), product.tolist(), strict=True)])
-        return pd.DataFrame({"node": queries["node"].to_numpy(), "found": found})
+        found = [scan(q[i], q_turned[i], bound[i], index.largest, x, blocks, nodes, min(k + 1, len(x))) for i in range(len(q))]
+        count = [len(at) for at, _ in found]
+        at = np.concatenate([at for at, _ in found])
+        asked, far = np.repeat(queries["node"].to_numpy(), count), -np.concatenate([product for _, product in found])
+        each = np.fromiter((len(ids[i]) for i in at.tolist()), np.int64, len(at))
+        flat = np.concatenate([ids[i] for i in at.tolist()]) if len(at) else np.empty(0, np.int64)
+        return pd.DataFrame({"node": np.repeat(asked, each), "far": np.repeat(far, each), "id": flat})
 
     by = ["list", "chunk", "block"]
-    found = want.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(look, "node long, found array<struct<far:double,ids:array<long>>>")
-    best = found.groupBy("node").agg(F.flatten(F.collect_list("found")).alias("found"))
-    pairs = F.flatten(F.transform("found", lambda f: F.transform(f["ids"], lambda i: F.struct(f["far"].alias("far"), i.alias("id")))))
-    best = best.select("node", F.slice(F.array_sort(pairs), 1, k + 1).alias("best"))
+    found = want.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(look, "node long, far double, id long")
+    best = found.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "id"))), 1, k + 1).alias("best"))
     results = stored(best.join(nodes.where("asks").select("node", "vector"), "node").select("vector", "best"), "best")
     each = asked.join(results, "vector").select(F.explode(F.array_distinct("queries")).alias("query_id"), "best")
     others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
