@@ -1,11 +1,10 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Every n-gram of a document's words counts once per document, hashed to a bucket.
-Over all labelled training documents Spark counts in how many toxic and other documents a
-bucket occurs. A bucket's feature value is its log-count ratio; buckets whose
-two rates do not differ clearly get none. The weights on these values are a
-logistic regression, fitted on at most about ``FIT_ROWS`` labelled documents drawn by a
-hash of their identifier.
+Over the training documents Spark counts in how many toxic and other ones a bucket occurs. A bucket's feature value is its log-count ratio; only the ``CHOSEN`` buckets whose
+two rates differ most clearly get one. The weights on these values are a logistic
+regression. Both are fitted on at most about ``FIT_ROWS`` labelled documents, drawn by a hash of
+their identifier, so that only their texts have to meet their labels.
 """
 
 from __future__ import annotations
@@ -24,8 +23,8 @@ from millrace.llm.letters import letter_codes
 
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 20
-#: Documents that the weights are fitted on. A bound, in expectation; the counts cover all.
-FIT_ROWS = 20_000
+#: Labelled documents that the classifier is fitted on (a bound, in expectation), and buckets with a value.
+FIT_ROWS, CHOSEN = 20_000, 4096
 #: Pseudo count of the ratios; documents a bucket needs; standard errors by which its rates must differ.
 SMOOTH, LEAST, CLEAR = 1.0, 5, 4.0
 RIDGE, STEPS = 1e-4, 300
@@ -109,8 +108,8 @@ def _rows(labelled: DataFrame, chosen: np.ndarray) -> DataFrame:
 def _logistic(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient steps on all rows."""
     size = np.fromiter(map(len, rows), np.int64, len(rows))
-    at = np.concatenate(rows).astype(np.int64) if len(rows) else np.empty(0, np.int64)
-    row, x = np.repeat(np.arange(len(rows)), size), scale[at]
+    at = np.concatenate(rows).astype(np.int32) if len(rows) else np.empty(0, np.int32)
+    row, x = np.repeat(np.arange(len(rows), dtype=np.int32), size), scale[at]
     norm = np.bincount(row, x * x, len(rows)) + 1.0
     step = 4.0 / max(1.0, float(np.quantile(norm, 0.9)))
     share = np.clip(label.mean(), 1e-6, 1 - 1e-6)
@@ -128,7 +127,7 @@ def _logistic(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray) -> t
 
 
 def fit(labelled: DataFrame) -> Linear:
-    """Fit on ``labelled``: columns doc_id, label (0 or 1) and text. Without both labels the score is the label, or 0."""
+    """Fit on ``labelled``, a bounded table: columns label (0 or 1) and text. Without both labels the score is the label, or 0."""
     none = np.empty(0, np.int64)
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
@@ -137,16 +136,15 @@ def fit(labelled: DataFrame) -> Linear:
     rate_t, rate_o = F.col("toxic") / toxic, F.col("other") / other
     pooled = (F.col("toxic") + F.col("other")) / (toxic + other)
     error = F.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / other))
-    clear = (F.col("toxic") + F.col("other") >= LEAST) & (F.abs(rate_t - rate_o) > CLEAR * error)
+    gap = F.coalesce(F.abs(rate_t - rate_o) / F.nullif(error, F.lit(0.0)), F.lit(0.0))
+    clear = (F.col("toxic") + F.col("other") >= LEAST) & (gap > CLEAR)
     grouped = stored(counts(labelled), "ratios")
     all_t, all_o, n = grouped.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("other"), F.lit(0)), F.count("*")).first()
     ratio = F.log((F.col("toxic") + SMOOTH) / (all_t + SMOOTH * n)) - F.log((F.col("other") + SMOOTH) / (all_o + SMOOTH * n))
-    found = grouped.where(clear).select("bucket", ratio.alias("ratio")).orderBy("bucket").toPandas()
+    best = grouped.where(clear).orderBy(gap.desc(), "bucket").limit(CHOSEN)
+    found = best.select("bucket", ratio.alias("ratio")).toPandas().sort_values("bucket")
     chosen, scale = found["bucket"].to_numpy(np.int64), found["ratio"].to_numpy(float)
-    parts = 1 << 20
-    part = int(min(1.0, FIT_ROWS / (toxic + other)) * parts)
-    sample = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(parts)) < part)
-    got = _rows(sample, chosen).toPandas()
+    got = _rows(labelled, chosen).toPandas()
     label = got["label"].to_numpy(float)
     if not len(label) or label.min() == label.max():
         return Linear(chosen, scale, float(np.log(toxic / other)))
@@ -182,6 +180,9 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     once each. Other columns are not read.
     """
     given = labels.select(F.col(key).alias("doc_id"), F.col(label).alias("label")).where(F.col("label").isin(0, 1) & ~held_out(0, 5))
-    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    model = fit(texts.join(given, "doc_id").select("doc_id", "label", "text"))
+    parts = 1 << 20
+    part = int(min(1.0, FIT_ROWS / max(1, given.count())) * parts)
+    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(parts)) < part
+    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).where(drawn)
+    model = fit(stored(texts.join(given.where(drawn), "doc_id").select("label", "text"), "labelled"))
     return score(docs, model, key, text).select("doc_id", held_out(0, 5).alias("held_out"), "score", "predicted")
