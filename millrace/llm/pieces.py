@@ -49,7 +49,7 @@ SPACE, MARK = " ", "▁"
 OWN_MARK = 0x110000
 UNIT = 63
 #: Bytes of text that are segmented, and ids that are decoded, at a time.
-BATCH, IDS = 3 << 19, 1 << 20
+BATCH, IDS = 1 << 20, 1 << 19
 #: The largest Gumbel that a uniform number of 53 bits gives, and the log probability below which siblings are not
 #: drawn at first: they could only matter if the last bound needed were below their difference, -4.
 LARGEST_GUMBEL = 37.0
@@ -467,6 +467,7 @@ def encode(docs: DataFrame, model: str, samples: int = 2, seed: int = 1, key: st
                     names=schema.names,
                 )
                 yield out.filter(pa.array(x["alive"]))
+            del search, x, ids, lists, out  # before the next batch is segmented
 
     return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, schema)
 
