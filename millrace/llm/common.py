@@ -8,21 +8,22 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.session import shared_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, schema: T.StructType | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder of the cluster and go on from the files.
 
     The files outlive lost executors and cut the lineage, and what was computed
-    once stays as it was computed.
+    once stays as it was computed. ``schema`` reads the files as other types of the same form.
     """
     folder = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(folder)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Every n-gram of a document's words counts once per document, hashed to a bucket.
-Over the training documents Spark counts in how many toxic and other ones a bucket occurs. A bucket's feature value is its log-count ratio; only the ``CHOSEN`` buckets whose
-two rates differ most clearly get one. The weights on these values are a logistic
+Over the training documents Spark counts in how many toxic and other ones a bucket occurs. A bucket's feature value is its
+log-count ratio; every bucket whose two rates differ clearly gets one. The weights on these values are a logistic
 regression. Both are fitted on at most about ``FIT_ROWS`` labelled documents, drawn by a hash of
 their identifier, so that only their texts have to meet their labels.
 """
@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +25,8 @@ from millrace.llm.letters import letter_codes
 
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 20
-#: Labelled documents that the classifier is fitted on (a bound, in expectation), and buckets with a value.
-FIT_ROWS, CHOSEN = 20_000, 4096
+#: Labelled documents that the classifier is fitted on by default. A bound, in expectation.
+FIT_ROWS = 20_000
 #: Pseudo count of the ratios; documents a bucket needs; standard errors by which its rates must differ.
 SMOOTH, LEAST, CLEAR = 1.0, 5, 4.0
 RIDGE, STEPS = 1e-4, 300
@@ -88,8 +90,12 @@ class Linear:
         return out
 
 
-def _rows(labelled: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """label and the chosen buckets of each row, by their place in ``chosen``."""
+#: A sparse vector as Parquet holds it, in the fields of VectorUDT.
+SPARSE = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+
+
+def _vectors(labelled: DataFrame, chosen: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """label and, as a sparse vector by place in ``chosen``, the ratios of the chosen buckets of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(BUCKETS, -1, np.int32)
@@ -98,32 +104,15 @@ def _rows(labelled: DataFrame, chosen: np.ndarray) -> DataFrame:
             bucket, text = buckets(batch.column(1))
             use = place[bucket] >= 0
             bucket, text = _once(bucket[use], text[use])
-            bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(place[bucket], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["label", "at"])
-
-    return labelled.select(F.col("label").cast("long"), "text").mapInArrow(run, "label long, at array<int>")
-
-
-def _logistic(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated gradient steps on all rows."""
-    size = np.fromiter(map(len, rows), np.int64, len(rows))
-    at = np.concatenate(rows).astype(np.int32) if len(rows) else np.empty(0, np.int32)
-    row, x = np.repeat(np.arange(len(rows), dtype=np.int32), size), scale[at]
-    norm = np.bincount(row, x * x, len(rows)) + 1.0
-    step = 4.0 / max(1.0, float(np.quantile(norm, 0.9)))
-    share = np.clip(label.mean(), 1e-6, 1 - 1e-6)
-    w, b = np.zeros(len(scale)), float(np.log(share / (1 - share)))
-    look, look_b = w.copy(), b
-    for i in range(STEPS):
-        z = np.bincount(row, look[at] * x, len(rows)) + look_b
-        gap = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - label) / len(rows)
-        new = look - step * (np.bincount(at, gap[row] * x, len(scale)) + RIDGE * look)
-        new_b = look_b - step * gap.sum()
-        momentum = i / (i + 3)
-        look, look_b = new + momentum * (new - w), new_b + momentum * (new_b - b)
-        w, b = new, new_b
-    return w, b
+            at, rows = place[bucket], batch.num_rows
+            bounds = pa.array(np.searchsorted(text, np.arange(rows + 1)), pa.int32())
+            parts = [pa.array(np.zeros(rows, np.int8)), pa.array(np.full(rows, len(chosen), np.int32))]
+            parts += [pa.ListArray.from_arrays(bounds, pa.array(v)) for v in (at, scale[at])]
+            vector = pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), vector], ["label", "features"])
+
+    rows = labelled.select(F.col("label").cast("double"), "text").mapInArrow(run, f"label double, features {SPARSE}")
+    return stored(rows, "vectors", T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())]))
 
 
 def fit(labelled: DataFrame) -> Linear:
@@ -136,20 +125,17 @@ def fit(labelled: DataFrame) -> Linear:
     rate_t, rate_o = F.col("toxic") / toxic, F.col("other") / other
     pooled = (F.col("toxic") + F.col("other")) / (toxic + other)
     error = F.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / other))
-    gap = F.coalesce(F.abs(rate_t - rate_o) / F.nullif(error, F.lit(0.0)), F.lit(0.0))
-    clear = (F.col("toxic") + F.col("other") >= LEAST) & (gap > CLEAR)
+    clear = (F.col("toxic") + F.col("other") >= LEAST) & (F.abs(rate_t - rate_o) > CLEAR * error)
     grouped = stored(counts(labelled), "ratios")
     all_t, all_o, n = grouped.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("other"), F.lit(0)), F.count("*")).first()
     ratio = F.log((F.col("toxic") + SMOOTH) / (all_t + SMOOTH * n)) - F.log((F.col("other") + SMOOTH) / (all_o + SMOOTH * n))
-    best = grouped.where(clear).orderBy(gap.desc(), "bucket").limit(CHOSEN)
-    found = best.select("bucket", ratio.alias("ratio")).toPandas().sort_values("bucket")
-    chosen, scale = found["bucket"].to_numpy(np.int64), found["ratio"].to_numpy(float)
-    got = _rows(labelled, chosen).toPandas()
-    label = got["label"].to_numpy(float)
-    if not len(label) or label.min() == label.max():
-        return Linear(chosen, scale, float(np.log(toxic / other)))
-    w, b = _logistic(got["at"].tolist(), label, scale)
-    return Linear(chosen, w * scale, b)
+    found = grouped.where(clear).select("bucket", ratio.alias("ratio")).toArrow().sort_by("bucket")
+    chosen, scale = found["bucket"].to_numpy(), found["ratio"].to_numpy()
+    if not len(chosen):
+        return Linear(none, none.astype(float), float(np.log(toxic / other)))
+    regression = LogisticRegression(maxIter=STEPS, regParam=RIDGE, standardization=False, family="binomial")
+    model = regression.fit(_vectors(labelled, chosen, scale))
+    return Linear(chosen, model.coefficients.toArray() * scale, float(model.intercept))
 
 
 def score(docs: DataFrame, model: Linear, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,17 +157,17 @@ def score(docs: DataFrame, model: Linear, key: str = "doc_id", text: str = "text
     return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Labels are learnt only from rows whose crc32(doc_id) mod 5 is not 0. Null
     and empty texts have no n-grams and get the intercept's score. Null labels
     and labels other than 0 and 1 are passed over; several labels of a document count
-    once each. Other columns are not read.
+    once each. About ``fit_rows`` of them are drawn where there are more. Other columns are not read.
     """
     given = labels.select(F.col(key).alias("doc_id"), F.col(label).alias("label")).where(F.col("label").isin(0, 1) & ~held_out(0, 5))
     parts = 1 << 20
-    part = int(min(1.0, FIT_ROWS / max(1, given.count())) * parts)
+    part = int(min(1.0, fit_rows / max(1, given.count())) * parts)
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(parts)) < part
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).where(drawn)
     model = fit(stored(texts.join(given.where(drawn), "doc_id").select("label", "text"), "labelled"))

@@ -62,6 +62,47 @@ def test_toxicity_counts_documents(spark):
     assert all(got[b] == (2, 1) for b in bucket.tolist())
 
 
+def test_toxicity_values_every_clear_bucket(spark):
+    random_ = random.Random(6)
+    words = ["".join(random_.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(900)]
+    # Copies of one long document have the widest gaps, in far over 4,096 buckets; the toxic word's are narrower.
+    rows = [(0, " ".join(words))] * 60 + [(0, "plain")] * 40 + [(1, "rotten" if i % 2 else "plain") for i in range(60)]
+    labelled = spark.createDataFrame(rows, "label int, text string").repartition(4)
+    grouped, toxic, other = toxicity.counts(labelled).collect(), 60, 100
+    clear = set()
+    for r in grouped:
+        pooled = (r.toxic + r.other) / (toxic + other)
+        error = math.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / other))
+        if r.toxic + r.other >= toxicity.LEAST and abs(r.toxic / toxic - r.other / other) > toxicity.CLEAR * error:
+            clear.add(r.bucket)
+    model = toxicity.fit(labelled)
+    assert len(clear) > 8192 and set(model.buckets.tolist()) == clear
+    assert np.count_nonzero(model.values) == len(clear)
+    found = toxicity.score(spark.createDataFrame([(1, "rotten"), (2, "plain"), (3, " ".join(words))], "doc_id long, text string"), model)
+    score = {r.doc_id: r.score for r in found.collect()}
+    assert score[1] > 0.9 and score[3] < 0.1 and score[3] < score[2] < score[1]
+
+
+def test_toxicity_weights_minimise_the_penalised_loss(spark):
+    rows = [(i % 2, ("rotten " if i % 7 in (1, 3) else "") + ("sweet " if i % 5 in (0, 2) and i % 2 == 0 else "") + "word") for i in range(400)]
+    model = toxicity.fit(spark.createDataFrame(rows, "label int, text string").repartition(3))
+    import pyarrow as pa
+
+    bucket, text = toxicity._once(*toxicity.buckets(pa.array([t for _, t in rows], pa.string())))
+    z = np.bincount(text, model.table()[bucket], len(rows)) + model.intercept
+    gap = 1 / (1 + np.exp(-z)) - np.array([y for y, _ in rows])
+    assert len(model.buckets) and abs(gap.mean()) < 1e-3
+
+
+def test_toxicity_on_a_bound_sample(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    found = toxicity.classify(docs, labels, fit_rows=1000).join(labels, "doc_id").where("held_out").collect()
+    score, toxic = np.array([r.score for r in found]), np.array([r.toxic for r in found])
+    rank, n = np.argsort(np.argsort(score)), toxic.sum()
+    assert (rank[toxic == 1].sum() - n * (n - 1) / 2) / (n * (len(toxic) - n)) > 0.9
+
+
 @pytest.mark.parametrize("classify", [quality.classify, toxicity.classify])
 def test_classifiers_on_odd_rows(spark, classify):
     name = "quality" if classify is quality.classify else "toxic"
