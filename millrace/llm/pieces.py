@@ -2,8 +2,9 @@
 
 The lattice of a text has an edge for every vocabulary piece that spells a run
 of its characters; a character that no piece spells alone has an edge of byte
-pieces. Words (cut before a space, and after 63 characters without one)
-are lattices of their own, so a word that occurs often is built once per batch.
+pieces. Words are lattices of their own, so one that occurs often is built once per batch. A text is cut only where no
+piece can cross: before a run of spaces, which stays with the word behind it, and within
+a long word between two characters that stand next to each other in no piece.
 Forward probabilities of an edge given its start follow from sums over all
 ways to the word's end.
 
@@ -30,6 +31,7 @@ probability in proportion to 1 / (r + 3), as word frequencies have it.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,7 +49,10 @@ from millrace.llm.common import slices
 SPACE, MARK = " ", "▁"
 #: Stands for a mark that the text itself has, which must not be read as a space.
 OWN_MARK = 0x110000
+#: Characters beyond which a word is cut between characters that no piece joins, and its sums are run one by one.
 UNIT = 63
+#: Places of a long word whose edges are Python numbers at a time.
+RUN = 1 << 16
 #: Bytes of text that are segmented, and ids that are decoded, at a time.
 BATCH, IDS = 1 << 20, 1 << 19
 #: The largest Gumbel that a uniform number of 53 bits gives, and the log probability below which siblings are not
@@ -98,6 +103,11 @@ class Vocabulary:
         keys = np.array([(a << 21) + c for a, c in nodes], np.int64)
         return keys, np.array(list(nodes.values()), np.int32), np.array(piece, np.int32)
 
+    def joined(self) -> np.ndarray:
+        """The pairs of characters that stand next to each other in a piece, as sorted numbers first * 2^21 + second."""
+        pairs = {(ord(a) << 21) + ord(b) for text in self.texts if text for a, b in zip(text, text[1:], strict=False)}
+        return np.array(sorted(pairs), np.int64)
+
     def spelled(self) -> list[bytes]:
         """What each id stands for in a text."""
         out = [b"" if t is None else t.replace(MARK, SPACE).encode() for t in self.texts]
@@ -199,8 +209,9 @@ class Lattice:
         total = len(self.codes)
         beyond = np.full(total + 1, -np.inf)
         rest = np.zeros(total + 1)
-        by = np.argsort(to_end.astype(np.uint16), kind="stable")
-        bounds = np.searchsorted(to_end[by], np.arange(1, UNIT + 3))
+        near = np.minimum(to_end, UNIT + 2)
+        by = np.argsort(near.astype(np.uint16), kind="stable")
+        bounds = np.searchsorted(near[by], np.arange(1, UNIT + 3))
         for d in range(len(bounds) - 1):
             at = by[bounds[d] : bounds[d + 1]]
             sums, k = None, 0
@@ -217,6 +228,7 @@ class Lattice:
                 k += 1
                 left = left[count[left] > k]
             rest[at] = beyond[at]
+        self._sum_on(log_edge, rest, to_end)
         at = np.repeat(np.arange(total), count)
         end = to_end[at] == self.length
         self.log = log_edge + np.where(end, 0.0, rest[np.minimum(at + self.length, total)]) - rest[at]
@@ -230,6 +242,30 @@ class Lattice:
         self.run[self.first[1:] - 1] = 2.0
 
 
+    def _sum_on(self, log_edge: np.ndarray, rest: np.ndarray, to_end: np.ndarray) -> None:
+        """Carry the sums on, place by place, over words that are longer than the places summed together."""
+        for first, last in _runs(np.nonzero(to_end > UNIT + 1)[0]):
+            for end in range(last, first, -RUN):
+                start = max(first, end - RUN)
+                ahead, base = rest[start : min(last + UNIT + 1, end + 256)].tolist(), int(self.first[start])
+                bounds = (self.first[start : end + 1] - base).tolist()
+                edges = slice(base, base + bounds[-1])
+                length, log = self.length[edges].tolist(), log_edge[edges].tolist()
+                for i in range(end - start - 1, -1, -1):
+                    sums = [log[e] + ahead[i + length[e]] if i + length[e] < len(ahead) else log[e] for e in range(bounds[i], bounds[i + 1])]
+                    most = max(sums)
+                    ahead[i] = most + math.log(sum(math.exp(x - most) for x in sums))
+                rest[start:end] = ahead[: end - start]
+
+
+def _runs(places: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of neighbouring places."""
+    if not len(places):
+        return []
+    cuts = np.nonzero(np.diff(places) > 1)[0]
+    return list(zip(places[np.append(0, cuts + 1)].tolist(), (places[np.append(cuts, len(places) - 1)] + 1).tolist(), strict=True))
+
+
 def _codes(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     codes[codes == ord(MARK)] = OWN_MARK
@@ -253,10 +289,10 @@ def _gumbel(u: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """The k best perturbed segmentations of every text of a batch."""
+    """The k best perturbed segmentations of every text of a batch. Without ``joined`` no text is cut."""
 
-    def __init__(self, texts: pa.Array, keys: list, lattice_of, seed: int):
-        counts, word, words = _words(texts)
+    def __init__(self, texts: pa.Array, keys: list, lattice_of, seed: int, joined: np.ndarray | None = None):
+        counts, word, words = _words(texts, joined)
         self.lattice = lattice = lattice_of(words)
         size = np.fromiter(map(len, words), np.int64, len(words))[word]
         self.word_start = lattice.start[word]
@@ -405,31 +441,67 @@ class Search:
         return out, total[bounds[1:]] - total[bounds[:-1]]
 
 
-_UNITS = re.compile(rf" ?[^ ]{{1,{UNIT}}}| ")
+_UNITS = re.compile(r" *[^ ]+| +")
 
 
 def _text(raw: bytes) -> str:
     return raw.decode("utf-8", "surrogateescape")
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def _words(texts: pa.Array, joined: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Words per text, the distinct word of each, and the distinct words. ``texts``: a large_string array without nulls."""
-    if not pc.any(pc.match_substring(texts, "\0")).as_py():
-        split = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
+    before_spaces = joined is not None and not ((joined & ((1 << 21) - 1) == ord(MARK)) & (joined >> 21 != ord(MARK))).any()
+    if before_spaces and not pc.any(pc.match_substring(texts, "\0")).as_py():
+        # A mark before every space, and none behind a space.
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), " \0", " ")
+        split = pc.split_pattern(marked, "\0")
         coded = split.flatten().dictionary_encode()
         words = list(map(_text, coded.dictionary.cast(pa.large_binary()).to_pylist()))
         size = np.fromiter(map(len, words), np.int64, len(words))
-        if len(words) and size.max() <= UNIT:
-            word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            offsets = split.offsets.to_numpy()
-            full = size[word] > 0
-            counts = np.diff(np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]])
-            return counts, word[full], words
-    found = [_UNITS.findall(_text(x)) for x in texts.cast(pa.large_binary()).to_pylist()]
-    flat = [w for units in found for w in units]
-    index = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-    word = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-    return np.fromiter(map(len, found), np.int64, len(found)), word, list(index)
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = split.offsets.to_numpy()
+        full = size[word] > 0
+        counts = np.diff(np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]])
+        word = word[full]
+    else:
+        whole = map(_text, texts.cast(pa.large_binary()).to_pylist())
+        found = [_UNITS.findall(x) if before_spaces else [x] if x else [] for x in whole]
+        flat = [w for units in found for w in units]
+        index = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        word = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+        counts, words = np.fromiter(map(len, found), np.int64, len(found)), list(index)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+    if joined is None or not (size > UNIT).any():
+        return counts, word, words
+    return _cut_long(counts, word, words, size, joined)
+
+
+def _cut_long(counts: np.ndarray, word: np.ndarray, words: list[str], size: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The words of ``_words`` with the long ones cut between characters that no piece joins."""
+    long = np.nonzero(size > UNIT)[0]
+    text = "".join(words[i] for i in long.tolist())
+    codes, ends = _codes(text), np.cumsum(size[long])
+    pairs = (codes[:-1] << 21) + codes[1:]
+    cut = np.append(~np.isin(pairs, joined), True)
+    cut[ends - 1] = True
+    stops = np.nonzero(cut)[0] + 1
+    spans = zip(np.append(0, stops[:-1]).tolist(), stops.tolist(), strict=True)
+    index: dict[str, int] = {}
+    parts = np.fromiter((index.setdefault(text[a:b], len(index)) for a, b in spans), np.int64, len(stops))
+    # Every word's parts stand one after the other: a short word is its own part.
+    n_parts = np.ones(len(words), np.int64)
+    n_parts[long] = np.diff(np.searchsorted(stops, ends, "right"), prepend=0)
+    first = np.cumsum(n_parts) - n_parts
+    part_of = np.repeat(np.arange(len(words)) + len(index), n_parts)
+    part_of[np.repeat(size > UNIT, n_parts)] = parts
+    counts_of = n_parts[word]
+    within = np.arange(int(counts_of.sum())) - np.repeat(np.cumsum(counts_of) - counts_of, counts_of)
+    units = part_of[np.repeat(first[word], counts_of) + within]
+    total = np.concatenate([[0], np.cumsum(counts_of)])
+    bounds = total[np.concatenate([[0], np.cumsum(counts)])]
+    used, units = np.unique(units, return_inverse=True)
+    both = [*index, *words]
+    return np.diff(bounds), units, [both[i] for i in used.tolist()]
 
 
 def encode(docs: DataFrame, model: str, samples: int = 2, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -444,6 +516,7 @@ def encode(docs: DataFrame, model: str, samples: int = 2, seed: int = 1, key: st
     vocabulary = Vocabulary.load(model)
     keys, to, piece = vocabulary.trie()
     log, byte_ids = vocabulary.log, vocabulary.byte_ids
+    joined = vocabulary.joined()
     byte_log, longest = float(log[byte_ids].max()), max(len(t) for t in vocabulary.texts if t)
     schema = T.StructType(
         [
@@ -458,7 +531,7 @@ def encode(docs: DataFrame, model: str, samples: int = 2, seed: int = 1, key: st
         steps = Transitions(keys, to)
         for batch in slices(batches, 1, BATCH):
             texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-            search = Search(texts, batch.column(0).to_pylist(), lambda words: Lattice(words, steps, piece, log, byte_log, longest), seed)
+            search = Search(texts, batch.column(0).to_pylist(), lambda words: Lattice(words, steps, piece, log, byte_log, longest), seed, joined)
             for sample, x in enumerate(search.run(samples), 1):
                 ids, count = search.ids(x["path"], byte_ids)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(ids, pa.int32()))

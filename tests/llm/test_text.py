@@ -182,6 +182,62 @@ def test_all_segmentations_of_a_short_word(model):
     assert rounds[len(share) - 1][0][3] == 0.0
 
 
+def cut_samples(model, texts, k):
+    """``samples`` with the cuts that encode makes."""
+    vocabulary, lattice, _ = model
+    search = pieces.Search(pa.array(texts, pa.large_string()), list(range(len(texts))), lattice, 1, vocabulary.joined())
+    out = []
+    for x in search.run(k):
+        ids, count = search.ids(x["path"], vocabulary.byte_ids)
+        bounds = np.append(0, np.cumsum(count))
+        out.append([(tuple(ids[bounds[i] : bounds[i + 1]].tolist()), x["log"][i]) if x["alive"][i] else None for i in range(len(texts))])
+    return out
+
+
+def test_pieces_of_several_spaces(model):
+    vocabulary, _, longest = model
+    for text in ("  x", "   a", "a  b ", "at    "):
+        share = every_segmentation(vocabulary, longest, text.replace(" ", "▁"))
+        found = {r[0][0]: r[0][1] for r in cut_samples(model, [text], len(share) + 1) if r[0]}
+        assert found.keys() == share.keys()
+        assert all(abs(found[ids] - math.log(p)) < 1e-9 for ids, p in share.items())
+    assert any(len(t) > 1 and set(t) == {"▁"} for t in (vocabulary.texts[i] for ids in share for i in ids))
+
+
+def log_sum(vocabulary, longest, text):
+    """Log sum of the probabilities of all segmentations into pieces."""
+    index = {t: i for i, t in enumerate(vocabulary.texts) if t}
+    sums = [0.0]
+    for end in range(1, len(text) + 1):
+        ways = [sums[end - n] + vocabulary.log[index[text[end - n : end]]] for n in range(1, min(longest, end) + 1) if text[end - n : end] in index]
+        sums.append(np.logaddexp.reduce(ways))
+    return sums[-1]
+
+
+def test_long_runs_without_a_space(model):
+    vocabulary, _, longest = model
+    # No piece joins q and j, nor j and q: few segmentations, and a piece over the 63rd character.
+    joined = set(vocabulary.joined().tolist())
+    a, b = next((a, b) for a in "qjzxvkw" for b in "jqxzvkw" if a != b and not {(ord(a) << 21) + ord(b), (ord(b) << 21) + ord(a)} & joined)
+    run = (a + b) * 31 + "that" + b + a
+    share = every_segmentation(vocabulary, longest, run)
+    found = {r[0][0]: r[0][1] for r in cut_samples(model, [run], len(share) + 1) if r[0]}
+    assert found.keys() == share.keys() and len(share) > 3
+    assert all(abs(found[ids] - math.log(p)) < 1e-9 for ids, p in share.items())
+
+
+@pytest.mark.parametrize("text", ["x" * 300, " " * 90 + "def", "internationalization" * 12 + "  end", "a" * 64, "a" * 65, "a" * 66, "http://example.com/" + "path/to/some/page-" * 9])
+def test_log_p_over_the_whole_lattice(model, text, monkeypatch):
+    monkeypatch.setattr(pieces, "RUN", 40)
+    vocabulary, _, longest = model
+    whole = log_sum(vocabulary, longest, text.replace(" ", "▁"))
+    both = [text, "word " + text, text]
+    for r in [*cut_samples(model, both, 3), *samples(model, both, [1, 2, 3], 3)]:
+        for i in (0, 2):
+            assert "".join(vocabulary.texts[j] for j in r[i][0]) == text.replace(" ", "▁")
+            assert abs(r[i][1] - (sum(vocabulary.log[j] for j in r[i][0]) - whole)) < 1e-8
+
+
 ODD = [None, "", "a", " ", "  a  b ", "\n\n", "▁", " ▁ ▁▁", "日本語 текст 😀\t\r\n", "x" * 5000, "no\0null byte", "a\0", "é" * 200, "word " * 3000]
 
 
