@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, chat, exact_dedup, langid, mixing, pieces, pii, quality, simhash, toxicity
+from millrace.llm import ann, chat, exact_dedup, langid, mixing, pieces, pii, quality, secretscan, simhash, spelling, toxicity, turnrepair
 from millrace.llm.common import table
 
 #: A SentencePiece model with byte pieces; only the driver reads it.
@@ -60,6 +60,18 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, folder, "documents"), shingle=3, radius=2)
 
 
+def op11_turnrepair(spark: SparkSession, folder: str) -> DataFrame:
+    return turnrepair.audits(turnrepair.damaged(table(spark, folder, "conversations")), present=F.col("present"))
+
+
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secretscan.digests(secretscan.scan(table(spark, folder, "documents")))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
@@ -71,10 +83,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
+    "op11_turnrepair": op11_turnrepair,
+    "op12_secrets": op12_secrets,
+    "op13_spelling": op13_spelling,
 }
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_chat": chat.SQL,
     "op7_mixing": mixing.SQL,
+    "op12_secrets": secretscan.SQL,
+    "op13_spelling": spelling.SQL,
 }
