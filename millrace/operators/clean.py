@@ -15,15 +15,17 @@ from millrace.operators.profile import missing_summary
 TARGET_TYPES = ["INT", "FLOAT", "DATETIME", "BOOLEAN", "STRING"]
 TRUE_WORDS = ["true", "1", "yes", "y"]
 
+#: How a date may be written, the time behind it optional. Of equally fitting formats the earlier one is taken, so the month leads.
 DATE_FORMATS = [
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
-    "dd-MM-yyyy",
-    "dd.MM.yyyy",
-    "dd MMM yyyy",
-    "MMM dd, yyyy",
+    "yyyy/M/d[ H:m[:s]]",
+    "M/d/yyyy[ H:m[:s]]",
+    "d/M/yyyy[ H:m[:s]]",
+    "M-d-yyyy[ H:m[:s]]",
+    "d-M-yyyy[ H:m[:s]]",
+    "M.d.yyyy[ H:m[:s]]",
+    "d.M.yyyy[ H:m[:s]]",
+    "d MMM yyyy[ H:m[:s]]",
+    "MMM d, yyyy[ H:m[:s]]",
     "yyyyMMdd",
 ]
 
@@ -47,15 +49,29 @@ def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def convert(df: DataFrame, column: str, target: str, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
-    """Change the type of one column; values that cannot be read become missing."""
+def convert(df: DataFrame, column: str, target: str, formats: Sequence[str] | None = None) -> DataFrame:
+    """Change the type of one column; values that cannot be read become missing.
+
+    Dates in text: a value that fits several formats (03/04/2021) is read by the one that reads most
+    values of the column, and what that one does not read falls to the next. ``formats`` are tried in the order given, without a vote.
+    """
     require_columns(df, column)
     if target not in TARGET_TYPES:
         raise ValueError(f"unknown target type: {target}")
     return df.withColumn(column, converted(df, column, target, formats))
 
 
-def converted(df: DataFrame, column: str, target: str, formats: Sequence[str] = DATE_FORMATS) -> Column:
+def date_formats(df: DataFrame, column: str, formats: Sequence[str] = DATE_FORMATS) -> list[str]:
+    """``formats`` by the number of values that each of them reads, most first; one aggregate over the whole column."""
+    text = F.trim(missing_as_null(df, column).cast("string"))
+    odd = F.when(text.try_cast("timestamp_ntz").isNull(), text).alias("odd")
+    read = [F.count(F.try_to_timestamp("odd", F.lit(f))).alias(str(i)) for i, f in enumerate(formats)]
+    votes = df.select(odd).where("odd is not null").agg(*read).first()
+    return sorted(formats, key=lambda f: -votes[list(formats).index(f)])
+
+
+def converted(df: DataFrame, column: str, target: str, formats: Sequence[str] | None = None) -> Column:
+    """The converted column. A date column of text is voted on first, but for a stream, which has no end to vote at."""
     value = missing_as_null(df, column)
     kind = df.schema[column].dataType
     numeric = isinstance(kind, T.NumericType)
@@ -69,7 +85,10 @@ def converted(df: DataFrame, column: str, target: str, formats: Sequence[str] =
             return value != 0
         return F.coalesce(F.lower(value.cast("string")).isin(TRUE_WORDS), F.lit(False))
     if target == "DATETIME":
-        return _to_datetime(value, kind, formats)
+        text = not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+        if formats is None and text and not df.isStreaming:
+            formats = date_formats(df, column)
+        return _to_datetime(value, kind, formats or DATE_FORMATS)
     if numeric or boolean:
         return value.cast("double") if target == "FLOAT" else value.try_cast("bigint")
     digits = F.regexp_replace(value.cast("string"), r"[^0-9.\-]", "").try_cast("double")

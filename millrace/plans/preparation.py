@@ -114,6 +114,14 @@ def convert(target: str):
     return run
 
 
+def convert_dayfirst(spark: SparkSession, folder: str) -> DataFrame:
+    """Dates with the day first in two spellings, beside others; days up to the 12th fit the month-first format too."""
+    events, kind = table(spark, folder, "events"), F.col("event_id") % 5
+    said = ["dd/MM/yyyy", "d/M/yyyy H:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd"]
+    raw = F.coalesce(*[F.when(kind == k, F.date_format("ts", f)) for k, f in enumerate(said)], F.lit("31/02/2021"))
+    return clean.convert(events.select("event_id", raw.alias("raw")), "raw", "DATETIME")
+
+
 def convert_numbers(spark: SparkSession, folder: str) -> DataFrame:
     """Conversions of numeric columns: truncation toward zero, non-zero as true, nanoseconds as time."""
     customer = table(spark, folder, "customer")
@@ -391,6 +399,10 @@ QUERIES = {
         """SELECT event_id, CASE WHEN event_id % 5 IN (0, 2) THEN date_trunc('day', ts)
         WHEN event_id % 5 = 1 THEN date_trunc('second', ts) END::TIMESTAMP AS raw FROM events""",
     ),
+    "convert_datetime_dayfirst": Query(
+        convert_dayfirst,
+        """SELECT event_id, CASE event_id % 5 WHEN 1 THEN date_trunc('second', ts) WHEN 4 THEN NULL ELSE date_trunc('day', ts) END::TIMESTAMP AS raw FROM events""",
+    ),
     "convert_bool": Query(convert("BOOLEAN"), "SELECT event_id, user_id % 4 IN (0, 2) AS raw FROM events"),
     "convert_numbers": Query(
         convert_numbers,

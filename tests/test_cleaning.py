@@ -33,6 +33,33 @@ def test_convert(spark, kind, target, values, expected):
     assert column(clean.convert(frame(spark, values, kind), "x", target), "x") == expected
 
 
+def day(text):
+    return dt.datetime.fromisoformat(text) if text else None
+
+
+@pytest.mark.parametrize(
+    ("values", "expected"),
+    [
+        (["13/04/2021", "25/12/2020", "03/04/2021"], ["2021-04-13", "2020-12-25", "2021-04-03"]),
+        (["04/13/2021", "12/25/2020", "03/04/2021"], ["2021-04-13", "2020-12-25", "2021-03-04"]),
+        # the column's winner decides what fits both; the rest falls through
+        (["13/04/2021", "14/04/2021", "04/15/2021", "03/04/2021"], ["2021-04-13", "2021-04-14", "2021-04-15", "2021-04-03"]),
+        (["03/04/2021", "04/05/2021"], ["2021-03-04", "2021-04-05"]),
+        (["13.4.2021 9:05", "3.4.2021", "2021-05-01", None, ""], ["2021-04-13T09:05", "2021-04-03", "2021-05-01", None, None]),
+        (["1-2-2021", "31-1-2021", "30/02/2021", "x"], ["2021-02-01", "2021-01-31", None, None]),
+        (["1 Mar 2021", "Mar 2, 2021 10:00:01", "20210303"], ["2021-03-01", "2021-03-02T10:00:01", "2021-03-03"]),
+        ([None, None], [None, None]),
+    ],
+)
+def test_date_formats_are_voted_on(spark, values, expected):
+    assert column(clean.convert(frame(spark, values, "string"), "x", "DATETIME"), "x") == [day(x) for x in expected]
+
+
+def test_given_date_formats_are_not_voted_on(spark):
+    got = clean.convert(frame(spark, ["13/04/2021", "25/12/2020", "03/04/2021"], "string"), "x", "DATETIME", ["M/d/yyyy", "d/M/yyyy"])
+    assert column(got, "x") == [day(x) for x in ["2021-04-13", "2020-12-25", "2021-03-04"]]
+
+
 def test_convert_rejects_unknown_type(spark):
     with pytest.raises(ValueError, match="unknown target type"):
         clean.convert(frame(spark, [1], "int"), "x", "DECIMAL")
