@@ -24,7 +24,10 @@ DEFAULT_BINS = 30
 DEFAULT_GRID_BINS = 20
 WHISKER = 1.5
 KDE_POINTS = 100
-KDE_BINS = 1024
+#: Bins of a density in parts of its bandwidth, moments that a bin keeps, and bandwidths beyond which the kernel counts as zero.
+KDE_PARTS, KDE_MOMENTS, KDE_REACH = 8, 8, 8.0
+#: Bandwidth of a group without any spread, as a share of its value and at least.
+KDE_NARROW = 1e-3
 
 # The ways a location can be written.
 COUNTIES = "geojson-id"
@@ -269,36 +272,50 @@ def contour(
 
 
 def violin(df: DataFrame, y: str, x: str | None = None, points: int = KDE_POINTS) -> DataFrame:
-    """Gaussian kernel density of ``y`` on a fixed grid, per value of ``x``; ``box`` gives the box inside.
+    """Gaussian kernel density of ``y`` per value of ``x``, at points from two bandwidths below a group's least value to two above its largest.
 
-    Rows are first reduced to the count and mean of fine bins. Bandwidth: 1.059 * min(std, iqr / 1.349) * n^(-1/5).
+    ``box`` gives the box inside. Bandwidth: 1.059 * min(std, iqr / 1.349) * n^(-1/5) of the group. Bins are an eighth of the group's
+    bandwidth wide and keep the first moments of their rows around their middle, from which a Hermite series gives
+    their share of the density, as good as the rows themselves; a bin only meets the points within reach of the kernel, and rows out of
+    reach of all points are left out. So a far value neither widens the bins of its group or of others nor adds to their number.
     """
-    stats = box(df, y, x)
-    if x is None:
-        stats = stats.withColumn("group", F.lit("all"))
-    frame = _bins(df, {y: KDE_BINS})[y]
+    require_numeric(df, y)
+    if x is not None:
+        require_columns(df, x)
     group = missing_as_null(df, x) if x else F.lit("all")
-    rows = df.select(group.alias("group"), frame.index(finite(df, y)).alias("bin"), finite(df, y).alias("v"))
-    fine = rows.where("group is not null and bin is not null").groupBy("group", "bin")
-    fine = fine.agg(F.count("*").alias("cnt"), F.avg("v").alias("centre"))
-    scale = F.least(F.col("std"), F.nullif((F.col("q3") - F.col("q1")) / 1.349, F.lit(0.0)))
-    width = F.greatest(
-        F.coalesce(1.059 * F.coalesce(scale, F.col("std")) * F.pow(F.col("n"), F.lit(-0.2)), F.lit(0.0)),
-        F.lit(frame.width),
-    )
-    bands = stats.select("group", "n", width.alias("h"))
-    top = frame.low + frame.width * frame.count
-    step = (top - frame.low) / (points - 1)
-    grid = F.lit(frame.low) + F.col("point") * F.lit(step)
-    kernel = F.exp(-0.5 * F.pow((grid - F.col("centre")) / F.col("h"), F.lit(2.0)))
-    weight = F.col("cnt") * kernel / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))
-    return (
-        fine.join(bands, "group")
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy("group", "point")
-        .agg(F.sum(weight).alias("density"))
-        .select("group", grid.alias("value"), "density")
-    )
+    rows = df.select(group.alias("group"), finite(df, y).alias("v")).where("group is not null and v is not null")
+    quartiles = grouped_quantiles(rows, ["group"], "v", [0.25, 0.5, 0.75])
+    spread = rows.groupBy("group").agg(F.stddev_samp("v").alias("std"), F.min("v").alias("low"), F.max("v").alias("high"))
+    scale = F.least(F.nullif("std", F.lit(0.0)), F.nullif((F.col("q2") - F.col("q0")) / 1.349, F.lit(0.0)))
+    narrow = F.greatest(F.abs("q1") * KDE_NARROW, F.lit(KDE_NARROW))
+    h, step = F.col("h"), F.col("step")
+    bands = quartiles.join(spread, "group").withColumn("h", F.coalesce(1.059 * scale * F.pow(F.col("n"), F.lit(-0.2)), narrow))
+    bands = bands.select("group", "n", "h", (F.col("low") - 2 * h).alias("first"), ((F.col("high") - F.col("low") + 4 * h) / (points - 1)).alias("step"))
+    near = with_group_numbers(rows, bands, ["group"])
+    point = F.least(F.greatest(F.round((F.col("v") - F.col("first")) / step), F.lit(0.0)), F.lit(points - 1.0))
+    near = near.where(F.abs(F.col("first") + point * step - F.col("v")) <= (KDE_REACH + 1 / KDE_PARTS) * h)
+    place = F.floor((F.col("v") - F.col("first")) / h * KDE_PARTS).cast("double")
+    middle = (F.col("bin") + 0.5) / KDE_PARTS
+    off = (F.col("v") - F.col("first")) / h - middle
+    moments = [F.sum(F.col("cnt") * F.pow(off, F.lit(float(k))) / math.factorial(k)).alias(f"m{k}") for k in range(KDE_MOMENTS)]
+    fine = near.withColumn("bin", place).groupBy("group", "n", "h", "first", "step", "bin").agg(*moments)
+    # Points in reach of a bin, in bandwidths from the first point.
+    apart = step / h
+    least = F.greatest(F.ceil((middle - KDE_REACH) / apart), F.lit(0))
+    most = F.least(F.floor((middle + KDE_REACH) / apart), F.lit(points - 1))
+    fine = fine.where(least <= most).withColumn("point", F.explode(F.sequence(least.cast("int"), most.cast("int"))))
+    fine = fine.withColumn("u", F.col("point") * apart - middle)
+    # He(k + 1) = u He(k) - k He(k - 1)
+    u, hermite = F.col("u"), [F.lit(1.0), F.col("u")]
+    for k in range(2, KDE_MOMENTS):
+        fine = fine.withColumn(f"he{k}", u * hermite[-1] - (k - 1) * hermite[-2])
+        hermite.append(F.col(f"he{k}"))
+    series = sum((F.col(f"m{k}") * e for k, e in enumerate(hermite[1:], 1)), F.col("m0"))
+    summed = fine.groupBy("group", "point", "n", "h", "first", "step").agg(F.sum(F.exp(-0.5 * u * u) * series).alias("mass"))
+    frame = bands.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select("group", "point", "n", "h", "first", "step")
+    found = frame.join(summed.select("group", "point", "mass"), ["group", "point"], "left")
+    density = F.greatest(F.coalesce("mass", F.lit(0.0)), F.lit(0.0)) / (F.col("n") * h * math.sqrt(2 * math.pi))
+    return found.select("group", (F.col("first") + F.col("point") * step).alias("value"), density.alias("density"))
 
 
 def histogram_kde(df: DataFrame, x: str, bins: int = DEFAULT_BINS) -> dict[str, DataFrame]:

@@ -71,13 +71,38 @@ def violin(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rounded(chartdata.build("violin", table(spark, folder, "events"), y="value", x="event_type"), 6, "value"), 7, "density")
 
 
-VIOLIN_SQL = f"""WITH f AS (SELECT min(value) AS lo, (max(value) - min(value)) / 1024 AS w FROM events),
-  s AS (SELECT event_type AS g, count(*) AS n, greatest(1.059 * least(stddev_samp(value),
-    (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349) * pow(count(*), -0.2), (SELECT w FROM f)) AS h FROM events GROUP BY 1),
-  b AS (SELECT event_type AS g, {_bin_sql('value', 'lo', 'w', 1024)} AS b, count(*) AS c, avg(value) AS mid FROM events, f GROUP BY 1, 2),
-  p AS (SELECT i, lo + i * ((lo + w * 1024 - lo) / 99) AS x FROM f, range(100) t(i))
-SELECT g AS "group", round(x, 6) + 0.0 AS value, round(sum(c * exp(-0.5 * pow((x - mid) / h, 2)) / (n * h * sqrt(2 * pi()))), 7) AS density
-FROM b JOIN s USING (g), p GROUP BY g, i, x"""
+def _violin_sql(source: str, group: str) -> str:
+    """The density by its definition: a sum over all rows of a group at every point."""
+    return f"""WITH r AS (SELECT {group} AS g, value AS v FROM {source} WHERE value IS NOT NULL AND isfinite(value)),
+  s AS (SELECT g, count(*) AS n, min(v) AS lo, max(v) AS hi,
+    coalesce(1.059 * least(nullif(stddev_samp(v), 0), nullif((quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349, 0)) * pow(count(*), -0.2),
+      greatest(0.001 * abs(quantile_cont(v, 0.5)), 0.001)) AS h FROM r GROUP BY 1),
+  p AS (SELECT g, n, h, lo - 2 * h + i * ((hi - lo + 4 * h) / 99) AS x FROM s, range(100) t(i))
+SELECT g AS "group", round(x, 6) + 0.0 AS value, round(sum(exp(-0.5 * pow((x - v) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 7) + 0.0 AS density
+FROM p JOIN r USING (g) GROUP BY g, x"""
+
+
+VIOLIN_SQL = _violin_sql("events", "event_type")
+
+
+def with_far_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with a few values a million times as large, and an infinite one."""
+    far = F.when(F.col("event_id") % 997 == 5, 1e9 + F.col("event_id")).when(F.col("event_id") == 3, float("inf")).otherwise(F.col("value"))
+    return table(spark, folder, "events").withColumn("value", far)
+
+
+FAR_EVENTS = "(SELECT event_id, event_type, user_id, CASE WHEN event_id % 997 = 5 THEN 1e9 + event_id WHEN event_id = 3 THEN 'inf'::DOUBLE ELSE value END AS value FROM events)"
+
+
+def violin_outlier(spark: SparkSession, folder: str) -> DataFrame:
+    far = with_far_values(spark, folder).withColumn("kind", F.when(F.col("value") > 1e8, "far").otherwise(F.col("event_type")))
+    both = far.unionByName(far.withColumn("kind", F.lit("all")))
+    return rounded(rounded(chartdata.violin(both, "value", "kind"), 4, "value"), 7, "density")
+
+
+OUTLIER_SQL = _violin_sql(f"(SELECT value, CASE WHEN value > 1e8 THEN 'far' ELSE event_type END AS kind FROM {FAR_EVENTS} UNION ALL SELECT value, 'all' FROM {FAR_EVENTS})", "kind").replace(
+    "round(x, 6)", "round(x, 4)"
+)
 
 
 def histogram_kde(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,7 +112,7 @@ def histogram_kde(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rounded(bars, 5, "at"), 8, "density").unionByName(rounded(rounded(curve, 6, "at"), 7, "density"))
 
 
-ONE_GROUP = VIOLIN_SQL.replace("event_type AS g", "'all' AS g")
+ONE_GROUP = _violin_sql("events", "'all'")
 HISTOGRAM_KDE_SQL = f"""SELECT 'histogram' AS part, "left" AS at, density FROM ({_histogram_sql("events", "value", 30)})
     UNION ALL SELECT 'kde', value, density FROM ({ONE_GROUP})"""
 
@@ -234,6 +259,7 @@ QUERIES = {
         "SELECT p_retailprice AS x, p_size AS y, p_type AS color FROM part",
     ),
     "chart_violin": Query(violin, VIOLIN_SQL),
+    "chart_violin_outlier": Query(violin_outlier, OUTLIER_SQL),
     "chart_contour": Query(
         lambda s, d: rounded(
             chartdata.build("contour", table(s, d, "lineitem"), x="l_quantity", y="l_extendedprice"), 4, "left_x", "left_y"

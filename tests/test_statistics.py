@@ -176,6 +176,43 @@ def test_kde_against_brute_force(spark, events):
         assert density == pytest.approx(exact, rel=1e-3, abs=1e-8)
 
 
+def brute_densities(values, table):
+    """The exact density at the points of one group's table, and its bandwidth."""
+    values = np.asarray(values, float)
+    std = values.std(ddof=1) if len(values) > 1 else 0.0
+    q1, median, q3 = np.quantile(values, [0.25, 0.5, 0.75])
+    scale = min((x for x in (std, (q3 - q1) / 1.349) if x > 0), default=0.0)
+    h = 1.059 * scale * len(values) ** -0.2 or max(abs(median) * 1e-3, 1e-3)
+    at = table.sort_values("value").value.to_numpy()
+    assert at[0] == pytest.approx(values.min() - 2 * h) and at[-1] == pytest.approx(values.max() + 2 * h)
+    return np.exp(-0.5 * ((at[:, None] - values[None]) / h) ** 2).sum(axis=1) / (len(values) * h * math.sqrt(2 * math.pi))
+
+
+def test_densities_do_not_suffer_from_far_values(spark):
+    random = np.random.default_rng(3)
+    groups = {
+        "plain": np.arange(100.0), "far beside": np.append(np.arange(100.0), 1e9), "far": [1e9], "same": [5.0] * 40, "mostly same": [5.0] * 40 + [6.0, -3.0],
+        "two": [0.0, 1e6], "tails": random.standard_cauchy(3000), "large": 1e12 + random.normal(0, 1, 2000), "zero": [0.0],
+    }
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("plain", math.inf), ("plain", math.nan), (None, 1.0)]
+    got = chartdata.violin(spark.createDataFrame(rows, "g string, v double").repartition(5), "v", "g").toPandas()
+    assert sorted(got.group.unique()) == sorted(groups) and (got.groupby("group").size() == 100).all()
+    for name, values in groups.items():
+        table = got[got.group == name]
+        exact = brute_densities(values, table)
+        assert table.sort_values("value").density.to_numpy() == pytest.approx(exact, rel=1e-3, abs=1e-9 * exact.max()), name
+
+
+def test_densities_of_many_groups(spark):
+    rows = [(g, float((g * 7 + k * k) % 23)) for g in range(3000) for k in range(g % 5 + 1)]
+    got = chartdata.violin(spark.createDataFrame(rows, "g int, v double"), "v", "g").toPandas()
+    assert len(got) == 300_000
+    for g in (0, 1, 4, 2999):
+        table = got[got.group == g]
+        exact = brute_densities([v for k, v in rows if k == g], table)
+        assert table.sort_values("value").density.to_numpy() == pytest.approx(exact, rel=1e-3, abs=1e-9 * exact.max())
+
+
 def test_chart_arguments(spark, events):
     with pytest.raises(ValueError, match="unknown chart kind"):
         chartdata.build("radar", events)
