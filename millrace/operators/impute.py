@@ -113,40 +113,51 @@ def _with_neighbours(
     """Add the nearest known (value, place) before and after every row.
 
     Inside a bucket a running window finds it; across buckets a table with the
-    outermost known value of every bucket does.
+    place of the outermost known value of every bucket does.
     """
     place = order_number(df, order_by[0])
     known = missing_as_null(df, column)
     entry = F.when(known.isNotNull(), F.struct(known.alias("v"), place.alias("o")))
-    keys = [missing_as_null(df, c) for c in order_by]
-    # a single key keeps the aggregate below a hash aggregate; a struct would make it sort all rows. Rows without a key come first
-    line = F.when(known.isNotNull(), F.coalesce(place, F.lit(-math.inf)) if len(keys) == 1 else F.struct(*keys, "_tie"))
     bucketed = with_order_bucket(df, order_by)
     data = bucketed.withColumns({"_known": entry, "_place": place})
-    ends = bucketed.select("_bucket", known.alias("v"), place.alias("o"), line.alias("line"))
-    outermost = lambda by: F.when(F.max("line").isNotNull(), F.struct(by("v", "line").alias("v"), by("o", "line").alias("o")))
-    edges = ends.groupBy("_bucket").agg(outermost(F.max_by).alias("_last"), outermost(F.min_by).alias("_first"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = edges.select(
-        "_bucket",
-        F.last("_last", ignorenulls=True).over(earlier).alias("_carry_before"),
-        F.last("_first", ignorenulls=True).over(later).alias("_carry_after"),
-    )
     running = (Window.unboundedPreceding, Window.currentRow)
     inside = Window.partitionBy("_bucket")
+    sides = []
     if backward:
         up = inside.orderBy(*ordering(df, order_by)).rowsBetween(*running)
-        data = data.withColumn("_before", F.last("_known", ignorenulls=True).over(up))
+        data, sides = data.withColumn("_before", F.last("_known", ignorenulls=True).over(up)), [*sides, "_before"]
     if forward:
         down = inside.orderBy(*[missing_as_null(df, c).desc_nulls_last() for c in order_by], F.desc("_tie")).rowsBetween(*running)
-        data = data.withColumn("_after", F.last("_known", ignorenulls=True).over(down))
-    data = data.join(F.broadcast(carried), "_bucket")
-    if backward:
-        data = data.withColumn("_before", F.coalesce("_before", "_carry_before"))
-    if forward:
-        data = data.withColumn("_after", F.coalesce("_after", "_carry_after"))
-    return data
+        data, sides = data.withColumn("_after", F.last("_known", ignorenulls=True).over(down)), [*sides, "_after"]
+    carried = _carried(df, bucketed, known, place, order_by).withColumnRenamed("_bucket", "_b")
+    # The values may be long texts: they are never broadcast, and only rows that found none in their bucket fetch one.
+    needs = F.lit(False)
+    for side in sides:
+        needs = needs | F.col(side).isNull()
+    data = data.join(carried.hint("merge"), (F.col("_bucket") == F.col("_b")) & needs, "left")
+    return data.withColumns({side: F.coalesce(side, f"_carry{side}") for side in sides})
+
+
+def _carried(df: DataFrame, bucketed: DataFrame, known: Column, place: Column, order_by: Sequence[str]) -> DataFrame:
+    """Per bucket the nearest known entries in the buckets before and behind it: _bucket, _carry_before, _carry_after.
+
+    What is looked for across the buckets, and broadcast, is where the entries stand: order keys and a hash of the row, one
+    row a bucket. The entries themselves are fetched by joins with one row a bucket on either side.
+    """
+    line = F.struct(*[missing_as_null(df, c).alias(f"k{i}") for i, c in enumerate(order_by)], "_tie")
+    lines = bucketed.select("_bucket", F.when(known.isNotNull(), line).alias("line"), F.struct(known.alias("v"), place.alias("o")).alias("entry"))
+    every = lines.groupBy("_bucket").agg(F.max("line").alias("last"), F.min("line").alias("first"))
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    some = F.when(F.col("last").isNotNull(), F.col("_bucket"))
+    source = every.select("_bucket", F.last(some, ignorenulls=True).over(earlier).alias("_left"), F.last(some, ignorenulls=True).over(later).alias("_right"))
+    # Only rows that repeat whole share a line, and these say the same.
+    found = lines.join(F.broadcast(every), "_bucket").where("line = last or line = first").groupBy("_bucket")
+    found = found.agg(F.max(F.when(F.col("line") == F.col("last"), F.col("entry"))).alias("at_last"), F.max(F.when(F.col("line") == F.col("first"), F.col("entry"))).alias("at_first"))
+    before = found.select(F.col("_bucket").alias("_left"), F.col("at_last").alias("_carry_before"))
+    after = found.select(F.col("_bucket").alias("_right"), F.col("at_first").alias("_carry_after"))
+    carried = source.join(before.hint("merge"), "_left", "left").join(after.hint("merge"), "_right", "left")
+    return carried.select("_bucket", "_carry_before", "_carry_after")
 
 
 def _neighbours(df: DataFrame, column: str, order_by: Sequence[str], backward: bool, forward: bool) -> DataFrame:

@@ -55,9 +55,9 @@ def with_order_bucket(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Add ``_bucket``, a number that never decreases along ``order_by`` (nulls first), and ``_tie``, a hash of the row.
 
     Rows that share a value, or have none, and fill buckets by themselves are split
-    along the next order column, and after the last one along the hash: ties may
-    stand in any order. So no value of any column makes a large bucket, however many such
-    values there are, unless whole rows repeat.
+    along the next order column, after the last one along the hash, and where whole rows repeat along
+    a stored row number: ties may stand in any order. So no value of any column makes a large bucket,
+    however many such values there are.
     """
     hashed = F.xxhash64(*[quoted(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
     levels = [order_number(df, c) for c in order_by] + [F.col("_tie").cast("double")]
@@ -72,23 +72,43 @@ def with_order_bucket(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     edge = F.get(constant_array(distinct), F.col("_bucket").cast("int") - 1) if distinct else F.lit(None).cast("double")
     data = data.withColumn("_top", F.when(F.col("_bucket") == 0, True).otherwise(F.coalesce(levels[0] == edge, F.lit(False))))
     for level in levels[1:]:
-        sizes = data.where("_top").groupBy("_bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * share)
-        if sizes.isEmpty():
-            break
-        grid = constant_array([k / SPLITS for k in range(1, SPLITS)])
-        cut = data.where("_top").groupBy("_bucket").agg(F.count("*").alias("_n"), F.percentile_approx(level, grid, THRESHOLD_ACCURACY).alias("_cut"))
-        step = F.greatest(F.lit(1), F.floor(F.lit(SPLITS * share) / F.col("_n"))).cast("int")
-        some = F.filter("_cut", lambda x, k: k % step == step - 1)
-        cut = cut.where(F.col("_n") > 2 * share).select("_bucket", F.array_sort(F.array_distinct(some)).alias("_cut"))
-        data = data.join(F.broadcast(cut), "_bucket", "left")
-        split = F.col("_top") & F.col("_cut").isNotNull()
-        below = F.size(F.filter("_cut", lambda x: x < level))
-        place = F.when(split, F.when(level.isNull(), 1).otherwise(2 + below)).otherwise(0)
-        top = split & F.coalesce(level.isNull() | (level == F.get("_cut", below)), F.lit(False))
-        data = data.withColumns({"_bucket": F.col("_bucket") * (SPLITS + 2) + place, "_top": top}).drop("_cut")
+        if _small_tops(data, share):
+            return data.drop("_top")
+        data = _split(data, level, share)
+    if not _small_tops(data, share):
+        # Whole rows repeat: their number tells them apart, and stays what it is once it is stored.
+        data = _split(materialise(data.withColumn("_row", F.monotonically_increasing_id())), F.col("_row").cast("double"), share)
     return data.drop("_top")
 
 
+def _tops(data: DataFrame, share: int, *more: Column) -> DataFrame:
+    """The buckets whose last value fills more than two shares, at most half as many as there are buckets."""
+    return data.where("_top").groupBy("_bucket").agg(F.count("*").alias("_n"), *more).where(F.col("_n") > 2 * share)
+
+
+def _small_tops(data: DataFrame, share: int) -> bool:
+    return _tops(data, share).isEmpty()
+
+
+def _split(data: DataFrame, level: Column, share: int) -> DataFrame:
+    """Cut the rows that share a bucket's last value along ``level``, where they fill more than two shares.
+
+    A bucket of n rows is cut at n / share places, so all cuts together are fewer than twice the buckets: that is
+    what the broadcast holds.
+    """
+    grid = constant_array([k / SPLITS for k in range(1, SPLITS)])
+    cut = _tops(data, share, F.percentile_approx(level, grid, THRESHOLD_ACCURACY).alias("_cut"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(SPLITS * share) / F.col("_n"))).cast("int")
+    some = F.filter("_cut", lambda x, k: k % step == step - 1)
+    cut = cut.select("_bucket", F.array_sort(F.array_distinct(some)).alias("_cut"))
+    data = data.join(F.broadcast(cut), "_bucket", "left")
+    split = F.col("_top") & F.col("_cut").isNotNull()
+    below = F.size(F.filter("_cut", lambda x: x < level))
+    place = F.when(split, F.when(level.isNull(), 1).otherwise(2 + below)).otherwise(0)
+    top = split & F.coalesce(level.isNull() | (level == F.get("_cut", below)), F.lit(False))
+    return data.withColumns({"_bucket": F.col("_bucket") * (SPLITS + 2) + place, "_top": top}).drop("_cut")
+
+
 def ordering(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
     return [*[missing_as_null(df, c).asc_nulls_first() for c in order_by], F.col("_tie").asc()]
 
@@ -113,33 +133,52 @@ def ranked(
     One row per distinct (``by``, value): ``cnt`` rows hold it, ``ties`` rows of
     any group share the value, ``before`` rows lie below it, ``midrank`` is the
     average 1-based rank of the tied rows and ``n`` the number of rows in all.
+
+    Only the distinct values are ranked; the groups that hold a value join it afterwards, so a value of very many
+    groups is one row of a window, however many there are.
     """
     keyed = df.select(
         value.cast("double").alias("value"),
         (by if by is not None else F.lit(None).cast("string")).alias("grp"),
         (weight if weight is not None else F.lit(1)).cast("bigint").alias("_w"),
     ).where("value is not null")
-    limits = sorted(set(thresholds(keyed, {"value": F.col("value")})["value"]))
-    counts = (
-        keyed.groupBy("value", "grp")
-        .agg(F.sum("_w").alias("cnt"))
-        .withColumn("_bucket", bucket_of(F.col("value"), limits))
-    )
-    totals = counts.groupBy("_bucket").agg(F.sum("cnt").alias("_n"))
-    line = Window.orderBy("_bucket")
+    limits = thresholds(keyed, {"value": F.col("value")})["value"]
+    counts = keyed.groupBy("value", *(["grp"] if by is not None else [])).agg(F.sum("_w").alias("cnt"))
+    distinct = counts.groupBy("value").agg(F.sum("cnt").alias("ties")) if by is not None else counts.withColumnRenamed("cnt", "ties")
+    placed = _placed(distinct.withColumn("_bucket", bucket_of(F.col("value"), sorted(set(limits)))))
+    if by is None:
+        counts = placed.withColumns({"cnt": F.col("ties"), "grp": F.lit(None).cast("string")})
+    else:
+        counts = counts.join(placed, "value")
+    return counts.select("grp", "value", "cnt", "ties", "before", "midrank", "n")
+
+
+def ranked_columns(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """The distinct values of many columns with their places, from one scan and one ranking: column, value, ties, before, midrank, n."""
+    limits = thresholds(df, values)
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), v.cast("double").alias("value")) for c, v in values.items()])
+    counts = df.select(F.inline(entries)).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("ties"))
+    bucket = F.coalesce(*[F.when(F.col("column") == c, bucket_of(F.col("value"), sorted(set(t)))) for c, t in limits.items()])
+    return _placed(counts.withColumn("_bucket", bucket), "column").select("column", "value", "ties", "before", "midrank", "n")
+
+
+def _placed(distinct: DataFrame, *lead: str) -> DataFrame:
+    """Distinct values (lead columns, value, ties, _bucket) with before, midrank and n."""
+    totals = distinct.groupBy(*lead, "_bucket").agg(F.sum("ties").alias("_n"))
+    line = Window.partitionBy(*lead).orderBy("_bucket")
     starts = totals.select(
+        *lead,
         "_bucket",
         (F.sum("_n").over(line) - F.col("_n")).alias("_start"),
         F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"),
     )
-    upto = Window.partitionBy("_bucket").orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
-    same = Window.partitionBy("_bucket", "value")
-    placed = counts.withColumn("_upto", F.sum("cnt").over(upto)).withColumn("ties", F.sum("cnt").over(same))
+    upto = Window.partitionBy(*lead, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        placed.join(F.broadcast(starts), "_bucket")
+        distinct.withColumn("_upto", F.sum("ties").over(upto))
+        .join(F.broadcast(starts), [*lead, "_bucket"])
         .withColumn("before", F.col("_start") + F.col("_upto") - F.col("ties"))
         .withColumn("midrank", F.col("before") + (F.col("ties") + 1) / 2)
-        .select("grp", "value", "cnt", "ties", "before", "midrank", "n")
+        .drop("_bucket", "_upto", "_start")
     )
 
 

@@ -151,10 +151,18 @@ MANN_WHITNEY_SQL = f"""SELECT u AS statistic, round(least(1.0, 2 * {sqltext.norm
       count(*) FILTER (g = 'F') AS n1, count(*) FILTER (g = 'O') AS n2, any_value(n) AS n, sum(t * t - 1) AS ties
     FROM ({_ranked_sql(STATUS_PRICE)})))"""
 
-def _kruskal_sql(digits: int = 5) -> str:
+def _kruskal_sql(digits: int = 5, rows: str | None = None) -> str:
     return f"""SELECT round(12 / (n * (n + 1)) * s / (1 - ties / (n * n * n - n)), {digits}) AS statistic, k - 1 AS dof, CAST(n AS BIGINT) AS n FROM (
     SELECT count(*) AS k, any_value(n) AS n, sum(c * pow(mr - (n + 1) / 2, 2)) AS s, sum(ties) AS ties FROM (
-    SELECT any_value(n) AS n, count(*) AS c, avg(r) AS mr, sum(t * t - 1) AS ties FROM ({_ranked_sql(PRIORITY_PRICE)}) GROUP BY g))"""
+    SELECT any_value(n) AS n, count(*) AS c, avg(r) AS mr, sum(t * t - 1) AS ties FROM ({_ranked_sql(rows or PRIORITY_PRICE)}) GROUP BY g))"""
+
+def _quarters(spark: SparkSession, folder: str) -> DataFrame:
+    """Very many groups that share few values."""
+    return table(spark, folder, "events").select("user_id", F.floor(F.col("value") / 25).alias("quarter"))
+
+
+USER_QUARTERS = "SELECT user_id AS g, floor(value / 25)::DOUBLE AS v FROM events"
+
 
 def _wilcoxon_sql(digits: int = 5) -> str:
     return f"""SELECT least(plus, minus) AS statistic, n_pairs, CAST(n AS BIGINT) AS n_moved, plus, minus,
@@ -333,6 +341,10 @@ QUERIES = {
         lambda s, d: rounded(hypothesis.kruskal(_orders(s, d), "o_orderpriority", "o_totalprice").drop("p_value"), 5, "statistic"),
         _kruskal_sql(),
     ),
+    "kruskal_by_user": Query(
+        lambda s, d: rounded(hypothesis.kruskal(_quarters(s, d), "user_id", "quarter").drop("p_value"), 5, "statistic"),
+        _kruskal_sql(rows=USER_QUARTERS),
+    ),
     "wilcoxon": Query(
         lambda s, d: rounded(hypothesis.wilcoxon(_lines(s, d), "l_discount", "l_tax").drop("p_value"), 5, "z"), _wilcoxon_sql()
     ),

@@ -168,6 +168,17 @@ HOT_KEYS_SQL = f"""SELECT event_id, round(last_value(value IGNORE NULLS) OVER (O
     FROM (SELECT event_id, value, CASE event_id % 3 WHEN 1 THEN 500 WHEN 2 THEN event_id END AS k FROM {GAPPY_EVENTS})"""
 
 
+def impute_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts carried over gaps, some of them long."""
+    docs = table(spark, folder, "documents")
+    gaps = docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.col("text")).alias("text"))
+    filled = impute.impute(gaps, "text", "ffill", order_by=["doc_id"])
+    return filled.select("doc_id", F.md5("text").alias("digest"))
+
+
+IMPUTE_TEXT_SQL = """SELECT doc_id, md5(last_value(CASE WHEN doc_id % 4 = 0 THEN text END IGNORE NULLS) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) AS digest FROM documents"""
+
+
 def _neighbour_sql(expression: str) -> str:
     return f"""SELECT event_id, round({expression}, 4) + 0.0 AS value FROM (SELECT event_id, value,
         last_value(value IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS pv,
@@ -422,6 +433,7 @@ QUERIES = {
         downcast, "SELECT CAST(doc_id AS INTEGER) AS doc_id, quality <> 0 AS quality, toxic <> 0 AS toxic FROM labels"
     ),
     "impute_ffill_hot_keys": Query(impute_hot_keys, HOT_KEYS_SQL),
+    "impute_ffill_text": Query(impute_text, IMPUTE_TEXT_SQL),
     "impute_drop": Query(_impute("drop"), f"SELECT event_id, round(value, 4) + 0.0 AS value FROM {GAPPY_EVENTS} WHERE value IS NOT NULL"),
     "impute_value": Query(_impute("specific_value", value=12.5), _constant_fill_sql("12.5")),
     "impute_mean": Query(_impute("mean"), _constant_fill_sql(f"SELECT avg(value) FROM {GAPPY_EVENTS}")),

@@ -110,6 +110,72 @@ def test_ties_and_missing_keys_are_split(spark, case):
     assert sorted(found.position) == list(range(40_000))
 
 
+def test_equal_rows_are_split(spark):
+    df = spark.range(200_000).selectExpr("if(id % 10 = 0, id, 7) AS k", "if(id % 10 = 0, cast(id as double), 1.5) AS x")
+    data = rank.with_order_bucket(df, ["k"]).cache()
+    sizes = [r["count"] for r in data.groupBy("_bucket").count().collect()]
+    assert max(sizes) <= 2.5 * 200_000 / 8 and sum(sizes) == 200_000
+    rows = data.toPandas().sort_values(["k", "_tie"])
+    assert rows.k.groupby(rows._bucket).min().is_monotonic_increasing
+    found = rank.with_position(df, ["k"]).toPandas()
+    assert sorted(found.position) == list(range(200_000)) and found.sort_values("position").k.is_monotonic_increasing
+
+
+@pytest.mark.parametrize("method", ["ffill", "bfill", "nearest_neighbor", "interpolate"])
+def test_fill_between_equal_rows(spark, method):
+    """Rows that repeat whole, with and without a value, fill most buckets."""
+    df = spark.range(60_000).selectExpr("if(id % 10 = 0, id, 7) AS k", "if(id % 10 = 0 and (id + 1) % 3 > 0, cast(id as double), null) AS x").where("k <> 7 or x is null")
+    found = impute.impute(df, "x", method, order_by=["k"]).toPandas().sort_values("k")
+    assert len(found) == 60_000 and (found.x[found.k == 7].notna().all())
+    known = df.where("x is not null").toPandas().sort_values("k")
+    sample = found.iloc[::997]
+    left = np.searchsorted(known.k.to_numpy(), sample.k.to_numpy(), "right") - 1
+    right = np.searchsorted(known.k.to_numpy(), sample.k.to_numpy(), "left")
+    for (k, x), i, j in zip(sample[["k", "x"]].to_numpy(), left, right, strict=True):
+        before, after = (known.iloc[i] if i >= 0 else None), (known.iloc[j] if j < len(known) else None)
+        if method == "ffill":
+            assert np.isnan(x) if before is None else x == before.x
+        elif method == "bfill":
+            assert np.isnan(x) if after is None else x == after.x
+        elif before is not None and after is not None:
+            share = 0 if before.k == after.k else (k - before.k) / (after.k - before.k)
+            nearest = after.x if after.k - k < k - before.k else before.x
+            assert x == pytest.approx(nearest if method == "nearest_neighbor" else before.x + (after.x - before.x) * share)
+
+
+def test_a_value_of_many_groups_is_ranked_once(spark):
+    df = spark.range(400_000).selectExpr("id AS g", "cast(id % 3 as double) AS v")
+    table = rank.ranked(df, F.col("v"), by=F.col("g"))
+    row = table.agg(F.count("*").alias("rows"), F.min("ties").alias("ties"), F.sum("midrank").alias("sum")).first()
+    assert row["rows"] == 400_000 and row["ties"] == 133_333 and row["sum"] == 400_000 * 400_001 / 2
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and not any("grp" in line for line in windows)
+
+
+def test_ranked_columns(skewed):
+    df, pdf = skewed
+    table = rank.ranked_columns(df, {"v": F.col("v"), "i": F.col("i")}).toPandas()
+    for c in ("v", "i"):
+        own = table[table.column == c]
+        clean = pdf[c].dropna()
+        assert np.allclose(own.midrank, clean.rank().groupby(clean).first().loc[own.value].to_numpy())
+        assert (own.n == len(clean)).all() and own.ties.sum() == len(clean)
+
+
+def test_carried_texts_are_not_broadcast(spark):
+    rows = [(i, "x" * 1000 + str(i) if i % 50 == 0 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i int, t string").repartition(6)
+    filled = impute.impute(df, "t", "ffill", order_by=["i"])
+    found = filled.orderBy("i").collect()
+    assert [r["t"] for r in found] == ["x" * 1000 + str(i // 50 * 50) for i in range(2000)]
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    start = [line for line in plan.splitlines() if "BroadcastExchange" in line]
+    assert start and "SortMergeJoin" in plan
+    tree = filled._jdf.queryExecution().optimizedPlan().toString()
+    assert "leftHint=(strategy=broadcast" in tree or "rightHint=(strategy=broadcast" in tree
+
+
 @pytest.mark.parametrize("order", [["k"], ["k", "i"]])
 def test_fill_from_a_row_without_key(spark, order):
     rows = [(None, 0, 5.0), (1, 1, None), (2, 2, None), (3, 3, 8.0), (4, 4, None)]
