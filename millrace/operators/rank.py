@@ -66,7 +66,7 @@ def with_order_bucket(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     distinct = sorted(set(limits))
     share = max(1, rows // (len(limits) + 1))
     coarse = F.when(levels[0].isNull(), F.lit(0)).otherwise(1 + bucket_of(levels[0], distinct)).cast("bigint")
-    data = df.withColumns({"_tie": hashed, "_bucket": coarse})
+    data = _opaque(df.withColumns({"_tie": hashed, "_bucket": coarse}))
     if len(distinct) == len(limits) and rows - known <= 2 * share:
         return data
     edge = F.get(constant_array(distinct), F.col("_bucket").cast("int") - 1) if distinct else F.lit(None).cast("double")
@@ -106,7 +106,15 @@ def _split(data: DataFrame, level: Column, share: int) -> DataFrame:
     below = F.size(F.filter("_cut", lambda x: x < level))
     place = F.when(split, F.when(level.isNull(), 1).otherwise(2 + below)).otherwise(0)
     top = split & F.coalesce(level.isNull() | (level == F.get("_cut", below)), F.lit(False))
-    return data.withColumns({"_bucket": F.col("_bucket") * (SPLITS + 2) + place, "_top": top}).drop("_cut")
+    return _opaque(data.withColumns({"_bucket": F.col("_bucket") * (SPLITS + 2) + place, "_top": top}).drop("_cut"))
+
+
+def _opaque(data: DataFrame) -> DataFrame:
+    """``_bucket`` without the expression behind it.
+
+    Of a self-join on a projected expression with a lambda the optimizer infers a filter for the side that lacks its columns.
+    """
+    return data.withColumn("_bucket", F.explode(F.array("_bucket")))
 
 
 def ordering(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
