@@ -35,6 +35,19 @@ def held_out(remainder: int, modulus: int, key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus == remainder, F.lit(False))
 
 
+def text_digest(text: str) -> Column:
+    """A digest of a whole text; null as empty."""
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose identifier and text are not in ``dropped`` (doc_id, digest): other rows of the same identifier stay."""
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("own"), text_digest(text).alias("said"))
+    gone = dropped.select("doc_id", "digest").distinct()
+    kept = marked.join(gone, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("said") == F.col("digest")), "left_anti")
+    return kept.select("row.*")
+
+
 def byte_values(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column, null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

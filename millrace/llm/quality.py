@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import held_out, slices, stored
+from millrace.llm.common import held_out, slices, stored, text_digest, without
 
 #: The statistics of a text, in the order of the vector.
 STATISTICS = [
@@ -73,18 +73,18 @@ def statistics(text: bytes, kinds: np.ndarray) -> list[float]:
 
 
 def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the vector of statistics of every row; null counts as empty, an empty text gives zeros."""
+    """doc_id, a digest of the text and the vector of statistics of every row; null counts as empty, an empty text gives zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _kinds()
-        for batch in slices(batches, 1):
-            raw = batch.column(1).cast(pa.large_binary()).to_pylist()
+        for batch in slices(batches, 2):
+            raw = batch.column(2).cast(pa.large_binary()).to_pylist()
             found = [statistics(x or b"", kinds) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], schema.names)
 
     kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("stats", T.ArrayType(T.DoubleType()))])
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("digest", T.StringType()), T.StructField("stats", T.ArrayType(T.DoubleType()))])
+    return docs.select(F.col(key).alias("doc_id"), text_digest(text), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -157,21 +157,27 @@ def score(stats: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -
     return stats.mapInPandas(run, schema)
 
 
+def _scored(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    stats = stored(document_statistics(docs, key, text).withColumn("held_out", held_out(0, 5)), "statistics")
+    given = labels.select(F.col(key).alias("doc_id"), F.col(label).alias("label"))
+    model = fit(stats.where(~F.col("held_out")).join(given, "doc_id"))
+    return score(stats, model)
+
+
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Labels are learnt only from rows whose crc32(doc_id) mod 5 is not 0. A null
     text counts as empty, an empty one has the statistics zero. Null labels and
     labels other than 0 and 1 are passed over; several labels of a document
-    count once each. Other columns are not read.
+    count once each. Rows that share a doc_id are scored each by its own text. Other columns are not read.
     """
-    stats = stored(document_statistics(docs, key, text).withColumn("held_out", held_out(0, 5)), "statistics")
-    given = labels.select(F.col(key).alias("doc_id"), F.col(label).alias("label"))
-    model = fit(stats.where(~F.col("held_out")).join(given, "doc_id"))
-    return score(stats, model).select("doc_id", "held_out", "score", "predicted")
+    return _scored(docs, labels, key, text, label).select("doc_id", "held_out", "score", "predicted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is not rejected. Rows without a key stay."""
-    rejected = classify(docs, labels, key, text).where("predicted = 0").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(rejected, key, "left_anti").select(*docs.columns)
+    """The rows of ``docs``, with all their columns, whose text is not rejected.
+
+    Each row is judged by its own text: of rows that share a key, or have none, only those with a rejected text go.
+    """
+    return without(docs, _scored(docs, labels, key, text, "quality").where("predicted = 0"), key, text)

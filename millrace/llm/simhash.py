@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import slices, stored
+from millrace.llm.common import slices, stored, text_digest, without
 from millrace.llm.components import components
 
 BITS = 64
@@ -79,17 +79,17 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """One row per row: doc_id and the fingerprint as a signed long. Null counts as empty; no words give zero."""
+    """One row per row: doc_id, the fingerprint as a signed long and a digest of the text. Null counts as empty; no words give zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            raw = batch.column(1).cast(pa.large_binary()).to_pylist()
+        for batch in slices(batches, 2):
+            raw = batch.column(2).cast(pa.large_binary()).to_pylist()
             marks = [signed(fingerprint(x or b"", shingle)) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], ["doc_id", "mark"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), batch.column(1)], schema.names)
 
     kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("mark", T.LongType())])
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("mark", T.LongType()), T.StructField("digest", T.StringType())])
+    return docs.select(F.col(key).alias("doc_id"), text_digest(text), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
 def _near(marks: np.ndarray, free: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -181,24 +181,33 @@ def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
 
     component_id is the smallest doc_id that links lead to, its own included.
     Null text counts as empty; texts without words have fingerprint zero and
-    link like any other; rows without a doc_id get a fingerprint and the
-    component of their fingerprint, if a row with a doc_id has the same one,
-    else null. Other columns are not read. ``key`` must be an integer column.
+    link like any other. Rows without a doc_id link too; where no row that they lead to has
+    one, the component is null. Rows that share a doc_id are linked by their own fingerprints only.
+    Other columns are not read. ``key`` must be an integer column.
     """
+    return _grouped(docs, key, text, shingle, radius, bucket).select("doc_id", "fingerprint", "component_id")
+
+
+def _grouped(docs: DataFrame, key: str, text: str, shingle: int, radius: int, bucket: int) -> DataFrame:
+    """doc_id, fingerprint, component_id, digest, and group, a fingerprint that stands for all that links reach."""
     marks = stored(fingerprints(docs, key, text, shingle), "marks")
-    nodes = marks.where(F.col("doc_id").isNotNull()).groupBy("mark").agg(F.min("doc_id").cast("long").alias("node"))
-    nodes = stored(nodes, "nodes")
-    found = components(links(nodes, radius, bucket))
-    named = stored(nodes.join(found, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id")), "named")
+    nodes = stored(marks.groupBy("mark").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(links(nodes.select(F.col("mark").alias("node"), "mark"), radius, bucket))
+    named = stored(nodes.join(found, nodes["mark"] == found["node"], "left").select("mark", F.coalesce("component", "mark").alias("group"), "least"), "named")
+    ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = stored(named.drop("least").join(ids, "group"), "groups")
     digits = F.lower(F.lpad(F.hex("mark"), 16, "0"))
-    return marks.join(named, "mark", "left").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return marks.join(named, "mark", "left").select("doc_id", digits.alias("fingerprint"), "component_id", "digest", "group")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` with all their columns, one per near-duplicate group: the one with the smallest identifier.
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one document per near-duplicate group: the one with the smallest identifier.
 
-    Rows that share that identifier all stay, and so do rows without one.
+    Rows are judged by identifier and text, so a row that shares its identifier with a near copy but is near to nothing itself
+    stays. Of different texts of a group under its smallest identifier the one with the smallest digest stays; rows that repeat its identifier
+    and text are that document and stay with it. Rows without an identifier come last.
     """
-    groups = simhash_dedup(docs, key, text, shingle, radius)
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(dropped, key, "left_anti").select(*docs.columns)
+    groups = stored(_grouped(docs, key, text, shingle, radius, bucket), "groups")
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    best = groups.groupBy("group").agg(F.min(own).alias("best"))
+    return without(docs, groups.join(best, "group").where(own != F.col("best")), key, text)
