@@ -2,9 +2,9 @@
 
 The lattice of a text has an edge for every vocabulary piece that spells a run
 of its characters; a character that no piece spells alone has an edge of byte
-pieces. Words are lattices of their own, so one that occurs often is built once per batch. A text is cut only where no
-piece can cross: before a run of spaces, which stays with the word behind it, and within
-a long word between two characters that stand next to each other in no piece.
+pieces. Words are lattices of their own; a task keeps them, so one that occurs often is built once. A text is cut only where no
+piece can cross: between two characters that stand next to each other in no piece, so before a run of
+spaces, which stays with the word behind it, and often beside a mark or line end.
 Forward probabilities of an edge given its start follow from sums over all
 ways to the word's end.
 
@@ -32,9 +32,9 @@ probability in proportion to 1 / (r + 3), as word frequencies have it.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,18 +49,44 @@ from millrace.llm.common import slices
 SPACE, MARK = " ", "▁"
 #: Stands for a mark that the text itself has, which must not be read as a space.
 OWN_MARK = 0x110000
-#: Characters beyond which a word is cut between characters that no piece joins, and its sums are run one by one.
+#: Characters beyond which the sums of a word are run one by one.
 UNIT = 63
 #: Places of a long word whose edges are Python numbers at a time.
 RUN = 1 << 16
 #: Bytes of text that are segmented, and ids that are decoded, at a time.
-BATCH, IDS = 1 << 20, 1 << 19
+BATCH, IDS = 1 << 19, 1 << 19
+#: Places of words whose lattices a task keeps for its next batches; beyond them it starts anew.
+KEPT = 2_000_000
 #: The largest Gumbel that a uniform number of 53 bits gives, and the log probability below which siblings are not
 #: drawn at first: they could only matter if the last bound needed were below their difference, -4.
 LARGEST_GUMBEL = 37.0
 FLOOR = -41.0
 
 
+class Pairs:
+    """Pairs of characters, as numbers first * 2^21 + second, as a table over the characters that occur in one."""
+
+    def __init__(self, joined: np.ndarray):
+        first, second = joined >> 21, joined & ((1 << 21) - 1)
+        known = np.unique(np.concatenate([[0], first, second]))
+        self.kind = np.zeros(OWN_MARK + 1, np.int32)
+        self.kind[known] = np.arange(len(known))
+        self.kind[0] = len(known)
+        self.width = len(known) + 1
+        self.table = np.zeros(self.width**2, bool)
+        self.table[self.kind[first] * self.width + self.kind[second]] = True
+        self.kind[self.kind == 0] = len(known)
+
+    def joins(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each character but the last stands beside the next one in a pair."""
+        kind = self.kind[codes]
+        return self.table[kind[:-1] * self.width + kind[1:]]
+
+
+def _pairs(joined: np.ndarray | Pairs | None) -> Pairs | None:
+    return Pairs(joined) if isinstance(joined, np.ndarray) else joined
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """The pieces of a model: text and log probability by id, and the ids of the 256 byte pieces."""
@@ -258,6 +284,53 @@ class Lattice:
                 rest[start:end] = ahead[: end - start]
 
 
+class Lattices:
+    """Lattices of the words that a task has met, built once and kept over its batches; called with words, it acts as their Lattice."""
+
+    PLACES, EDGES = ("codes", "first"), ("length", "ids", "log", "run")
+
+    def __init__(self, build, kept: int = KEPT):
+        self.build, self.kept = build, kept
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.starts = np.empty(0, np.int64)
+        self.room: dict[str, np.ndarray] = {}
+        self.places = self.edges = self.words = 0
+
+    def __call__(self, words: list[str]) -> Lattices:
+        if self.places > self.kept:
+            self._clear()
+        known = self.numbers
+        number = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.nonzero(number < 0)[0]
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            lattice = self.build(fresh)
+            at, n = np.arange(self.words, self.words + len(new)), self.places
+            known.update(zip(fresh, at.tolist(), strict=True))
+            self._append("starts", self.words, lattice.start + n)
+            self._append("codes", n, lattice.codes.astype(np.int32))
+            self._append("first", n, lattice.first + self.edges)
+            for name in self.EDGES:
+                self._append(name, self.edges, getattr(lattice, name))
+            self.places, self.edges, self.words = n + len(lattice.codes), self.edges + len(lattice.length), self.words + len(new)
+            number[new] = at
+        self.start = self.starts[number]
+        return self
+
+    def _append(self, name: str, at: int, more: np.ndarray) -> None:
+        """Write ``more`` behind the first ``at`` entries; there is room for half as many again."""
+        old = self.room.get(name)
+        if old is None or len(old) < at + len(more):
+            old, new = old, np.empty((at + len(more)) * 3 // 2, more.dtype)
+            new[:at] = old[:at] if old is not None else ()
+            self.room[name] = old = new
+        old[at : at + len(more)] = more
+        setattr(self, name, old)
+
+
 def _runs(places: np.ndarray) -> list[tuple[int, int]]:
     """Start and end of each run of neighbouring places."""
     if not len(places):
@@ -267,7 +340,11 @@ def _runs(places: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _codes(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return _marked(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
+
+
+def _marked(codes: np.ndarray) -> np.ndarray:
+    """Code points as the vocabulary has them: a mark for a space, and a number of its own for a mark."""
     codes[codes == ord(MARK)] = OWN_MARK
     codes[codes == ord(SPACE)] = ord(MARK)
     return codes
@@ -292,9 +369,8 @@ class Search:
     """The k best perturbed segmentations of every text of a batch. Without ``joined`` no text is cut."""
 
     def __init__(self, texts: pa.Array, keys: list, lattice_of, seed: int, joined: np.ndarray | None = None):
-        counts, word, words = _words(texts, joined)
+        counts, word, size, words = _words(texts, _pairs(joined))
         self.lattice = lattice = lattice_of(words)
-        size = np.fromiter(map(len, words), np.int64, len(words))[word]
         self.word_start = lattice.start[word]
         ends = np.cumsum(size)
         self.unit_start, self.unit_size = ends - size, size
@@ -303,11 +379,17 @@ class Search:
         self.text_end = np.cumsum(chars)
         self.text_start = self.text_end - chars
         self.total = int(chars.sum())
+        # From a place of the batch to the place in the words.
+        self.shift = np.repeat(self.word_start - self.unit_start, size)
         self.key = np.array([xxhash.xxh64_intdigest(str(k), seed) for k in keys], np.uint64)
 
     def _walk(self, path: np.ndarray, place: np.ndarray, at: np.ndarray, end: np.ndarray, text: np.ndarray, stream: int) -> None:
         """Draw edges from each start to the end of its word, and write them at their places in ``path``."""
         lattice = self.lattice
+        # A word of one character has one edge.
+        one = end - at == 1
+        path[place[one]] = lattice.first[at[one]]
+        at, place, end, text = at[~one], place[~one], end[~one], text[~one]
         while len(at):
             u = _uniform(self.key[text], place - self.text_start[text], stream)
             e = lattice.first[at]
@@ -322,19 +404,17 @@ class Search:
             at, place, end, text = at[more], place[more], end[more], text[more]
 
     def _nodes(self, path: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places, edges and texts of a path, log probability before each node, and of whole texts."""
+        """Places and edges of a path, where each text's begin, log probability before each node from the batch's start, and of whole texts."""
         place = np.nonzero(path >= 0)[0]
         edge = path[place]
         log = self.lattice.log[edge]
         bounds = np.searchsorted(place, np.append(self.text_start, self.total))
         run = np.concatenate([[0.0], np.cumsum(log)])
-        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        before = run[:-1] - run[bounds[:-1]][text]
         whole = np.zeros(len(bounds) - 1)
         some = np.nonzero(np.diff(bounds))[0]
         if len(some):
             whole[some] = np.add.reduceat(log, bounds[:-1][some])
-        return place, edge, text, before, whole
+        return place, edge, bounds, run, whole
 
     def run(self, k: int, floor: float = FLOOR) -> list[dict]:
         """For each round 0 to k - 1: which texts have a segmentation, its path, log probability and bound; then kappa."""
@@ -349,11 +429,17 @@ class Search:
         pool = {"text": empty, "g": np.empty(0), "path": empty, "place": empty, "edge": empty}
         for round_ in range(k):
             paths.append(path)
-            place, edge, text, before, whole = self._nodes(path)
-            out.append({"alive": alive, "path": path, "log": whole, "bound": bound})
-            # Siblings along the new part of each path, truncated at the path's bound.
-            use = alive[text] & (place > after[text]) & (before > floor)
-            place, edge, text, before = place[use], edge[use], text[use], before[use]
+            place, edge, bounds, sums, whole = self._nodes(path)
+            out.append({"alive": alive, "path": (place, edge, bounds), "log": whole, "bound": bound})
+            # Siblings along the new part of each path, truncated at the path's bound. Sums only fall, so what is above the floor comes first.
+            base = sums[bounds[:-1]]
+            last = np.searchsorted(-sums[:-1], -(base + floor)) if floor > -np.inf else bounds[1:]
+            size = np.where(alive, np.minimum(last, bounds[1:]) - bounds[:-1], 0)
+            text = np.repeat(np.arange(n), size)
+            node = np.repeat(bounds[:-1] - np.cumsum(size) + size, size) + np.arange(len(text))
+            new = place[node] > after[text]
+            node, text = node[new], text[new]
+            place, edge, before = place[node], edge[node], sums[node] - base[text]
             at = self._word_place(place)
             first, count = lattice.first[at], lattice.first[at + 1] - lattice.first[at]
             node = np.repeat(np.arange(len(place)), count)
@@ -378,11 +464,12 @@ class Search:
             go = np.full(n, -1, np.int64)
             go[np.nonzero(alive)[0]] = chosen
             after = np.where(go >= 0, pool["place"][go] if len(pool["place"]) else 0, after)
-            char_text = np.repeat(np.arange(n), self.text_end - self.text_start)
+            # What stands before the place of departure is copied from the earlier path.
+            texts = np.nonzero(alive)[0]
             for r in range(round_ + 1):
-                from_r = np.zeros(n, bool)
-                from_r[np.nonzero(alive)[0]] = pool["path"][chosen] == r
-                copy = from_r[char_text] & (np.arange(self.total) < after[char_text])
+                of = texts[pool["path"][chosen] == r]
+                size = after[of] - self.text_start[of]
+                copy = np.repeat(self.text_start[of] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
                 path[copy] = paths[r][copy]
             here, e = pool["place"][chosen], pool["edge"][chosen]
             path[here] = e
@@ -392,7 +479,6 @@ class Search:
             end = self.word_start[unit] + self.unit_size[unit]
             inside = at < end
             later = alive[self.text_of_unit] & (self.unit_start > after[self.text_of_unit])
-            texts = np.nonzero(alive)[0]
             self._walk(
                 path,
                 np.concatenate([(here + step)[inside], self.unit_start[later]]),
@@ -412,8 +498,7 @@ class Search:
 
     def _word_place(self, place: np.ndarray) -> np.ndarray:
         """Where a place of the batch lies in the distinct words."""
-        unit = np.searchsorted(self.unit_start, place, "right") - 1
-        return self.word_start[unit] + place - self.unit_start[unit]
+        return place + self.shift[place]
 
     @staticmethod
     def _best(pool: dict, n: int) -> np.ndarray:
@@ -425,83 +510,59 @@ class Search:
         best[text[hit]] = hit
         return best
 
-    def ids(self, path: np.ndarray, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of a path, text by text, and the number of ids per text."""
-        place = np.nonzero(path >= 0)[0]
-        piece = self.lattice.ids[path[place]]
-        codes = self.lattice.codes[self._word_place(place)]
-        count = np.where(piece >= 0, 1, _n_bytes(codes))
-        which = np.repeat(np.arange(len(place)), count)
-        k = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        out = piece[which]
-        raw = np.nonzero(out < 0)[0]
-        out[raw] = byte_ids[_byte(codes[which[raw]], k[raw], count[which[raw]])]
-        bounds = np.searchsorted(place, np.append(self.text_start, self.total))
+    def ids(self, path: tuple[np.ndarray, np.ndarray, np.ndarray], byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of a path that ``run`` gave, text by text, and the number of ids per text."""
+        place, edge, bounds = path
+        piece = self.lattice.ids[edge]
+        bare = np.nonzero(piece < 0)[0]
+        if not len(bare):
+            return piece, np.diff(bounds)
+        # A character without a piece gives as many ids as it has bytes.
+        codes = self.lattice.codes[self._word_place(place[bare])].astype(np.int64)
+        size = _n_bytes(codes)
+        count = np.ones(len(place), np.int64)
+        count[bare] = size
+        out = np.repeat(piece, count)
+        which = np.repeat(np.arange(len(bare)), size)
+        k = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+        out[out < 0] = byte_ids[_byte(codes[which], k, size[which])]
         total = np.concatenate([[0], np.cumsum(count)])
         return out, total[bounds[1:]] - total[bounds[:-1]]
 
 
-_UNITS = re.compile(r" *[^ ]+| +")
-
-
 def _text(raw: bytes) -> str:
     return raw.decode("utf-8", "surrogateescape")
 
 
-def _words(texts: pa.Array, joined: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Words per text, the distinct word of each, and the distinct words. ``texts``: a large_string array without nulls."""
-    before_spaces = joined is not None and not ((joined & ((1 << 21) - 1) == ord(MARK)) & (joined >> 21 != ord(MARK))).any()
-    if before_spaces and not pc.any(pc.match_substring(texts, "\0")).as_py():
-        # A mark before every space, and none behind a space.
-        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), " \0", " ")
-        split = pc.split_pattern(marked, "\0")
-        coded = split.flatten().dictionary_encode()
+def _words(texts: pa.Array, joined: Pairs | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Words per text, the distinct word of each and its characters, and the distinct words. ``texts``: a large_string array without nulls.
+
+    A word ends where two characters stand next to each other in no piece. Without ``joined`` a text is one word.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1 + texts.offset)[texts.offset :]
+    raw = texts.buffers()[2]
+    raw = memoryview(raw)[offsets[0] : offsets[-1]] if raw is not None else b""
+    codes = np.frombuffer(_text(bytes(raw)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    place, byte = offsets - offsets[0], None
+    if len(codes) != len(raw):
+        # Where characters start; an undecodable byte is a character, though it may look like the inside of one.
+        byte = np.append(np.nonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[0], len(raw))
+        if len(byte) != len(codes) + 1 or ((codes >= 0xDC80) & (codes <= 0xDCFF)).any():
+            byte = np.concatenate([[0], np.cumsum(_n_bytes(codes))])
+        place = np.searchsorted(byte, place)
+    cut = np.zeros(len(codes) + 1, bool)
+    cut[place] = True
+    if joined is not None and len(codes):
+        cut[1:-1] |= ~joined.joins(_marked(codes))
+    bounds = np.nonzero(cut)[0]
+    stops = np.ascontiguousarray(bounds if byte is None else byte[bounds], np.int64)
+    coded = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(stops), pa.py_buffer(raw)).dictionary_encode()
+    try:
+        words = coded.dictionary.to_pylist()
+    except UnicodeDecodeError:
         words = list(map(_text, coded.dictionary.cast(pa.large_binary()).to_pylist()))
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        offsets = split.offsets.to_numpy()
-        full = size[word] > 0
-        counts = np.diff(np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]])
-        word = word[full]
-    else:
-        whole = map(_text, texts.cast(pa.large_binary()).to_pylist())
-        found = [_UNITS.findall(x) if before_spaces else [x] if x else [] for x in whole]
-        flat = [w for units in found for w in units]
-        index = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        word = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-        counts, words = np.fromiter(map(len, found), np.int64, len(found)), list(index)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-    if joined is None or not (size > UNIT).any():
-        return counts, word, words
-    return _cut_long(counts, word, words, size, joined)
-
-
-def _cut_long(counts: np.ndarray, word: np.ndarray, words: list[str], size: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """The words of ``_words`` with the long ones cut between characters that no piece joins."""
-    long = np.nonzero(size > UNIT)[0]
-    text = "".join(words[i] for i in long.tolist())
-    codes, ends = _codes(text), np.cumsum(size[long])
-    pairs = (codes[:-1] << 21) + codes[1:]
-    cut = np.append(~np.isin(pairs, joined), True)
-    cut[ends - 1] = True
-    stops = np.nonzero(cut)[0] + 1
-    spans = zip(np.append(0, stops[:-1]).tolist(), stops.tolist(), strict=True)
-    index: dict[str, int] = {}
-    parts = np.fromiter((index.setdefault(text[a:b], len(index)) for a, b in spans), np.int64, len(stops))
-    # Every word's parts stand one after the other: a short word is its own part.
-    n_parts = np.ones(len(words), np.int64)
-    n_parts[long] = np.diff(np.searchsorted(stops, ends, "right"), prepend=0)
-    first = np.cumsum(n_parts) - n_parts
-    part_of = np.repeat(np.arange(len(words)) + len(index), n_parts)
-    part_of[np.repeat(size > UNIT, n_parts)] = parts
-    counts_of = n_parts[word]
-    within = np.arange(int(counts_of.sum())) - np.repeat(np.cumsum(counts_of) - counts_of, counts_of)
-    units = part_of[np.repeat(first[word], counts_of) + within]
-    total = np.concatenate([[0], np.cumsum(counts_of)])
-    bounds = total[np.concatenate([[0], np.cumsum(counts)])]
-    used, units = np.unique(units, return_inverse=True)
-    both = [*index, *words]
-    return np.diff(bounds), units, [both[i] for i in used.tolist()]
+    counts = np.diff(np.searchsorted(bounds, place))
+    return counts, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(bounds), words
 
 
 def encode(docs: DataFrame, model: str, samples: int = 2, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -529,9 +590,10 @@ def encode(docs: DataFrame, model: str, samples: int = 2, seed: int = 1, key: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = Transitions(keys, to)
+        lattices, pairs = Lattices(lambda words: Lattice(words, steps, piece, log, byte_log, longest)), _pairs(joined)
         for batch in slices(batches, 1, BATCH):
             texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-            search = Search(texts, batch.column(0).to_pylist(), lambda words: Lattice(words, steps, piece, log, byte_log, longest), seed, joined)
+            search = Search(texts, batch.column(0).to_pylist(), lattices, seed, pairs)
             for sample, x in enumerate(search.run(samples), 1):
                 ids, count = search.ids(x["path"], byte_ids)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(ids, pa.int32()))
