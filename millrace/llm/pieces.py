@@ -56,7 +56,7 @@ RUN = 1 << 16
 #: Bytes of text that are segmented, and ids that are decoded, at a time.
 BATCH, IDS = 1 << 19, 1 << 19
 #: Places of words whose lattices a task keeps for its next batches; beyond them it starts anew.
-KEPT = 2_000_000
+KEPT = 1_000_000
 #: The largest Gumbel that a uniform number of 53 bits gives, and the log probability below which siblings are not
 #: drawn at first: they could only matter if the last bound needed were below their difference, -4.
 LARGEST_GUMBEL = 37.0
