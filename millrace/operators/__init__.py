@@ -1,0 +1,8 @@
+"""Operators on DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of the package: its functions travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations_with_replacement
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,10 @@ from millrace.functions.columns import missing_as_null, number, numeric_columns,
 from millrace.operators.quantiles import exact_quantiles
 from millrace.operators.shape import records
 
-PAIRS_PER_JOB = 200
+#: What a block keeps of a pair of columns: rows where both are known, means, centred squares and products.
+GRAM = ["n", "mx", "my", "xx", "yy", "xy"]
+#: Rows of a batch that are multiplied at a time, and groups that the tasks' blocks are merged in first.
+GRAM_ROWS, MERGED = 8192, 256
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -113,30 +117,79 @@ def preview(df: DataFrame, n: int = 10, order_by: Sequence[str] | None = None) -
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair over the rows where both are known, in long form.
 
-    A constant column gives NULL. Only half of the matrix is computed.
+    A constant column gives NULL. All pairs come from one scan: a task keeps one block of counts, means and centred squares and products
+    per pair, which later blocks merge into, and only blocks are shuffled.
     """
     columns = list(columns or numeric_columns(df))
-    values = {c: number(df, c) for c in columns}
-    pairs = list(combinations_with_replacement(columns, 2))
-    parts = [_correlate(df, values, pairs[i : i + PAIRS_PER_JOB]) for i in range(0, len(pairs), PAIRS_PER_JOB)]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def _correlate(df: DataFrame, values: dict[str, Column], pairs: list[tuple[str, str]]) -> DataFrame:
-    aggregates, rows = [], []
-    for i, (a, b) in enumerate(pairs):
-        both = values[a].isNotNull() & values[b].isNotNull()
-        x, y = F.when(both, values[a]), F.when(both, values[b])
-        scale = F.stddev_pop(x) * F.stddev_pop(y)
-        r = F.covar_pop(x, y) / F.nullif(scale, F.lit(0.0))
-        aggregates.append(F.when(F.abs(r) <= 1, r).otherwise(F.signum(r)).alias(f"r{i}"))
-        rows.append({"x": F.lit(a), "y": F.lit(b), "r": F.col(f"r{i}")})
-        if a != b:
-            rows.append({"x": F.lit(b), "y": F.lit(a), "r": F.col(f"r{i}")})
-    return records(df.agg(*aggregates), rows)
+    values = [number(df, c).alias(f"v{i}") for i, c in enumerate(columns)]
+    schema = f"part long, {', '.join(f'{f} double' for f in GRAM)}, x int, y int"
+    k = len(columns)
+    blocks = df.select(*values).mapInArrow(lambda batches: _gram_rows(batches, k), schema)
+    # Blocks of a pair meet in two steps, so that no group holds one of every task.
+    near = blocks.groupBy("x", "y", F.pmod("part", F.lit(MERGED)).alias("part")).agg(F.collect_list(F.struct(*GRAM)).alias("blocks"))
+    near = near.select("x", "y", _merge(F.col("blocks")).alias("b"))
+    found = near.groupBy("x", "y").agg(F.collect_list("b").alias("blocks")).select("x", "y", _merge(F.col("blocks")).alias("b"))
+    r = F.col("b.xy") / F.nullif(F.sqrt(F.col("b.xx")) * F.sqrt(F.col("b.yy")), F.lit(0.0))
+    r = F.when(F.col("b.n") > 0, F.when(F.abs(r) <= 1, r).otherwise(F.signum(r)))
+    name = lambda i: F.get(F.array(*[F.lit(c) for c in columns]), F.col(i))
+    line = F.struct(name("x").alias("x"), name("y").alias("y"), r.alias("r"))
+    back = F.struct(name("y").alias("x"), name("x").alias("y"), r.alias("r"))
+    return found.select(F.inline(F.when(F.col("x") == F.col("y"), F.array(line)).otherwise(F.array(line, back))))
+
+
+def _gram(values: np.ndarray) -> np.ndarray:
+    """A block of one batch (rows, columns; NaN is unknown): per ordered pair n, means, centred squares and the centred product."""
+    known = ~np.isnan(values)
+    m = known.astype(float)
+    counts = np.maximum(m.sum(axis=0), 1.0)
+    filled = np.where(known, values, 0.0)
+    centre = filled.sum(axis=0) / counts
+    off = np.where(known, values - centre, 0.0)
+    n = m.T @ m
+    some = np.maximum(n, 1.0)
+    # Of x over the rows where y is known too, around the mean of all known x of the batch.
+    sums, squares = off.T @ m, (off * off).T @ m
+    mean = sums / some
+    around = squares - sums * mean
+    product = off.T @ off - sums * mean.T
+    return np.stack([n, centre[:, None] + mean, centre[None, :] + mean.T, np.maximum(around, 0.0), np.maximum(around.T, 0.0), product])
+
+
+def _gram_merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = a[0] + b[0]
+    share = b[0] / np.maximum(n, 1.0)
+    dx, dy, weight = b[1] - a[1], b[2] - a[2], a[0] * share
+    return np.stack([n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * weight, a[4] + b[4] + dy * dy * weight, a[5] + b[5] + dx * dy * weight])
+
+
+def _gram_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """One row per pair of the block of all ``batches``."""
+    from pyspark import TaskContext
+
+    block = np.zeros((len(GRAM), k, k))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for batch in batches:
+            for start in range(0, batch.num_rows, GRAM_ROWS):
+                part = batch.slice(start, GRAM_ROWS)
+                block = _gram_merged(block, _gram(np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns], axis=1)))
+    x, y = np.triu_indices(k)
+    arrays = [np.full(len(x), TaskContext.get().partitionId(), np.int64), *block[:, x, y], x.astype(np.int32), y.astype(np.int32)]
+    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["part", *GRAM, "x", "y"])
+
+
+def _merge(blocks: Column) -> Column:
+    """An array of blocks of one pair as one block, merged in the same way as in a task."""
+
+    def add(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        share = b["n"] / F.greatest(n, F.lit(1.0))
+        dx, dy, weight = b["mx"] - a["mx"], b["my"] - a["my"], a["n"] * share
+        return F.struct(
+            n.alias("n"), (a["mx"] + dx * share).alias("mx"), (a["my"] + dy * share).alias("my"),
+            (a["xx"] + b["xx"] + dx * dx * weight).alias("xx"), (a["yy"] + b["yy"] + dy * dy * weight).alias("yy"), (a["xy"] + b["xy"] + dx * dy * weight).alias("xy"),
+        )
+
+    return F.aggregate(blocks, F.struct(*[F.lit(0.0).alias(f) for f in GRAM]), add)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

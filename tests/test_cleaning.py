@@ -1,5 +1,7 @@
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +242,39 @@ def test_profile_of_odd_names_and_nan(spark):
 def test_empty_column_is_left_out_of_shape_table(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
     assert [r["column"] for r in profile.skew_kurtosis(df).collect()] == ["b"]
+
+
+def test_correlation_of_a_wide_gappy_table(spark):
+    random = np.random.default_rng(8)
+    base = random.normal(0, 1, (900, 5))
+    data = base @ random.normal(0, 1, (5, 100)) + random.normal(0, 1, (900, 100))
+    data = data * 10.0 ** random.integers(-3, 6, 100) + 10.0 ** random.integers(0, 10, 100)
+    data[random.random(data.shape) < 0.2] = np.nan
+    data[:, 7] = 3.0
+    data[:, 8] = np.nan
+    data[5:, 9] = np.nan
+    pdf = pd.DataFrame(data, columns=[f"c {i}" for i in range(100)])
+    found = profile.correlation(spark.createDataFrame(pdf).repartition(7))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    rows = {(r["x"], r["y"]): r["r"] for r in found.collect()}
+    assert len(rows) == 10_000
+    with np.errstate(all="ignore"):
+        want = pdf.corr(min_periods=2)
+    for (a, b), r in rows.items():
+        w = want.loc[a, b]
+        if "c 7" in (a, b) or np.isnan(w):
+            assert r is None or "c 9" in (a, b)
+        else:
+            assert r == pytest.approx(w, abs=1e-6), (a, b)
+
+
+def test_correlation_far_from_zero(spark):
+    """Values that differ only behind their tenth digit, in parts of very different level."""
+    random = np.random.default_rng(9)
+    x = random.normal(0, 1, 4000)
+    pdf = pd.DataFrame({"x": 1e10 + x, "y": -1e10 + 0.5 * x + random.normal(0, 1, 4000), "z": np.where(np.arange(4000) < 2000, 0.0, 1e6) + x})
+    r = {(q["x"], q["y"]): q["r"] for q in profile.correlation(spark.createDataFrame(pdf).repartition(9)).collect()}
+    want = (pdf - pdf.mean()).corr()
+    for a, b in r:
+        assert r[a, b] == pytest.approx(want.loc[a, b], abs=1e-5 if {a, b} != {"z"} else 1e-9)
