@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,16 +14,17 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import number, numeric_columns, ratio
 from millrace.functions.normal import normal_cdf, normal_ppf
 from millrace.functions.tails import STANDARD_NORMAL, kolmogorov_two_sided, normal_tail
-from millrace.operators.profile import skew_kurtosis
 from millrace.operators.quantiles import exact_quantiles
-from millrace.operators.rank import ranked
+from millrace.operators.rank import ranked, ranked_columns, thresholds_with
 from millrace.operators.sample import SEED, share_for, uniform
 from millrace.operators.shape import records
+from millrace.session import materialise
 
 #: The approximation of Royston holds up to this many values.
 MAX_SHAPIRO = 5000
 FIRST_OUTLIERS = 50
 RUN = 4096
+MOMENTS = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "skewness": F.skewness, "kurtosis": F.kurtosis}
 
 # Anderson-Darling critical values for the normal law and their levels in percent.
 ANDERSON_CRITICAL = [0.576, 0.656, 0.787, 0.918, 1.092]
@@ -60,20 +62,23 @@ def theoretical(position: Column, n: Column) -> Column:
 def qq_points(df: DataFrame, column: str, max_points: int | None = None) -> DataFrame:
     """Sorted values against normal quantiles; ``max_points`` thins them to evenly spaced positions."""
     n = moments(df, column)["n"]
+    return _points(ranked(df, number(df, column)), n, max_points)
+
+
+def _points(table: DataFrame, n: int, max_points: int | None) -> DataFrame:
     points = min(n, max_points or n)
-    table = ranked(df, number(df, column))
     if points == n:
-        each = table.withColumn("position", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("cnt"))))
+        each = table.withColumn("position", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("ties"))))
     else:
         # point k sits at position 1 + floor(k * (n - 1) / (points - 1)); find the k inside this run of ties
         gap = (n - 1) / (points - 1)
         first = F.greatest(F.lit(0), F.floor(F.col("before") / gap) - 1)
-        last = F.least(F.lit(points - 1), F.ceil((F.col("before") + F.col("cnt")) / gap) + 1)
+        last = F.least(F.lit(points - 1), F.ceil((F.col("before") + F.col("ties")) / gap) + 1)
         place = 1 + F.floor(F.col("k") * F.lit(n - 1) / F.lit(points - 1))
         each = (
             table.withColumn("k", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
             .withColumn("position", place)
-            .where("position > before and position <= before + cnt")
+            .where("position > before and position <= before + ties")
         )
     return each.select(
         "position", theoretical(F.col("position"), F.col("n")).alias("theoretical"), F.col("value").alias("sample")
@@ -82,24 +87,29 @@ def qq_points(df: DataFrame, column: str, max_points: int | None = None) -> Data
 
 def qq_fit(df: DataFrame, column: str) -> DataFrame:
     """Least-squares line and correlation of all Q-Q points."""
-    table = ranked(df, number(df, column)).select("value", "before", "cnt", "n")
-    span = lambda: F.sequence(F.col("start"), F.least(F.col("start") + RUN - 1, F.col("before") + F.col("cnt")))
-    short = table.where(F.col("cnt") <= RUN).withColumn("start", F.col("before") + 1)
+    return _lines(ranked(df, number(df, column)).withColumn("column", F.lit(column))).drop("column")
+
+
+def _lines(table: DataFrame) -> DataFrame:
+    """Line and correlation of the Q-Q points of each column of a ranking."""
+    table = table.select("column", "value", "before", "ties", "n")
+    span = lambda: F.sequence(F.col("start"), F.least(F.col("start") + RUN - 1, F.col("before") + F.col("ties")))
+    short = table.where(F.col("ties") <= RUN).withColumn("start", F.col("before") + 1)
     # a value with many copies is cut into runs that spread over the tasks
-    end = F.col("before") + F.col("cnt")
+    end = F.col("before") + F.col("ties")
     block = RUN * 1024
-    wide = table.where(F.col("cnt") > RUN).withColumn(
+    wide = table.where(F.col("ties") > RUN).withColumn(
         "block", F.explode(F.sequence(F.col("before") + 1, end, F.lit(block).cast("bigint")))
     )
     long = wide.withColumn(
         "start",
         F.explode(F.sequence(F.col("block"), F.least(F.col("block") + block - 1, end), F.lit(RUN).cast("bigint"))),
     ).drop("block")
-    runs = short.unionByName(long.repartition("value", "start"))
-    each = runs.select("value", "n", F.explode(span()).alias("position"))
-    points = each.select("value", theoretical(F.col("position"), F.col("n")).alias("q"))
+    runs = short.unionByName(long.repartition("column", "value", "start"))
+    each = runs.select("column", "value", "n", F.explode(span()).alias("position"))
+    points = each.select("column", "value", theoretical(F.col("position"), F.col("n")).alias("q"))
     spread = F.stddev_pop("q") * F.stddev_pop("value")
-    return points.agg(
+    return points.groupBy("column").agg(
         F.count("*").alias("n"),
         F.regr_slope("value", "q").alias("slope"),
         F.regr_intercept("value", "q").alias("intercept"),
@@ -107,6 +117,19 @@ def qq_fit(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _law_terms(table: DataFrame) -> DataFrame:
+    """Per column of a ranking with ``z``: the largest distance to the normal law, and the sum of the Anderson-Darling terms."""
+    up, down = F.col("up"), F.col("down")
+    above = (F.col("before") + F.col("ties")) / F.col("n") - up
+    before, upto, n = F.col("before").cast("double"), (F.col("before") + F.col("ties")).cast("double"), F.col("n")
+    # a run of equal values adds up its odd weights in closed form
+    left = (upto - before) * (upto + before) * F.log(up)
+    right = (upto - before) * (2 * n - upto - before) * F.log(down)
+    return table.withColumns({"up": normal_cdf(F.col("z")), "down": normal_cdf(-F.col("z"))}).withColumns(
+        {"_far": F.greatest(above, up - F.col("before") / F.col("n")), "_terms": (left + right) / n}
+    )
+
+
 def _standardised(df: DataFrame, column: str) -> tuple[DataFrame, Row]:
     row = moments(df, column)
     width = row["std"] or 1.0
@@ -114,37 +137,31 @@ def _standardised(df: DataFrame, column: str) -> tuple[DataFrame, Row]:
     return table.withColumn("z", (F.col("value") - F.lit(row["mean"])) / F.lit(width)), row
 
 
+KS_SCHEMA = "column string, n bigint, mean double, std double, statistic double, p_value double"
+ANDERSON_SCHEMA = "column string, n bigint, statistic double, level double, critical double, rejected boolean"
+
+
+def _anderson_rows(column: str, size: int, statistic: float) -> list[tuple]:
+    shrink = 1 + 4 / size - 25 / size**2
+    return [
+        (column, size, statistic, level, round(critical / shrink, 3), statistic > round(critical / shrink, 3))
+        for critical, level in zip(ANDERSON_CRITICAL, ANDERSON_LEVELS, strict=True)
+    ]
+
+
 def kolmogorov_smirnov(df: DataFrame, column: str) -> DataFrame:
     """Distance of the data to the normal law with the data's own mean and deviation."""
     table, row = _standardised(df, column)
-    law = normal_cdf(F.col("z"))
-    above = (F.col("before") + F.col("ties")) / F.col("n") - law
-    below = law - F.col("before") / F.col("n")
-    d = table.agg(F.max(F.greatest(above, below))).first()[0]
+    d = _law_terms(table).agg(F.max("_far")).first()[0]
     result = [(column, row["n"], row["mean"], row["std"], d, kolmogorov_two_sided(d, row["n"]))]
-    return df.sparkSession.createDataFrame(
-        result, "column string, n bigint, mean double, std double, statistic double, p_value double"
-    )
+    return df.sparkSession.createDataFrame(result, KS_SCHEMA)
 
 
 def anderson_darling(df: DataFrame, column: str) -> DataFrame:
     """A-squared against the fitted normal law, one row per significance level."""
     table, row = _standardised(df, column)
-    before, upto, n = F.col("before").cast("double"), (F.col("before") + F.col("ties")).cast("double"), F.col("n")
-    # a run of equal values adds up its odd weights in closed form
-    left = (upto - before) * (upto + before) * F.log(normal_cdf(F.col("z")))
-    right = (upto - before) * (2 * n - upto - before) * F.log(normal_cdf(-F.col("z")))
-    total = table.agg(F.sum((left + right) / n)).first()[0]
-    size = row["n"]
-    statistic = -size - total
-    shrink = 1 + 4 / size - 25 / size**2
-    rows = [
-        (column, size, statistic, level, round(critical / shrink, 3), statistic > round(critical / shrink, 3))
-        for critical, level in zip(ANDERSON_CRITICAL, ANDERSON_LEVELS, strict=True)
-    ]
-    return df.sparkSession.createDataFrame(
-        rows, "column string, n bigint, statistic double, level double, critical double, rejected boolean"
-    )
+    total = _law_terms(table).agg(F.sum("_terms")).first()[0]
+    return df.sparkSession.createDataFrame(_anderson_rows(column, row["n"], -row["n"] - total), ANDERSON_SCHEMA)
 
 
 def shapiro(
@@ -264,19 +281,80 @@ def first_outliers(
     return outlier_rows(df, column, k).orderBy(*order_by).limit(n)
 
 
-def column_report(df: DataFrame, column: str, key: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """Everything known about one column's distribution, as a set of small tables."""
-    row = moments(df, column)
-    spark = df.sparkSession
-    size = spark.createDataFrame(
-        [(column, row["n"], row["mean"], row["std"])], "column string, n bigint, mean double, std double"
-    )
+@dataclass(frozen=True)
+class Diagnosis:
+    """What one ranking of all columns tells: the ranking itself, and a row of numbers per column."""
+
+    ranking: DataFrame
+    rows: dict[str, dict]
+
+
+def diagnose(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> Diagnosis:
+    """Moments, quartiles, fences, outliers, distance to the normal law, Anderson-Darling and the Q-Q line of many columns.
+
+    The columns are scanned once for their moments and bucket limits and once for the ranking, which is stored; everything else is
+    read off it by aggregates per column.
+    """
+    values = {c: number(df, c) for c in columns}
+    about = [f(v).alias(f"{c}#{name}") for c, v in values.items() for name, f in MOMENTS.items()]
+    limits, seen = thresholds_with(df, values, about)
+    for c in columns:
+        if not seen[f"{c}#n"]:
+            raise _no_values(c)
+    ranking = materialise(ranked_columns(df, values, limits))
+    pick = lambda name: F.element_at(F.create_map(*[F.lit(x) for c in columns for x in (c, seen[f"{c}#{name}"])]), F.col("column"))
+    z = (F.col("value") - pick("mean")) / F.coalesce(F.nullif(pick("std"), F.lit(0.0)), F.lit(1.0))
+    at = lambda rank: F.max(F.when((rank >= F.col("before")) & (rank < F.col("before") + F.col("ties")), F.col("value")))
+    quartiles = []
+    for q in (1, 3):
+        place = (F.col("n") - 1) * (q / 4)
+        first, second = at(F.floor(place)), at(F.ceil(place))
+        quartiles.append((first + (second - first) * F.max(place - F.floor(place))).alias(f"q{q}"))
+    told = _law_terms(ranking.withColumn("z", z)).groupBy("column").agg(F.max("_far").alias("ks"), F.sum("_terms").alias("terms"), *quartiles)
+    rows: dict[str, dict] = {c: {name: seen[f"{c}#{name}"] for name in MOMENTS} for c in columns}
+    for r in told.collect():
+        row, gap = rows[r["column"]], k * (r["q3"] - r["q1"])
+        row |= {"ks": r["ks"], "anderson": -row["n"] - r["terms"], "q1": r["q1"], "q3": r["q3"], "lower_bound": r["q1"] - gap, "upper_bound": r["q3"] + gap}
+    bound = lambda name: F.element_at(F.create_map(*[F.lit(x) for c in columns for x in (c, rows[c][name])]), F.col("column"))
+    outside = (F.col("value") < bound("lower_bound")) | (F.col("value") > bound("upper_bound"))
+    beyond = ranking.groupBy("column").agg(F.sum(F.when(outside, F.col("ties")).otherwise(0)).alias("outliers"))
+    for r in beyond.join(_lines(ranking), "column").collect():
+        rows[r["column"]] |= {name: r[name] for name in ("outliers", "slope", "intercept", "r")}
+    return Diagnosis(ranking, rows)
+
+
+def diagnostics_all(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
+    """One row per column with all its diagnostics."""
+    columns = list(columns or numeric_columns(df))
+    found = diagnose(df, columns, k).rows
+    names = ["n", "mean", "std", "skewness", "kurtosis", "slope", "intercept", "r", "ks", "anderson", "q1", "q3", "lower_bound", "upper_bound", "outliers"]
+    kinds = {"n": "bigint", "outliers": "bigint"}
+    schema = "column string, " + ", ".join(f"{c} {kinds.get(c, 'double')}" for c in names)
+    return df.sparkSession.createDataFrame([(c, *(found[c][name] for name in names)) for c in columns], schema)
+
+
+def column_report(df: DataFrame, column: str, key: Sequence[str] | None = None, k: float = 1.5) -> dict[str, DataFrame]:
+    """Everything known about one column's distribution, as a set of small tables; the Q-Q points are read off the stored ranking."""
+    found = diagnose(df, [column], k)
+    row, make = found.rows[column], df.sparkSession.createDataFrame
+    n, share = row["n"], 100.0 * row["outliers"] / row["n"]
+    labels = [_label(row["skewness"], "right-skewed", "left-skewed", "symmetric"), _label(row["kurtosis"], "leptokurtic", "platykurtic", "mesokurtic")]
     return {
-        "moments": size.join(skew_kurtosis(df, [column]), "column"),
-        "qq_points": qq_points(df, column),
-        "qq_fit": qq_fit(df, column),
+        "moments": make(
+            [(column, n, row["mean"], row["std"], row["skewness"], row["kurtosis"], *labels)],
+            "column string, n bigint, mean double, std double, skewness double, kurtosis double, skew_label string, kurtosis_label string",
+        ),
+        "qq_points": _points(found.ranking, n, None),
+        "qq_fit": make([(n, row["slope"], row["intercept"], row["r"])], "n bigint, slope double, intercept double, r double"),
         "shapiro": shapiro(df, [column], key=key),
-        "kolmogorov_smirnov": kolmogorov_smirnov(df, column),
-        "anderson_darling": anderson_darling(df, column),
-        "outliers": iqr_outliers(df, [column]),
+        "kolmogorov_smirnov": make([(column, n, row["mean"], row["std"], row["ks"], kolmogorov_two_sided(row["ks"], n))], KS_SCHEMA),
+        "anderson_darling": make(_anderson_rows(column, n, row["anderson"]), ANDERSON_SCHEMA),
+        "outliers": make(
+            [(column, float(k), row["q1"], row["q3"], row["q3"] - row["q1"], row["lower_bound"], row["upper_bound"], row["outliers"], n, share)],
+            "column string, k double, q1 double, q3 double, iqr double, lower_bound double, upper_bound double, outlier_count bigint, total_count bigint, outlier_percent double",
+        ),
     }
+
+
+def _label(value: float | None, positive: str, negative: str, zero: str) -> str | None:
+    return None if value is None or value != value else positive if value > 0 else negative if value < 0 else zero

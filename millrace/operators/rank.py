@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,22 +33,27 @@ SPLITS = 1024
 
 def thresholds(df: DataFrame, values: dict[str, Column]) -> dict[str, list[float]]:
     """Sorted bucket limits per value, repeated where one value fills several buckets."""
+    return thresholds_with(df, values, [])[0]
+
+
+def thresholds_with(df: DataFrame, values: dict[str, Column], more: Sequence[Column]) -> tuple[dict[str, list[float]], Row]:
+    """``thresholds``, and the row of the aggregate with whatever ``more`` aggregates are wanted of the same scan."""
     grid = constant_array([i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)])
     aggregates = []
     for name, value in values.items():
         aggregates += [
-            F.count(value).alias(f"{name}#n"),
+            F.count(value).alias(f"{name}#count"),
             F.percentile_approx(value, grid, THRESHOLD_ACCURACY).alias(f"{name}#t"),
         ]
-    row = df.agg(*aggregates).first()
+    row = df.agg(*aggregates, *more).first()
     parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     result = {}
     for name in values:
-        n = row[f"{name}#n"]
+        n = row[f"{name}#count"]
         wanted = min(MAX_BUCKETS, max(parallel, n // ROWS_PER_BUCKET), max(1, n))
         step = max(1, MAX_BUCKETS // wanted)
         result[name] = list((row[f"{name}#t"] or [])[step - 1 :: step])
-    return result
+    return result, row
 
 
 def with_order_bucket(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -161,9 +166,9 @@ def ranked(
     return counts.select("grp", "value", "cnt", "ties", "before", "midrank", "n")
 
 
-def ranked_columns(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+def ranked_columns(df: DataFrame, values: dict[str, Column], limits: dict[str, list[float]] | None = None) -> DataFrame:
     """The distinct values of many columns with their places, from one scan and one ranking: column, value, ties, before, midrank, n."""
-    limits = thresholds(df, values)
+    limits = limits or thresholds(df, values)
     entries = F.array(*[F.struct(F.lit(c).alias("column"), v.cast("double").alias("value")) for c, v in values.items()])
     counts = df.select(F.inline(entries)).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("ties"))
     bucket = F.coalesce(*[F.when(F.col("column") == c, bucket_of(F.col("value"), sorted(set(t)))) for c, t in limits.items()])

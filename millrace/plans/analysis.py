@@ -286,7 +286,37 @@ REPORT_SQL = " UNION ALL ".join(
 )
 
 
+ALL_COLUMNS = ["l_quantity", "l_extendedprice", "l_tax"]
+ALL_MEASURES = ["mean", "std", "skewness", "kurtosis", "slope", "intercept", "r", "ks", "anderson", "q1", "q3", "lower_bound", "upper_bound"]
+
+
+def diagnostics_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All diagnostics of several columns from one ranking."""
+    lines = _lines(spark, folder).withColumn("l_tax", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_tax")))
+    return rounded(diagnostics.diagnostics_all(lines, ALL_COLUMNS), 4, *ALL_MEASURES)
+
+
+def _all_sql(c: str) -> str:
+    source = f"(SELECT (CASE WHEN '{c}' <> 'l_tax' OR l_orderkey % 7 <> 0 THEN {c} END)::DOUBLE AS x FROM lineitem) WHERE x IS NOT NULL"
+    up, down = sqltext.normal_cdf("z"), sqltext.normal_cdf("(-z)")
+    return f"""SELECT '{c}' AS "column", m.n, mean, std, s AS skewness, ku AS kurtosis, slope, intercept, r, ks, -m.n - a AS anderson, q1, q3,
+        q1 - 1.5 * (q3 - q1) AS lower_bound, q3 + 1.5 * (q3 - q1) AS upper_bound,
+        (SELECT count(*) FROM {source} AND (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1))) AS outliers
+        FROM (SELECT count(*) AS n, avg(x) AS mean, stddev_samp(x) AS std, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM {source}) m,
+        (SELECT m3 / pow(m2, 1.5) AS s, m4 / (m2 * m2) - 3 AS ku FROM (SELECT avg(d * d) AS m2, avg(d * d * d) AS m3, avg(d * d * d * d) AS m4
+            FROM (SELECT x - avg(x) OVER () AS d FROM {source}))),
+        (SELECT regr_slope(x, q) AS slope, regr_intercept(x, q) AS intercept, corr(x, q) AS r FROM (SELECT x, {sqltext.normal_ppf('p')} AS q FROM (
+            SELECT x, {FILLIBEN} AS p FROM (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM {source})))),
+        (SELECT max(greatest((b + t) / n - {up}, {up} - b / n)) AS ks, sum((t * (2 * b + t) * ln({up}) + t * (2 * n - 2 * b - t) * ln({down})) / n) AS a FROM (
+            SELECT DISTINCT x, n::DOUBLE AS n, b::DOUBLE AS b, t::DOUBLE AS t, z FROM (SELECT x, count(*) OVER () AS n, rank() OVER (ORDER BY x) - 1 AS b,
+            count(*) OVER (PARTITION BY x) AS t, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS z FROM {source})))"""
+
+
+ALL_SQL = f"""SELECT "column", n, outliers, {', '.join(f'round({m}, 4) + 0.0 AS {m}' for m in ALL_MEASURES)} FROM ({' UNION ALL '.join(map(_all_sql, ALL_COLUMNS))})"""
+
+
 QUERIES = {
+    "diagnostics_all_columns": Query(diagnostics_all, ALL_SQL),
     "diagnostics_column": Query(column_report, REPORT_SQL),
     "iqr_outliers": Query(iqr_outliers, _outlier_sql(["value", "user_id"])),
     "outlier_rows": Query(
