@@ -9,6 +9,7 @@ a table of bucket totals, at most one row per bucket, links them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.columns import bucket_of, constant_array, missing_as_null, number, order_number, quoted
-from millrace.operators.quantiles import BRACKET, MAX_BETWEEN, SKETCH_ACCURACY
+from millrace.operators.quantiles import BRACKET, MAX_BETWEEN, MAX_ROUNDS, SKETCH_ACCURACY
 from millrace.operators.shape import bounded
 from millrace.session import materialise
 
@@ -301,24 +302,81 @@ def _counted_quantiles(keyed: DataFrame, keys: Sequence[str], probabilities: lis
 
 
 def quantile_grid(df: DataFrame, value: Column, points: int) -> list[float]:
-    """Exact quantiles at j / (points - 1) for every j, read off one distributed ranking."""
-    table = ranked(df, value)
-    top = points - 1
-    # ranks floor(j * (n - 1) / top) and the next one, for the j that fall into this run of ties
-    step = (F.col("n") - 1) / F.lit(float(top))
-    low = F.greatest(F.lit(0), F.floor((F.col("before") - 1) / F.greatest(step, F.lit(1e-300))) - 1)
-    high = F.least(F.lit(top), F.ceil((F.col("before") + F.col("ties")) / F.greatest(step, F.lit(1e-300))) + 1)
-    near = table.withColumn("step", step).withColumn("j", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    near = near.withColumn("first", F.floor(F.col("j") * F.col("step") + 1e-9)).withColumn(
-        "second", F.least(F.col("first") + 1, F.col("n") - 1)
-    )
-    end = F.col("before") + F.col("ties")
-    at = lambda rank: F.max(F.when((F.col(rank) >= F.col("before")) & (F.col(rank) < end), F.col("value")))
-    rows = near.groupBy("j").agg(
-        F.max(F.col("j") * F.col("step") - F.col("first")).alias("w"), at("first").alias("a"), at("second").alias("b")
-    )
-    found = {r.j: r.a + (r.b - r.a) * max(0.0, r.w) for r in rows.collect()}
-    return [found[j] for j in sorted(found)]
+    """Exact quantiles at j / (points - 1) for every j, without a shuffle of the column.
+
+    A sketch gives two ends around every wanted rank. All ends together cut the numbers into points and gaps; one scan counts the
+    rows of each, so the gaps that hold a wanted rank are known, and another scan picks the ranks inside these. A gap with
+    more rows than a task should hold gets ends of its own from a sketch of its rows, and is counted again.
+    """
+    data = df.select(value.cast("double").alias("v")).where("v is not null")
+    wanted = [j / (points - 1) for j in range(points)]
+    shares = sorted({min(1.0, max(0.0, p + s)) for p in wanted for s in (-BRACKET, BRACKET)})
+    row = data.agg(F.count("v").alias("n"), F.percentile_approx("v", constant_array(shares), SKETCH_ACCURACY).alias("ends")).first()
+    n, ends = row["n"], set(row["ends"] or [])
+    ranks = sorted({r for p in wanted for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
+    for _ in range(MAX_ROUNDS):
+        found, gaps = _ranks_on_ends(data, sorted(ends), ranks)
+        wide = {g: at for g, at in gaps.items() if at["rows"] > MAX_BETWEEN}
+        if not wide:
+            break
+        ends |= _ends_inside(data, sorted(ends), wide)
+    else:
+        raise RuntimeError("the quantile search did not settle")
+    found |= _ranks_in_gaps(data, sorted(ends), gaps)
+    result = []
+    for p in wanted:
+        first, second, weight = math.floor((n - 1) * p), math.ceil((n - 1) * p), (n - 1) * p - math.floor((n - 1) * p)
+        result.append(found[first] + (found[second] - found[first]) * weight if weight else found[first])
+    return result
+
+
+def _cell(value: Column, ends: list[float]) -> Column:
+    """Where a value lies among sorted ends: 2 k + 1 on the k-th of them, 2 k in the gap before it."""
+    below = bucket_of(value, ends)
+    return (2 * below + F.when(F.get(constant_array(ends), below) == value, 1).otherwise(0)).cast("int")
+
+
+def _ranks_on_ends(data: DataFrame, ends: list[float], ranks: list[int]) -> tuple[dict[int, float], dict[int, dict]]:
+    """The wanted ranks that fall on an end, and per gap that holds others its rows and the ranks inside it, from 0."""
+    counts = {r["cell"]: r["n"] for r in data.groupBy(_cell(F.col("v"), ends).alias("cell")).agg(F.count("*").alias("n")).collect()}
+    found, gaps, start, left = {}, {}, 0, iter(ranks)
+    rank = next(left, None)
+    for cell in sorted(counts):
+        while rank is not None and rank < start + counts[cell]:
+            if cell % 2:
+                found[rank] = ends[cell // 2]
+            else:
+                gaps.setdefault(cell, {"rows": counts[cell], "start": start, "ranks": []})["ranks"].append(rank - start)
+            rank = next(left, None)
+        start += counts[cell]
+    return found, gaps
+
+
+def _in_gaps(data: DataFrame, ends: list[float], gaps: dict[int, dict]) -> DataFrame:
+    return data.withColumn("cell", _cell(F.col("v"), ends)).where(F.col("cell").isin(list(gaps)))
+
+
+def _ends_inside(data: DataFrame, ends: list[float], gaps: dict[int, dict]) -> set[float]:
+    """New ends around the wanted ranks of each gap, by a sketch of its rows."""
+    new, room = set(), 4 / SKETCH_ACCURACY
+    shares = {g: sorted({min(1.0, max(0.0, r / max(1, at["rows"] - 1) + s)) for r in at["ranks"] for s in (-room, room)}) for g, at in gaps.items()}
+    every = sorted({p for q in shares.values() for p in q})
+    sketched = _in_gaps(data, ends, gaps).groupBy("cell").agg(F.percentile_approx("v", constant_array(every), SKETCH_ACCURACY).alias("at"))
+    for r in sketched.collect():
+        own = set(shares[r["cell"]])
+        new |= {x for p, x in zip(every, r["at"], strict=True) if p in own}
+    return new
+
+
+def _ranks_in_gaps(data: DataFrame, ends: list[float], gaps: dict[int, dict]) -> dict[int, float]:
+    """The wanted ranks inside gaps of few rows each."""
+    if not gaps:
+        return {}
+    rows = [(g, r, r + at["start"]) for g, at in gaps.items() for r in at["ranks"]]
+    asked = data.sparkSession.createDataFrame(rows, "cell int, place int, rank bigint")
+    held = _in_gaps(data, ends, gaps).groupBy("cell").agg(F.array_sort(F.collect_list("v")).alias("held"))
+    picked = held.join(F.broadcast(asked), "cell").select("rank", F.get("held", F.col("place")).alias("v"))
+    return {r["rank"]: r["v"] for r in picked.collect()}
 
 
 def distinct_positions(distinct: DataFrame, value: str, name: str = "code") -> DataFrame:

@@ -10,11 +10,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import number, require_numeric
+from millrace.functions.columns import bucket_of, constant_array, number, quoted, require_numeric
 from millrace.operators.power import boxcox_lambda, boxcox_value, yeojohnson_lambda, yeojohnson_value
 from millrace.operators.quantiles import exact_quantiles
 from millrace.operators.rank import quantile_grid
@@ -63,17 +62,21 @@ class Uniform:
     def transform(self, df: DataFrame) -> DataFrame:
         grid = np.array(self.quantiles)
         place = np.linspace(0.0, 1.0, len(grid))
-
-        @F.pandas_udf("double")
-        def interpolate(x: pd.Series) -> pd.Series:
-            v = x.to_numpy(dtype=float, na_value=np.nan)
-            # ties sit between their first and last place on the grid: average both readings
-            up = np.interp(v, grid, place)
-            down = np.interp(-v, -grid[::-1], -place[::-1])
-            out = np.where(v <= grid[0], 0.0, np.where(v >= grid[-1], 1.0, (up - down) / 2))
-            return pd.Series(out).where(~np.isnan(v), None)
-
-        return df.withColumn(self.column, interpolate(number(df, self.column)))
+        # a value that fills several places of the grid has a first and a last one, and stands between them itself
+        spots, first = np.unique(grid, return_index=True)
+        last = np.append(first[1:], len(grid)) - 1
+        value = F.col("_v")
+        k = bucket_of(value, spots.tolist())
+        at = lambda xs, i: F.get(constant_array(xs.tolist()), i)
+        start, end = at(place[last], F.col("_k") - 1), at(place[first], F.col("_k"))
+        low, high = at(spots, F.col("_k") - 1), at(spots, F.col("_k"))
+        on = (at(place[first], F.col("_k")) + at(place[last], F.col("_k"))) / 2
+        share = (value - low) / F.nullif(high - low, F.lit(0.0))
+        scaled = (
+            F.when(value <= float(grid[0]), 0.0).when(value >= float(grid[-1]), 1.0).when(high == value, on).otherwise(start + (end - start) * share)
+        )
+        placed = df.withColumn("_v", number(df, self.column)).withColumn("_k", k)
+        return placed.withColumn(self.column, F.when(value.isNotNull(), scaled)).select(*[quoted(c) for c in df.columns])
 
 
 @dataclass(frozen=True)

@@ -69,7 +69,11 @@ def test_mid_ranks(skewed, partitions):
     assert (table.cnt * table.midrank).sum() == n * (n + 1) / 2
 
 
-def test_quantile_grid(skewed):
+@pytest.mark.parametrize("between", [rank.MAX_BETWEEN, 20, 3])
+@pytest.mark.parametrize("accuracy", [rank.SKETCH_ACCURACY, 100])
+def test_quantile_grid(skewed, monkeypatch, between, accuracy):
+    monkeypatch.setattr(rank, "MAX_BETWEEN", between)
+    monkeypatch.setattr(rank, "SKETCH_ACCURACY", accuracy)
     df, pdf = skewed
     grid = rank.quantile_grid(df, F.col("v"), 101)
     assert np.allclose(grid, np.nanquantile(pdf.v, np.linspace(0, 1, 101)))
