@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.columns import missing_as_null, quoted, require_columns
 from millrace.operators.profile import missing_summary
+from millrace.session import materialise
 
 # Target types, and the words read as true.
 TARGET_TYPES = ["INT", "FLOAT", "DATETIME", "BOOLEAN", "STRING"]
@@ -32,13 +33,46 @@ DATE_FORMATS = [
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """How many rows have at least one equal row; every member of such a group counts."""
+    repeated = _repeated_digests(df)
+    if repeated is not None:
+        df = _digested(df).join(F.broadcast(repeated), DIGEST, "left_semi").drop(*DIGEST)
     groups = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*").alias("_copies"))
     total = F.sum(F.when(F.col("_copies") > 1, F.col("_copies")).otherwise(0))
     return groups.agg(F.coalesce(total, F.lit(0)).alias("duplicate_count"))
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    """One of each group of equal rows."""
+    repeated = _repeated_digests(df)
+    if repeated is None:
+        return df.dropDuplicates()
+    marked = _digested(df)
+    single = marked.join(F.broadcast(repeated), DIGEST, "left_anti").drop(*DIGEST)
+    return single.union(marked.join(F.broadcast(repeated), DIGEST, "left_semi").drop(*DIGEST).dropDuplicates())
+
+
+DIGEST = ["_digest0", "_digest1"]
+#: Digests that are broadcast at most: 16 bytes each.
+MAX_DIGESTS = 500_000
+
+
+def _digested(df: DataFrame) -> DataFrame:
+    """The rows with 128 bits of hash."""
+    every = [quoted(c) for c in df.columns]
+    return df.withColumns({"_digest0": F.xxhash64(*every), "_digest1": F.xxhash64(F.lit(1), *every)})
+
+
+def _repeated_digests(df: DataFrame) -> DataFrame | None:
+    """The digests that more than one row has, or None where rows are better shuffled whole: narrow ones, or with too many such digests.
+
+    Only digests are shuffled to count them. Rows with one of their own have no equal row; the others must be
+    compared whole, since different rows may share a digest.
+    """
+    if all(isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)) for f in df.schema.fields):
+        return None
+    counts = _digested(df).groupBy(*DIGEST).agg(F.count("*").alias("_n"))
+    repeated = materialise(counts.where("_n > 1").select(*DIGEST))
+    return repeated if repeated.count() <= MAX_DIGESTS else None
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -278,3 +279,31 @@ def test_correlation_far_from_zero(spark):
     want = (pdf - pdf.mean()).corr()
     for a, b in r:
         assert r[a, b] == pytest.approx(want.loc[a, b], abs=1e-5 if {a, b} != {"z"} else 1e-9)
+
+
+def wide_rows(spark):
+    rows = [(i % 40, "x" * 2000 + str(i % 40), [i % 2], float("nan") if i % 4 else -0.0) for i in range(60)] + [(100 + i, f"single {i}", None, None) for i in range(300)]
+    rows += [(500, None, None, 0.0), (500, None, None, -0.0)]
+    return spark.createDataFrame(rows, "a int, `t.x` string, l array<int>, d double").repartition(6), rows
+
+
+@pytest.mark.parametrize("case", ["digests", "clash", "too many"])
+def test_duplicates_of_wide_rows(spark, monkeypatch, case):
+    df, rows = wide_rows(spark)
+    same = lambda r: (r[0], r[1], str(r[2]), None if r[3] is None else str(r[3] + 0.0))
+    groups = Counter(map(same, rows))
+    if case == "clash":
+        monkeypatch.setattr(clean, "_digested", lambda df: df.withColumns({"_digest0": F.lit(1).cast("long"), "_digest1": F.col("a").cast("long") % 3}))
+    if case == "too many":
+        monkeypatch.setattr(clean, "MAX_DIGESTS", 5)
+    assert clean.duplicate_count(df).first()[0] == sum(n for n in groups.values() if n > 1)
+    kept = clean.drop_duplicates(df)
+    assert kept.columns == df.columns and Counter(same(tuple(r)) for r in kept.collect()) == Counter(groups.keys())
+
+
+def test_only_digests_of_single_rows_are_shuffled(spark):
+    df, _ = wide_rows(spark)
+    plan = clean.drop_duplicates(df)._jdf.queryExecution().executedPlan().toString()
+    single = plan[plan.index("Union") :]
+    assert "BroadcastHashJoin" in single and plan.count("SortMergeJoin") == 0
+    assert clean.drop_duplicates(df.limit(0)).count() == 0 and clean.duplicate_count(df.limit(0)).first()[0] == 0
