@@ -21,6 +21,7 @@ from millrace.functions.columns import is_numeric, missing_as_null, number, quot
 from millrace.operators import encode, impute, scale
 from millrace.operators.hypothesis import rank_sums
 from millrace.operators.profile import cardinality
+from millrace.operators.rank import ranked_columns
 from millrace.operators.sample import SEED, uniform
 from millrace.operators.shape import few_tasks
 from millrace.session import materialise
@@ -116,10 +117,13 @@ def model_pool(
             layers=[width, max(4, min(64, width)), classes], seed=SEED
         ),
     }
-    if classes == 2:
-        pool["GBTClassifier"] = C.GBTClassifier(maxDepth=depth, maxIter=rounds, seed=SEED)
-        pool["FMClassifier"] = C.FMClassifier(seed=SEED, stepSize=0.01)
-        pool["LinearSVC"] = C.LinearSVC()
+    for name, binary in {
+        "GBTClassifier": C.GBTClassifier(maxDepth=depth, maxIter=rounds, seed=SEED),
+        "FMClassifier": C.FMClassifier(seed=SEED, stepSize=0.01),
+        "LinearSVC": C.LinearSVC(),
+    }.items():
+        # Models of two classes: with more, one against the rest for each of them.
+        pool[name] = binary if classes == 2 else C.OneVsRest(classifier=binary, parallelism=WORKERS)
     return pool
 
 
@@ -242,13 +246,20 @@ def _class_scores(made: DataFrame, classes: int) -> tuple[float | None, ...]:
 
 def _roc_auc(made: DataFrame, classes: int) -> float | None:
     """Exact area from mid-ranks of the scores; for more classes one against the rest, weighted by size."""
-    if "probability" not in made.columns:
+    score = next((c for c in ("probability", "rawPrediction") if c in made.columns), None)
+    if score is None or classes == 2 and score != "probability":
         return _auc(made, F.col("prediction"), 1.0)[0] if classes == 2 else None
-    chances = made.select("label", vector_to_array("probability").alias("p"))
+    chances = made.select("label", vector_to_array(score).alias("p"))
     if classes == 2:
         return _auc(chances, F.col("p")[1], 1.0)[0]
-    parts = [_auc(chances, F.col("p")[k], float(k)) for k in range(classes)]
-    if any(a is None for a, _ in parts):
+    # One ranking of all scores, keyed by class.
+    values = {str(k): F.get("p", F.lit(k)) for k in range(classes)}
+    hits = {str(k): F.col("label") == k for k in range(classes)}
+    sums = ranked_columns(chances, values, hits=hits).groupBy("column").agg(
+        F.sum(F.col("hits") * F.col("midrank")).alias("rank_sum"), F.sum("hits").alias("n1"), F.max("n").alias("n")
+    )
+    parts = [((r["rank_sum"] - r["n1"] * (r["n1"] + 1) / 2) / (r["n1"] * (r["n"] - r["n1"])), r["n1"]) for r in sums.where("n1 > 0 and n1 < n").collect()]
+    if len(parts) < classes:
         return None
     return sum(a * n for a, n in parts) / sum(n for _, n in parts)
 

@@ -167,13 +167,20 @@ def ranked(
     return counts.select("grp", "value", "cnt", "ties", "before", "midrank", "n")
 
 
-def ranked_columns(df: DataFrame, values: dict[str, Column], limits: dict[str, list[float]] | None = None) -> DataFrame:
-    """The distinct values of many columns with their places, from one scan and one ranking: column, value, ties, before, midrank, n."""
+def ranked_columns(
+    df: DataFrame, values: dict[str, Column], limits: dict[str, list[float]] | None = None, hits: dict[str, Column] | None = None
+) -> DataFrame:
+    """The distinct values of many columns with their places, from one scan and one ranking: column, value, ties, hits, before, midrank, n.
+
+    ``hits`` counts the rows of a value for which a column's condition holds.
+    """
     limits = limits or thresholds(df, values)
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), v.cast("double").alias("value")) for c, v in values.items()])
-    counts = df.select(F.inline(entries)).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("ties"))
+    hit = lambda c: F.coalesce(hits[c] if hits else F.lit(False), F.lit(False)).alias("hit")
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), v.cast("double").alias("value"), hit(c)) for c, v in values.items()])
+    counts = df.select(F.inline(entries)).where("value is not null").groupBy("column", "value")
+    counts = counts.agg(F.count("*").alias("ties"), F.count_if("hit").alias("hits"))
     bucket = F.coalesce(*[F.when(F.col("column") == c, bucket_of(F.col("value"), sorted(set(t)))) for c, t in limits.items()])
-    return _placed(counts.withColumn("_bucket", bucket), "column").select("column", "value", "ties", "before", "midrank", "n")
+    return _placed(counts.withColumn("_bucket", bucket), "column").select("column", "value", "ties", "hits", "before", "midrank", "n")
 
 
 def _placed(distinct: DataFrame, *lead: str) -> DataFrame:

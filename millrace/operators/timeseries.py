@@ -7,20 +7,20 @@ one, so no window ever runs over the whole series in one task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import is_numeric, micros, missing_as_null, number, require_columns, require_numeric
 from millrace.operators.clean import converted
 from millrace.operators.rank import ranked, with_order_bucket, with_position
 from millrace.operators.shape import few_tasks
-from millrace.session import materialise
+from millrace.session import materialise, shared_folder
 
 FREQUENCIES = [None, "D", "W", "M", "Q", "Y"]
 AGGREGATES = ["mean", "sum", "max", "min", "first", "last"]
@@ -32,6 +32,13 @@ MAX_HORIZON = 365
 BAND = 0.1
 BLOCK = 100_000
 DAY = 86400.0
+#: The deepest tree that can be fitted.
+MAX_DEPTH = 30
+
+# Median distance in seconds below which a frequency has its name and code.
+FREQUENCY_LIMITS = [
+    (60, "seconds", "S"), (3600, "minutes", "T"), (DAY, "hours", "H"), (7 * DAY, "days", "D"), (31 * DAY, "weeks", "W"), (365 * DAY, "months", "M"),
+]
 
 # Model settings.
 TREES = {
@@ -120,9 +127,7 @@ def pattern(df: DataFrame, date_column: str) -> DataFrame:
 def _frequency(median: float | None) -> tuple[str | None, str | None]:
     if median is None:
         return None, None
-    limits = [(60, "seconds", "S"), (3600, "minutes", "T"), (DAY, "hours", "H"), (7 * DAY, "days", "D"),
-              (31 * DAY, "weeks", "W"), (365 * DAY, "months", "M")]
-    for limit, name, code in limits:
+    for limit, name, code in FREQUENCY_LIMITS:
         if median < limit:
             return name, code
     return "years", "Y"
@@ -299,6 +304,55 @@ class Forecast:
     predictions: DataFrame
 
 
+#: A table of trees: one row per node, the root being node 0; a leaf has left -1, and values up to ``threshold`` go left.
+NODES = "tree int, weight double, node int, left int, right int, feature int, threshold double, value double"
+
+
+def tree_nodes(model: GBTRegressionModel) -> DataFrame:
+    """The trees of a fitted model as a table of NODES, from what the model writes into the shared folder."""
+    spark = SparkSession.active()
+    folder = f"{shared_folder(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
+    model.save(folder)
+    weights = F.create_map(*[F.lit(x) for i, w in enumerate(model.treeWeights) for x in (i, float(w))])
+    node = F.col("nodeData")
+    return spark.read.parquet(f"{folder}/data").select(
+        F.col("treeID").alias("tree"), F.element_at(weights, F.col("treeID")).alias("weight"), node["id"].alias("node"),
+        node["leftChild"].alias("left"), node["rightChild"].alias("right"), node["split"]["featureIndex"].alias("feature"),
+        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"), node["prediction"].alias("value"),
+    )
+
+
+def forest(nodes: DataFrame) -> DataFrame:
+    """One row: ``trees``, an array of trees with their weight and their nodes in order. At most a few hundred small trees."""
+    fields = F.struct("left", "right", "feature", "threshold", "value")
+    each = nodes.groupBy("tree").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("node", fields.alias("n")))).alias("nodes"))
+    tree = F.struct("tree", "weight", F.transform("nodes", lambda x: x["n"]).alias("nodes"))
+    return each.agg(F.array_sort(F.collect_list(tree)).alias("trees"))
+
+
+def _grown(trees: Column, window: Column) -> Column:
+    """What an array of trees says to an array of values: the weighted sum of the leaves that these lead to."""
+
+    def leaf(nodes: Column, w: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            here = F.get(nodes, at)
+            return F.when(here["left"] < 0, at).when(F.get(w, here["feature"]) <= here["threshold"], here["left"]).otherwise(here["right"])
+
+        # No path is longer than half the nodes of its tree.
+        return F.get(nodes, F.aggregate(F.sequence(F.lit(1), F.least(F.ceil(F.size(nodes) / 2).cast("int"), F.lit(MAX_DEPTH))), F.lit(0), step))["value"]
+
+    total = lambda w: F.aggregate(trees, F.lit(0.0), lambda acc, t: acc + t["weight"] * leaf(t["nodes"], w))
+    return F.get(F.transform(F.array(window), total), F.lit(0))
+
+
+def recursion(trees: DataFrame, window: DataFrame, periods: int) -> DataFrame:
+    """``periods`` values, each from the LAGS before it: i (from 0), yhat. One row of trees, one row of ``window`` (an array of values)."""
+    last = lambda xs: F.slice(xs, F.size(xs) - (LAGS - 1), F.lit(LAGS))
+    grow = F.aggregate(F.sequence(F.lit(1), F.lit(periods)), F.col("window"), lambda xs, _: F.concat(xs, F.array(_grown(F.col("trees"), last(xs)))))
+    rows = trees.crossJoin(F.broadcast(window)).select(F.slice(grow, F.size("window") + 1, F.lit(periods)).alias("xs"))
+    return rows.select(F.posexplode("xs").alias("i", "yhat")).withColumn("i", F.col("i").cast("bigint"))
+
+
 def forecast(
     df: DataFrame,
     date_column: str,
@@ -307,37 +361,37 @@ def forecast(
     freq: str | None = None,
     agg: str = "mean",
     order_by: Sequence[str] | None = None,
+    trees: DataFrame | None = None,
     **settings: object,
 ) -> Forecast:
     """Boosted trees on the five values before; predicts the test rows, then ``periods`` rows beyond.
 
-    Beyond the data each prediction becomes an input of the next. The band is
-    ten percent to either side of the prediction.
+    Beyond the data each prediction becomes an input of the next, in one Spark expression over the fitted trees. The band is
+    ten percent to either side of the prediction. ``trees``, a table of NODES, are taken instead of fitted ones.
     """
     if not 1 <= periods <= MAX_HORIZON:
         raise ValueError(f"periods must lie between 1 and {MAX_HORIZON}")
     history = materialise(prepare(df, date_column, target, freq, agg, order_by))
     lags = [f"lag{k}" for k in range(LAGS, 0, -1)]
     rows = few_tasks(materialise(lag_features(history))).withColumn("features", array_to_vector(F.array(*lags)))
-    model = GBTRegressor(featuresCol="features", labelCol="y", **{**TREES, **settings}).fit(rows.where("is_train"))
     test = rows.where("not is_train")
-    # the last five test values start the recursion
-    tail = history.where("not is_train").orderBy(F.desc("position")).limit(LAGS).collect()
-    if len(tail) <= LAGS - 1 or not test.limit(1).count():
+    if history.where("not is_train").limit(LAGS).count() < LAGS or not test.limit(1).count():
         raise ValueError("the test part is too short for the lags")
-    window = [r["y"] for r in reversed(tail)]
-    ahead = []
-    for _ in range(periods):
-        ahead.append(float(model.predict(Vectors.dense(window))))
-        window = [*window[1:], ahead[-1]]
+    if trees is None:
+        model = GBTRegressor(featuresCol="features", labelCol="y", **{**TREES, **settings}).fit(rows.where("is_train"))
+        wood, made = forest(tree_nodes(model)), model.transform(test)
+    else:
+        wood = forest(trees)
+        made = test.crossJoin(F.broadcast(wood)).withColumn("prediction", _grown(F.col("trees"), F.array(*lags)))
+    # the last five test values start the recursion
+    tail = history.where("not is_train").orderBy(F.desc("position")).limit(LAGS)
+    window = tail.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "y"))), lambda r: r["y"]).alias("window"))
     first = test.agg(F.min_by("ds", "position").alias("start"), F.min("position").alias("base"), F.count("*").alias("rows"))
     fitted = (
-        model.transform(test)
-        .crossJoin(F.broadcast(first))
+        made.crossJoin(F.broadcast(first))
         .select("start", (F.col("position") - F.col("base")).alias("k"), F.col("prediction").alias("yhat"), F.lit(False).alias("is_future"))
     )
-    beyond = df.sparkSession.createDataFrame(list(enumerate(ahead)), "i bigint, yhat double")
-    future = beyond.crossJoin(F.broadcast(first)).select(
+    future = recursion(wood, window, periods).crossJoin(F.broadcast(first)).select(
         "start", (F.col("rows") + F.col("i")).alias("k"), "yhat", F.lit(True).alias("is_future")
     )
     predictions = fitted.unionByName(future).select(

@@ -124,6 +124,35 @@ def ts_forecast_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return timeseries.metrics(result.history, result.predictions)
 
 
+#: Given trees over the lags 5 to 1, features 0 to 4: tree, weight, node, left, right, feature, threshold, value.
+GIVEN_TREES = [
+    (0, 1.0, 0, 1, 4, 4, 150_000.0, None), (0, 1.0, 1, 2, 3, 0, 140_000.0, None), (0, 1.0, 2, -1, -1, None, None, 141_000.0),
+    (0, 1.0, 3, -1, -1, None, None, 152_500.0), (0, 1.0, 4, -1, -1, None, None, 148_000.0),
+    (1, 0.5, 0, 1, 2, 2, 147_000.0, None), (1, 0.5, 1, -1, -1, None, None, 9_000.0), (1, 0.5, 2, -1, -1, None, None, -6_000.0),
+    (2, 0.25, 0, -1, -1, None, None, 1_000.0),
+]
+
+
+def ts_forecast_given(spark: SparkSession, folder: str) -> DataFrame:
+    """A forecast by given trees: fitted and future days, each future value an input of the next."""
+    trees = spark.createDataFrame(GIVEN_TREES, timeseries.NODES)
+    found = timeseries.forecast(table(spark, folder, "orders"), "o_orderdate", "o_totalprice", 60, "D", "mean", ["o_orderkey"], trees)
+    return rounded(found.predictions, 6, "yhat", "yhat_lower", "yhat_upper")
+
+
+GIVEN_VALUE = """CASE WHEN l1 <= 150000 THEN CASE WHEN l5 <= 140000 THEN 141000.0 ELSE 152500.0 END ELSE 148000.0 END
+    + 0.5 * CASE WHEN l3 <= 147000 THEN 9000.0 ELSE -6000.0 END + 0.25 * 1000.0"""
+GIVEN_SQL = f"""WITH RECURSIVE s AS (SELECT y, position, ds, row_number() OVER (ORDER BY position DESC) AS back,
+    {', '.join(f'lag(y, {k}) OVER (ORDER BY position) AS l{k}' for k in (5, 4, 3, 2, 1))} FROM ({_series_sql(LAST_ORDER, 'D', 'mean')}) WHERE NOT is_train),
+  t AS (SELECT min(ds) AS start, min(position) AS base, count(*) AS n FROM s WHERE l5 IS NOT NULL),
+  w AS (SELECT {', '.join(f'max(y) FILTER (back = {k}) AS l{k}' for k in (5, 4, 3, 2, 1))} FROM s),
+  r AS (SELECT 0 AS i, l5::DOUBLE AS l5, l4::DOUBLE AS l4, l3::DOUBLE AS l3, l2::DOUBLE AS l2, l1::DOUBLE AS l1 FROM w
+    UNION ALL SELECT i + 1, l4, l3, l2, l1, ({GIVEN_VALUE})::DOUBLE FROM r WHERE i < 60),
+  p AS (SELECT position - base AS k, ({GIVEN_VALUE})::DOUBLE AS yhat, false AS is_future FROM s, t WHERE l5 IS NOT NULL
+    UNION ALL SELECT n + i - 1, l1, true FROM r, t WHERE i > 0)
+SELECT start + k * INTERVAL 1 DAY AS ds, round(yhat, 6) + 0.0 AS yhat, round(yhat * 0.9, 6) + 0.0 AS yhat_lower, round(yhat * 1.1, 6) + 0.0 AS yhat_upper, is_future FROM p, t"""
+
+
 # ---------------------------------------------------------------- models
 
 
@@ -226,6 +255,7 @@ QUERIES = {
     "ts_lags": Query(ts_lags, LAGS_SQL),
     "ts_metrics": Query(ts_metrics, METRICS_SQL),
     "ts_forecast": Query(ts_forecast),
+    "ts_forecast_given": Query(ts_forecast_given, GIVEN_SQL),
     "ts_forecast_metrics": Query(ts_forecast_metrics),
     "automl_features": Query(automl_features, FEATURES_SQL),
     "automl_classify": Query(automl_classify),

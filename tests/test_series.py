@@ -102,6 +102,32 @@ def test_forecast_dates_and_band(spark):
         timeseries.forecast(df, "ds", "y", periods=0)
 
 
+def test_every_future_row_is_what_the_model_says(spark, monkeypatch):
+    """The model asked in turn, each answer being an input of the next."""
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.regression import GBTRegressor
+
+    fitted = []
+    fit = GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, *a: fitted.append(fit(self, *a)) or fitted[-1])
+    df = daily(spark, 120).withColumn("y", 50 + 20 * F.sin(F.col("y") / 3) + F.col("y") % 5)
+    result = timeseries.forecast(df, "ds", "y", periods=40, maxIter=12, maxDepth=4)
+    window = [r["y"] for r in result.history.orderBy("ds").collect()][-5:]
+    future = result.predictions.where("is_future").orderBy("ds").collect()
+    assert len(future) == 40
+    for r in future:
+        value = fitted[0].predict(Vectors.dense(window))
+        assert r["yhat"] == pytest.approx(value, rel=1e-12)
+        window = [*window[1:], value]
+    nodes = timeseries.tree_nodes(fitted[0])
+    assert nodes.select("tree").distinct().count() == 12
+    lags = [f"lag{k}" for k in (5, 4, 3, 2, 1)]
+    test = timeseries.lag_features(result.history).where("not is_train").crossJoin(timeseries.forest(nodes))
+    said = {r["position"]: r["p"] for r in test.select("position", timeseries._grown(F.col("trees"), F.array(*lags)).alias("p")).collect()}
+    own = sorted(r["yhat"] for r in result.predictions.where("not is_future").collect())
+    assert sorted(said.values()) == pytest.approx(own, rel=1e-12)
+
+
 @pytest.fixture(scope="module")
 def flowers(spark):
     rng = np.random.default_rng(3)
