@@ -311,6 +311,39 @@ def cluster(
     return Clusters(labelled.drop("features"), summary)
 
 
+def nearest_centres(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[float]]) -> DataFrame:
+    """``df`` with ``cluster``, the nearest of given centres (the first of equally near ones), and ``distance``, the square of how far it is.
+
+    Rows with a missing value have neither. The sum of the distances is the inertia.
+    """
+    require_numeric(df, *columns)
+    values = [number(df, c) for c in columns]
+    far = [sum((F.pow(v - F.lit(float(x)), F.lit(2.0)) for v, x in zip(values, c, strict=True)), F.lit(0.0)) for c in centres]
+    best = F.array_min(F.array(*[F.struct(d.alias("distance"), F.lit(i).alias("cluster")) for i, d in enumerate(far)]))
+    known = F.lit(True)
+    for v in values:
+        known = known & v.isNotNull()
+    return df.withColumn("_best", F.when(known, best)).withColumns({"cluster": F.col("_best.cluster"), "distance": F.col("_best.distance")}).drop("_best")
+
+
+def component_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Shares of the variance of standardised columns along their principal components, largest first: component (from 1), share."""
+    ready = _vectors(df, columns, None)
+    model = PCA(k=len(columns), inputCol="features", outputCol="reduced").fit(ready)
+    shares = [(i, float(v)) for i, v in enumerate(model.explainedVariance, 1)]
+    return df.sparkSession.createDataFrame(shares, "component int, share double")
+
+
+def class_scores(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
+    """The leaderboard's numbers for a given score of a 0/1 label: n, accuracy, balanced_accuracy, f1, roc_auc."""
+    require_numeric(df, label, score)
+    made = df.select(number(df, label).alias("label"), number(df, score).alias("p")).where("label is not null and p is not null")
+    made = materialise(made.withColumn("prediction", F.when(F.col("p") >= threshold, 1.0).otherwise(0.0)))
+    auc, _ = _auc(made, F.col("p"), 1.0)
+    row = (made.count(), *_class_scores(made.drop("p"), 2)[:3], auc)
+    return df.sparkSession.createDataFrame([row], "n bigint, accuracy double, balanced_accuracy double, f1 double, roc_auc double")
+
+
 def elbow(df: DataFrame, ks: Sequence[int], columns: Sequence[str] | None = None, vector: str | None = None, seed: int = SEED) -> DataFrame:
     """Inertia and silhouette for several numbers of clusters."""
     ready = materialise(_vectors(df, columns, vector).select("features"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import bucket_of, constant_array, number, quoted, require_numeric
 from millrace.operators.power import boxcox_lambda, boxcox_value, yeojohnson_lambda, yeojohnson_value
+from millrace.operators.profile import describe_numeric
 from millrace.operators.quantiles import exact_quantiles
 from millrace.operators.rank import quantile_grid
 
@@ -146,3 +147,9 @@ def _fit_power(df: DataFrame, column: str, method: str) -> Linear:
     y: Column = curve(x, power)
     row = df.agg(F.avg(y).alias("shift"), F.stddev_pop(y).alias("width")).first()
     return _linear(column, row["shift"], row["width"], kind=method, power=power)
+
+
+def comparison(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The numbers beside the histograms of a transformation: a row per column and stage with its profile."""
+    old = describe_numeric(before, columns).withColumn("stage", F.lit("before"))
+    return old.unionByName(describe_numeric(after, columns).withColumn("stage", F.lit("after")))

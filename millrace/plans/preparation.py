@@ -260,6 +260,23 @@ def scale_power(name: str, key: str, column: str, method: str):
     return run
 
 
+def scale_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles of two columns before and after their standardisation."""
+    before = table(spark, folder, "customer").select("c_acctbal", "c_nationkey")
+    after = scale.scale(before, ["c_acctbal", "c_nationkey"], "standard")
+    return rounded(scale.comparison(before, after, ["c_acctbal", "c_nationkey"]), 6, "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+def _comparison_sql() -> str:
+    scaled = lambda c: f"(SELECT ({c} - (SELECT avg({c}) FROM customer)) / (SELECT stddev_pop({c}) FROM customer) AS x FROM customer)"
+    return " UNION ALL ".join(
+        f"""SELECT '{stage}' AS stage, '{c}' AS "column", count(x) AS count, round(avg(x), 6) + 0.0 AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) + 0.0 AS min,
+        round(quantile_cont(x, 0.25), 6) + 0.0 AS q25, round(quantile_cont(x, 0.5), 6) + 0.0 AS q50, round(quantile_cont(x, 0.75), 6) + 0.0 AS q75, round(max(x), 6) + 0.0 AS max FROM {source}"""
+        for c in ("c_acctbal", "c_nationkey")
+        for stage, source in (("before", f"(SELECT {c}::DOUBLE AS x FROM customer)"), ("after", scaled(c)))
+    )
+
+
 GAPPY_ORDERS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders)"
 
 SCALE_QUANTILE_SQL = f"""WITH q AS (
@@ -497,6 +514,7 @@ QUERIES = {
         )
         for m in ("minmax", "standard", "robust")
     },
+    "scale_comparison": Query(scale_comparison, _comparison_sql()),
     "scale_quantile": Query(scale_quantile, SCALE_QUANTILE_SQL),
     "scale_boxcox": Query(
         scale_power("orders", "o_orderkey", "o_totalprice", "boxcox"),

@@ -223,6 +223,56 @@ def cluster_elbow(spark: SparkSession, folder: str) -> DataFrame:
     return models.elbow(table(spark, folder, "embeddings"), [2, 4, 8], vector="embedding")
 
 
+CENTRES = [(10.0, 1000.0), (25.0, 1500.0), (40.0, 1200.0)]
+
+
+def cluster_given(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts by the nearest of given centres, with the inertia of each cluster."""
+    found = models.nearest_centres(table(spark, folder, "part"), ["p_size", "p_retailprice"], CENTRES)
+    return rounded(found.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("distance").alias("inertia")), 3, "inertia")
+
+
+CLUSTER_SQL = f"""WITH d AS (SELECT p_partkey, i, pow(p_size - x, 2) + pow(p_retailprice - y, 2) AS d FROM part,
+    (VALUES {', '.join(f'({i}, {x}, {y})' for i, (x, y) in enumerate(CENTRES))}) AS c(i, x, y))
+SELECT cluster, count(*) AS n, round(sum(d), 3) + 0.0 AS inertia FROM (SELECT arg_min(i, (d, i)) AS cluster, min(d) AS d FROM d GROUP BY p_partkey) GROUP BY cluster"""
+
+
+def component_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(models.component_shares(table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice"]), 6, "share")
+
+
+#: Two standardised columns with the correlation r have the variances 1 + |r| and 1 - |r| along their components.
+SHARES_SQL = """SELECT component, round((1 + s * abs((SELECT corr(l_quantity, l_extendedprice) FROM lineitem))) / 2, 6) AS share
+    FROM (VALUES (1, 1), (2, -1)) AS t(component, s)"""
+
+
+def class_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the share of distinct letters tells the quality of a document: metrics of a fixed score."""
+    docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
+    score = 1 / (1 + F.length(F.regexp_replace("text", "[a-z ]", "")) / 200)
+    return rounded(models.class_scores(docs.withColumn("score", score), "quality", "score"), 6, "accuracy", "balanced_accuracy", "f1", "roc_auc")
+
+
+SCORES_SQL = """WITH d AS (SELECT quality AS y, 1 / (1 + length(regexp_replace(text, '[a-z ]', '', 'g')) / 200.0::DOUBLE) AS p FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL),
+  g AS (SELECT y, p >= 0.5 AS q FROM d),
+  c AS (SELECT count(*) AS n, count(*) FILTER (y = 1 AND q) AS tp, count(*) FILTER (y = 0 AND NOT q) AS tn, count(*) FILTER (y = 1) AS p1, count(*) FILTER (y = 0) AS p0,
+    count(*) FILTER (q) AS q1, count(*) FILTER (NOT q) AS q0 FROM g),
+  r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM d)
+SELECT n, round((tp + tn)::DOUBLE / n, 6) AS accuracy, round((tp::DOUBLE / p1 + tn::DOUBLE / p0) / 2, 6) AS balanced_accuracy,
+  round((2.0::DOUBLE * tp / (p1 + q1) * p1 + 2.0::DOUBLE * tn / (p0 + q0) * p0) / n, 6) AS f1,
+  round(((SELECT sum(r) FROM r WHERE y = 1) - p1 * (p1 + 1) / 2.0) / (p1 * p0), 6) AS roc_auc FROM c"""
+
+
+def automl_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Models of a target of several classes: the language of every document that names one, from counts of its characters."""
+    facts = document_facts(spark, folder).join(table(spark, folder, "documents").select("doc_id", *[
+        F.length(F.regexp_replace("text", f"[^{c}]", "")).alias(f"n{i}") for i, c in enumerate(["éèê", "äöü", "ñó", "th", "e"])
+    ]), "doc_id").where("lang is not null")
+    train, test = models.split(facts, key=["doc_id"])
+    columns = ["n_chars", "words", *[f"n{i}" for i in range(5)]]
+    return models.compare(train, test, "lang", "classification", columns).leaderboard.drop("seconds")
+
+
 QUERIES = {
     "ts_pattern": Query(
         lambda s, d: rounded(timeseries.pattern(table(s, d, "events"), "ts"), 6, "min_interval", "median_interval"),
@@ -261,6 +311,10 @@ QUERIES = {
     "automl_classify": Query(automl_classify),
     "automl_regress": Query(automl_regress),
     "automl_linear": Query(linear_fit, LINEAR_SQL),
+    "automl_languages": Query(automl_languages),
+    "class_scores": Query(class_scores, SCORES_SQL),
+    "cluster_given": Query(cluster_given, CLUSTER_SQL),
+    "component_shares": Query(component_shares, SHARES_SQL),
     "cluster_embeddings": Query(cluster_embeddings),
     "cluster_summary": Query(cluster_summary),
     "cluster_elbow": Query(cluster_elbow),

@@ -159,6 +159,31 @@ def test_classification(flowers):
     assert set(r["label"] for r in result.predictions.collect()) == {"x", "y", "z"}
 
 
+def test_pool_of_three_classes(flowers):
+    train, test = models.split(flowers)
+    pool = models.model_pool("classification", 3, 8, depth=3, trees=5, rounds=2)
+    assert len(pool) == 8
+    width = len(models.fit_features(train, ["a", "b", "c", "d"]).transform(train.select("a", "b", "c", "d")).first()["features"])
+    result = models.compare(train, test, "kind", "classification", estimators=models.model_pool("classification", 3, width, depth=3, trees=5, rounds=2))
+    rows = {r["model"]: r for r in result.leaderboard.collect()}
+    assert len(rows) == 8 and {"GBTClassifier", "FMClassifier", "LinearSVC"} <= set(rows)
+    for name, r in rows.items():
+        assert name in result.skipped or (r["balanced_accuracy"] > 0.3 and 0 <= r["roc_auc"] <= 1)
+    assert rows["GBTClassifier"]["roc_auc"] > 0.9
+
+
+def test_auc_of_several_classes(spark):
+    random = np.random.default_rng(4)
+    p, label = np.round(random.random((400, 3)), 2), random.integers(0, 3, 400)
+    made = spark.createDataFrame([(float(k), [float(x) for x in row]) for k, row in zip(label, p, strict=True)], "label double, p array<double>")
+    made = made.withColumn("probability", models.array_to_vector("p")).drop("p").repartition(5)
+    total = 0.0
+    for k in range(3):
+        yes, no = p[label == k, k], p[label != k, k]
+        total += ((yes[:, None] > no).mean() + 0.5 * (yes[:, None] == no).mean()) * len(yes)
+    assert models._roc_auc(made, 3) == pytest.approx(total / 400, rel=1e-12)
+
+
 def test_regression(flowers):
     from pyspark.ml.regression import LinearRegression
 
