@@ -44,13 +44,13 @@ def _series_sql(source: str, freq: str | None, agg: str) -> str:
 def _orders_series(freq: str | None, agg: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         orders = table(spark, folder, "orders")
-        return rounded(timeseries.prepare(orders, "o_orderdate", "o_totalprice", freq, agg, ["o_orderkey"]), 9, "y")
+        return rounded(timeseries.prepare(orders, "o_orderdate", "o_totalprice", freq, agg, ["o_orderkey"]), 6, "y")
 
     return run
 
 
 def _rounded_series_sql(source: str, freq: str | None, agg: str) -> str:
-    return f"SELECT ds, round(y, 9) + 0.0 AS y, position, is_train FROM ({_series_sql(source, freq, agg)})"
+    return f"SELECT ds, round(y, 6) + 0.0 AS y, position, is_train FROM ({_series_sql(source, freq, agg)})"
 
 
 def orders_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -295,11 +295,11 @@ QUERIES = {
         for freq, agg in (("D", "mean"), ("W", "sum"), ("M", "first"), ("M", "last"), ("Q", "max"), ("Y", "min"))
     },
     "ts_resample_events": Query(
-        lambda s, d: rounded(timeseries.prepare(table(s, d, "events"), "ts", "value", "D", "mean", ["event_id"]), 9, "y"),
+        lambda s, d: rounded(timeseries.prepare(table(s, d, "events"), "ts", "value", "D", "mean", ["event_id"]), 6, "y"),
         _rounded_series_sql(LAST_EVENT, "D", "mean"),
     ),
     "ts_resample_gaps": Query(
-        lambda s, d: rounded(timeseries.prepare(orders_with_gaps(s, d), "o_orderdate", "o_totalprice", "D", "max", ["o_orderkey"]), 9, "y"),
+        lambda s, d: rounded(timeseries.prepare(orders_with_gaps(s, d), "o_orderdate", "o_totalprice", "D", "max", ["o_orderkey"]), 6, "y"),
         _rounded_series_sql(LAST_GAPPY, "D", "max"),
     ),
     "ts_lags": Query(ts_lags, LAGS_SQL),
