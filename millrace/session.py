@@ -27,17 +27,17 @@ def local_session(cores: int | str = 8, name: str = "millrace", **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Where it is unset, as in a test, a local master falls back to a temporary folder; a cluster never does.
+    Where it is unset, as in a test, a session on a local master gets one temporary folder of its own; a cluster never does.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="millrace-checkpoint-")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -46,7 +46,8 @@ def materialise(df: DataFrame) -> DataFrame:
     The result survives lost executors, and columns such as partition ids keep
     the value they had when they were written.
     """
+    folder = shared_folder(df.sparkSession)
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
