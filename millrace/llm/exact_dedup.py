@@ -1,26 +1,27 @@
 """Exact duplicates by owners in Patricia tries.
 
-Rows are partitioned by the length and a 64-bit hash of their normalised text.
-Each partition is a compressed radix trie over the full byte strings, so two
-texts meet in a terminal node only if every byte agrees; a hash collision just
-makes a second terminal. A terminal holds the smallest identifier of its text,
+Rows are partitioned by the length and a hash of their normalised text. A
+partition, texts of lengths between two powers of two that agree in a few bits of their hash, is a
+compressed radix trie over the full byte strings: texts share the edges that they begin with and fork where they differ,
+so two of them meet in a terminal node only if every byte agrees. A terminal holds the smallest identifier of its text,
 or the largest one (``keep="largest"``).
 
 1. Every input partition inserts its rows into tries of its own and writes one
    row per document; only the owner of each local text keeps the text. This
    is the pre-aggregation that a hot text needs: however many copies there
    are, at most one text per input partition goes on. When the tries
-   outgrow ``budget`` bytes, the largest subtrees are written out and forgotten;
+   outgrow ``budget`` bytes, the heaviest subtrees are written out and forgotten;
    a text that comes again later simply gets another local owner.
-2. The local owners are shuffled by length and hash, sorted, and inserted into
-   one trie per key, one key at a time.
+2. The local owners are shuffled by length and 64-bit hash, sorted by both, and inserted into
+   such tries, one after the other. Rows of one text come in a run, so when a run has
+   ended all subtrees are final, and the heaviest can be spilled.
 3. Every document looks its owner up through its local owner, which is never hot.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -44,12 +45,12 @@ class Node:
         self.label, self.children, self.held = label, None, held
 
 
-def _shared(a: bytes, b: bytes) -> int:
-    """Length of the common prefix, by halving: comparisons run over whole slices."""
-    low, high = 0, min(len(a), len(b))
+def _shared(text: bytes, at: int, label: bytes) -> int:
+    """Length of the common prefix of ``text`` from ``at`` and ``label``, by halving: comparisons run over whole slices."""
+    low, high = 0, min(len(text) - at, len(label))
     while low < high:
         middle = (low + high + 1) // 2
-        if a[low:middle] == b[low:middle]:
+        if text[at + low : at + middle] == label[low:middle]:
             low = middle
         else:
             high = middle - 1
@@ -64,28 +65,28 @@ class Trie:
 
     def terminal(self, text: bytes) -> Node:
         """The node at which ``text`` ends, made if missing."""
-        node, rest = self.root, text
-        while rest:
-            child = node.children.get(rest[0]) if node.children else None
+        node, at = self.root, 0
+        while at < len(text):
+            child = node.children.get(text[at]) if node.children else None
             if child is None:
-                leaf = Node(rest)
+                leaf = Node(text[at:])
                 if node.children is None:
                     node.children = {}
-                node.children[rest[0]] = leaf
+                node.children[text[at]] = leaf
                 return leaf
-            if rest.startswith(child.label):
-                node, rest = child, rest[len(child.label) :]
+            if text.startswith(child.label, at):
+                node, at = child, at + len(child.label)
                 continue
-            at = _shared(rest, child.label)
-            fork = Node(child.label[:at])
-            node.children[rest[0]] = fork
-            child.label = child.label[at:]
+            n = _shared(text, at, child.label)
+            fork = Node(child.label[:n])
+            node.children[text[at]] = fork
+            child.label = child.label[n:]
             fork.children = {child.label[0]: child}
-            node, rest = fork, rest[at:]
+            node, at = fork, at + n
         return node
 
-    def terminals(self) -> Iterator[object]:
-        stack = [self.root]
+    def terminals(self, top: Node | None = None) -> Iterator[object]:
+        stack = [top or self.root]
         while stack:
             node = stack.pop()
             if node.held is not None:
@@ -93,6 +94,41 @@ class Trie:
             if node.children:
                 stack.extend(node.children.values())
 
+    def cut(self, wanted: int, weigh: Callable[[object], int]) -> Iterator[object]:
+        """Take the heaviest subtrees out until ``wanted`` is gone, and give what they held.
+
+        A subtree goes whole if it weighs at most an eighth of what is wanted, else its own subtrees are looked at.
+        """
+        order: list[tuple[Node, Node | None]] = [(self.root, None)]
+        for node, _ in order:
+            order.extend((child, node) for child in (node.children or {}).values())
+        weight = {id(node): weigh(node.held) if node.held is not None else 0 for node, _ in order}
+        above = {}
+        for node, parent in reversed(order):
+            above[id(node)] = parent
+            if parent is not None:
+                weight[id(parent)] += weight[id(node)]
+        most = max(1, wanted // 8)
+        light = [(n, p) for n, p in order[1:] if (weight[id(n)] <= most or not n.children) and (p is self.root or weight[id(p)] > most)]
+        for node, parent in sorted(light, key=lambda x: -weight[id(x[0])]):
+            if wanted <= 0:
+                return
+            wanted -= weight[id(node)]
+            del parent.children[node.label[0]]
+            while parent is not self.root and not parent.children and parent.held is None:
+                parent, gone = above[id(parent)], parent
+                del parent.children[gone.label[0]]
+            yield from self.terminals(node)
+
+
+#: Bits of the hash that part the texts of one length range.
+HASH_BITS = 3
+
+
+def partition(length: int, short: int) -> tuple[int, int]:
+    """The trie of a text: the power of two above its length, and the first bits of its signed 64-bit hash."""
+    return length.bit_length(), short >> (64 - HASH_BITS)
+
 
 def _better(a: int | None, b: int | None, largest: bool) -> bool:
     """Whether identifier ``a`` owns before ``b``; null never owns before a value."""
@@ -101,31 +137,37 @@ def _better(a: int | None, b: int | None, largest: bool) -> bool:
     return a > b if largest else a < b
 
 
+class Rows:
+    """Output rows, turned into record batches of bounded size."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.rows, self.size = schema, [], 0
+
+    def full(self) -> bool:
+        return self.size > 8 << 20
+
+    def flush(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows, strict=True)) or [[] for _ in self.schema]
+        self.rows, self.size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
+
+
 def _local(batches: Iterator[pa.RecordBatch], schema: pa.Schema, largest: bool, budget: int) -> Iterator[pa.RecordBatch]:
     """One row per input row; the owner of each local text keeps its row as it is."""
     first = TaskContext.get().partitionId() << 36
     tries: dict[tuple[int, int], Trie] = {}
     weight: dict[tuple[int, int], int] = {}
-    held_bytes, row = 0, 0
-    out: list[tuple] = []
-    size = 0
-
-    def spill(keys: list[tuple[int, int]]) -> None:
-        nonlocal held_bytes, size
-        for key in keys:
-            held_bytes -= weight.pop(key)
-            for owner, members, sha in tries.pop(key).terminals():
-                uid, doc, text, rest = owner
-                out.append((uid, doc, sha, uid, True, len(members) + 1, key[0], key[1], text, *rest))
-                out.extend((m, d, sha, uid, False, 0, None, None, None, *([None] * len(rest))) for m, d in members)
-                size += 64 * len(members) + (len(text) if text else 0)
-
-    def flush() -> pa.RecordBatch:
-        nonlocal out, size
-        columns = list(zip(*out, strict=True)) or [[] for _ in schema]
-        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-        out, size = [], 0
-        return batch
+    row, total, out = 0, 0, Rows(schema)
+
+    def weigh(held: list) -> int:
+        return 2 * held[3][0] + 200 + 64 * len(held[1])
+
+    def write(held: list) -> int:
+        (uid, doc, text, rest), members, sha, key = held
+        out.rows.append((uid, doc, sha, uid, True, len(members) + 1, *key, text, *rest))
+        out.rows.extend((m, d, sha, uid, False, 0, None, None, None, *([None] * len(rest))) for m, d in members)
+        out.size += 64 * len(members) + (len(text) if text else 0)
+        return weigh(held)
 
     for batch in batches:
         docs, raw = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()
@@ -133,81 +175,97 @@ def _local(batches: Iterator[pa.RecordBatch], schema: pa.Schema, largest: bool,
         for doc, text, rest in zip(docs, raw, others, strict=True):
             plain = (text or b"").lower()
             key = (len(plain), xxhash.xxh64_intdigest(plain) - (1 << 63))
-            trie = tries.get(key)
+            part = partition(*key)
+            trie = tries.get(part)
             if trie is None:
-                trie, weight[key] = tries.setdefault(key, Trie()), 0
+                trie, weight[part] = tries.setdefault(part, Trie()), 0
             node, uid = trie.terminal(plain), first + row
             row += 1
             mine = (uid, doc, text, rest)
             if node.held is None:
-                node.held = [mine, [], hashlib.sha256(plain).hexdigest()]
-                weight[key] += 2 * len(plain) + 200
-                held_bytes += 2 * len(plain) + 200
+                node.held = [mine, [], hashlib.sha256(plain).hexdigest(), key]
+                weight[part] += weigh(node.held)
+                total += weigh(node.held)
             else:
-                owner, members, _ = node.held
+                owner, members, _, _ = node.held
                 if _better(doc, owner[1], largest):
                     node.held[0], mine = mine, owner
                 members.append(mine[:2])
-                weight[key] += 64
-                held_bytes += 64
-            if held_bytes > budget:
-                keys = sorted(weight, key=weight.get, reverse=True)
-                total, chosen = 0, []
-                for k in keys:
-                    chosen.append(k)
-                    total += weight[k]
-                    if total > budget // 2:
-                        break
-                spill(chosen)
-            if size > 8 << 20:
-                yield flush()
-    for key in list(tries):
-        spill([key])
-        if size > 8 << 20:
-            yield flush()
-    if out:
-        yield flush()
-
-
-def _global(batches: Iterator[pa.RecordBatch], schema: pa.Schema, largest: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key come in; per local owner its owner goes out, and the owner's own row in full."""
-    key, trie, out, size = None, Trie(), [], 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal out, size
-        columns = list(zip(*out, strict=True)) or [[] for _ in schema]
-        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-        out, size = [], 0
-        return batch
-
-    def close() -> None:
-        nonlocal size
-        for (uid, doc, text, rest), others, n in trie.terminals():
-            out.append((uid, uid, doc, n, True, text, *rest))
-            out.extend((u, uid, doc, n, False, None, *([None] * len(rest))) for u in others)
-            size += 64 * len(others) + (len(text) if text else 0) + 64
+                weight[part] += 64
+                total += 64
+            while total > budget:
+                heavy = max(weight, key=weight.get)
+                before = weight[heavy]
+                for held in tries[heavy].cut(max(1, before // 2), weigh):
+                    weight[heavy] -= write(held)
+                    if out.full():
+                        yield out.flush()
+                if weight[heavy] == before:
+                    # Only the empty text is left, at the root.
+                    for held in tries.pop(heavy).terminals():
+                        write(held)
+                    total -= weight.pop(heavy)
+                else:
+                    total -= before - weight[heavy]
+            if out.full():
+                yield out.flush()
+    for trie in tries.values():
+        for held in trie.terminals():
+            write(held)
+            if out.full():
+                yield out.flush()
+    if out.rows:
+        yield out.flush()
+
+
+def _global(batches: Iterator[pa.RecordBatch], schema: pa.Schema, largest: bool, budget: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by length and hash come in; per local owner its owner goes out, and the owner's own row in full."""
+    key, part, trie, weight, out = None, None, Trie(), 0, Rows(schema)
+
+    def weigh(held: list) -> int:
+        return 2 * held[3] + 200 + 64 * len(held[1])
+
+    def write(held: list) -> int:
+        (uid, doc, text, rest), others, n, _ = held
+        out.rows.append((uid, uid, doc, n, True, text, *rest))
+        out.rows.extend((u, uid, doc, n, False, None, *([None] * len(rest))) for u in others)
+        out.size += 64 * len(others) + (len(text) if text else 0) + 64
+        return weigh(held)
 
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(batch.num_columns) if i != 5]
         columns.insert(5, batch.column(5).cast(pa.large_binary()).to_pylist())
         for length, short, uid, doc, n, text, *rest in zip(*columns, strict=True):
             if (length, short) != key:
-                close()
-                key, trie = (length, short), Trie()
-                if size > 8 << 20:
-                    yield flush()
+                key = (length, short)
+                if partition(*key) != part:
+                    for held in trie.terminals():
+                        write(held)
+                        if out.full():
+                            yield out.flush()
+                    part, trie, weight = partition(*key), Trie(), 0
+                elif weight > budget:
+                    for held in trie.cut(weight // 2, weigh):
+                        weight -= write(held)
+                        if out.full():
+                            yield out.flush()
             node, mine = trie.terminal((text or b"").lower()), (uid, doc, text, rest)
             if node.held is None:
-                node.held = [mine, [], n]
+                node.held = [mine, [], n, length]
+                weight += weigh(node.held)
                 continue
-            owner, others, _ = node.held
+            owner, others, _, _ = node.held
             if _better(doc, owner[1], largest) or doc == owner[1] and uid < owner[0]:
                 node.held[0], mine = mine, owner
             others.append(mine[0])
             node.held[2] += n
-    close()
-    if out:
-        yield flush()
+            weight += 64
+    for held in trie.terminals():
+        write(held)
+        if out.full():
+            yield out.flush()
+    if out.rows:
+        yield out.flush()
 
 
 def local_owners(docs: DataFrame, key: str, text: str, carry: list[str], largest: bool, budget: int) -> DataFrame:
@@ -232,7 +290,7 @@ def local_owners(docs: DataFrame, key: str, text: str, carry: list[str], largest
     return stored(given.mapInArrow(lambda it: _local(it, arrow, largest, budget), schema), "trie-local")
 
 
-def global_owners(local: DataFrame, carry: int, largest: bool) -> DataFrame:
+def global_owners(local: DataFrame, carry: int, largest: bool, budget: int = TRIE_BUDGET) -> DataFrame:
     """Step 2: per local owner its owner; the owner's row has the text and what is carried."""
     rest = [f"c{i}" for i in range(carry)]
     owners = local.where("owns").select("length", "short", "uid", "doc_id", "n", "text", *rest)
@@ -248,8 +306,10 @@ def global_owners(local: DataFrame, carry: int, largest: bool) -> DataFrame:
         ]
     )
     arrow = _arrow(schema)
-    dealt = owners.repartition("length", "short").sortWithinPartitions("length", "short")
-    return dealt.mapInArrow(lambda it: _global(it, arrow, largest), schema)
+    # Texts of one trie come together: its length range and hash bits go before the length itself.
+    band, bits = F.length(F.bin("length")), F.shiftright("short", 64 - HASH_BITS)
+    dealt = owners.repartition("length", "short").sortWithinPartitions(band, bits, "length", "short")
+    return dealt.mapInArrow(lambda it: _global(it, arrow, largest, budget), schema)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -268,7 +328,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     not read; an empty table gives an empty result.
     """
     local = local_owners(docs, key, text, [], keep == "largest", budget)
-    owners = global_owners(local, 0, keep == "largest").drop("text", "wins")
+    owners = global_owners(local, 0, keep == "largest", budget).drop("text", "wins")
     members = local.select("uid", "doc_id", "text_sha256", "local")
     return members.join(owners, "local").select(
         "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("owner")).alias("kept"), "text_sha256"
@@ -279,7 +339,7 @@ def distinct_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     """The rows of ``docs`` that stay, with all their columns."""
     carry = [c for c in docs.columns if c not in (key, text)]
     local = local_owners(docs, key, text, carry, keep == "largest", budget)
-    owners = global_owners(local, len(carry), keep == "largest").where("wins")
+    owners = global_owners(local, len(carry), keep == "largest", budget).where("wins")
     names = {key: "keep_id", text: "text"} | {c: f"c{i}" for i, c in enumerate(carry)}
     return owners.select(*(F.col(names[c]).alias(c) for c in docs.columns))
 

@@ -55,6 +55,56 @@ def test_trie_keeps_colliding_texts_apart():
     assert all(trie.terminal(text).held == text for text in texts)
 
 
+def nodes(trie):
+    stack = [trie.root]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack.extend((node.children or {}).values())
+
+
+def test_tries_share_edges_and_fork(spark):
+    """Texts of one partition of a real table stand in one trie, with fewer bytes on its edges than they have, and inner forks."""
+    texts = [(r.text or "").encode().lower() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    tries = {}
+    for text in texts:
+        part = exact_dedup.partition(len(text), xxhash.xxh64_intdigest(text) - (1 << 63))
+        trie = tries.setdefault(part, exact_dedup.Trie())
+        trie.terminal(text).held = text
+    distinct = set(texts)
+    assert len(tries) < len(distinct) / 10
+    assert sum(len(n.label) for t in tries.values() for n in nodes(t)) < sum(map(len, distinct))
+    assert sum(len(n.children or ()) > 1 and n is not t.root for t in tries.values() for n in nodes(t)) > len(tries)
+    assert sorted(h for t in tries.values() for h in t.terminals()) == sorted(distinct)
+
+
+def test_heaviest_subtrees_are_cut():
+    random_ = random.Random(5)
+    for _ in range(30):
+        trie, texts, out = exact_dedup.Trie(), set(), []
+        for _ in range(400):
+            text = random_.choice([b"", b"shared prefix ", b"sha"]) + bytes(random_.choices(b"abc", k=random_.randint(0, 9)))
+            trie.terminal(text).held = text
+            texts.add(text)
+            if random_.random() < 0.02:
+                wanted = random_.randint(1, sum(len(t) + 1 for t in texts))
+                gone = list(trie.cut(wanted, lambda t: len(t) + 1))
+                assert sum(len(t) + 1 for t in gone) >= min(wanted, sum(len(t) + 1 for t in texts - {b""})) - 16 or set(gone) | {b""} >= texts - set(trie.terminals())
+                assert set(gone) <= texts and len(set(gone)) == len(gone) and sorted(trie.terminals()) == sorted(texts - set(gone))
+                assert all(n.children or n.held is not None or n is trie.root for n in nodes(trie))
+                texts -= set(gone)
+                out += gone
+
+
+@pytest.mark.parametrize("budget", [1, 5_000, 100_000])
+def test_spilling_subtrees_loses_nothing(spark, budget):
+    random_ = random.Random(6)
+    texts = ["common start " * random_.randint(0, 20) + "".join(random_.choices("ab ", k=random_.randint(0, 12))) for _ in range(1500)]
+    rows = [(i, t, "x", 0) for i, t in enumerate(texts)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, DOCS).repartition(3), keep="largest", budget=budget).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == brute_exact(rows, True)
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
 def test_covering_finds_every_pair_in_reach(radius):
     random_ = random.Random(radius)
