@@ -7,11 +7,11 @@ n-grams are looked up, the set bits are counted per language, and the count is
 corrected for the share of n-grams that a language's filter lets through by
 chance. The largest corrected count decides.
 
-A language's filter contains the n-grams that make up at least ``share`` of its
-n-grams, and so at most 1 / share of them, however much text there is. Counting
-runs over all training texts in Spark, and so does the making of the filter; what leaves
-the cluster is the filter, whose size follows from ``share`` and the number of
-languages.
+A language's filter contains all its n-grams. Its size follows from their counted number, up to MOST
+positions: a language with more of them lets more foreign n-grams through by chance, which the correction takes into account,
+but none of its own is ever missed. Counting runs over all training texts in Spark, and so does the making of the filter;
+what leaves the cluster is the filter, 128 MB for up to 62 languages at most. ``share`` is an option to leave n-grams
+below that share of their language out, so that texts of such n-grams alone are not recognised.
 """
 
 from __future__ import annotations
@@ -29,10 +29,8 @@ from pyspark.sql import types as T
 from millrace.llm.common import held_out, slices, stored
 from millrace.llm.letters import letter_codes
 
-#: Least share of a language's n-grams that puts an n-gram into its filter.
-SHARE = 1e-5
-#: Positions per n-gram, and positions of the table per n-gram of the fullest filter.
-HASHES, SPACE = 3, 8
+#: Positions per n-gram, positions of the table per n-gram of the fullest filter, and positions at most.
+HASHES, SPACE, MOST = 3, 8, 1 << 24
 #: Languages per word of the table.
 WORD = 62
 UNDETERMINED = "und"
@@ -114,7 +112,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     return each.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, share: float = SHARE) -> Filters:
+def fit(labelled: DataFrame, share: float = 0.0) -> Filters:
     """Filters for all languages of ``labelled`` (columns lang and text, both without nulls)."""
     counts = stored(gram_counts(labelled), "grams")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -123,7 +121,7 @@ def fit(labelled: DataFrame, share: float = SHARE) -> Filters:
     if not sizes:
         return Filters([], 0, np.zeros((2, 1), np.uint64))
     languages = sorted(sizes)
-    size = 1 << int(np.ceil(np.log2(SPACE * max(kept for _, kept in sizes.values()))))
+    size = min(MOST, 1 << int(np.ceil(np.log2(SPACE * max(kept for _, kept in sizes.values())))))
     place = F.create_map(*(F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)))
     marked = frequent.select("gram", F.element_at(place, F.col("lang")).alias("i"))
 
@@ -165,7 +163,7 @@ def predict(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str =
     return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", share: float = SHARE) -> DataFrame:
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", share: float = 0.0) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
     Learnt from the text and language of rows that have both and whose

@@ -137,10 +137,13 @@ def _reached(sums: DataFrame, sources: DataFrame) -> DataFrame:
 
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", entropy: float | None = None,
-    repeat: float = REPEAT, budget: float | None = None, blocks: int = BLOCKS, seed: int = 7, carry: tuple[str, ...] = (),
+    repeat: float = REPEAT, budget: float | None = None, blocks: int = BLOCKS, seed: int = 7, carry: tuple[str, ...] = (), places: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, n_tokens, weight of the source, copies; then the columns of ``carry``.
 
+    ``places`` adds block and position, where the row stands in the permutation of its source, from 0; its k-th copy
+    stands there in the k-th pass, so sorting by pass and position is the mixture's order.
+
     A null source is a source of its own. Texts without words take no tokens;
     a source that has no others keeps each row once, with weight 0. Rows that
     share identifier and source stand at the same place and are taken or left
@@ -154,7 +157,24 @@ def mix(
     found = (given if carry else counted).alias("d").join(plans.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     found = found.select("d.*", "p.weight", "p.passes", "p.end").withColumn("o", order(blocks, seed))
     copies = F.col("passes") + F.coalesce(F.col("o") <= F.col("end"), F.lit(False)).cast("long")
-    return found.select(F.col("id").alias("doc_id"), "source", F.col("n").alias("n_tokens"), "weight", copies.alias("copies"), *(F.col(f"c{i}") for i in range(len(carry))))
+    more = [F.col(f"c{i}") for i in range(len(carry))]
+    if places:
+        found, more = _with_places(found, counted, blocks, seed), [*more, F.col("o.block").alias("block"), "position"]
+    return found.select(F.col("id").alias("doc_id"), "source", F.col("n").alias("n_tokens"), "weight", copies.alias("copies"), *more)
+
+
+def _with_places(found: DataFrame, counted: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """``found`` with the position of each row: the rows of the blocks before its own, and those before it in its block.
+
+    A window over a source holds a row per block, the one over a block narrow rows; rows of the same identifier share a place.
+    """
+    placed = counted.select("source", order(blocks, seed).alias("o"))
+    sizes = placed.groupBy("source", F.col("o.block").alias("b"), F.col("o.deal").alias("deal")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("deal", "b")) - F.col("n")
+    starts = sizes.select(F.col("source").alias("of"), "b", before.alias("start"))
+    joined = found.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("o.block") == F.col("b"))).drop("of", "b")
+    inside = F.rank().over(Window.partitionBy("source", "o.block").orderBy("o.draw", "o.id"))
+    return joined.withColumn("position", F.col("start") + inside - 1)
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
@@ -168,15 +188,37 @@ def _sql_draw(said: str) -> str:
     return f"('0x' || substr(md5({said}), 1, 15))::BIGINT"
 
 
-#: The repetition limit with the smallest full budget has a closed form: (largest / smallest)^(1 - x) = limit.
-SQL = f"""WITH d AS (SELECT doc_id AS id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS n FROM documents),
+def _sql(x: str, scale: str, more: str = "") -> str:
+    """The mixture with the exponent ``x`` and the tokens ``scale``, both expressions over the sums m of the sources s."""
+    deal = _sql_draw("o.source || ':' || block || ':deal 7'")
+    return f"""WITH RECURSIVE d AS (SELECT doc_id AS id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS n FROM documents),
 o AS (SELECT *, {_sql_draw("id || ':block 7'")} % {BLOCKS} AS block, {_sql_draw("id || ':draw 7'")} AS draw FROM d),
 s AS (SELECT source, sum(n) AS t FROM d GROUP BY 1),
-m AS (SELECT sum(t)::DOUBLE AS total, max(t)::DOUBLE AS most,
-    CASE WHEN max(t) = min(t) THEN 1 ELSE greatest(0, 1 - ln({REPEAT}) / ln(max(t) / min(t))) END AS x FROM s),
-w AS (SELECT source, t, pow(t / total, x) / sum(pow(t / total, x)) OVER () AS weight,
-    round(pow(most / t, 1 - x), 9) AS times FROM s, m),
+m AS (SELECT sum(t)::DOUBLE AS total, max(t)::DOUBLE AS most, min(t)::DOUBLE AS least, count(*) AS k FROM s){more},
+x AS (SELECT {x} AS x FROM m),
+w AS (SELECT source, t, weight, round({scale} * weight / t, 9) AS times FROM
+    (SELECT source, t, pow(t / total, x) / sum(pow(t / total, x)) OVER () AS weight, sum(pow(t / total, x)) OVER () AS norm, total, most, x FROM s, m, x)),
 r AS (SELECT o.*, weight, floor(times) AS passes, floor((times - floor(times)) * t + 1e-6) AS rest,
-    sum(n) OVER (PARTITION BY o.source ORDER BY {_sql_draw("o.source || ':' || block || ':deal 7'")}, block, draw, id) AS run
+    sum(n) OVER (PARTITION BY o.source ORDER BY {deal}, block, draw, id) AS run,
+    rank() OVER (PARTITION BY o.source ORDER BY {deal}, block, draw, id) - 1 AS position
   FROM o JOIN w USING (source))
-SELECT id AS doc_id, source, n AS n_tokens, round(weight, 9) AS weight, (passes + (run <= rest)::INT)::BIGINT AS copies FROM r"""
+SELECT id AS doc_id, source, n AS n_tokens, round(weight, 9) AS weight, (passes + (run <= rest)::INT)::BIGINT AS copies, block::BIGINT AS block, position FROM r"""
+
+
+def _bisected(too_flat: str) -> str:
+    """The exponent between 0 and 1 at which a condition on mid, over one row of m, stops to hold."""
+    return f""", b AS (SELECT 0 AS i, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high UNION ALL
+    SELECT i + 1, CASE WHEN f THEN mid ELSE low END, CASE WHEN f THEN high ELSE mid END FROM (SELECT b.*, (low + high) / 2 AS mid, {too_flat} AS f FROM b, m) WHERE i < 60)"""
+
+
+#: The repetition limit with the smallest full budget has a closed form: (largest / smallest)^(1 - x) = limit.
+SQL = _sql(f"CASE WHEN most = least THEN 1 ELSE greatest(0, 1 - ln({REPEAT}) / ln(most / least)) END", "most / pow(most / total, x) * norm")
+_MID = "(low + high) / 2"
+_SUM = f"(SELECT sum(pow(t / m.total, {_MID})) FROM s)"
+_LOGS = f"(SELECT sum(pow(t / m.total, {_MID}) * ln(t / m.total)) FROM s)"
+#: An entropy, and a budget of tokens under a repetition limit.
+ENTROPY, BUDGET = 0.9, 150_000.0
+ENTROPY_SQL = _sql("(SELECT high FROM b WHERE i = 60)", "most / pow(most / total, x) * norm", _bisected(f"ln({_SUM}) - {_MID} * {_LOGS} / {_SUM} > {ENTROPY} * ln(k)"))
+BUDGET_SQL = _sql(
+    "(SELECT high FROM b WHERE i = 60)", f"{BUDGET}", _bisected(f"({_MID} - 1) * ln(least / total) + ln({BUDGET} / total) - ln({_SUM}) > ln({REPEAT})")
+)

@@ -42,7 +42,16 @@ def op6_ann(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents"), repeat=mixing.REPEAT)
+    return mixing.mix(table(spark, folder, "documents"), repeat=mixing.REPEAT, places=True)
+
+
+def mixing_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), entropy=mixing.ENTROPY, places=True)
+
+
+def mixing_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """A budget in tokens: sources that are larger than their share are cut, smaller ones repeated."""
+    return mixing.mix(table(spark, folder, "documents"), repeat=mixing.REPEAT, budget=mixing.BUDGET, places=True)
 
 
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_ann": op6_ann,
     "op7_mixing": op7_mixing,
+    "mixing_entropy": mixing_entropy,
+    "mixing_budget": mixing_budget,
     "op8_quality": op8_quality,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
@@ -92,6 +103,8 @@ SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_chat": chat.SQL,
     "op7_mixing": mixing.SQL,
+    "mixing_entropy": mixing.ENTROPY_SQL,
+    "mixing_budget": mixing.BUDGET_SQL,
     "op12_secrets": secretscan.SQL,
     "op13_spelling": spelling.SQL,
 }

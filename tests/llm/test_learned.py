@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -134,6 +135,65 @@ def test_filters_hold_all_their_n_grams(spark):
     assert all(counts[i, i] == pytest.approx(total[i], rel=0.01) for i in range(3))
 
 
+def brute_grams(text):
+    """Trigrams around every letter; a run of other characters is one, and so are both ends."""
+    line, out = [0], []
+    for c in (text or "").lower():
+        if c.isalpha():
+            line.append(ord(c))
+        elif line[-1]:
+            line.append(0)
+    line += [0]
+    for i in range(1, len(line) - 1):
+        if line[i]:
+            out.append(line[i - 1] << 42 | line[i] << 21 | line[i + 1])
+    return out
+
+
+def brute_positions(gram, size):
+    mask, out = 2**64 - 1, []
+    for k in range(langid.HASHES):
+        x = (gram + (k + 1) * 0x9E3779B97F4A7C15) & mask
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        out.append((x ^ x >> 31) & (size - 1))
+    return out
+
+
+@pytest.mark.parametrize("most", [langid.MOST, 256])
+def test_language_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(langid, "MOST", most)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = spark.createDataFrame([(9000, "Zażółć gęślą jaźń 12 " * 3, "pl", None, None), (9001, "x" * 30_000, None, None, None), (9002, "aé 日本 б", None, None, None)], docs.schema)
+    docs = docs.unionByName(extra).unionByName(docs.limit(5)).repartition(4)
+    rows = docs.select("doc_id", "text", "lang").collect()
+    learnt, sizes = {}, {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None:
+            grams = brute_grams(r.text)
+            learnt.setdefault(r.lang, set()).update(grams)
+            sizes[r.lang] = sizes.get(r.lang, 0) + len(grams)
+    learnt = {k: v for k, v in learnt.items() if v}
+    languages = sorted(learnt)
+    size = min(most, 1 << math.ceil(math.log2(langid.SPACE * max(map(len, learnt.values())))))
+    bits = {lang: {p for g in learnt[lang] for p in brute_positions(g, size)} for lang in languages}
+    rate = {lang: (len(bits[lang]) / size) ** langid.HASHES for lang in languages}
+    want = []
+    for r in rows:
+        grams = brute_grams(r.text)
+        at = [brute_positions(g, size) for g in grams]
+        count = {lang: sum(all(p in bits[lang] for p in ps) for ps in at) for lang in languages}
+        count = {lang: max(0.0, (n - len(grams) * rate[lang]) / max(1e-9, 1 - rate[lang])) for lang, n in count.items()}
+        assert all(count[lang] >= sum(g in learnt[lang] for g in grams) * 0.9 - len(grams) * rate[lang] for lang in languages)
+        best = max(languages, key=lambda lang: (count[lang], -languages.index(lang)))
+        total = sum(count.values())
+        usual = max(languages, key=lambda lang: (sizes[lang], -languages.index(lang)))
+        lang = "und" if not grams else best if total > 0 else usual
+        want.append((r.doc_id, lang, round(count[best] / total, 9) if grams and total > 0 else 0.0))
+    got = [(r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_language_on_odd_rows(spark):
     many = [f"l{i:03d}" for i in range(70)]
     random_ = random.Random(4)
@@ -220,6 +280,22 @@ def test_mixing_to_a_repetition_limit(spark, blocks):
     assert mixing.mixed(docs, repeat=3.0, blocks=blocks).count() == sum(r.copies for r in got)
 
 
+@pytest.mark.parametrize("blocks", [1, 8, mixing.BLOCKS])
+def test_places_in_the_mixture(spark, blocks):
+    """Every source is a permutation from 0; the last, partial pass is its beginning, whole blocks one after the other."""
+    rows, docs = mixed_rows(spark)
+    got = mixing.mix(docs, repeat=3.0, blocks=blocks, places=True).collect()
+    again = mixing.mix(docs.repartition(9), repeat=3.0, blocks=blocks, places=True).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, again))
+    for source in {r.source for r in got}:
+        mine = sorted((r for r in got if r.source == source), key=lambda r: r.position)
+        seen = [r.position for r in mine if r.doc_id != 502]
+        assert len(set(seen)) == len(seen) and mine[0].position == 0 and mine[-1].position <= len(mine) - 1
+        assert [r.copies for r in mine] == sorted((r.copies for r in mine), reverse=True)
+        blocks_seen = [r.block for r in mine]
+        assert sum(a != b for a, b in zip(blocks_seen, blocks_seen[1:], strict=False)) == len(set(blocks_seen)) - 1
+
+
 def test_mixing_to_an_entropy_and_a_budget(spark):
     rows, docs = mixed_rows(spark)
     got = mixing.mix(docs, entropy=0.8, budget=400).collect()
@@ -234,6 +310,9 @@ def test_mixing_to_an_entropy_and_a_budget(spark):
 
 def test_mixing_of_nothing(spark):
     _, docs = mixed_rows(spark)
+    assert mixing.mix(docs.limit(0), places=True).count() == 0
+    long = docs.unionByName(docs.limit(1).withColumn("text", F.repeat(F.lit("word "), 200_000)))
+    assert max(r.n_tokens for r in mixing.mix(long).collect()) == 200_000
     assert mixing.mix(docs.limit(0)).count() == 0
     assert {r.copies for r in mixing.mix(docs.where("source = 'empty'")).collect()} == {1}
     assert {r.copies for r in mixing.mix(docs.where("source = 'mid'")).collect()} == {1}
