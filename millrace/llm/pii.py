@@ -2,8 +2,8 @@
 
 Patterns propose spans. A span that its kind's strict pattern and check accept is
 a base span and always stays; other proposals (failed checks, looser spellings)
-are candidates. Five labelers vote for, against or not at all: the strict pattern,
-the check (Luhn, ranges, digit counts), a gazetteer, words of context, and the
+are candidates. Five labelers vote for, against or not at all: the strict pattern (which
+has no say on a loose spelling), the check (Luhn, ranges, digit counts), a gazetteer, words of context, and the
 characters around the span. Expectation-maximisation over the counts of all vote
 patterns estimates how reliable each labeler is and gives every pattern a
 probability. A final naive Bayes classifier is trained on these probabilities with
@@ -38,12 +38,17 @@ STRICT = {
 }
 #: What a text must contain for the pattern to be tried.
 HINT = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]"}
-LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}+[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "phone": r"(?<![0-9+.()-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-}
-LOOSE_HINT = {"email": r"[\[(]at[\])]", "ip": "[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "phone": "[0-9]{3}[ .-][0-9]{4}"}
+# Looser spellings: kind, pattern, and what a text must contain. Written like the strict ones.
+_HEX = "[0-9A-Fa-f]{1,4}"
+LOOSE = [
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({]at[\])}] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[({]dot[\])}]) ?[A-Za-z0-9-]++)++", r"[\[({]at[\])}]"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++", " at [A-Za-z0-9-]+ dot "),
+    ("ip", rf"(?<![0-9A-Za-z:])(?:{_HEX}:){{7}}+{_HEX}(?![0-9A-Za-z:])", f"[0-9A-Fa-f]:{_HEX}:"),
+    ("ip", rf"(?<![0-9A-Za-z:])(?:{_HEX}:){{1,6}}+(?::{_HEX}){{1,6}}+(?![0-9A-Za-z:])", "[0-9A-Fa-f]::[0-9A-Fa-f]"),
+    ("card", r"(?<![0-9.])[0-9]{4}(?:[._/][0-9]{4}){3}+(?![0-9])(?!\.[0-9])", "[0-9]{4}[._/][0-9]{4}"),
+    ("phone", r"(?<![0-9+.()-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", "[0-9]{3}[ .-][0-9]{4}"),
+    ("phone", r"(?<![0-9+.()/-])(?:\(0[0-9]{2,4}\)|0[0-9]{2,4})[ /-][0-9]{2,4}(?:[ -]?[0-9]{2,4}){1,3}+(?![0-9])", "0[0-9]{2,4}\\)?[ /-][0-9]"),
+]
 
 # Gazetteers and words of context. Fixed values.
 TOP_DOMAINS = "com org net edu gov mil int info biz io co de fr es it nl uk us ca au jp cn in br eu ch at be se no dk pl ru".split()
@@ -150,7 +155,7 @@ def _proposal(text: Column, kind: str, strict: Column, valid: Column, span: Colu
     right = F.substring(text, span["end"] + 1, F.lit(1))
     l_class, r_class = _around(left), _around(right)
     votes = F.array(
-        F.when(strict & valid, 1).otherwise(-1),
+        F.when(~strict, 0).when(valid, 1).otherwise(-1),
         F.when(valid, 1).otherwise(-1),
         _GAZETTEER[kind](said),
         F.when(F.rlike(context, F.lit(AGAINST)), -1).when(F.rlike(context, F.lit(CUES[kind])), 1).otherwise(0),
@@ -173,11 +178,11 @@ def proposals(text: Column) -> Column:
     """All proposed spans of a text, sorted by start and kind."""
 
     def of(kind: str, pattern: str, hint: str, strict: bool) -> Column:
-        check = CHECK[kind] if strict else lambda _: F.lit(True)
+        check = CHECK[kind] if strict or kind in ("card", "phone") else lambda _: F.lit(True)
         return F.transform(found(text, pattern, hint), lambda s: _proposal(text, kind, F.lit(strict), check(s["said"]), s))
 
     strict = F.concat(*(of(kind, STRICT[kind], HINT[kind], True) for kind in KINDS))
-    loose = F.concat(*(of(kind, pattern, LOOSE_HINT[kind], False) for kind, pattern in LOOSE.items()))
+    loose = F.concat(*(of(kind, pattern, hint, False) for kind, pattern, hint in LOOSE))
     free = lambda spans: F.filter(loose, lambda s: ~F.exists(spans, lambda b: b["base"] & _touch(b, s)))
     return let(strict, lambda spans: F.array_sort(F.concat(spans, free(spans))))
 
@@ -190,8 +195,8 @@ def _estimate(patterns: Column) -> Column:
     """Expectation-maximisation over an array of (votes, n): the probability of each pattern.
 
     The state is the share of true spans and, per labeler, label and vote, the probability
-    of the vote. It starts with labelers that are right four times in five and
-    runs a fixed number of rounds.
+    of the vote where the labeler votes; one that has no say counts for nothing. It starts with labelers
+    that are right four times in five and runs a fixed number of rounds.
     """
     cells = [(j, y, v) for j in range(len(VOTES)) for y in (0, 1) for v in (-1, 0, 1)]
     first = [F.lit({1: 0.8, 0: 0.5, -1: 0.2}[v * (2 * y - 1)]) for _, y, v in cells]
@@ -201,7 +206,8 @@ def _estimate(patterns: Column) -> Column:
         odds = F.log(state["share"] / (1 - state["share"]))
         for j in range(len(VOTES)):
             at = votes[j] + 1
-            odds = odds + F.log(F.get(state["vote"], 6 * j + 3 + at) / F.get(state["vote"], 6 * j + at))
+            said = F.log(F.get(state["vote"], 6 * j + 3 + at) / F.get(state["vote"], 6 * j + at))
+            odds = odds + F.when(votes[j] == 0, 0.0).otherwise(said)
         return 1 / (1 + F.exp(-odds))
 
     def step(state: Column, _: Column) -> Column:
@@ -210,11 +216,8 @@ def _estimate(patterns: Column) -> Column:
 
         def maximise(w: Column) -> Column:
             true, every = total(w, lambda p: p["t"]), total(w, lambda p: p["n"])
-            votes = [
-                (total(w, lambda p, j=j, y=y, v=v: F.when(p["votes"][j] == v, p["t"] if y else p["n"] - p["t"]).otherwise(0.0)) + PRIOR)
-                / ((true if y else every - true) + 3 * PRIOR)
-                for j, y, v in cells
-            ]
+            share = lambda j, y, fits: total(w, lambda p: F.when(fits(p["votes"][j]), p["t"] if y else p["n"] - p["t"]).otherwise(0.0))
+            votes = [(share(j, y, lambda x, v=v: x == v) + PRIOR) / (share(j, y, lambda x: x != 0) + 2 * PRIOR) for j, y, v in cells]
             return F.struct(((true + PRIOR) / (every + 2 * PRIOR)).alias("share"), F.array(*votes).alias("vote"))
 
         return let(weighted, maximise)
