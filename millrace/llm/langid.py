@@ -7,11 +7,13 @@ n-grams are looked up, the set bits are counted per language, and the count is
 corrected for the share of n-grams that a language's filter lets through by
 chance. The largest corrected count decides.
 
-A language's filter contains all its n-grams. Its size follows from their counted number, up to MOST
+A language's filter contains its n-grams, however rare: those that are at least ``contrast`` as frequent in it, by their share of all
+its n-grams, as in the language where they are most frequent. So every n-gram is in some filter, whatever the
+size of the corpus, and what a language only has from quoted or mislabelled foreign text is not taken for its own; without that rule all
+filters would in the end contain everything. A filter's size follows from the counted number of its n-grams, up to MOST
 positions: a language with more of them lets more foreign n-grams through by chance, which the correction takes into account,
 but none of its own is ever missed. Counting runs over all training texts in Spark, and so does the making of the filter;
-what leaves the cluster is the filter, 128 MB for up to 62 languages at most. ``share`` is an option to leave n-grams
-below that share of their language out, so that texts of such n-grams alone are not recognised.
+what leaves the cluster is the filter, 128 MB for up to 62 languages at most.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import types as T
 from millrace.llm.common import held_out, slices, stored
 from millrace.llm.letters import letter_codes
 
+#: Least frequency of an n-gram in a language, in parts of its greatest one in any.
+CONTRAST = 0.05
 #: Positions per n-gram, positions of the table per n-gram of the fullest filter, and positions at most.
 HASHES, SPACE, MOST = 3, 8, 1 << 24
 #: Languages per word of the table.
@@ -112,11 +116,13 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     return each.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, share: float = 0.0) -> Filters:
+def fit(labelled: DataFrame, contrast: float = CONTRAST) -> Filters:
     """Filters for all languages of ``labelled`` (columns lang and text, both without nulls)."""
     counts = stored(gram_counts(labelled), "grams")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent = stored(counts.join(total, "lang").where(F.col("n") >= F.col("total") * share), "frequent")
+    rated = counts.join(total, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    most = rated.groupBy("gram").agg(F.max("rate").alias("most"))
+    frequent = stored(rated.join(most, "gram").where(F.col("rate") >= F.col("most") * contrast).drop("rate", "most"), "frequent")
     sizes = {r["lang"]: (r["total"], r["kept"]) for r in frequent.groupBy("lang").agg(F.max("total").alias("total"), F.count("*").alias("kept")).collect()}
     if not sizes:
         return Filters([], 0, np.zeros((2, 1), np.uint64))
@@ -163,7 +169,7 @@ def predict(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str =
     return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", share: float = 0.0) -> DataFrame:
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", contrast: float = CONTRAST) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
     Learnt from the text and language of rows that have both and whose
@@ -171,5 +177,5 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     empty result.
     """
     known = docs.where(~held_out(2, 4, key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    filters = fit(known.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")), share)
+    filters = fit(known.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")), contrast)
     return predict(docs, filters, key, text).select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score")

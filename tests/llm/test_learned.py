@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -124,6 +125,18 @@ def test_language_on_held_out_rows(spark, sf):
     assert np.mean([r.lang_pred == r.lang for r in found]) >= 0.97
 
 
+def test_quoted_foreign_text_is_not_learnt(spark):
+    """A language whose texts quote another one now and then does not take the other's n-grams for its own."""
+    random_ = random.Random(9)
+    word = lambda letters: "".join(random_.choices(letters, k=6))
+    sides = {"xx": "abcdefgh", "yy": "efghijkl"}
+    rows = [(lang, " ".join(word(sides["yy" if lang == "xx" and random_.random() < 0.01 else lang]) for _ in range(3000))) for lang in ("xx", "yy") for _ in range(20)]
+    learnt = spark.createDataFrame(rows, "lang string, text string")
+    docs = spark.createDataFrame([(i, " ".join(word(sides["yy"]) for _ in range(8))) for i in range(200)], "doc_id long, text string")
+    wrong = lambda contrast: sum(r.lang_pred != "yy" for r in langid.predict(docs, langid.fit(learnt, contrast)).collect())
+    assert wrong(langid.CONTRAST) <= 2 < wrong(0.0)
+
+
 def test_filters_hold_all_their_n_grams(spark):
     import pyarrow as pa
 
@@ -171,9 +184,15 @@ def test_language_against_brute_force(spark, monkeypatch, most):
     for r in rows:
         if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None:
             grams = brute_grams(r.text)
-            learnt.setdefault(r.lang, set()).update(grams)
+            learnt.setdefault(r.lang, Counter()).update(grams)
             sizes[r.lang] = sizes.get(r.lang, 0) + len(grams)
-    learnt = {k: v for k, v in learnt.items() if v}
+    rates = {k: {g: n / sizes[k] for g, n in v.items()} for k, v in learnt.items() if v}
+    most = {}
+    for of in rates.values():
+        for g, rate in of.items():
+            most[g] = max(rate, most.get(g, 0.0))
+    learnt = {k: {g for g, rate in of.items() if rate >= most[g] * langid.CONTRAST} for k, of in rates.items()}
+    assert set().union(*learnt.values()) == set(most)
     languages = sorted(learnt)
     size = min(most, 1 << math.ceil(math.log2(langid.SPACE * max(map(len, learnt.values())))))
     bits = {lang: {p for g in learnt[lang] for p in brute_positions(g, size)} for lang in languages}
