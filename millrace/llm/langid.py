@@ -119,13 +119,15 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, contrast: float = CONTRAST) -> Filters:
     """Filters for all languages of ``labelled`` (columns lang and text, both without nulls)."""
     counts = stored(gram_counts(labelled), "grams")
-    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rated = counts.join(total, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
+    if not totals:
+        return Filters([], 0, np.zeros((2, 1), np.uint64))
+    # One number per language: looked up, as a join would deal all n-grams by their few languages.
+    total = F.element_at(F.create_map(*(F.lit(x) for pair in totals.items() for x in pair)), F.col("lang"))
+    rated = counts.withColumn("rate", F.col("n") / total)
     most = rated.groupBy("gram").agg(F.max("rate").alias("most"))
     frequent = stored(rated.join(most, "gram").where(F.col("rate") >= F.col("most") * contrast).drop("rate", "most"), "frequent")
-    sizes = {r["lang"]: (r["total"], r["kept"]) for r in frequent.groupBy("lang").agg(F.max("total").alias("total"), F.count("*").alias("kept")).collect()}
-    if not sizes:
-        return Filters([], 0, np.zeros((2, 1), np.uint64))
+    sizes = {r["lang"]: (totals[r["lang"]], r["kept"]) for r in frequent.groupBy("lang").agg(F.count("*").alias("kept")).collect()}
     languages = sorted(sizes)
     size = min(MOST, 1 << int(np.ceil(np.log2(SPACE * max(kept for _, kept in sizes.values())))))
     place = F.create_map(*(F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)))
