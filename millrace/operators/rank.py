@@ -337,15 +337,19 @@ def quantile_grid(df: DataFrame, value: Column, points: int) -> list[float]:
     return result
 
 
-def _cell(value: Column, ends: list[float]) -> Column:
-    """Where a value lies among sorted ends: 2 k + 1 on the k-th of them, 2 k in the gap before it."""
-    below = bucket_of(value, ends)
-    return (2 * below + F.when(F.get(constant_array(ends), below) == value, 1).otherwise(0)).cast("int")
+def _with_cell(data: DataFrame, ends: list[float]) -> DataFrame:
+    """``data`` with where ``v`` lies among sorted ends: 2 k + 1 on the k-th of them, 2 k in the gap before it.
+
+    The search is generated, so that it runs once a row, however often its result is read.
+    """
+    placed = data.withColumn("_k", F.explode(F.array(bucket_of(F.col("v"), ends))))
+    on = F.when(F.get(constant_array(ends), F.col("_k")) == F.col("v"), 1).otherwise(0)
+    return placed.withColumn("cell", (2 * F.col("_k") + on).cast("int")).drop("_k")
 
 
 def _ranks_on_ends(data: DataFrame, ends: list[float], ranks: list[int]) -> tuple[dict[int, float], dict[int, dict]]:
     """The wanted ranks that fall on an end, and per gap that holds others its rows and the ranks inside it, from 0."""
-    counts = {r["cell"]: r["n"] for r in data.groupBy(_cell(F.col("v"), ends).alias("cell")).agg(F.count("*").alias("n")).collect()}
+    counts = {r["cell"]: r["n"] for r in _with_cell(data, ends).groupBy("cell").agg(F.count("*").alias("n")).collect()}
     found, gaps, start, left = {}, {}, 0, iter(ranks)
     rank = next(left, None)
     for cell in sorted(counts):
@@ -360,7 +364,7 @@ def _ranks_on_ends(data: DataFrame, ends: list[float], ranks: list[int]) -> tupl
 
 
 def _in_gaps(data: DataFrame, ends: list[float], gaps: dict[int, dict]) -> DataFrame:
-    return data.withColumn("cell", _cell(F.col("v"), ends)).where(F.col("cell").isin(list(gaps)))
+    return _with_cell(data, ends).where(f"cell IN ({', '.join(map(str, gaps))})")
 
 
 def _ends_inside(data: DataFrame, ends: list[float], gaps: dict[int, dict]) -> set[float]:
