@@ -46,11 +46,16 @@ def bounded(table: DataFrame) -> tuple[DataFrame, bool]:
     return kept, rows <= MAX_BROADCAST_ROWS and size <= MAX_BROADCAST_BYTES
 
 
-def few_tasks(stored: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+def few_tasks(stored: DataFrame, rows_per_task: int = 50_000, least_rows: int | None = None) -> DataFrame:
     """Merge the partitions of a stored table when it is too small to keep them all busy.
 
-    Meant for iterative fits, which run many short jobs over the same rows.
+    Meant for iterative fits, which run many short jobs over the same rows. Where a row costs much, ``least_rows``
+    are enough for a task as long as cores are free, and a table in fewer partitions is spread.
     """
-    partitions = stored.rdd.getNumPartitions()
-    wanted = max(1, -(-stored.count() // rows_per_task))
+    partitions, rows = stored.rdd.getNumPartitions(), stored.count()
+    wanted = max(1, -(-rows // rows_per_task))
+    if least_rows:
+        wanted = max(wanted, min(stored.sparkSession.sparkContext.defaultParallelism, -(-rows // least_rows)))
+    if least_rows and wanted > partitions:
+        return materialise(stored.repartition(wanted))
     return stored.coalesce(wanted) if wanted < partitions else stored

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import models, timeseries
 from millrace.plans.tables import Query, rounded, table
+from millrace.session import materialise
 
 LAST_ORDER = "(SELECT o_orderdate AS ds, arg_max(o_totalprice, o_orderkey) AS y FROM orders GROUP BY 1)"
 LAST_EVENT = "(SELECT ts AS ds, arg_max(value, event_id) AS y FROM events GROUP BY 1)"
@@ -156,12 +157,18 @@ SELECT start + k * INTERVAL 1 DAY AS ds, round(yhat, 6) + 0.0 AS yhat, round(yha
 # ---------------------------------------------------------------- models
 
 
-def document_facts(spark: SparkSession, folder: str) -> DataFrame:
+def letters(chars: str) -> Column:
+    """How many characters of the text are among ``chars``."""
+    return F.length("text") - F.length(F.translate("text", chars, ""))
+
+
+def document_facts(spark: SparkSession, folder: str, *more: Column) -> DataFrame:
     return table(spark, folder, "documents").select(
         "doc_id", "lang", "source", "n_chars",
         F.size(F.split("text", r"\s+")).alias("words"),
         F.size(F.split("text", "\n")).alias("lines"),
-        F.length(F.regexp_replace("text", "[^0-9]", "")).alias("digits"),
+        letters("0123456789").alias("digits"),
+        *more,
     )
 
 
@@ -265,11 +272,12 @@ SELECT n, round((tp + tn)::DOUBLE / n, 6) AS accuracy, round((tp::DOUBLE / p1 +
 
 def automl_languages(spark: SparkSession, folder: str) -> DataFrame:
     """Models of a target of several classes: the language of every document that names one, from counts of its characters."""
-    facts = document_facts(spark, folder).join(table(spark, folder, "documents").select("doc_id", *[
-        F.length(F.regexp_replace("text", f"[^{c}]", "")).alias(f"n{i}") for i, c in enumerate(["éèê", "äöü", "ñó", "th", "e"])
-    ]), "doc_id").where("lang is not null")
+    facts = document_facts(spark, folder, *[letters(c).alias(f"n{i}") for i, c in enumerate(["éèê", "äöü", "ñó", "th", "e"])])
+    counts = [f"n{i}" for i in range(5)]
+    columns = ["n_chars", "words", *counts]
+    facts = materialise(facts.select("doc_id", "lang", *columns))  # the texts are read once
+    facts = facts.drop(*counts).join(facts.select("doc_id", *counts), "doc_id").where("lang is not null")
     train, test = models.split(facts, key=["doc_id"])
-    columns = ["n_chars", "words", *[f"n{i}" for i in range(5)]]
     return models.compare(train, test, "lang", "classification", columns).leaderboard.drop("seconds")
 
 

@@ -172,6 +172,47 @@ def test_pool_of_three_classes(flowers):
     assert rows["GBTClassifier"]["roc_auc"] > 0.9
 
 
+def test_models_read_their_rows_once(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    rows = spark.range(0, 600, 1, 2).selectExpr("cast(id % 3 as string) AS kind", "cast(id % 3 + id % 2 as double) AS a", "cast(id % 5 as string) AS b")
+    train, test = (rows.mapInPandas(count, rows.schema) for _ in range(2))
+    pool = {"tree": DecisionTreeClassifier(maxDepth=2), "bayes": NaiveBayes(modelType="gaussian")}
+    board = models.compare(train, test, "kind", "classification", ["a", "b"], pool).leaderboard
+    assert board.where("accuracy is not null").count() == 2
+    assert seen.value == 1200
+
+
+def test_fits_use_the_cores(spark):
+    from millrace.operators.shape import few_tasks
+    from millrace.session import materialise
+
+    cores = spark.sparkContext.defaultParallelism
+    few = materialise(spark.range(0, 1000, 1, 1))
+    assert few_tasks(few).rdd.getNumPartitions() == 1
+    assert few_tasks(few, least_rows=1000).rdd.getNumPartitions() == 1
+    spread = few_tasks(few, least_rows=10)
+    assert spread.rdd.getNumPartitions() == cores and sorted(r["id"] for r in spread.collect()) == list(range(1000))
+
+
+def test_letters_of_a_text(spark):
+    from millrace.plans.series import letters
+
+    texts = ["été où \U0001f600 the HÊTRE", "", None, "thththe\n ñó äöü", "e\u0301e"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for chars in ("éèê", "äöü", "ñó", "th", "e", "0123456789"):
+        found = [r[0] for r in df.select(letters(chars)).collect()]
+        assert found == [None if t is None else sum(c in chars for c in t) for t in texts]
+        assert found == [r[0] for r in df.select(F.length(F.regexp_replace("text", f"[^{chars}]", ""))).collect()]
+
+
 def test_auc_of_several_classes(spark):
     random = np.random.default_rng(4)
     p, label = np.round(random.random((400, 3)), 2), random.integers(0, 3, 400)
