@@ -15,7 +15,7 @@ from millrace.functions.columns import number, numeric_columns, ratio
 from millrace.functions.normal import normal_cdf, normal_ppf
 from millrace.functions.tails import STANDARD_NORMAL, kolmogorov_two_sided, normal_tail
 from millrace.operators.quantiles import exact_quantiles
-from millrace.operators.rank import ranked, ranked_columns, thresholds_with
+from millrace.operators.rank import ranked, ranked_columns
 from millrace.operators.sample import SEED, share_for, uniform
 from millrace.operators.shape import records
 from millrace.session import materialise
@@ -23,7 +23,8 @@ from millrace.session import materialise
 #: The approximation of Royston holds up to this many values.
 MAX_SHAPIRO = 5000
 FIRST_OUTLIERS = 50
-RUN = 4096
+#: A run of more equal values than this adds up its normal quantiles in closed form, but for so many positions at either end.
+RUN, EDGE = 16, 1024
 MOMENTS = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "skewness": F.skewness, "kurtosis": F.kurtosis}
 
 # Anderson-Darling critical values for the normal law and their levels in percent.
@@ -87,34 +88,61 @@ def _points(table: DataFrame, n: int, max_points: int | None) -> DataFrame:
 
 def qq_fit(df: DataFrame, column: str) -> DataFrame:
     """Least-squares line and correlation of all Q-Q points."""
-    return _lines(ranked(df, number(df, column)).withColumn("column", F.lit(column))).drop("column")
-
-
-def _lines(table: DataFrame) -> DataFrame:
-    """Line and correlation of the Q-Q points of each column of a ranking."""
-    table = table.select("column", "value", "before", "ties", "n")
-    span = lambda: F.sequence(F.col("start"), F.least(F.col("start") + RUN - 1, F.col("before") + F.col("ties")))
-    short = table.where(F.col("ties") <= RUN).withColumn("start", F.col("before") + 1)
-    # a value with many copies is cut into runs that spread over the tasks
-    end = F.col("before") + F.col("ties")
-    block = RUN * 1024
-    wide = table.where(F.col("ties") > RUN).withColumn(
-        "block", F.explode(F.sequence(F.col("before") + 1, end, F.lit(block).cast("bigint")))
-    )
-    long = wide.withColumn(
-        "start",
-        F.explode(F.sequence(F.col("block"), F.least(F.col("block") + block - 1, end), F.lit(RUN).cast("bigint"))),
-    ).drop("block")
-    runs = short.unionByName(long.repartition("column", "value", "start"))
-    each = runs.select("column", "value", "n", F.explode(span()).alias("position"))
-    points = each.select("column", "value", theoretical(F.col("position"), F.col("n")).alias("q"))
-    spread = F.stddev_pop("q") * F.stddev_pop("value")
-    return points.groupBy("column").agg(
-        F.count("*").alias("n"),
-        F.regr_slope("value", "q").alias("slope"),
-        F.regr_intercept("value", "q").alias("intercept"),
-        ratio(F.covar_pop("q", "value"), spread).alias("r"),
-    )
+    x = number(df, column)
+    mean = df.agg(F.avg(x)).first()[0]
+    return _lines(ranked(df, x).withColumn("column", F.lit(column)), F.lit(mean).cast("double")).drop("column")
+
+
+def _sums_upto(place: Column, q: Column, n: Column) -> tuple[Column, Column]:
+    """Two terms whose differences between half positions are the sums of q and of q * q over the positions between; q is the normal quantile.
+
+    Euler and Maclaurin's midpoint rule: the integral, less a 24th of the first derivative, plus 7 / 5760 of the third. From the
+    EDGE-th position on, the term after these is below the rounding of a double.
+    """
+    f = (n + 0.365) * F.exp(-q * q / 2) / math.sqrt(2 * math.pi)
+    once = -f - 1 / (24 * f) + 7 * (1 + 2 * q * q) / (5760 * f * f * f)
+    squared = place - 0.3175 - q * f - q / (12 * f) + 7 * (8 * q + 4 * q * q * q) / (5760 * f * f * f)
+    return once, squared
+
+
+def _lines(table: DataFrame, centre: Column) -> DataFrame:
+    """Line and correlation of the Q-Q points of each column of a ranking; ``centre`` is a number near the column's mean.
+
+    A long run of equal values is two rows, the sums of normal quantiles up to its ends, so the rows grow with the distinct values.
+    """
+    n, before, end, low, high, place, q = (F.col(c) for c in ("n", "before", "end", "low", "high", "place", "q"))
+    inner = F.least(F.greatest(before, F.lit(EDGE)), end)
+    runs = table.select("column", "value", "n", "before", (before + F.col("ties")).alias("end")).withColumn("low", inner)
+    runs = runs.withColumn("high", F.greatest(low, F.least(end, n - EDGE)))
+    span = lambda a, b: F.when(b > a, F.sequence(a + 1, b)).otherwise(F.array().cast("array<bigint>"))
+    long = high - low > RUN
+    single = F.when(long, F.concat(span(before, low), span(high, end))).otherwise(span(before, end)).cast("array<double>")
+    # half positions: after the low one, up to the high one
+    places = F.when(long, F.concat(single, F.array(low + 0.5, high + 0.5))).otherwise(single)
+    each = runs.select("column", (F.col("value") - centre).alias("d"), "n", F.when(long, low).alias("low"), F.explode(places).alias("place"))
+    half = place != F.floor(place)
+    sign = F.when(~half, 1).when(place > low + 1, 1).otherwise(-1)
+    each = each.select("column", "d", "n", "place", half.alias("half"), sign.alias("sign"), theoretical(place, n).alias("q"))
+    once, squared = _sums_upto(place, q, n)
+    points = each.select(
+        "column", "d", F.when(F.col("half"), F.col("sign") * F.floor(place)).otherwise(1).alias("k"),
+        F.when(F.col("half"), F.col("sign") * once).otherwise(q).alias("s"), F.when(F.col("half"), F.col("sign") * squared).otherwise(q * q).alias("s2"),
+    )
+    k, d, s = F.col("k"), F.col("d"), F.col("s")
+    sums = points.groupBy("column").agg(
+        F.sum("k").alias("n"), (F.sum(k * d) / F.sum("k")).alias("d1"), (F.sum(k * d * d) / F.sum("k")).alias("d2"), (F.sum(d * s) / F.sum("k")).alias("ds"),
+        (F.sum("s") / F.sum("k")).alias("q1"), (F.sum("s2") / F.sum("k")).alias("q2"), (F.min("d") == F.max("d")).alias("flat"),
+    )
+    spread = lambda square, mean: F.when(F.col("flat") & ~F.isnan("d2"), 0.0).otherwise(square - mean)
+    found = sums.withColumns({
+        "together": spread(F.col("ds"), F.col("d1") * F.col("q1")),
+        "wide": F.sqrt(spread(F.col("d2"), F.col("d1") * F.col("d1"))),
+        "high": F.col("q2") - F.col("q1") * F.col("q1"),
+    }).withColumn("slope", ratio(F.col("together"), F.col("high")))
+    return found.select(
+        "column", "n", "slope", (centre + F.col("d1") - F.col("slope") * F.col("q1")).alias("intercept"),
+        ratio(F.col("together"), F.sqrt("high") * F.col("wide")).alias("r"),
+    )
 
 
 def _law_terms(table: DataFrame) -> DataFrame:
@@ -292,16 +320,16 @@ class Diagnosis:
 def diagnose(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> Diagnosis:
     """Moments, quartiles, fences, outliers, distance to the normal law, Anderson-Darling and the Q-Q line of many columns.
 
-    The columns are scanned once for their moments and bucket limits and once for the ranking, which is stored; everything else is
-    read off it by aggregates per column.
+    The columns are scanned once for their moments and once for the counts of their distinct values, which are ranked and stored;
+    everything else is read off the ranking by aggregates per column.
     """
     values = {c: number(df, c) for c in columns}
     about = [f(v).alias(f"{c}#{name}") for c, v in values.items() for name, f in MOMENTS.items()]
-    limits, seen = thresholds_with(df, values, about)
+    seen = df.agg(*about).first()
     for c in columns:
         if not seen[f"{c}#n"]:
             raise _no_values(c)
-    ranking = materialise(ranked_columns(df, values, limits))
+    ranking = materialise(ranked_columns(df, values))
     pick = lambda name: F.element_at(F.create_map(*[F.lit(x) for c in columns for x in (c, seen[f"{c}#{name}"])]), F.col("column"))
     z = (F.col("value") - pick("mean")) / F.coalesce(F.nullif(pick("std"), F.lit(0.0)), F.lit(1.0))
     at = lambda rank: F.max(F.when((rank >= F.col("before")) & (rank < F.col("before") + F.col("ties")), F.col("value")))
@@ -318,7 +346,7 @@ def diagnose(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> Diagnosis
     bound = lambda name: F.element_at(F.create_map(*[F.lit(x) for c in columns for x in (c, rows[c][name])]), F.col("column"))
     outside = (F.col("value") < bound("lower_bound")) | (F.col("value") > bound("upper_bound"))
     beyond = ranking.groupBy("column").agg(F.sum(F.when(outside, F.col("ties")).otherwise(0)).alias("outliers"))
-    for r in beyond.join(_lines(ranking), "column").collect():
+    for r in beyond.join(_lines(ranking, pick("mean")), "column").collect():
         rows[r["column"]] |= {name: r[name] for name in ("outliers", "slope", "intercept", "r")}
     return Diagnosis(ranking, rows)
 

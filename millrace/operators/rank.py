@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,11 +34,6 @@ SPLITS = 1024
 
 def thresholds(df: DataFrame, values: dict[str, Column]) -> dict[str, list[float]]:
     """Sorted bucket limits per value, repeated where one value fills several buckets."""
-    return thresholds_with(df, values, [])[0]
-
-
-def thresholds_with(df: DataFrame, values: dict[str, Column], more: Sequence[Column]) -> tuple[dict[str, list[float]], Row]:
-    """``thresholds``, and the row of the aggregate with whatever ``more`` aggregates are wanted of the same scan."""
     grid = constant_array([i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)])
     aggregates = []
     for name, value in values.items():
@@ -46,15 +41,16 @@ def thresholds_with(df: DataFrame, values: dict[str, Column], more: Sequence[Col
             F.count(value).alias(f"{name}#count"),
             F.percentile_approx(value, grid, THRESHOLD_ACCURACY).alias(f"{name}#t"),
         ]
-    row = df.agg(*aggregates, *more).first()
-    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    result = {}
-    for name in values:
-        n = row[f"{name}#count"]
-        wanted = min(MAX_BUCKETS, max(parallel, n // ROWS_PER_BUCKET), max(1, n))
-        step = max(1, MAX_BUCKETS // wanted)
-        result[name] = list((row[f"{name}#t"] or [])[step - 1 :: step])
-    return result, row
+    row = df.agg(*aggregates).first()
+    return {name: _every(row[f"{name}#t"], row[f"{name}#count"], df.sparkSession) for name in values}
+
+
+def _every(grid: list[float] | None, n: int, spark: SparkSession) -> list[float]:
+    """Those of the grid's quantiles that cut n rows into as many buckets as they need."""
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(MAX_BUCKETS, max(parallel, n // ROWS_PER_BUCKET), max(1, n))
+    step = max(1, MAX_BUCKETS // wanted)
+    return list((grid or [])[step - 1 :: step])
 
 
 def with_order_bucket(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -167,20 +163,23 @@ def ranked(
     return counts.select("grp", "value", "cnt", "ties", "before", "midrank", "n")
 
 
-def ranked_columns(
-    df: DataFrame, values: dict[str, Column], limits: dict[str, list[float]] | None = None, hits: dict[str, Column] | None = None
-) -> DataFrame:
+def ranked_columns(df: DataFrame, values: dict[str, Column], hits: dict[str, Column] | None = None) -> DataFrame:
     """The distinct values of many columns with their places, from one scan and one ranking: column, value, ties, hits, before, midrank, n.
 
-    ``hits`` counts the rows of a value for which a column's condition holds.
+    ``hits`` counts the rows of a value for which a column's condition holds. The counts per value are stored, so ``df`` is
+    read once; buckets are cut at quantiles of the distinct values, which are what the windows hold.
     """
-    limits = limits or thresholds(df, values)
     hit = lambda c: F.coalesce(hits[c] if hits else F.lit(False), F.lit(False)).alias("hit")
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), v.cast("double").alias("value"), hit(c)) for c, v in values.items()])
-    counts = df.select(F.inline(entries)).where("value is not null").groupBy("column", "value")
-    counts = counts.agg(F.count("*").alias("ties"), F.count_if("hit").alias("hits"))
-    bucket = F.coalesce(*[F.when(F.col("column") == c, bucket_of(F.col("value"), sorted(set(t)))) for c, t in limits.items()])
-    return _placed(counts.withColumn("_bucket", bucket), "column").select("column", "value", "ties", "hits", "before", "midrank", "n")
+    entries = F.array(*[F.struct(F.lit(i).alias("_c"), v.cast("double").alias("value"), hit(c)) for i, (c, v) in enumerate(values.items())])
+    counts = df.select(F.inline(entries)).where("value is not null").groupBy("_c", "value")
+    counts = materialise(counts.agg(F.count("*").alias("ties"), F.count_if("hit").alias("hits")))
+    grid = constant_array([i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)])
+    sketched = counts.groupBy("_c").agg(F.count("*").alias("n"), F.percentile_approx("value", grid, THRESHOLD_ACCURACY).alias("t"))
+    limits = {r["_c"]: sorted(set(_every(r["t"], r["n"], df.sparkSession))) for r in sketched.collect()}
+    bucket = F.coalesce(*[F.when(F.col("_c") == i, bucket_of(F.col("value"), t)) for i, t in limits.items()], F.lit(0))
+    names = F.array(*[F.lit(c) for c in values])
+    placed = _placed(counts.withColumn("_bucket", bucket), "_c").withColumn("column", F.get(names, "_c"))
+    return placed.select("column", "value", "ties", "hits", "before", "midrank", "n")
 
 
 def _placed(distinct: DataFrame, *lead: str) -> DataFrame:

@@ -231,6 +231,54 @@ def test_qq_fit_with_long_runs(skewed, monkeypatch):
     assert expected["n"] == pdf.v.notna().sum()
 
 
+def test_sums_of_normal_quantiles_in_closed_form(spark):
+    from statistics import NormalDist
+
+    ties = [1, 700, 3, 5000, 20, 90_000, 1, 60_000, 40, 2, 1500, 1]
+    n, start, rows, q = sum(ties), 0, [], []
+    for value, t in enumerate(ties):
+        rows.append(("v", float(value**2), start, t, n))
+        start += t
+    for i in range(1, n + 1):
+        q.append(NormalDist().inv_cdf(0.5 ** (1 / n) if i == n else 1 - 0.5 ** (1 / n) if i == 1 else (i - 0.3175) / (n + 0.365)))
+    q, v = np.array(q), np.repeat(np.arange(len(ties)) ** 2.0, ties)
+    table = spark.createDataFrame(rows, "column string, value double, before bigint, ties bigint, n bigint")
+    found = diagnostics._lines(table, F.lit(30.0)).first()
+    slope = np.cov(q, v, bias=True)[0, 1] / q.var()
+    assert found["n"] == n
+    assert (found["slope"], found["intercept"], found["r"]) == pytest.approx((slope, v.mean() - slope * q.mean(), np.corrcoef(q, v)[0, 1]), rel=1e-11)
+
+
+def test_line_of_one_value_and_of_equal_values(spark):
+    one = diagnostics.qq_fit(spark.createDataFrame([(5.0,), (None,)], "v double"), "v").first()
+    assert (one["n"], one["slope"], one["intercept"], one["r"]) == (1, None, None, None)
+    same = diagnostics.qq_fit(spark.createDataFrame([(0.1,)] * 5000, "v double"), "v").first()
+    assert (same["n"], same["slope"], same["r"]) == (5000, 0.0, None) and same["intercept"] == pytest.approx(0.1, rel=1e-12)
+    assert diagnostics.qq_fit(spark.createDataFrame([(None,)], "v double"), "v").count() == 0
+
+
+def test_line_work_grows_with_distinct_values(spark):
+    """Twenty million equal values are a few thousand rows, not one per position."""
+    table = spark.createDataFrame([("v", 1.0, 0, 20_000_000, 40_000_000), ("v", 2.0, 20_000_000, 20_000_000, 40_000_000)], "column string, value double, before bigint, ties bigint, n bigint")
+    row = diagnostics._lines(table, F.lit(1.5)).first()
+    assert row["n"] == 40_000_000 and row["r"] == pytest.approx((2 / np.pi) ** 0.5, rel=1e-6)
+    assert row["slope"] == pytest.approx((2 / np.pi) ** 0.5 / 2, rel=1e-6)
+
+
+def test_ranked_columns_read_their_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    df = spark.range(0, 5000, 1, 4).selectExpr("cast(id % 900 as double) AS v", "cast(id as double) AS w").mapInPandas(count, "v double, w double")
+    table = rank.ranked_columns(df, {"v": F.col("v"), "w": F.col("w")}, {"v": F.col("w") < 100, "w": F.lit(False)})
+    assert {r["column"]: (r["n"], r["hits"]) for r in table.groupBy("column").agg(F.max("n").alias("n"), F.sum("hits").alias("hits")).collect()}["v"] == (5000, 100)
+    assert seen.value == 5000
+
+
 def test_qq_points_cover_both_ends(skewed):
     df, pdf = skewed
     points = diagnostics.qq_points(df, "v", max_points=50).toPandas().sort_values("position")
