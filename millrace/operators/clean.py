@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,9 @@ DATE_FORMATS = [
     "yyyyMMdd",
 ]
 
+#: Whole days on either side of 1970-01-01 that the microseconds of a timestamp reach.
+MAX_DAYS = 106_751_991
+
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """How many rows have at least one equal row; every member of such a group counts."""
@@ -132,8 +136,8 @@ def converted(df: DataFrame, column: str, target: str, formats: Sequence[str] |
 def _to_datetime(value: Column, kind: T.DataType, formats: Sequence[str]) -> Column:
     if isinstance(kind, T.NumericType):
         # nanoseconds since 1970-01-01
-        whole = value.try_cast("bigint")
-        day = F.pmod(whole, F.lit(86_400_000_000_000))
+        whole = _whole_nanoseconds(value) if isinstance(kind, T.DecimalType) else value.try_cast("bigint")
+        day = F.pmod(whole, F.lit(86_400_000_000_000)).cast("bigint")
         days = F.call_function("div", whole - day, F.lit(86_400_000_000_000)).cast("int")
         seconds = (F.floor(day / 1000) / 1e6).cast("decimal(18,6)")
         nothing = F.lit(0)
@@ -147,6 +151,13 @@ def _to_datetime(value: Column, kind: T.DataType, formats: Sequence[str]) -> Col
     )
 
 
+def _whole_nanoseconds(value: Column) -> Column:
+    """A decimal truncated toward zero, exact beyond the range of bigint; missing where no timestamp can be."""
+    limit = F.lit(Decimal(MAX_DAYS * 86_400_000_000_000))
+    whole = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value))
+    return F.when((whole > -limit) & (whole < limit), whole).cast("decimal(22,0)")
+
+
 def schema_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Old and new type of every column of either table, in the order they appear."""
     old = {f.name: f.dataType.simpleString() for f in before.schema.fields}

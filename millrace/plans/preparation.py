@@ -129,7 +129,8 @@ def convert_numbers(spark: SparkSession, folder: str) -> DataFrame:
         "c_custkey",
         F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("whole"),
         F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey")).alias("truth"),
-        (F.col("c_custkey") * 1_000_000_007 * 86_400).alias("instant"),
+        # a bigint holds the nanoseconds of the first 106,751 keys only
+        (F.col("c_custkey").cast("decimal(20,0)") * 1_000_000_007 * 86_400).alias("instant"),
     )
     for column, target in (("whole", "INT"), ("truth", "BOOLEAN"), ("instant", "DATETIME")):
         gaps = clean.convert(gaps, column, target)

@@ -1,5 +1,6 @@
 import datetime as dt
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import clean, encode, impute, profile, scale
+from millrace.plans import preparation
 
 
 def column(df, name, order="i"):
@@ -36,6 +38,32 @@ def test_convert(spark, kind, target, values, expected):
     assert column(clean.convert(frame(spark, values, kind), "x", target), "x") == expected
 
 
+@pytest.mark.parametrize(
+    ("kind", "values", "expected"),
+    [
+        ("decimal(38,0)", [-1, 10**19 + 999, 10**22, -(10**37), None],
+         [dt.datetime(1969, 12, 31, 23, 59, 59, 999999), dt.datetime(2286, 11, 20, 17, 46, 40), None, None, None]),
+        ("decimal(20,2)", ["1999.99", "-0.99"], [dt.datetime(1970, 1, 1, 0, 0, 0, 1), dt.datetime(1970, 1, 1)]),
+    ],
+)
+def test_decimal_nanoseconds(spark, kind, values, expected):
+    numbers = [None if v is None else Decimal(v) for v in values]
+    assert column(clean.convert(frame(spark, numbers, kind), "x", "DATETIME"), "x") == expected
+
+
+def test_convert_numbers_of_large_keys(spark, tmp_path):
+    """Nanoseconds beyond the range of bigint, and dates beyond the year 9999, which Python cannot hold."""
+    keys = [0, 1499, 106_751, 106_752, 2_000_000, 5_400_000, None]
+    rows = [(k, "x", 3, 1.5, "y") for k in keys]
+    columns = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/customer.parquet")
+    after = preparation.convert_numbers(spark, str(tmp_path))
+    assert after.schema["instant"].dataType.simpleString() == "timestamp_ntz"
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', instant)")
+    got = {r[0]: r[1] for r in after.select("c_custkey", micros).collect()}
+    assert got == {k: None if k is None else k * 1_000_000_007 * 86_400 // 1000 for k in keys}
+
+
 def day(text):
     return dt.datetime.fromisoformat(text) if text else None
 
