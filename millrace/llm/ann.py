@@ -15,7 +15,8 @@ than enough entries of the sample in its lists reach, which are candidates thems
 
 Equal vectors are one entry with its smallest identifiers: any query can only
 want so many of them. So a vector that a third of all rows share costs as much as
-any other. Lists are cut into chunks, and the queries of a list into blocks.
+any other. Lists are cut into chunks and packed into bundles, and the queries of a bundle into blocks.
+A task holds one bundle and one block, compares them in tiles and returns at most k + 1 entries per query.
 
 How many lists a query needs is measured on the sample: as many as hold nearly all
 neighbours of sample queries found by brute force.
@@ -29,8 +30,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import stored
 
@@ -41,11 +43,19 @@ MAX_LISTS = 4096
 REACH = 0.98
 BLOCK = 16
 DEVIATIONS = 2.1
-#: Vectors per chunk of a list, queries per block, candidates that are measured in full first.
-CHUNK, QUERIES, FIRST = 4096, 512, 64
+#: Vectors per chunk of a list, candidates that are measured in full first.
+CHUNK, FIRST = 4096, 64
+#: Bundles of a large table at least; components and rows of a bundle or a block of queries, and rows of a block that wide vectors do not lessen.
+BUNDLES, BUNDLE, ROWS, QUERIES = 16, 2 << 20, 1 << 15, 1024
+#: Pairs of a query and a vector in a tile, pairs of a query and a list that are ranked at once, components that are scored at once.
+TILE, RANKED, SCORED = 1 << 18, 1 << 20, 2 << 20
+#: Candidates are followed one by one where fewer than one in so many is left in a tile.
+FEW = 16
+#: Rounding of square distances, as a share of the squares of the vectors.
+ROUNDING = 1e-11
 #: Entries of the sample that give each query its first bound.
 BOUND = 8192
-#: Components that a task holds while it merges equal vectors.
+#: Components that a task holds while it merges equal vectors, of which each counts as 64 at least.
 HELD = 4 << 20
 
 
@@ -55,35 +65,42 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def matrix(column: pd.Series) -> np.ndarray:
+    """The vectors of a column as rows in double precision."""
+    return np.stack(column.to_numpy()).astype(float, copy=False)
+
+
 def entries(vectors: DataFrame, k: int, every: int) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors with their k smallest identifiers, and the queries among the rows.
 
     ``vectors``: columns id and vector, all usable. Each input partition first
     merges its own equal vectors, so a hot one sends one row per partition.
     """
+    vector_type = vectors.schema["vector"].dataType.simpleString()
+    kind = np.float32 if vector_type == "array<float>" else np.float64
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[bytes, tuple[list[int], list[int]]] = {}
 
         def out() -> pd.DataFrame:
-            rows = [(np.frombuffer(v), sorted(set(ids))[:k], queries) for v, (ids, queries) in found.items()]
+            rows = [(np.frombuffer(v, kind), sorted(set(ids))[:k], queries) for v, (ids, queries) in found.items()]
             return pd.DataFrame(rows, columns=["vector", "ids", "queries"])
 
         for frame in frames:
             for i, vector in zip(frame["id"].tolist(), frame["vector"], strict=True):
-                ids, queries = found.setdefault((np.asarray(vector, float) + 0.0).tobytes(), ([], []))
+                ids, queries = found.setdefault((np.asarray(vector, kind) + kind(0)).tobytes(), ([], []))
                 ids.append(i)
                 if i % every == 0:
                     queries.append(i)
                 if len(ids) > 4 * k:
                     ids[:] = sorted(set(ids))[:k]
-                if len(found) * len(vector) > HELD:
+                if len(found) * max(64, len(vector)) > HELD:
                     yield out()
                     found.clear()
         if found:
             yield out()
 
-    parts = stored(vectors.mapInPandas(run, "vector array<double>, ids array<long>, queries array<long>"), "parts")
+    parts = stored(vectors.mapInPandas(run, f"vector {vector_type}, ids array<long>, queries array<long>"), "parts")
     merged = parts.groupBy("vector").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.max(F.size("queries") > 0).alias("asks"))
     merged = merged.select("vector", F.slice(F.array_sort(F.array_distinct("ids")), 1, k).alias("ids"), "asks").withColumn("node", F.get("ids", F.lit(0)))
     return stored(merged, "entries"), parts.where(F.size("queries") > 0).select("vector", "queries")
@@ -135,7 +152,8 @@ def fit(sample: np.ndarray, total: int, largest: float, k: int, seed: int = 3) -
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     norm = (centroids**2).sum(axis=1)
-    return np.concatenate([np.argmin(norm - 2 * x[i : i + 4096] @ centroids.T, axis=1) for i in range(0, len(x), 4096)])
+    step = max(64, min(4096, RANKED // len(centroids)))
+    return np.concatenate([np.argmin(norm - 2 * x[i : i + step] @ centroids.T, axis=1) for i in range(0, len(x), step)])
 
 
 def bounds(queries: np.ndarray, sample: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
@@ -150,35 +168,125 @@ def bounds(queries: np.ndarray, sample: np.ndarray, near: np.ndarray, k: int) ->
     return np.partition(products, len(sample) - k, axis=1)[:, len(sample) - k] - slack
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Where the vectors of a list lie: its chunks, and the bundles that hold them one after the other."""
+
+    chunks: np.ndarray
+    start: np.ndarray
+    unit: np.ndarray
+    per: int
+
+    @staticmethod
+    def of(held: np.ndarray, dim: int) -> Layout:
+        """``held`` are the entries of each list."""
+        chunks = np.maximum(1, -(-held // CHUNK))
+        total = int(held.sum())
+        return Layout(chunks, np.cumsum(held) - held, held // chunks, max(1, min(-(-total // BUNDLES), max(CHUNK, min(ROWS, BUNDLE // dim)))))
+
+    def bundles(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last bundle of each list."""
+        first = self.start[lists]
+        return first // self.per, (first + (self.chunks[lists] - 1) * self.unit[lists]) // self.per
+
+
+def halves(turned: np.ndarray, query: bool = False) -> list[np.ndarray]:
+    """Rotated vectors in blocks of columns, each with two more, so that the product of a query's and an entry's is their square distance in the block."""
+    out = []
+    for i in range(0, turned.shape[1], BLOCK):
+        b = turned[:, i : i + BLOCK]
+        square, one = (b * b).sum(axis=1)[:, None], np.ones((len(b), 1))
+        out.append(np.concatenate([-2 * b, one, square] if query else [b, square, one], axis=1))
+    return out
+
+
+def limits(query: np.ndarray, turned: np.ndarray, bound: np.ndarray, largest: float, chunk: np.ndarray, k: int) -> np.ndarray:
+    """The square distance that a candidate of a chunk is tested against, for each query; infinite if all are to be measured.
+
+    ``chunk`` are its rotated vectors in the order of their nodes.
+    """
+    if len(chunk) <= max(FIRST, k):
+        return np.full(len(query), np.inf)
+    limit = (query**2).sum(axis=1) + largest - 2 * bound
+    for i in np.flatnonzero(limit == np.inf):
+        full = ((chunk[: max(FIRST, k)] - turned[i]) ** 2).sum(axis=1)
+        limit[i] = np.partition(full, k - 1)[k - 1]
+    return limit
+
+
 def scan(
-    query: np.ndarray, turned: np.ndarray, bound: float, largest: float, vectors: np.ndarray, blocks: list[np.ndarray], nodes: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a chunk for one query that reach ``bound``: places and inner products, best first, ties by node.
+    query: np.ndarray, q_blocks: list[np.ndarray], limit: np.ndarray, least: np.ndarray, largest: float, vectors: np.ndarray, blocks: list[np.ndarray], k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query those of a chunk that pass the tests against ``limit``, reach the product ``least`` and are among the k best.
 
-    ``blocks`` are the rotated vectors in blocks of columns.
+    Rows of the queries, places in the chunk and exact inner products; more than k where products are nearly equal.
+    ``q_blocks`` and ``blocks`` are the ``halves`` of queries and vectors. A tile is measured as a whole while many candidates are left.
     """
-    n, dim = len(vectors), len(turned)
-    left = np.arange(n)
-    if n > max(FIRST, k):
-        cuts = np.cumsum([0] + [b.shape[1] for b in blocks])
-        limit = (query**2).sum() + largest - 2 * bound
-        if limit == np.inf:
-            full = sum(((b[:FIRST] - turned[s:e]) ** 2).sum(axis=1) for b, s, e in zip(blocks, cuts, cuts[1:], strict=False))
-            limit = np.partition(full, k - 1)[k - 1]
-        part = np.zeros(n)
-        for b, s, e in zip(blocks[:-1], cuts, cuts[1:], strict=False):
-            part = part + ((b[left] - turned[s:e]) ** 2).sum(axis=1)
-            stay = part * (dim / e) <= limit * (1 + DEVIATIONS / math.sqrt(e)) ** 2
-            left, part = left[stay], part[stay]
-    product = (vectors[left] * query).sum(axis=1)
-    inside = product >= bound
-    left, product = left[inside], product[inside]
-    if len(left) > k:
-        worst = np.partition(-product, k - 1)[k - 1]
-        inside = -product <= worst
-        left, product = left[inside], product[inside]
-    order = np.lexsort((nodes[left], -product))[:k]
-    return left[order], product[order]
+    widths = [b.shape[1] - 2 for b in blocks]
+    dim, done = sum(widths), 0
+    scale = (query**2).sum(axis=1) + largest
+    part, stay = np.zeros((len(query), len(vectors))), np.ones((len(query), len(vectors)), bool)
+    row = at = None
+    for width, mine, its in zip(widths, q_blocks, blocks, strict=True):
+        part += mine @ its.T if at is None else (mine[row] * its[at]).sum(axis=1)
+        done += width
+        if done < dim:
+            bar = limit * (done / dim) * (1 + DEVIATIONS / math.sqrt(done)) ** 2 + ROUNDING * scale
+        else:
+            bar = scale - 2 * least + ROUNDING * scale
+        if at is None:
+            stay &= ~(part > bar[:, None])
+            if np.count_nonzero(stay) * FEW < stay.size:
+                row, at = np.nonzero(stay)
+                part = part[row, at]
+        else:
+            inside = ~(part > bar[row])
+            row, at, part = row[inside], at[inside], part[inside]
+    if at is None:
+        many = np.flatnonzero(np.count_nonzero(stay, axis=1) > k)
+        if len(many):
+            far = np.where(stay[many], part[many], np.inf)
+            worst = np.partition(far, k - 1, axis=1)[:, k - 1] + ROUNDING * scale[many]
+            stay[many] &= ~(far > worst[:, None])
+        row, at = np.nonzero(stay)
+    step = max(1, SCORED // query.shape[1])
+    product = np.concatenate([(vectors[at[i : i + step]] * query[row[i : i + step]]).sum(axis=1) for i in range(0, max(1, len(at)), step)])
+    inside = product >= least[row]
+    return row[inside], at[inside], product[inside]
+
+
+class Best:
+    """The k best entries of each query so far, ties by node, and the product that an entry must reach to be one of them."""
+
+    def __init__(self, bound: np.ndarray, nodes: np.ndarray, k: int) -> None:
+        self.least, self.nodes, self.k = bound.copy(), nodes, k
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.kept = self.waiting = 0
+
+    def add(self, row: np.ndarray, at: np.ndarray, product: np.ndarray) -> None:
+        self.parts.append((row.astype(np.int32), at.astype(np.int32), product))
+        self.waiting += len(row)
+        if self.waiting > max(self.kept, len(self.least) * self.k // 2):
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the queries in order, places of their best entries, products."""
+        row, at, product = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0))
+        order, rank = ranked_by(row, -product, self.nodes[at])
+        full = order[rank == self.k - 1]
+        order = order[rank < self.k]
+        self.least[row[full]] = np.maximum(self.least[row[full]], product[full])
+        self.parts = [(row[order], at[order], product[order])]
+        self.kept, self.waiting = len(order), 0
+        return self.parts[0]
+
+
+def ranked_by(row: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by row and ``keys``, and the places from 0 within each row."""
+    order = np.lexsort((*keys[::-1], row))
+    row = row[order]
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    return order, np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row)))
 
 
 def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20) -> DataFrame:
@@ -191,79 +299,122 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k
     once as a neighbour and once as a query. Fewer other rows than k: all of them. Without
     usable rows the result is empty. Other columns are not read.
     """
-    given = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    column = vectors.schema[vector].dataType
+    # single precision, where given, is half as much to store and to shuffle
+    vector_type = "array<float>" if isinstance(column, T.ArrayType) and isinstance(column.elementType, T.FloatType) else "array<double>"
+    given = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(vector_type).alias("vector"))
     good = given.where(F.col("id").isNotNull() & usable(F.col("vector")))
     out = "query_id long, rank int, vec_id long, score double"
     lengths = good.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
     if lengths is None:
         return vectors.sparkSession.createDataFrame([], out)
     nodes, asked = entries(good.where(F.size("vector") == lengths["n"]), k + 1, every)
-    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     total, largest = nodes.agg(F.count("*"), F.max(norm)).first()
     parts = 1 << 20
     chosen = F.pmod(F.xxhash64("node", F.lit(11)), F.lit(parts)) < int(min(1.0, SAMPLE / total) * parts + 1)
     sample = nodes.where(chosen).select("node", "vector").orderBy("node").toPandas()
     if not len(sample):
         sample = nodes.select("node", "vector").orderBy("node").limit(1).toPandas()
-    sample = np.stack(sample["vector"].to_numpy())
+    sample = matrix(sample["vector"])
     index, first = fit(sample, total, largest, k), sample[:BOUND]
     first_list = _nearest(index.turned(first), index.centroids)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                x = index.turned(np.stack(frame["vector"].to_numpy()))
+                x = index.turned(matrix(frame["vector"]))
                 yield frame.assign(list=_nearest(x, index.centroids).astype(np.int32))
 
-    listed = stored(nodes.mapInPandas(place, "vector array<double>, ids array<long>, asks boolean, node long, list int"), "lists")
-    sizes = np.zeros(len(index.centroids), np.int64)
-    for r in listed.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():
-        sizes[r["list"]] = r["n"]
+    # Found twice rather than stored with the vectors: first its lists are counted, then it is dealt out.
+    listed = nodes.mapInPandas(place, f"vector {vector_type}, ids array<long>, asks boolean, node long, list int")
+    sizes, held_by = np.zeros(len(index.centroids), np.int64), np.zeros(len(index.centroids), np.int64)
+    for r in listed.groupBy("list").agg(F.sum(F.size("ids")).alias("n"), F.count("*").alias("entries")).collect():
+        sizes[r["list"]], held_by[r["list"]] = r["n"], r["entries"]
+    layout = Layout.of(held_by, sample.shape[1])
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(256, RANKED // len(index.centroids) // 256 * 256)
         for frame in frames:
-            if len(frame):
-                x = np.stack(frame["vector"].to_numpy())
+            for start in range(0, len(frame), step):
+                part = frame.iloc[start : start + step]
+                x = matrix(part["vector"])
                 order = np.argsort(index.far(index.turned(x, True)), axis=1, kind="stable")
                 held = np.cumsum(sizes[order], axis=1)
                 # As many lists as measured, and more where those hold too few vectors.
                 count = np.maximum(index.probes, (held < 4 * (k + 1)).sum(axis=1) + 1).clip(max=order.shape[1])
-                row = np.repeat(np.arange(len(frame)), count)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 rank = np.argsort(order, axis=1)
-                parts = range(0, len(x), 256)
-                bound = [bounds(x[i : i + 256], first, rank[i : i + 256][:, first_list] < count[i : i + 256, None], 2 * (k + 1)) for i in parts]
-                yield frame.assign(bound=np.concatenate(bound)).iloc[row].assign(list=order[row, at].astype(np.int32))
+                ranges = range(0, len(x), 256)
+                bound = np.concatenate([bounds(x[i : i + 256], first, rank[i : i + 256][:, first_list] < count[i : i + 256, None], 2 * (k + 1)) for i in ranges])
+                row = np.repeat(np.arange(len(x)), count)
+                lists = order[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)]
+                low, high = layout.bundles(lists)
+                times = high - low + 1
+                row, lists, low = np.repeat(row, times), np.repeat(lists, times).astype(np.int32), np.repeat(low, times)
+                bundle = low + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                sort = np.lexsort((bundle, row))
+                row, lists, bundle = row[sort], lists[sort], bundle[sort]
+                new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(bundle, prepend=-1) != 0))
+                ends = np.append(new[1:], len(row))
+                vector, node = part["vector"].to_numpy(), part["node"].to_numpy()
+                for i in range(0, len(new), layout.per):
+                    at, end = new[i : i + layout.per], ends[i : i + layout.per]
+                    yield pd.DataFrame(
+                        {"vector": vector[row[at]], "node": node[row[at]], "bound": bound[row[at]], "bundle": bundle[at], "lists": [lists[s:e] for s, e in zip(at, end, strict=True)]}
+                    )
 
     asking = nodes.where("asks").select("vector", "node")
-    probes = stored(asking.mapInPandas(probe, "vector array<double>, node long, bound double, list int"), "probes")
-    cut = lambda df, n: df.groupBy("list").agg(F.ceil(F.count("*") / n).cast("int").alias("cuts"))
-    chunks = cut(listed, CHUNK).withColumnRenamed("cuts", "chunks").join(cut(probes, QUERIES).withColumnRenamed("cuts", "blocks"), "list")
-    chunks = stored(chunks, "chunks")
-    every_block = F.sequence(F.lit(0), F.col("blocks") - 1)
-    every_chunk = F.sequence(F.lit(0), F.col("chunks") - 1)
-    held = listed.join(chunks, "list").select("vector", "ids", "node", "list", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.explode(every_block).alias("block"))
-    want = probes.join(chunks, "list").select("vector", "node", "bound", "list", F.explode(every_chunk).alias("chunk"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    probes = stored(asking.mapInPandas(probe, f"vector {vector_type}, node long, bound double, bundle long, lists array<int>"), "probes")
+    blocks = probes.groupBy("bundle").agg(F.ceil(F.count("*") / max(QUERIES, min(ROWS, BUNDLE // sample.shape[1]))).cast("int").alias("blocks"))
+    blocks = stored(blocks, "blocks")
+    rows = zip(range(len(held_by)), *(x.tolist() for x in (layout.chunks, layout.start, layout.unit)), strict=True)
+    places = vectors.sparkSession.createDataFrame(list(rows), "list int, chunks long, start long, unit long")
+    chunked = listed.join(F.broadcast(places), "list").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    chunked = chunked.withColumn("bundle", F.call_function("div", F.col("start") + F.col("chunk") * F.col("unit"), F.lit(layout.per)))
+    held = chunked.join(blocks, "bundle").select("vector", "ids", "node", "list", "chunk", "bundle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    want = probes.join(blocks, "bundle").select("vector", "node", "bound", "lists", "bundle", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
 
     def look(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(held):
             return pd.DataFrame({"node": [], "far": [], "id": []})
-        held = held.sort_values("node")
-        x, q = np.stack(held["vector"].to_numpy()), np.stack(queries["vector"].to_numpy())
+        held = held.sort_values(["list", "chunk", "node"])
+        x, q = matrix(held["vector"]), matrix(queries["vector"])
         turned, q_turned, bound = index.turned(x), index.turned(q, True), queries["bound"].to_numpy()
-        blocks = [np.ascontiguousarray(turned[:, i : i + BLOCK]) for i in range(0, turned.shape[1], BLOCK)]
-        ids, nodes = held["ids"].to_numpy(), held["node"].to_numpy()
-        found = [scan(q[i], q_turned[i], bound[i], index.largest, x, blocks, nodes, min(k + 1, len(x))) for i in range(len(q))]
-        count = [len(at) for at, _ in found]
-        at = np.concatenate([at for at, _ in found])
-        asked, far = np.repeat(queries["node"].to_numpy(), count), -np.concatenate([product for _, product in found])
-        each = np.fromiter((len(ids[i]) for i in at.tolist()), np.int64, len(at))
-        flat = np.concatenate([ids[i] for i in at.tolist()]) if len(at) else np.empty(0, np.int64)
-        return pd.DataFrame({"node": np.repeat(asked, each), "far": np.repeat(far, each), "id": flat})
-
-    by = ["list", "chunk", "block"]
-    found = want.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(look, "node long, far double, id long")
-    best = found.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "id"))), 1, k + 1).alias("best"))
+        blocks, q_blocks = halves(turned), halves(q_turned, True)
+        lists, chunk, ids = held["list"].to_numpy(), held["chunk"].to_numpy(), held["ids"].to_numpy()
+        asked_lists = np.concatenate(queries["lists"].to_numpy())
+        asking = np.repeat(np.arange(len(q)), [len(x) for x in queries["lists"]])
+        by_list = np.argsort(asked_lists, kind="stable")
+        asked_lists, asking = asked_lists[by_list], asking[by_list]
+        best = Best(bound, held["node"].to_numpy(), k + 1)
+        starts = np.flatnonzero((np.diff(lists, prepend=-1) != 0) | (np.diff(chunk, prepend=-1) != 0))
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True):
+            mine, its = asking[slice(*np.searchsorted(asked_lists, [lists[s], lists[s] + 1]))], [b[s:e] for b in blocks]
+            most, step = min(k + 1, e - s), max(1, TILE // (e - s))
+            for i in range(0, len(mine), step):
+                at = mine[i : i + step]
+                limit = limits(q[at], q_turned[at], bound[at], index.largest, turned[s:e], most)
+                row, place, product = scan(q[at], [b[at] for b in q_blocks], limit, best.least[at], index.largest, x[s:e], its, most)
+                best.add(at[row], place + s, product)
+        row, at, product = best.cut()
+        node, out = queries["node"].to_numpy(), []
+        for i in range(0, len(q), CHUNK):
+            some = slice(*np.searchsorted(row, [i, i + CHUNK]))
+            each = np.fromiter((len(ids[j]) for j in at[some].tolist()), np.int64, some.stop - some.start)
+            flat = np.concatenate([ids[j] for j in at[some].tolist()]) if len(each) else np.empty(0, np.int64)
+            whose, far = np.repeat(row[some], each), np.repeat(-product[some], each)
+            order, rank = ranked_by(whose, far, flat)
+            order = order[rank <= k]
+            out.append(pd.DataFrame({"node": node[whose[order]], "far": far[order], "id": flat[order]}))
+        return pd.concat(out)
+
+    by = ["bundle", "block"]
+    # One task for a bundle and a block, not as few as their bytes ask for.
+    tasks = max(1, min(10_000, 2 * (blocks.agg(F.sum("blocks")).first()[0] or 0)))
+    found = want.repartition(tasks, *by).groupBy(*by).cogroup(held.repartition(tasks, *by).groupBy(*by)).applyInPandas(look, "node long, far double, id long")
+    # A window keeps k + 1 rows per query, however many bundles there are.
+    first_rows = found.withColumn("_place", F.row_number().over(Window.partitionBy("node").orderBy("far", "id"))).where(F.col("_place") <= k + 1)
+    best = first_rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("far", "id"))).alias("best"))
     results = stored(best.join(nodes.where("asks").select("node", "vector"), "node").select("vector", "best"), "best")
     each = asked.join(results, "vector").select(F.explode(F.array_distinct("queries")).alias("query_id"), "best")
     others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)

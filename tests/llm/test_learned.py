@@ -265,6 +265,65 @@ def test_neighbours_recall(spark, sf):
     assert all(len(got[q]) == len(w) for q, w in want.items())
 
 
+def test_neighbours_are_dealt_by_bundles(spark, monkeypatch):
+    """A query is copied to bundles, not to lists, and returns k + 1 rows from each. With small limits few rows change: chunks of up to 64 vectors are not tested."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=24).round(3).tolist()) for i in range(3000)] + [(3000 + i, [1.0] * 24) for i in range(50)]
+    table_ = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    seen, stored = {}, ann.stored
+    monkeypatch.setattr(ann, "stored", lambda df, name, *more: seen.setdefault(name, stored(df, name, *more)))
+    got = sorted(ann.search(table_, k=10, every=20).collect())
+    asked = len({r.query_id for r in got})
+    assert asked == 153 and seen["probes"].count() <= 17 * asked
+    want = brute_neighbours([(r.vec_id, list(r.embedding)) for r in table_.orderBy("vec_id").collect()], 10, 20)
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(len(found[q]) == 10 for q in want)
+    assert np.mean([len(set(found[q]) & {i for i, _ in w}) / 10 for q, w in want.items()]) >= 0.9
+    for name, value in (("BUNDLES", 40), ("ROWS", 50), ("CHUNK", 30), ("QUERIES", 8), ("TILE", 100), ("RANKED", 500), ("HELD", 900)):
+        monkeypatch.setattr(ann, name, value)
+    again = sorted(ann.search(table_, k=10, every=20).collect())
+    assert [len(again), {r.query_id for r in again}] == [len(got), {r.query_id for r in got}]
+    assert sum(a == b for a, b in zip(got, again, strict=True)) >= 0.97 * len(got)
+
+
+@pytest.mark.parametrize("known", [True, False])
+@pytest.mark.parametrize("size", [20, 700])
+def test_scan_by_contrast(known, size):
+    """All pairs of a tile at once give what a plain loop over queries and blocks of columns gives, ties and near copies included."""
+    rng, k = np.random.default_rng(size), 5
+    x, q = rng.normal(size=(size, 40)), rng.normal(size=(30, 40))
+    x[::9] = np.round(x[::9])
+    x[1::9], q[:5] = x[2] + 1e-9 * rng.normal(size=x[1::9].shape), x[:5]
+    largest, nodes = (x * x).sum(axis=1).max(), rng.permutation(size)
+    rotation, _ = np.linalg.qr(rng.normal(size=(41, 41)))
+    index = ann.Index(rotation, largest, np.zeros((1, 41)), 1)
+    x, nodes = x[np.argsort(nodes)], np.sort(nodes)
+    turned, q_turned, products = index.turned(x), index.turned(q, True), np.stack([(x * one).sum(axis=1) for one in q])
+    bound = np.sort(products, axis=1)[:, -12] if known else np.full(len(q), -np.inf)
+    want = {}
+    for i in range(len(q)):
+        left, part = np.arange(size), np.zeros(size)
+        limit = (q[i] ** 2).sum() + largest - 2 * bound[i]
+        if limit == np.inf:
+            limit = np.sort(((turned[: ann.FIRST] - q_turned[i]) ** 2).sum(axis=1))[k - 1]
+        for end in range(ann.BLOCK, 41, ann.BLOCK) if size > ann.FIRST else []:
+            part = part + ((turned[left, end - ann.BLOCK : end] - q_turned[i, end - ann.BLOCK : end]) ** 2).sum(axis=1)
+            stay = part * (41 / end) <= limit * (1 + ann.DEVIATIONS / math.sqrt(end)) ** 2
+            left, part = left[stay], part[stay]
+        want[i] = sorted((-products[i, j], nodes[j]) for j in left if products[i, j] >= bound[i])[:k]
+    limit = ann.limits(q, q_turned, bound, largest, turned, k)
+    best = ann.Best(bound, nodes, k)
+    for s in range(0, len(q), 7):
+        some = np.arange(s, min(s + 7, len(q)))
+        row, at, product = ann.scan(q[some], [b[some] for b in ann.halves(q_turned, True)], limit[some], best.least[some], largest, x, ann.halves(turned), k)
+        best.add(some[row], at, product)
+    row, at, product = best.cut()
+    got = {i: [(-p, nodes[j]) for j, p in zip(at[row == i], product[row == i], strict=True)] for i in range(len(q))}
+    assert got == want
+
+
 def mixed_rows(spark):
     rows = [(i, "w " * (1 + i % 7), s) for i, s in enumerate(["big"] * 300 + ["mid"] * 80 + ["small"] * 20 + [None] * 10)]
     rows += [(500, None, "empty"), (501, "", "empty"), (502, "x", "big"), (502, "x", "big")]
