@@ -378,9 +378,8 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k
         if not len(queries) or not len(held):
             return pd.DataFrame({"node": [], "far": [], "id": []})
         held = held.sort_values(["list", "chunk", "node"])
-        x, q = matrix(held["vector"]), matrix(queries["vector"])
-        turned, q_turned, bound = index.turned(x), index.turned(q, True), queries["bound"].to_numpy()
-        blocks, q_blocks = halves(turned), halves(q_turned, True)
+        # Rotated, and in double precision, only chunk by chunk and tile by tile.
+        x, q, bound = np.stack(held["vector"].to_numpy()), np.stack(queries["vector"].to_numpy()), queries["bound"].to_numpy()
         lists, chunk, ids = held["list"].to_numpy(), held["chunk"].to_numpy(), held["ids"].to_numpy()
         asked_lists = np.concatenate(queries["lists"].to_numpy())
         asking = np.repeat(np.arange(len(q)), [len(x) for x in queries["lists"]])
@@ -389,16 +388,20 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k
         best = Best(bound, held["node"].to_numpy(), k + 1)
         starts = np.flatnonzero((np.diff(lists, prepend=-1) != 0) | (np.diff(chunk, prepend=-1) != 0))
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True):
-            mine, its = asking[slice(*np.searchsorted(asked_lists, [lists[s], lists[s] + 1]))], [b[s:e] for b in blocks]
-            most, step = min(k + 1, e - s), max(1, TILE // (e - s))
+            mine, its = asking[slice(*np.searchsorted(asked_lists, [lists[s], lists[s] + 1]))], x[s:e].astype(float)
+            turned = index.turned(its)
+            blocks, most, step = halves(turned), min(k + 1, e - s), max(1, TILE // (e - s))
             for i in range(0, len(mine), step):
                 at = mine[i : i + step]
-                limit = limits(q[at], q_turned[at], bound[at], index.largest, turned[s:e], most)
-                row, place, product = scan(q[at], [b[at] for b in q_blocks], limit, best.least[at], index.largest, x[s:e], its, most)
+                asks = q[at].astype(float)
+                q_turned = index.turned(asks, True)
+                limit = limits(asks, q_turned, bound[at], index.largest, turned, most)
+                row, place, product = scan(asks, halves(q_turned, True), limit, best.least[at], index.largest, its, blocks, most)
                 best.add(at[row], place + s, product)
         row, at, product = best.cut()
+        del x, q
         node, out = queries["node"].to_numpy(), []
-        for i in range(0, len(q), CHUNK):
+        for i in range(0, len(queries), CHUNK):
             some = slice(*np.searchsorted(row, [i, i + CHUNK]))
             each = np.fromiter((len(ids[j]) for j in at[some].tolist()), np.int64, some.stop - some.start)
             flat = np.concatenate([ids[j] for j in at[some].tolist()]) if len(each) else np.empty(0, np.int64)
